@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference reads whole files in batch and has no stream source,
+watermark, stream window or state store, so there is no streaming operator
+to provide. Its only session logic (gap sessions) is a batch operator in
+``mooclens.operators.sessions``.
+"""
