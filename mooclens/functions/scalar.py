@@ -17,7 +17,11 @@ __all__ = [
 
 
 def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    if isinstance(c, str):
+        return F.col(c)
+    if isinstance(c, Column):
+        return c
+    return F.lit(c)
 
 
 def safe_div(a, b) -> Column:

@@ -237,3 +237,204 @@ def h15_enrollment_features(spark, sf):
     """H15 flagship: 56 features per enrollment."""
     log = fx_log(spark, sf)
     return feat.generate_features(log, fx.enrollment(spark, sf))
+
+
+# ---------------------------------------------------------------- daily grid
+
+def _daily_long_sql() -> str:
+    m = activity
+    counts = ",\n".join(
+        f"         count(*) FILTER (WHERE source = '{s}' AND event = '{e}') AS {n}" for n, s, e in m.DAILY_COUNTS
+    )
+    return f"""
+  SELECT enrollment_id, day, count(*) AS records,
+{counts},
+         count(DISTINCT CASE WHEN event = 'video' THEN object END) AS video_object,
+         count(DISTINCT CASE WHEN event = 'problem' THEN object END) AS pro_object,
+         count(DISTINCT CASE WHEN category = 'sequential' THEN object END) AS seq_object
+  FROM (SELECT l.*, date_diff('day', c.start_date, l.date) AS day
+        FROM log l JOIN course c ON l.course_id = c.course_id) t
+  WHERE day >= 0 AND day < 30
+  GROUP BY enrollment_id, day"""
+
+
+DAILY_CTE = {"daily_long": _daily_long_sql()}
+
+
+@query("d11_daily_long", with_ctes("SELECT * FROM daily_long", DAILY_CTE))
+def d11_daily_long(spark, sf):
+    log = fx_log(spark, sf)
+    return activity.daily_long(log, course_ops.course_info(log))
+
+
+def _daily_wide_sql() -> str:
+    cols = []
+    for d in range(activity.N_DAYS):
+        for m in activity.DAILY_MEASURES:
+            cols.append(f"coalesce(sum({m}) FILTER (WHERE day = {d}), 0) AS {activity.daily_column(d, m)}")
+    return with_ctes(
+        "SELECT i.enrollment_id, " + ", ".join(cols)
+        + " FROM (SELECT DISTINCT enrollment_id FROM log) i LEFT JOIN daily_long d"
+        " ON i.enrollment_id = d.enrollment_id GROUP BY i.enrollment_id",
+        DAILY_CTE,
+    )
+
+
+@query("d11_daily_wide", _daily_wide_sql())
+def d11_daily_wide(spark, sf):
+    """390 daily columns per enrollment."""
+    log = fx_log(spark, sf)
+    return activity.daily_wide(log, course_ops.course_info(log))
+
+
+@query("d12_exact_date_enrollment", with_ctes(
+    "SELECT enrollment_id, CAST(date AS VARCHAR) AS date, count(*) AS n FROM log GROUP BY 1, 2"))
+def d12_exact_date_enrollment(spark, sf):
+    out = activity.exact_date_counts(fx_log(spark, sf), "enrollment_id")
+    return out.select("enrollment_id", F.col("date").cast("string").alias("date"), "n")
+
+
+@query("d12_exact_date_user", with_ctes(
+    "SELECT username, CAST(date AS VARCHAR) AS date, count(*) AS n FROM log GROUP BY 1, 2"))
+def d12_exact_date_user(spark, sf):
+    out = activity.exact_date_counts(fx_log(spark, sf), "username")
+    return out.select("username", F.col("date").cast("string").alias("date"), "n")
+
+
+def _daily_area_sql() -> str:
+    cols = ", ".join(
+        f"sum({m} * (2.0 - CASE WHEN day = 0 THEN 1 ELSE 0 END - CASE WHEN day = 29 THEN 1 ELSE 0 END)) / 60.0"
+        f" AS {m}_auc" for m in activity.DAILY_MEASURES
+    )
+    return with_ctes(rounded(f"SELECT enrollment_id, {cols} FROM daily_long GROUP BY enrollment_id",
+                             ["enrollment_id"], [f"{m}_auc" for m in activity.DAILY_MEASURES]), DAILY_CTE)
+
+
+@query("d14_daily_area", _daily_area_sql())
+def d14_daily_area(spark, sf):
+    """Trapezoid area of the 30 daily values of each measure."""
+    log = fx_log(spark, sf)
+    return activity.daily_area(activity.daily_long(log, course_ops.course_info(log)))
+
+
+def _smooth_sql() -> str:
+    cols = ", ".join(f"sum({m}) / 3.0 AS {m}" for m in activity.DAILY_MEASURES)
+    body = (f"SELECT d.enrollment_id, c.c AS day, {cols} FROM daily_long d "
+            "JOIN (SELECT unnest(range(0, 28)) AS c) c ON d.day BETWEEN c.c AND c.c + 2 "
+            "GROUP BY d.enrollment_id, c.c")
+    return with_ctes(rounded(body, ["enrollment_id", "day"], activity.DAILY_MEASURES), DAILY_CTE)
+
+
+@query("e5_smooth_daily", _smooth_sql())
+def e5_smooth_daily(spark, sf):
+    """E5: 3-day moving mean over the 0-filled daily grid (long form)."""
+    log = fx_log(spark, sf)
+    sm = activity.smooth_daily(activity.daily_long(log, course_ops.course_info(log)), by=3)
+    return sm.select("enrollment_id", F.col("day").cast("int").alias("day"), *activity.DAILY_MEASURES)
+
+
+# ---------------------------------------------------------------- legacy set (D13, D15-D18), A4
+
+@query("a4_coded_log", with_ctes("""
+SELECT e.enrollment_id, e.username, e.course_id, (epoch_us(l.time) // 1000000) AS t,
+       CAST(list_position(['server', 'browser'], l.source) - 1 AS INTEGER) AS source_idx,
+       CAST(list_position(['problem', 'video', 'access', 'wiki', 'discussion', 'nagivate', 'page_close'], l.event) - 1
+            AS INTEGER) AS event_idx, l.object
+FROM enrollment e LEFT JOIN (SELECT DISTINCT enrollment_id, time, source, event, object FROM raw_log) l
+  ON e.enrollment_id = l.enrollment_id"""))
+def a4_coded_log(spark, sf):
+    from mooclens.operators.logs import LOG_COLUMNS, coded_log
+    return coded_log(fx.raw_log(spark, sf).select(*LOG_COLUMNS).distinct(), fx.enrollment(spark, sf))
+
+
+def _legacy_counts_sql() -> str:
+    from mooclens.operators.logs import EVENTS, SOURCES
+    cols = ["count(*) AS n_logs", "(max(epoch_us(time) // 1000000) - min(epoch_us(time) // 1000000)) AS span"]
+    cols += [f"count(*) FILTER (WHERE source = '{s}') AS src_{s}" for s in SOURCES]
+    cols += [f"count(*) FILTER (WHERE event = '{e}') AS evt_{e}" for e in EVENTS]
+    cols += [f"count(*) FILTER (WHERE source = '{s}' AND event = '{e}') AS {s}_{e}" for s in SOURCES for e in EVENTS]
+    return "SELECT enrollment_id, " + ", ".join(cols) + " FROM log GROUP BY enrollment_id"
+
+
+@query("d13_legacy_counts", with_ctes(_legacy_counts_sql()))
+def d13_legacy_counts(spark, sf):
+    from mooclens.operators.legacy import legacy_counts
+    return legacy_counts(fx_log(spark, sf))
+
+
+@query("d15_last_course_time", with_ctes(
+    "SELECT course_id, max(epoch_us(time) // 1000000) AS course_last_time FROM log GROUP BY course_id"))
+def d15_last_course_time(spark, sf):
+    from mooclens.operators.legacy import last_course_time
+    return last_course_time(fx_log(spark, sf))
+
+
+def _legacy_full_sql() -> str:
+    onehot = ", ".join(f"CASE WHEN e.course_id = 'c{i}' THEN 1 ELSE 0 END AS course_c{i}" for i in range(5))
+    return with_ctes(
+        f"SELECT c.*, {onehot}, t.course_last_time FROM ({_legacy_counts_sql()}) c "
+        "JOIN enrollment e ON c.enrollment_id = e.enrollment_id "
+        "LEFT JOIN (SELECT course_id, max(epoch_us(time) // 1000000) AS course_last_time FROM log "
+        "GROUP BY course_id) t ON e.course_id = t.course_id"
+    )
+
+
+@query("d18_legacy_features", _legacy_full_sql())
+def d18_legacy_features(spark, sf):
+    """D18 (with D16 one-hot over the sorted course list)."""
+    from mooclens.operators.legacy import build_legacy_features
+    return build_legacy_features(fx_log(spark, sf), fx.enrollment(spark, sf))
+
+
+def _hist_sql() -> str:
+    per = """
+  SELECT p.enrollment_id, t.label, CAST(max(epoch_us(time) // 1000000) - min(epoch_us(time) // 1000000) AS DOUBLE) AS span,
+         CAST(max(epoch_us(time) // 1000000) AS DOUBLE) AS last_t, CAST(count(*) AS DOUBLE) AS n_logs
+  FROM log p JOIN truth t ON p.enrollment_id = t.enrollment_id GROUP BY p.enrollment_id, t.label"""
+    body = """
+SELECT measure, label, bin, n, n / sum(n) OVER (PARTITION BY measure, label) AS frac FROM (
+  SELECT measure, label, bin, count(*) AS n FROM (
+    SELECT l.measure, l.label,
+           CASE WHEN r.hi = r.lo THEN 0 ELSE least(CAST(floor((l.x - r.lo) * (30.0 / (r.hi - r.lo))) AS INTEGER), 29)
+           END AS bin
+    FROM long_m l JOIN rng r ON l.measure = r.measure WHERE l.x >= r.lo AND l.x <= r.hi) b
+  GROUP BY measure, label, bin) c"""
+    extra = {
+        "per_enr": per,
+        "long_m": """
+  SELECT label, 'span' AS measure, span AS x FROM per_enr
+  UNION ALL SELECT label, 'last_offset', last_t - (SELECT min(last_t) FROM per_enr) FROM per_enr
+  UNION ALL SELECT label, 'n_logs', n_logs FROM per_enr""",
+        "rng": "SELECT measure, min(x) AS lo, max(x) AS hi FROM long_m WHERE label = 1 GROUP BY measure",
+    }
+    return with_ctes(rounded(body, ["measure", "label", "bin", "n"], ["frac"]), extra)
+
+
+@query("d17_class_histograms", _hist_sql())
+def d17_class_histograms(spark, sf):
+    from mooclens.operators.legacy import class_histograms
+    return class_histograms(fx_log(spark, sf), fx.truth(spark, sf))
+
+
+# ---------------------------------------------------------------- K5 per-course z-score
+
+K5_COLS = ["n_records", "online_day", "n_server_access", "n_browser_video", "n_video_object", "n_problem_object"]
+
+
+def _k5_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in K5_COLS)
+    cols = ", ".join(
+        f"CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 0 ELSE (a.{c} - m_{c}) / s_{c} END AS {c}" for c in K5_COLS
+    )
+    body = (f"SELECT a.enrollment_id, {cols} FROM activity a JOIN enrollment e ON a.enrollment_id = e.enrollment_id "
+            f"JOIN (SELECT e.course_id, {stats} FROM activity a JOIN enrollment e "
+            "ON a.enrollment_id = e.enrollment_id GROUP BY e.course_id) g ON e.course_id = g.course_id")
+    return with_ctes(rounded(body, ["enrollment_id"], K5_COLS))
+
+
+@query("k5_normalize_by_course", _k5_sql())
+def k5_normalize_by_course(spark, sf):
+    """K5: per-course z-score of activity columns."""
+    from mooclens.operators.scale import normalize_by_group
+    act = activity.total_activity(fx_log(spark, sf)).select("enrollment_id", *K5_COLS)
+    return normalize_by_group(act, fx.enrollment(spark, sf), K5_COLS)
