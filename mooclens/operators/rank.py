@@ -41,21 +41,21 @@ def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, m
     lvl = F.col("level")
     if direction == "plus":
         # j counts for thresholds t = 1 .. level_j - 1; probe of i at t = level_i
-        ts = F.sequence(F.lit(1), lvl - 1)
+        ts = F.when(lvl > 1, F.sequence(F.lit(1), lvl - 1))
         data_key = F.col(key).cast("double")
         probe_key = F.col(key).cast("double") + F.lit(margin)
     else:
         # j counts for thresholds t = level_j + 1 .. k; negate keys so that
         # "key_j > key_i - margin" becomes an ascending sweep.
         kmax = F.col("_kmax")
-        ts = F.sequence(lvl + 1, kmax)
+        ts = F.when(lvl < kmax, F.sequence(lvl + 1, kmax))
         data_key = -F.col(key).cast("double")
         probe_key = -(F.col(key).cast("double") - F.lit(margin))
     base = df
     if direction == "minus":
         kq = df.groupBy(qid).agg(F.max("level").alias("_kmax"))
         base = df.join(kq, qid, "inner")
-    data = base.where(F.size(ts) > 0).select(
+    data = base.where(ts.isNotNull()).select(
         qid, F.explode(ts).alias("_t"), data_key.alias("_key"), F.lit(1).alias("_kind"),
         F.lit(None).cast(df.schema[rid].dataType).alias(rid), F.lit(1).cast("long").alias("_w"), val.alias("_v"),
     )
@@ -134,7 +134,7 @@ def ndcg_per_query(df: DataFrame, score: str = "score", qid: str = "qid", rid: s
     ideal = _cumulative_gain(df, qid, rid, -F.col(label).cast("double"), label).withColumnRenamed("_dcg", "_idcg")
     j = actual.join(ideal, [qid, "_pos"], "inner")
     per = j.groupBy(qid).agg(
-        F.avg(F.col("_dcg") / F.col("_idcg")).alias("_r"),
+        F.avg(F.try_divide(F.col("_dcg"), F.col("_idcg"))).alias("_r"),
         F.max(F.when(F.col("_pos") == 1, F.col("_idcg"))).alias("_top"),
     )
     return per.select(qid, F.when(F.col("_top") > 0, F.col("_r")).otherwise(F.lit(0.0)).alias("ndcg"))
