@@ -49,9 +49,10 @@ def _hot_bounds(df: DataFrame, keys: list[str], order_col: str) -> DataFrame | N
     return bounds
 
 
-def with_buckets(df: DataFrame, keys: list[str], order_col: str) -> tuple[DataFrame, bool]:
-    """Add ``_bkt``: 0 for ordinary groups, key range number inside hot groups."""
-    bounds = _hot_bounds(df, keys, order_col)
+def with_buckets(df: DataFrame, keys: list[str], order_col: str, small: bool = False) -> tuple[DataFrame, bool]:
+    """Add ``_bkt``: 0 for ordinary groups, key range number inside hot groups.
+    ``small=True`` states that no group can be hot (skips the size check)."""
+    bounds = None if small else _hot_bounds(df, keys, order_col)
     if bounds is None:
         return df.withColumn(BUCKET, F.lit(0)), False
     o = F.col(order_col).cast("double")
@@ -69,6 +70,7 @@ def prefix_sums(
     sums: dict[str, Column],
     inclusive: bool = True,
     ties: str = "rows",
+    small: bool = False,
 ) -> DataFrame:
     """Add running sums of the ``sums`` expressions inside each group.
 
@@ -91,7 +93,7 @@ def prefix_sums(
         end = Window.currentRow if inclusive else -1
         return spec.orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
 
-    bucketed, split = with_buckets(base, keys, order_cols[0])
+    bucketed, split = with_buckets(base, keys, order_cols[0], small)
     if not split:
         w = frame(Window.partitionBy(*keys))
         out = base.select("*", *[F.coalesce(F.sum(tmp[n]).over(w), F.lit(0)).alias(n) for n in sums])
@@ -110,19 +112,21 @@ def prefix_sums(
     return out
 
 
-def row_numbers(df: DataFrame, keys: list[str], order_cols: list[str], name: str = "rn") -> DataFrame:
+def row_numbers(df: DataFrame, keys: list[str], order_cols: list[str], name: str = "rn",
+                small: bool = False) -> DataFrame:
     """1-based position inside each group under a unique ``order_cols`` order."""
-    out = prefix_sums(df, keys, order_cols, {name: F.lit(1).cast("long")}, inclusive=True)
+    out = prefix_sums(df, keys, order_cols, {name: F.lit(1).cast("long")}, inclusive=True, small=small)
     return out
 
 
-def previous_value(df: DataFrame, keys: list[str], order_col: str, value_col: str, name: str) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order_col: str, value_col: str, name: str,
+                   small: bool = False) -> DataFrame:
     """Value of ``value_col`` at the previous row in ``order_col`` order.
 
     Among rows with equal order keys the previous row is any one of them,
     so use it where ties carry equal values (e.g. the order key itself).
     """
-    bucketed, split = with_buckets(df, keys, order_col)
+    bucketed, split = with_buckets(df, keys, order_col, small)
     if not split:
         w = Window.partitionBy(*keys).orderBy(order_col)
         return df.withColumn(name, F.lag(value_col).over(w))

@@ -32,7 +32,7 @@ def query_sizes(df: DataFrame, qid: str = "qid") -> DataFrame:
 
 
 def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, margin: float,
-               direction: str) -> DataFrame:
+               direction: str, small: bool = False) -> DataFrame:
     """For each row i: count (and sum of ``value``) over rows j of the same
     query with a higher level and key_j < key_i + margin
     (direction='plus'), or a lower level and key_j > key_i - margin
@@ -65,7 +65,7 @@ def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, m
     )
     events = data.unionByName(probe)
     swept = prefix_sums(events, [qid, "_t"], ["_key", "_kind"],
-                        {"_cnt": F.col("_w"), "_sum": F.col("_v")}, inclusive=True)
+                        {"_cnt": F.col("_w"), "_sum": F.col("_v")}, inclusive=True, small=small)
     return swept.where(F.col("_kind") == 0).select(qid, rid, "_cnt", "_sum")
 
 

@@ -50,7 +50,7 @@ def round_doubles(df: DataFrame, decimals: int = 6) -> DataFrame:
 def load_all():
     """Import the modules that register queries."""
     from mooclens.plans import queries_features  # noqa: F401
-    for mod in ("queries_scoring", "queries_ranking"):
+    for mod in ("queries_scoring", "queries_ranking", "queries_io", "queries_models"):
         try:
             __import__(f"mooclens.plans.{mod}")
         except ModuleNotFoundError as e:
