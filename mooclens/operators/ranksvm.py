@@ -35,138 +35,67 @@ def _dot(cols: list[str], w) -> Column:
     return expr
 
 
-class RankSVMObjective:
-    """f, gradient and Hessian-vector products of the pairwise loss on a
-    DataFrame with (qid, row_id, label, feature columns)."""
-
-    def __init__(self, df: DataFrame, features: list[str], C: float, qid: str = "qid", rid: str = "row_id",
-                 label: str = "label"):
-        self.features, self.C, self.qid, self.rid = list(features), float(C), qid, rid
-        spark = df.sparkSession
-        ensure_checkpoint_dir(spark)
-        lv = label_levels(df.select(qid, rid, label, *features), qid, label)
-        # Cut the lineage once: every iteration re-reads this table.
-        self.base = lv.select(qid, rid, "level", *features).checkpoint(eager=True)
-        # A sweep group (query, level) holds at most two events per row of
-        # the query, so one size check decides for every later sweep.
-        biggest = self.base.groupBy(qid).count().agg(F.max("count")).first()[0] or 0
-        self.small = 2 * biggest <= conf_int(spark, HOT_ROWS_KEY)
-        self._state: DataFrame | None = None
-        self._grad = None
-
-    def _sweeps(self, frame: DataFrame, value: str) -> DataFrame:
-        q, r = self.qid, self.rid
-        plus = _dominance(frame, q, r, "z", value, 1.0, "plus", self.small).select(
-            q, r, F.col("_cnt").alias("lp"), F.col("_sum").alias("gp"))
-        minus = _dominance(frame, q, r, "z", value, 1.0, "minus", self.small).select(
-            q, r, F.col("_cnt").alias("lm"), F.col("_sum").alias("gm"))
-        return frame.join(plus, [q, r], "inner").join(minus, [q, r], "inner")
-
-    def fun(self, w) -> float:
-        """Objective at w; also prepares the gradient and the violating sets
-        used by the following Hessian-vector products."""
-        frame = self.base.withColumn("z", _dot(self.features, w))
-        st = self._sweeps(frame, "z")
-        ataxw = (F.col("lp") + F.col("lm")) * F.col("z") - F.col("gp") - F.col("gm")
-        ate = F.col("lm") - F.col("lp")
-        st = st.select(self.qid, self.rid, "level", "z", "lp", "lm", *self.features,
-                       ataxw.alias("_ataxw"), ate.alias("_ate")).persist(StorageLevel.MEMORY_AND_DISK)
-        t = F.col("_ataxw") - F.col("_ate")
-        aggs = [F.sum(F.col("z") * (F.col("_ataxw") - 2 * F.col("_ate")) + F.col("lm")).alias("_loss")]
-        aggs += [F.sum(F.col(c).cast("double") * t).alias(f"_g{k}") for k, c in enumerate(self.features)]
-        row = st.agg(*aggs).first()
-        if self._state is not None:
-            self._state.unpersist()
-        self._state = st
-        w = np.asarray(w, dtype=float)
-        xt = np.array([row[f"_g{k}"] or 0.0 for k in range(len(self.features))])
-        self._grad = w + 2.0 * self.C * xt
-        return float(w @ w / 2.0 + self.C * (row["_loss"] or 0.0))
-
-    def grad(self, w) -> np.ndarray:
-        return self._grad.copy()
-
-    def hv(self, s) -> np.ndarray:
-        frame = self._state.withColumn("_wa", _dot(self.features, s))
-        st = self._sweeps(frame.select(self.qid, self.rid, "level", "z", "lp", "lm", "_wa", *self.features)
-                          .withColumnRenamed("lp", "_lp0").withColumnRenamed("lm", "_lm0"), "_wa")
-        u = F.col("_wa") * (F.col("_lp0") + F.col("_lm0")) - F.col("gp") - F.col("gm")
-        row = st.agg(*[F.sum(F.col(c).cast("double") * u).alias(f"_h{k}")
-                       for k, c in enumerate(self.features)]).first()
-        xt = np.array([row[f"_h{k}"] or 0.0 for k in range(len(self.features))])
-        return np.asarray(s, dtype=float) + 2.0 * self.C * xt
-
-    def close(self):
-        if self._state is not None:
-            self._state.unpersist()
-
-
-def _cg_steps(obj, delta: float, g: np.ndarray):
-    """Truncated conjugate gradient inside the trust region."""
-    s = np.zeros_like(g)
-    r = -g
-    d = r.copy()
-    tol = 0.1 * np.linalg.norm(g)
-    rr = r @ r
-    steps = 0
-    while np.linalg.norm(r) > tol:
-        steps += 1
-        hd = obj.hv(d)
-        alpha = rr / (d @ hd)
-        s_next = s + alpha * d
-        if np.linalg.norm(s_next) > delta:
-            # step to the boundary along d
-            sd, ss, dd = s @ d, s @ s, d @ d
-            rad = math.sqrt(sd * sd + dd * (delta * delta - ss))
-            tau = (delta * delta - ss) / (sd + rad) if sd >= 0 else (rad - sd) / dd
-            s = s + tau * d
-            r = r - tau * hd
-            break
-        s = s_next
-        r = r - alpha * hd
-        rr_new = r @ r
-        d = r + (rr_new / rr) * d
-        rr = rr_new
-    return s, r, steps
-
-
-def trust_region_newton(obj, n: int, eps: float = 1e-3, max_iter: int = 1000, log=None) -> np.ndarray:
-    """Minimise obj from w = 0 with a trust-region Newton method."""
+def _tron(n: int, eps: float, max_iter: int, mask: np.ndarray):
+    """Trust-region Newton method as a generator. It yields
+    ('fun', w) and expects (f, grad), or ('hv', w_at, s) and expects the
+    Hessian-vector product at the last evaluated point; it returns w.
+    ``mask`` (1 = free, 0 = fixed at 0) removes features exactly."""
     eta0, eta1, eta2 = 1e-4, 0.25, 0.75
     sig1, sig2, sig3 = 0.25, 0.5, 4.0
     w = np.zeros(n)
-    f = obj.fun(w)
-    g = obj.grad(w)
-    delta = g0 = np.linalg.norm(g)
-    if g0 == 0 or np.linalg.norm(g) <= eps * g0:
+    f, g = yield ("fun", w)
+    g = g * mask
+    last = w
+    delta = g0 = float(np.linalg.norm(g))
+    if g0 == 0:
         return w
     it = 1
     while it <= max_iter:
-        s, r, _ = _cg_steps(obj, delta, g)
-        gs = g @ s
-        prered = -0.5 * (gs - s @ r)
-        f_new = obj.fun(w + s)
+        # truncated conjugate gradient inside the trust region
+        st = np.zeros(n)
+        r = -g
+        d = r.copy()
+        tol = 0.1 * np.linalg.norm(g)
+        rr = r @ r
+        while np.linalg.norm(r) > tol:
+            hd = (yield ("hv", last, d))
+            hd = d + (hd - d) * mask
+            alpha = rr / (d @ hd)
+            nxt = st + alpha * d
+            if np.linalg.norm(nxt) > delta:
+                sd, ss, dd = st @ d, st @ st, d @ d
+                rad = math.sqrt(sd * sd + dd * (delta * delta - ss))
+                tau = (delta * delta - ss) / (sd + rad) if sd >= 0 else (rad - sd) / dd
+                st = st + tau * d
+                r = r - tau * hd
+                break
+            st = nxt
+            r = r - alpha * hd
+            rr_new = r @ r
+            d = r + (rr_new / rr) * d
+            rr = rr_new
+        gs = g @ st
+        prered = -0.5 * (gs - st @ r)
+        w_new = w + st
+        f_new, g_new = yield ("fun", w_new)
+        last = w_new
         actred = f - f_new
-        snorm = np.linalg.norm(s)
+        snorm = np.linalg.norm(st)
         if it == 1:
             delta = min(delta, snorm)
         curv = f_new - f - gs
-        alpha = sig3 if curv <= 0 else max(sig1, -0.5 * (gs / curv))
+        a = sig3 if curv <= 0 else max(sig1, -0.5 * (gs / curv))
         if actred < eta0 * prered:
-            delta = min(max(alpha, sig1) * snorm, sig2 * delta)
+            delta = min(max(a, sig1) * snorm, sig2 * delta)
         elif actred < eta1 * prered:
-            delta = max(sig1 * delta, min(alpha * snorm, sig2 * delta))
+            delta = max(sig1 * delta, min(a * snorm, sig2 * delta))
         elif actred < eta2 * prered:
-            delta = max(sig1 * delta, min(alpha * snorm, sig3 * delta))
+            delta = max(sig1 * delta, min(a * snorm, sig3 * delta))
         else:
-            delta = max(delta, min(alpha * snorm, sig3 * delta))
-        if log:
-            log(f"iter {it} f {f_new:.6g} actred {actred:.3e} prered {prered:.3e} delta {delta:.3e}")
+            delta = max(delta, min(a * snorm, sig3 * delta))
         if actred > eta0 * prered:
             it += 1
-            w = w + s
-            f = f_new
-            g = obj.grad(w)
+            w, f, g = w_new, f_new, g_new * mask
             if np.linalg.norm(g) <= eps * g0:
                 break
         if f < -1.0e32:
@@ -178,17 +107,143 @@ def trust_region_newton(obj, n: int, eps: float = 1e-3, max_iter: int = 1000, lo
     return w
 
 
+class RankSVMBatch:
+    """Evaluates f/grad and Hessian-vector products of the pairwise loss for
+    many candidates (each with its own C and weights) in one Spark job:
+    rows are expanded by candidate id and the sweeps are keyed by
+    (candidate, query)."""
+
+    def __init__(self, df: DataFrame, features: list[str], qid: str = "qid", rid: str = "row_id",
+                 label: str = "label"):
+        self.features, self.qid, self.rid = list(features), qid, rid
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        lv = label_levels(df.select(qid, rid, label, *features), qid, label)
+        x = F.array(*[F.col(c).cast("double") for c in features]).alias("_x")
+        # Cut the lineage once: every iteration re-reads this table.
+        self.base = lv.select(F.col(qid).alias("_q"), F.col(rid).alias("_r"), "level", x).checkpoint(eager=True)
+        # A sweep group (candidate, query, level) holds at most two events
+        # per row of the query: one size check decides for all sweeps.
+        biggest = self.base.groupBy("_q").count().agg(F.max("count")).first()[0] or 0
+        self.small = 2 * biggest <= conf_int(spark, HOT_ROWS_KEY)
+
+    @staticmethod
+    def _dot(vec: str, weights: Column) -> Column:
+        return F.aggregate(F.zip_with(F.col(vec), weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+
+    def _expand(self, cands: list[tuple[int, list]], *vectors: str) -> DataFrame:
+        """rows x candidates: each candidate brings its id and vectors."""
+        items = F.array(*[F.struct(F.lit(cid).alias("_cid"),
+                                   *[F.array(*[F.lit(float(v)) for v in vec]).alias(name)
+                                     for name, vec in zip(vectors, vecs)])
+                          for cid, vecs in cands])
+        e = self.base.select("_q", "_r", "level", "_x", F.explode(items).alias("_c"))
+        return e.select(F.struct(F.col("_c._cid").alias("c"), F.col("_q").alias("q")).alias("_qk"),
+                        F.col("_c._cid").alias("_cid"), "_r", "level", "_x",
+                        *[F.col(f"_c.{v}").alias(v) for v in vectors])
+
+    def _sweeps(self, frame: DataFrame, value: str) -> DataFrame:
+        plus = _dominance(frame, "_qk", "_r", "z", value, 1.0, "plus", self.small).select(
+            "_qk", "_r", F.col("_cnt").alias("lp"), F.col("_sum").alias("gp"))
+        minus = _dominance(frame, "_qk", "_r", "z", value, 1.0, "minus", self.small).select(
+            "_qk", "_r", F.col("_cnt").alias("lm"), F.col("_sum").alias("gm"))
+        return frame.join(plus, ["_qk", "_r"], "inner").join(minus, ["_qk", "_r"], "inner")
+
+    def _xt(self, frame: DataFrame, u: Column, extra: list[Column]) -> dict:
+        p = len(self.features)
+        vec = F.transform("_x", lambda v: v * u)
+        aggs = [F.sum(F.element_at(vec, k + 1)).alias(f"_s{k}") for k in range(p)]
+        rows = frame.groupBy("_cid").agg(*extra, *aggs).collect()
+        return {r["_cid"]: r for r in rows}
+
+    def fun(self, reqs: list[tuple[int, float, np.ndarray]]) -> dict:
+        """reqs: (cid, C, w) -> {cid: (f, grad)}"""
+        frame = self._expand([(cid, [w]) for cid, _, w in reqs], "_w")
+        frame = frame.withColumn("z", self._dot("_x", F.col("_w")))
+        st = self._sweeps(frame, "z")
+        ataxw = (F.col("lp") + F.col("lm")) * F.col("z") - F.col("gp") - F.col("gm")
+        ate = F.col("lm") - F.col("lp")
+        loss = F.sum(F.col("z") * (ataxw - 2 * ate) + F.col("lm")).alias("_loss")
+        res = self._xt(st, ataxw - ate, [loss])
+        out = {}
+        for cid, C, w in reqs:
+            r = res.get(cid)
+            w = np.asarray(w, dtype=float)
+            xt = np.array([(r[f"_s{k}"] if r else 0.0) or 0.0 for k in range(len(self.features))])
+            lo = ((r["_loss"] if r else 0.0) or 0.0)
+            out[cid] = (float(w @ w / 2.0 + C * lo), w + 2.0 * C * xt)
+        return out
+
+    def hv(self, reqs: list[tuple[int, float, np.ndarray, np.ndarray]]) -> dict:
+        """reqs: (cid, C, w_at, s) -> {cid: H s} with the violating sets of w_at."""
+        frame = self._expand([(cid, [w, s]) for cid, _, w, s in reqs], "_w", "_s")
+        frame = frame.withColumn("z", self._dot("_x", F.col("_w"))).withColumn("_wa", self._dot("_x", F.col("_s")))
+        st = self._sweeps(frame, "_wa")
+        u = F.col("_wa") * (F.col("lp") + F.col("lm")) - F.col("gp") - F.col("gm")
+        res = self._xt(st, u, [])
+        out = {}
+        for cid, C, w, s in reqs:
+            r = res.get(cid)
+            xt = np.array([(r[f"_s{k}"] if r else 0.0) or 0.0 for k in range(len(self.features))])
+            out[cid] = np.asarray(s, dtype=float) + 2.0 * C * xt
+        return out
+
+
+def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[float, str | None]],
+                   qid: str = "qid", rid: str = "row_id", label: str = "label", eps: float = 1e-3,
+                   max_iter: int = 1000) -> list[dict]:
+    """Fit one ranking SVM per candidate (C, dropped feature or None); all
+    candidates share every Spark pass. Returns one {feature: w} per
+    candidate (a dropped feature is left out)."""
+    batch = RankSVMBatch(df, features, qid, rid, label)
+    p = len(features)
+    gens, pending, result = {}, {}, {}
+    for cid, (C, drop) in enumerate(candidates):
+        mask = np.array([0.0 if f == drop else 1.0 for f in features])
+        gens[cid] = (_tron(p, eps, max_iter, mask), float(C))
+        pending[cid] = next(gens[cid][0])
+    while pending:
+        funs = [(cid, gens[cid][1], req[1]) for cid, req in pending.items() if req[0] == "fun"]
+        hvs = [(cid, gens[cid][1], req[1], req[2]) for cid, req in pending.items() if req[0] == "hv"]
+        answers = {}
+        if funs:
+            answers.update(batch.fun(funs))
+        if hvs:
+            answers.update(batch.hv(hvs))
+        for cid, ans in answers.items():
+            try:
+                pending[cid] = gens[cid][0].send(ans)
+            except StopIteration as stop:
+                result[cid] = stop.value
+                del pending[cid]
+    out = []
+    for cid, (C, drop) in enumerate(candidates):
+        out.append({f: float(v) for f, v in zip(features, result[cid]) if f != drop})
+    return out
+
+
 def rank_svm_fit(df: DataFrame, features: list[str], C: float = 1.0, qid: str = "qid", rid: str = "row_id",
                  label: str = "label", eps: float = 1e-3, max_iter: int = 1000, drop: str | None = None) -> dict:
     """Fit the ranking SVM; returns {feature: weight}. ``drop`` leaves
-    one feature out (B8's -r option as a column mask)."""
-    feats = [c for c in features if c != drop]
-    obj = RankSVMObjective(df, feats, C, qid, rid, label)
-    try:
-        w = trust_region_newton(obj, len(feats), eps, max_iter)
-    finally:
-        obj.close()
-    return dict(zip(feats, (float(x) for x in w)))
+    one feature out (the -r option, as a mask)."""
+    return fit_candidates(df, features, [(C, drop)], qid, rid, label, eps, max_iter)[0]
+
+
+def trust_region_newton(obj, n: int, eps: float = 1e-3, max_iter: int = 1000) -> np.ndarray:
+    """Run the trust-region method on an object with fun(w) -> f,
+    grad(w) -> g and hv(s) -> H s (Hessian at the last fun point)."""
+    gen = _tron(n, eps, max_iter, np.ones(n))
+    req = next(gen)
+    while True:
+        if req[0] == "fun":
+            f = obj.fun(req[1])
+            ans = (f, obj.grad(req[1]))
+        else:
+            ans = obj.hv(req[2])
+        try:
+            req = gen.send(ans)
+        except StopIteration as stop:
+            return stop.value
 
 
 def rank_svm_score(df: DataFrame, weights: dict, out: str = "score") -> DataFrame:
@@ -204,17 +259,31 @@ def weights_table(spark, weights: dict, model: str = "ranksvm") -> DataFrame:
 
 def grid_search_c(train: DataFrame, valid: DataFrame, features: list[str], cs, label: str = "label",
                   id_col: str = "row_id", qid: str = "qid") -> DataFrame:
-    """Fit for each C, AUC of the validation scores; returns (C, auc)."""
+    """One fit per C (all fits share each Spark pass), AUC of the
+    validation decision values; returns (C, auc)."""
     from mooclens.operators.metrics import auc
 
     spark = train.sparkSession
-    results = []
-    for c in cs:
-        w = rank_svm_fit(train, features, c, qid, id_col, label)
-        scored = rank_svm_score(valid, w).withColumn("_g", F.lit(0))
-        a = auc(scored, ["_g"], "score", label).select("auc").first()[0]
-        results.append((float(c), float(a) if a is not None else None))
-    return spark.createDataFrame(results, "C double, auc double")
+    fits = fit_candidates(train, features, [(float(c), None) for c in cs], qid, id_col, label)
+    scored = None
+    for c, w in zip(cs, fits):
+        part = rank_svm_score(valid, w).select(F.lit(float(c)).alias("C"), "score", label)
+        scored = part if scored is None else scored.unionByName(part)
+    return auc(scored, ["C"], "score", label).select("C", "auc")
+
+
+def removal_round(train: DataFrame, valid: DataFrame, features: list[str], C: float, label: str = "label",
+                  id_col: str = "row_id", qid: str = "qid") -> DataFrame:
+    """M9 with the ranking SVM, one round: for every feature, fit without
+    it (all candidates in the same passes) and report validation AUC."""
+    from mooclens.operators.metrics import auc
+
+    fits = fit_candidates(train, features, [(C, f) for f in features], qid, id_col, label)
+    scored = None
+    for f, w in zip(features, fits):
+        part = rank_svm_score(valid, w).select(F.lit(f).alias("dropped"), "score", label)
+        scored = part if scored is None else scored.unionByName(part)
+    return auc(scored, ["dropped"], "score", label).select("dropped", "auc")
 
 
 def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", seed: int = 0) -> DataFrame:
