@@ -115,6 +115,19 @@ def final_features(log: DataFrame, enrollment: DataFrame, t: FeatureTables) -> D
     return j.select("enrollment_id", *[v[c].alias(c) for c in FINAL_FEATURES])
 
 
-def generate_features(log: DataFrame, enrollment: DataFrame, interval_minutes: float = 30) -> DataFrame:
-    """Single-split convenience: tables and final features on one log."""
+LOG_FIELDS = ["enrollment_id", "username", "course_id", "time", "date", "source", "event", "object", "category"]
+
+
+def generate_features(log: DataFrame, enrollment: DataFrame, interval_minutes: float = 30,
+                      materialize_log: bool = True) -> DataFrame:
+    """Single-split convenience: tables and final features on one log.
+
+    The joined log feeds six aggregations; with ``materialize_log`` it is
+    written once as parquet in the shared checkpoint folder and read back,
+    so its dedupe and joins run once instead of once per consumer.
+    """
+    if materialize_log:
+        from mooclens.session import materialize
+
+        log = materialize(log.select(*LOG_FIELDS), "log")
     return final_features(log, enrollment, feature_tables(log, enrollment, interval_minutes))

@@ -35,6 +35,7 @@ def builder(master: str | None = None, shuffle_partitions: int | None = None):
         b = b.master(master)
     conf = {
         "spark.ui.enabled": "false",
+        "spark.driver.memory": os.environ.get("MOOCLENS_DRIVER_MEMORY", "16g"),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -80,3 +81,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="mooclens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet in the shared checkpoint folder and read it
+    back: cuts the lineage (recomputation after an executor loss starts
+    from the files) and lets later readers prune columns."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = os.path.join(base, "mooclens-tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
