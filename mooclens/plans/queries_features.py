@@ -438,3 +438,12 @@ def k5_normalize_by_course(spark, sf):
     from mooclens.operators.scale import normalize_by_group
     act = activity.total_activity(fx_log(spark, sf)).select("enrollment_id", *K5_COLS)
     return normalize_by_group(act, fx.enrollment(spark, sf), K5_COLS)
+
+
+@query("d16_course_one_hot", with_ctes(
+    "SELECT enrollment_id, " + ", ".join(f"CAST(course_id = 'c{i}' AS INTEGER) AS course_c{i}" for i in range(5))
+    + " FROM enrollment"))
+def d16_course_one_hot(spark, sf):
+    """One indicator column per course (sorted course list)."""
+    from mooclens.operators.legacy import course_one_hot
+    return course_one_hot(fx.enrollment(spark, sf))

@@ -262,3 +262,10 @@ def n7_pairwise_logistic(spark, sf):
     p = pairs.hard_negative_pairs(e, "id", "x", "label", n_candidates=20, repeats=2, seed=3)
     w = pairs.pairwise_logistic(p, reg=0.01)
     return spark.createDataFrame([(i, v) for i, v in enumerate(w)], "idx int, w double")
+
+
+@query("m9_rank_svm_removal_round")
+def m9_rank_svm_removal_round(spark, sf):
+    """M9 with the ranking SVM: for each of the 64 models, refit without it
+    (all 64 fits share every Spark pass) and report validation AUC."""
+    return ranksvm.removal_round(blend_matrix(spark, sf), blend_matrix(spark, sf, ("val",)), MODELS, C=1.0)

@@ -254,3 +254,64 @@ def k13_holdout_split(spark, sf):
 def k14_random_half_models(spark, sf):
     models = fx.scores(spark, sf).select("model").distinct()
     return scale.random_half(models, "model", seed=1)
+
+
+# ---------------------------------------------------------------- B6, B7, G5, H13, H14, M12
+
+@query("b6_semi_join_labels", with_ctes(
+    "SELECT t.enrollment_id, t.label FROM truth t WHERE t.enrollment_id IN "
+    "(SELECT enrollment_id FROM log WHERE event = 'video')"))
+def b6_semi_join_labels(spark, sf):
+    """Labels of the enrollments that watched a video (left semi join)."""
+    from mooclens.plans.queries_features import fx_log
+    ids = fx_log(spark, sf).where(F.col("event") == "video").select("enrollment_id")
+    return fx.truth(spark, sf).join(ids, "enrollment_id", "left_semi")
+
+
+@query("b7_anti_join_no_log", with_ctes(
+    "SELECT e.enrollment_id FROM enrollment e WHERE e.enrollment_id NOT IN "
+    "(SELECT enrollment_id FROM log WHERE date >= DATE '2024-01-03')"))
+def b7_anti_join_no_log(spark, sf):
+    """Enrollments without log rows from 2024-01-03 on (left anti join)."""
+    from mooclens.plans.queries_features import fx_log
+    recent = fx_log(spark, sf).where(F.col("date") >= F.lit("2024-01-03").cast("date")).select("enrollment_id")
+    return fx.enrollment(spark, sf).select("enrollment_id").join(recent, "enrollment_id", "left_anti")
+
+
+@query("g5_key_difference", with_ctes(
+    "SELECT enrollment_id FROM (SELECT enrollment_id FROM truth EXCEPT ALL "
+    "SELECT DISTINCT enrollment_id FROM log WHERE source = 'server') t"))
+def g5_key_difference(spark, sf):
+    """Ids with a label but no server event (multiset difference)."""
+    from mooclens.plans.queries_features import fx_log
+    srv = fx_log(spark, sf).where(F.col("source") == "server").select("enrollment_id").distinct()
+    return fx.truth(spark, sf).select("enrollment_id").exceptAll(srv)
+
+
+@query("h13_squared_features", with_ctes(rounded(
+    "SELECT enrollment_id, model, split, score, score * score AS score_sq FROM cal",
+    ["enrollment_id", "model", "split"], ["score", "score_sq"]), MINMAX_CTE))
+def h13_squared_features(spark, sf):
+    """Features with their squares appended."""
+    c = cal_scores(spark, sf)
+    return c.select("enrollment_id", "model", "split", "score", (F.col("score") * F.col("score")).alias("score_sq"))
+
+
+@query("h14_log_minmax", with_ctes(rounded("""
+SELECT enrollment_id, model, split,
+       CASE WHEN max(t) OVER w = min(t) OVER w THEN 0 ELSE (t - min(t) OVER w) / (max(t) OVER w - min(t) OVER w) END
+       AS score
+FROM (SELECT enrollment_id, model, split, ln(score + 1) AS t FROM cal) c WINDOW w AS (PARTITION BY model, split)""",
+    ["enrollment_id", "model", "split"], ["score"]), MINMAX_CTE))
+def h14_log_minmax(spark, sf):
+    """log(minmax + 1), min-maxed again per (model, split)."""
+    c = cal_scores(spark, sf).withColumn("score", F.log1p("score"))
+    return scale.minmax_calibrate(c, KEYS).select("enrollment_id", "model", "split", "score")
+
+
+@query("m12_experiment_sweep", with_ctes(rounded(
+    "SELECT model, auc FROM (" + auc_sql("removal", ["model"]) + ") a", ["model"], ["auc"]), REMOVAL_CTE))
+def m12_experiment_sweep(spark, sf):
+    """The leave-one-model-out sweep as one candidate batch, ordered
+    best first (F3)."""
+    return blend.rank_experiments(blend.removal_candidates(cal_scores(spark, sf)))
