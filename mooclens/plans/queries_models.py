@@ -15,8 +15,9 @@ from mooclens.sources import fixtures as fx
 from mooclens.sources import io
 from mooclens.session import materialize
 
-SPLIT = F.when(F.col("enrollment_id") % 4 == 0, "train").when(F.col("enrollment_id") % 4 == 1, "blend") \
-    .when(F.col("enrollment_id") % 4 == 2, "val").otherwise("test")
+def _split():
+    i = F.col("enrollment_id") % 4
+    return F.when(i == 0, "train").when(i == 1, "blend").when(i == 2, "val").otherwise("test")
 
 
 _STORED: dict = {}
@@ -35,7 +36,7 @@ def feature_table(spark, sf):
     """56 enrollment features + label + split (by enrollment id)."""
     def build():
         x = feat.generate_features(fx_log(spark, sf), fx.enrollment(spark, sf))
-        x = x.join(fx.truth(spark, sf), "enrollment_id").withColumn("split", SPLIT)
+        x = x.join(fx.truth(spark, sf), "enrollment_id").withColumn("split", _split())
         # every fit re-reads it: store once, read back with a short plan
         return materialize(x, "features")
     return _stored(spark, ("features", sf), build)
