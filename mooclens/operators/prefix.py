@@ -71,6 +71,7 @@ def prefix_sums(
     inclusive: bool = True,
     ties: str = "rows",
     small: bool = False,
+    prebucketed: bool | None = None,
 ) -> DataFrame:
     """Add running sums of the ``sums`` expressions inside each group.
 
@@ -93,7 +94,10 @@ def prefix_sums(
         end = Window.currentRow if inclusive else -1
         return spec.orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
 
-    bucketed, split = with_buckets(base, keys, order_cols[0], small)
+    if prebucketed is None:
+        bucketed, split = with_buckets(base, keys, order_cols[0], small)
+    else:  # ``df`` already carries _bkt from an earlier with_buckets call
+        bucketed, split = base, prebucketed
     if not split:
         w = frame(Window.partitionBy(*keys))
         out = base.select("*", *[F.coalesce(F.sum(tmp[n]).over(w), F.lit(0)).alias(n) for n in sums])
@@ -120,13 +124,16 @@ def row_numbers(df: DataFrame, keys: list[str], order_cols: list[str], name: str
 
 
 def previous_value(df: DataFrame, keys: list[str], order_col: str, value_col: str, name: str,
-                   small: bool = False) -> DataFrame:
+                   small: bool = False, prebucketed: bool | None = None) -> DataFrame:
     """Value of ``value_col`` at the previous row in ``order_col`` order.
 
     Among rows with equal order keys the previous row is any one of them,
     so use it where ties carry equal values (e.g. the order key itself).
     """
-    bucketed, split = with_buckets(df, keys, order_col, small)
+    if prebucketed is None:
+        bucketed, split = with_buckets(df, keys, order_col, small)
+    else:
+        bucketed, split = df, prebucketed
     if not split:
         w = Window.partitionBy(*keys).orderBy(order_col)
         return df.withColumn(name, F.lag(value_col).over(w))

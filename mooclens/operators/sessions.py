@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.functions.scalar import count_when, epoch_micros
-from mooclens.operators.prefix import prefix_sums, previous_value
+from mooclens.operators.prefix import BUCKET, prefix_sums, previous_value, with_buckets
 
 SMALL_SECONDS = 10 * 60
 LARGE_SECONDS = 30 * 60
@@ -27,12 +27,14 @@ def gap_sessions(log: DataFrame, key: str = "enrollment_id", interval_minutes: f
     """
     limit = float(interval_minutes) * 60.0
     ev = log.select(key, epoch_micros("time").alias("_t"))
-    ev = previous_value(ev, [key], "_t", "_t", "_prev")
+    # one size check / key-range split serves both ordered passes
+    ev, split = with_buckets(ev, [key], "_t")
+    ev = previous_value(ev, [key], "_t", "_t", "_prev", prebucketed=split)
     gaps = ev.where(F.col("_prev").isNotNull()).select(
-        key, "_t", ((F.col("_t") - F.col("_prev")) / F.lit(1_000_000.0)).alias("_gap")
+        key, "_t", BUCKET, ((F.col("_t") - F.col("_prev")) / F.lit(1_000_000.0)).alias("_gap")
     )
     grouped = prefix_sums(
-        gaps, [key], ["_t"], {"grp": (F.col("_gap") > limit).cast("long")}, ties="range"
+        gaps, [key], ["_t"], {"grp": (F.col("_gap") > limit).cast("long")}, ties="range", prebucketed=split
     )
     return grouped.groupBy(key, "grp").agg(
         F.sum(F.when(F.col("_gap") < limit, F.col("_gap")).otherwise(F.lit(0.0))).alias("time")
@@ -50,9 +52,10 @@ def event_sessions(log: DataFrame, key: str = "enrollment_id", gap_minutes: floa
     """
     gap_us = int(float(gap_minutes) * 60 * 1_000_000)
     ev = log.select(key, epoch_micros("time").alias("_t"))
-    ev = previous_value(ev, [key], "_t", "_t", "_prev")
+    ev, split = with_buckets(ev, [key], "_t")
+    ev = previous_value(ev, [key], "_t", "_t", "_prev", prebucketed=split)
     starts = (F.col("_prev").isNull() | ((F.col("_t") - F.col("_prev")) > gap_us)).cast("long")
-    ev = prefix_sums(ev, [key], ["_t"], {"session": starts}, ties="range")
+    ev = prefix_sums(ev, [key], ["_t"], {"session": starts}, ties="range", prebucketed=split)
     return ev.groupBy(key, "session").agg(
         F.timestamp_micros(F.min("_t")).alias("start"),
         F.timestamp_micros(F.max("_t") + gap_us).alias("end"),

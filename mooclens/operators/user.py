@@ -30,7 +30,8 @@ def user_info(log: DataFrame, user_sessions: DataFrame) -> DataFrame:
         F.min("date").alias("_first"),
         F.max("date").alias("_last"),
     )
-    min_day = base.select(F.min("_first")).scalar()
+    # the first day of any user is the first log date: a one-column scan
+    min_day = log.select(F.min("date")).scalar()
     sess = session_stats(user_sessions.where(F.col("username").isNotNull()), "username", "u", "u_n_sessions")
     out = base.join(sess, "username", "left")
     first = F.datediff("_first", min_day)

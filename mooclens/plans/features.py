@@ -61,8 +61,15 @@ class FeatureTables:
     leak: DataFrame
 
 
-def feature_tables(all_log: DataFrame, all_enrollment: DataFrame, interval_minutes: float = 30) -> FeatureTables:
+def feature_tables(all_log: DataFrame, all_enrollment: DataFrame, interval_minutes: float = 30,
+                   store_course: bool = False) -> FeatureTables:
     course = course_info(all_log)
+    if store_course:
+        # one row per course, read by three consumers and by their broadcast
+        # size checks: compute it once
+        from mooclens.session import materialize
+
+        course = materialize(course, "course")
     sessions = gap_sessions(all_log, "enrollment_id", interval_minutes)
     session_info = session_features(sessions)
     user = user_info(all_log, sessions_with_user(sessions, all_enrollment))
@@ -130,4 +137,5 @@ def generate_features(log: DataFrame, enrollment: DataFrame, interval_minutes: f
         from mooclens.session import materialize
 
         log = materialize(log.select(*LOG_FIELDS), "log")
-    return final_features(log, enrollment, feature_tables(log, enrollment, interval_minutes))
+    tables = feature_tables(log, enrollment, interval_minutes, store_course=materialize_log)
+    return final_features(log, enrollment, tables)
