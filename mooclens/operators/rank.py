@@ -17,12 +17,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.prefix import prefix_sums, row_numbers
+from mooclens.session import HOT_ROWS_KEY, conf_int
 
 
-def label_levels(df: DataFrame, qid: str = "qid", label: str = "label", out: str = "level") -> DataFrame:
+def queries_are_small(df: DataFrame, qid: str = "qid") -> bool:
+    """One size check for every sweep of a query-keyed operator: a sweep
+    group holds at most two events per row of its query, so if twice the
+    largest query fits under the hot-group threshold no group is hot."""
+    biggest = df.groupBy(qid).count().agg(F.max("count")).first()[0] or 0
+    return 2 * biggest <= conf_int(df.sparkSession, HOT_ROWS_KEY)
+
+
+def label_levels(df: DataFrame, qid: str = "qid", label: str = "label", out: str = "level",
+                 small: bool = False) -> DataFrame:
     """Dense label levels 1..k inside each query (ascending label)."""
     distinct = df.select(qid, label).distinct()
-    levels = row_numbers(distinct, [qid], [label], out)
+    levels = row_numbers(distinct, [qid], [label], out, small=small)
     return df.join(levels.select(qid, label, F.col(out).cast("int").alias(out)), [qid, label], "inner")
 
 
@@ -76,9 +86,10 @@ def margin_violations(df: DataFrame, z: str, qid: str = "qid", rid: str = "row_i
     over lower levels with z_j > z_i - margin (both strict). gamma sums
     ``value`` (default z itself). Input needs qid, rid, level and z."""
     value = value or z
-    plus = _dominance(df, qid, rid, z, value, margin, "plus").select(
+    small = queries_are_small(df, qid)
+    plus = _dominance(df, qid, rid, z, value, margin, "plus", small).select(
         qid, rid, F.col("_cnt").alias("l_plus"), F.col("_sum").alias("gamma_plus"))
-    minus = _dominance(df, qid, rid, z, value, margin, "minus").select(
+    minus = _dominance(df, qid, rid, z, value, margin, "minus", small).select(
         qid, rid, F.col("_cnt").alias("l_minus"), F.col("_sum").alias("gamma_minus"))
     return df.join(plus, [qid, rid], "inner").join(minus, [qid, rid], "inner")
 
@@ -88,8 +99,9 @@ def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str
     """Per query, pairs with different labels and discordant pairs
     (the higher label has a strictly lower score; score ties are
     concordant). Returns (qid, n_pairs, n_discordant)."""
-    lv = label_levels(df, qid, label)
-    disc = _dominance(lv, qid, rid, score, None, 0.0, "plus")
+    small = queries_are_small(df, qid)
+    lv = label_levels(df, qid, label, small=small)
+    disc = _dominance(lv, qid, rid, score, None, 0.0, "plus", small)
     nd = disc.groupBy(qid).agg(F.sum("_cnt").alias("n_discordant"))
     per_label = lv.groupBy(qid, "level").agg(F.count(F.lit(1)).alias("_c"))
     tot = per_label.groupBy(qid).agg(
@@ -117,11 +129,11 @@ def _discount(pos):
     return F.when(pos <= 2, F.lit(1.0)).otherwise(F.lit(math.log(2.0)) / F.log(pos.cast("double")))
 
 
-def _cumulative_gain(df: DataFrame, qid: str, rid: str, order_key, label: str) -> DataFrame:
+def _cumulative_gain(df: DataFrame, qid: str, rid: str, order_key, label: str, small: bool) -> DataFrame:
     keyed = df.select(qid, rid, label, order_key.alias("_o"))
-    pos = row_numbers(keyed, [qid], ["_o", rid], "_pos")
+    pos = row_numbers(keyed, [qid], ["_o", rid], "_pos", small=small)
     gain = (F.pow(F.lit(2.0), F.col(label).cast("double")) - 1) * _discount(F.col("_pos"))
-    cum = prefix_sums(pos, [qid], ["_pos"], {"_dcg": gain}, inclusive=True)
+    cum = prefix_sums(pos, [qid], ["_pos"], {"_dcg": gain}, inclusive=True, small=small)
     return cum.select(qid, "_pos", "_dcg")
 
 
@@ -130,8 +142,10 @@ def ndcg_per_query(df: DataFrame, score: str = "score", qid: str = "qid", rid: s
     """L4 per query: mean over all cut-offs k of DCG@k / IDCG@k, gain
     2^label - 1; 0 when the best label has gain 0. Score ties are broken
     by row id (ascending)."""
-    actual = _cumulative_gain(df, qid, rid, -F.col(score).cast("double"), label)
-    ideal = _cumulative_gain(df, qid, rid, -F.col(label).cast("double"), label).withColumnRenamed("_dcg", "_idcg")
+    small = queries_are_small(df, qid)
+    actual = _cumulative_gain(df, qid, rid, -F.col(score).cast("double"), label, small)
+    ideal = _cumulative_gain(df, qid, rid, -F.col(label).cast("double"), label, small) \
+        .withColumnRenamed("_dcg", "_idcg")
     j = actual.join(ideal, [qid, "_pos"], "inner")
     per = j.groupBy(qid).agg(
         F.avg(F.try_divide(F.col("_dcg"), F.col("_idcg"))).alias("_r"),
