@@ -53,7 +53,7 @@ def days_since(d, ref) -> Column:
 
 def index_in(values: list[str], c, strict: bool = True) -> Column:
     """0-based position of c in a fixed list; raises (strict) or NULL when absent."""
-    pos = F.array_position(F.array(*[F.lit(v) for v in values]), col_of(c)) - 1
+    pos = (F.array_position(F.array(*[F.lit(v) for v in values]), col_of(c)) - 1).cast("int")
     if strict:
         return F.when(pos >= 0, pos).otherwise(
             F.raise_error(F.concat(F.lit("unknown value: "), col_of(c).cast("string")))

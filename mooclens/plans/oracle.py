@@ -92,8 +92,8 @@ SHARED_CTES = {
   FROM (SELECT enrollment_id, epoch_us(time) AS t FROM log) e""",
     "gap_groups": """
   SELECT enrollment_id, t, gap,
-         sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY enrollment_id ORDER BY t
-             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+         CAST(sum(CASE WHEN gap > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY enrollment_id ORDER BY t
+             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS grp
   FROM gaps WHERE gap IS NOT NULL""",
     "sessions": """
   SELECT enrollment_id, grp, sum(CASE WHEN gap < 1800 THEN gap ELSE 0 END) AS time

@@ -63,8 +63,8 @@ def e1_gap_sessions(spark, sf):
 
 @query("e1_gap_sessions_12h", with_ctes(rounded("""
 SELECT enrollment_id, grp, sum(CASE WHEN gap < 43200 THEN gap ELSE 0 END) AS time FROM (
-  SELECT enrollment_id, t, gap, sum(CASE WHEN gap > 43200 THEN 1 ELSE 0 END) OVER (
-         PARTITION BY enrollment_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp
+  SELECT enrollment_id, t, gap, CAST(sum(CASE WHEN gap > 43200 THEN 1 ELSE 0 END) OVER (
+         PARTITION BY enrollment_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS grp
   FROM gaps WHERE gap IS NOT NULL) g GROUP BY enrollment_id, grp""", ["enrollment_id", "grp"], ["time"])))
 def e1_gap_sessions_12h(spark, sf):
     """E1 with a 12-hour interval (both break and non-break gaps occur)."""
@@ -74,8 +74,8 @@ def e1_gap_sessions_12h(spark, sf):
 @query("e2_event_sessions", with_ctes("""
 SELECT enrollment_id, session, CAST(epoch_us(min(time)) AS BIGINT) AS start_us,
        CAST(epoch_us(max(time)) + 1800000000 AS BIGINT) AS end_us, count(*) AS n_events FROM (
-  SELECT enrollment_id, time, sum(s) OVER (PARTITION BY enrollment_id ORDER BY t
-         RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (
+  SELECT enrollment_id, time, CAST(sum(s) OVER (PARTITION BY enrollment_id ORDER BY t
+         RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM (
     SELECT enrollment_id, time, epoch_us(time) AS t,
            CASE WHEN lag(epoch_us(time)) OVER w IS NULL OR epoch_us(time) - lag(epoch_us(time)) OVER w > 1800000000
                 THEN 1 ELSE 0 END AS s
@@ -121,7 +121,7 @@ def d5_course_info(spark, sf):
 
 
 @query("d6_video_detail", with_ctes("""
-SELECT course_id, object, sum(n_users) AS n_view, CAST(min(date) AS VARCHAR) AS appear_date FROM (
+SELECT course_id, object, CAST(sum(n_users) AS BIGINT) AS n_view, CAST(min(date) AS VARCHAR) AS appear_date FROM (
   SELECT course_id, object, date, count(*) AS n_users FROM (
     SELECT DISTINCT course_id, username, date, object FROM log WHERE event = 'video') v
   GROUP BY 1, 2, 3) d GROUP BY course_id, object"""))
@@ -247,7 +247,7 @@ def _daily_long_sql() -> str:
         f"         count(*) FILTER (WHERE source = '{s}' AND event = '{e}') AS {n}" for n, s, e in m.DAILY_COUNTS
     )
     return f"""
-  SELECT enrollment_id, day, count(*) AS records,
+  SELECT enrollment_id, CAST(day AS INTEGER) AS day, count(*) AS records,
 {counts},
          count(DISTINCT CASE WHEN event = 'video' THEN object END) AS video_object,
          count(DISTINCT CASE WHEN event = 'problem' THEN object END) AS pro_object,
@@ -271,7 +271,7 @@ def _daily_wide_sql() -> str:
     cols = []
     for d in range(activity.N_DAYS):
         for m in activity.DAILY_MEASURES:
-            cols.append(f"coalesce(sum({m}) FILTER (WHERE day = {d}), 0) AS {activity.daily_column(d, m)}")
+            cols.append(f"CAST(coalesce(sum({m}) FILTER (WHERE day = {d}), 0) AS BIGINT) AS {activity.daily_column(d, m)}")
     return with_ctes(
         "SELECT i.enrollment_id, " + ", ".join(cols)
         + " FROM (SELECT DISTINCT enrollment_id FROM log) i LEFT JOIN daily_long d"
@@ -319,7 +319,7 @@ def d14_daily_area(spark, sf):
 
 def _smooth_sql() -> str:
     cols = ", ".join(f"sum({m}) / 3.0 AS {m}" for m in activity.DAILY_MEASURES)
-    body = (f"SELECT d.enrollment_id, c.c AS day, {cols} FROM daily_long d "
+    body = (f"SELECT d.enrollment_id, CAST(c.c AS INTEGER) AS day, {cols} FROM daily_long d "
             "JOIN (SELECT unnest(range(0, 28)) AS c) c ON d.day BETWEEN c.c AND c.c + 2 "
             "GROUP BY d.enrollment_id, c.c")
     return with_ctes(rounded(body, ["enrollment_id", "day"], activity.DAILY_MEASURES), DAILY_CTE)

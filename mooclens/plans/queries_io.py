@@ -31,7 +31,7 @@ def _write_click_files(spark, sf):
 
 
 @query("a1_csv_round_trip", with_ctes("""
-SELECT l.enrollment_id, CAST(e.username AS VARCHAR) AS username, e.course_id, epoch_us(l.time) AS time_us, l.source, l.event, l.object, o.category
+SELECT CAST(l.enrollment_id AS INTEGER) AS enrollment_id, CAST(e.username AS VARCHAR) AS username, e.course_id, epoch_us(l.time) AS time_us, l.source, l.event, l.object, o.category
 FROM (SELECT DISTINCT enrollment_id, date_trunc('second', time) AS time, source, event, object FROM raw_log) l
 LEFT JOIN enrollment e ON l.enrollment_id = e.enrollment_id
 LEFT JOIN objects o ON l.object = o.module_id"""))
@@ -52,7 +52,7 @@ def a2_object_file(spark, sf):
     return io.read_object_csv(spark, f"{base}/object").select("module_id", "course_id", "category", "children")
 
 
-@query("a5_truth_file", with_ctes("SELECT enrollment_id, label FROM truth"))
+@query("a5_truth_file", with_ctes("SELECT CAST(enrollment_id AS INTEGER) AS enrollment_id, label FROM truth"))
 def a5_truth_file(spark, sf):
     path = scratch_dir(spark, "truth")
     fx.truth(spark, sf).write.mode("overwrite").csv(path, header=False)

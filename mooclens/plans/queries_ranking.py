@@ -69,7 +69,7 @@ def n4_pair_counts(spark, sf):
 
 L3_SQL = """
 SELECT 1.0 - sum(nd) / sum(np) AS pairwise_accuracy, avg(1.0 - nd / np) AS mean_query_accuracy,
-       sum(np) AS n_pairs, sum(nd) AS n_discordant FROM (
+       CAST(sum(np) AS BIGINT) AS n_pairs, CAST(sum(nd) AS BIGINT) AS n_discordant FROM (
   SELECT a.qid, count(*) FILTER (WHERE b.label > a.label) AS np,
          count(*) FILTER (WHERE b.label > a.label AND b.score < a.score) AS nd
   FROM ranking a JOIN ranking b ON a.qid = b.qid GROUP BY a.qid) t WHERE np > 0"""

@@ -26,9 +26,17 @@ def test_query_matches_oracle(spark, con, name):
     assert ok, msg
 
 
+# Rows-only queries that fit models take minutes; run them all with
+# MOOCLENS_ALL_QUERIES=1 (the driver runs every query anyway).
+QUICK = {"l7_stratified_folds_hashed", "k13_holdout_split", "k14_random_half_models", "m10_forward_selection",
+         "m2_random_forest", "m3_gradient_boosting", "k8_poly2_minmax", "a13_model_round_trip",
+         "n6_hard_negative_pairs", "n7_pairwise_logistic", "k11_sigmoid_calibration"}
+
+
 def test_every_query_runs(spark):
+    run_all = os.environ.get("MOOCLENS_ALL_QUERIES") == "1"
     for name, fn in entry.queries().items():
-        if name not in ORACLES:
+        if name not in ORACLES and (run_all or name in QUICK):
             assert fn(spark, SF).count() >= 0, name
 
 
