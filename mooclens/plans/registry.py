@@ -24,6 +24,8 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # log times are naive wall-clock times: evaluate them in UTC
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return round_doubles(fn(spark, sf_dir))
 
         run.__name__ = fn.__name__
