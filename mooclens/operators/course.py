@@ -39,20 +39,26 @@ def course_info(log: DataFrame) -> DataFrame:
     without chapters) and v_release_fre = number of distinct dates on
     which some video was first viewed. Missing kinds count 0.
     """
-    ev, src, cat = F.col("event"), F.col("source"), F.col("category")
+    from mooclens.operators.activity import _object_flags
+
+    ev, src = F.col("event"), F.col("source")
     counts = [count_when((src == s) & (ev == e)).alias(n) for n, s, e in COURSE_EVENT_COUNTS]
-    base = log.groupBy("course_id").agg(
-        F.min("date").alias("start_date"),
-        F.max("date").alias("end_date"),
-        F.count_distinct("username").alias("n_enroll"),
-        *counts,
-        _distinct_when(ev == "video").alias("n_video"),
-        _distinct_when(ev == "problem").alias("n_problem"),
-        _distinct_when(cat == "chapter").alias("n_chapter"),
-        _distinct_when(cat == "sequential").alias("n_sequential"),
+    # distinct counts from narrow pre-aggregations (no row expansion)
+    rows = log.groupBy("course_id").agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), *counts)
+    users = log.where(F.col("username").isNotNull()).groupBy("course_id", "username").agg(F.count(F.lit(1)).alias("_c")) \
+        .groupBy("course_id").agg(F.count(F.lit(1)).alias("n_enroll"))
+    objs = _object_flags(log, ["course_id"]).groupBy("course_id").agg(
+        count_when(F.col("_v") == 1).alias("n_video"),
+        count_when(F.col("_p") == 1).alias("n_problem"),
+        count_when(F.col("_ch") == 1).alias("n_chapter"),
+        count_when(F.col("_sq") == 1).alias("n_sequential"),
+    )
+    base = rows.join(users, "course_id", "inner").join(objs, "course_id", "inner").select(
+        "course_id", "start_date", "end_date", "n_enroll", *[n for n, _, _ in COURSE_EVENT_COUNTS],
+        "n_video", "n_problem", "n_chapter", "n_sequential",
     )
     first_view = (
-        log.where(ev == "video").groupBy("course_id", "object").agg(F.min("date").alias("_first"))
+        log.where(F.col("event") == "video").groupBy("course_id", "object").agg(F.min("date").alias("_first"))
     )
     release = first_view.groupBy("course_id").agg(F.count_distinct("_first").alias("v_release_fre"))
     out = base.join(release, "course_id", "left")
