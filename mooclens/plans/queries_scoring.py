@@ -315,3 +315,11 @@ def m12_experiment_sweep(spark, sf):
     """The leave-one-model-out sweep as one candidate batch, ordered
     best first (F3)."""
     return blend.rank_experiments(blend.removal_candidates(cal_scores(spark, sf)))
+
+
+@query("k12_one_hot_label", with_ctes(
+    "SELECT enrollment_id, label, CAST(label = 0 AS INTEGER) AS label_0, CAST(label = 1 AS INTEGER) AS label_1 "
+    "FROM truth"))
+def k12_one_hot_label(spark, sf):
+    """Label as indicator columns."""
+    return scale.one_hot_label(fx.truth(spark, sf), "label", 2)
