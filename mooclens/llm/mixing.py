@@ -34,6 +34,9 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_ROWS = 2000
+#: Documents, the smallest of a source's last block, that the landing decides
+#: together with the two that the flight leaves.
+LANDING = 10
 
 _STATE = "doc_id long, source string, size long, dup long, copies int, p double, block long"
 
@@ -94,21 +97,14 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def landing(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Decide the last (at most two) units: the subset whose words come
-    nearest to their expectation, then the nearest count, then the least."""
+    """Decide the last units: the subset whose words come nearest to their
+    expectation, then the one of nearest count, then the first of them."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    want, count = float((size * p)[open_].sum()), float(p[open_].sum())
-    best = min(
-        range(1 << len(open_)),
-        key=lambda m: (
-            round(abs(sum(float(size[k]) for j, k in enumerate(open_) if m >> j & 1) - want), 6),
-            abs(m.bit_count() - count),
-            m,
-        ),
-    )
+    subsets = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    words = np.abs(subsets @ size[open_] - size[open_] @ p[open_]).round(6)
+    count = np.abs(subsets.sum(axis=1) - p[open_].sum()).round(6)
     out = p.copy()
-    for j, k in enumerate(open_):
-        out[k] = float(best >> j & 1)
+    out[open_] = subsets[np.lexsort((count, words))[0]]
     return out
 
 
@@ -116,11 +112,15 @@ def _level(last: bool, seed: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         # large documents first: those left undecided are small
         block = block.sort_values(["size", "doc_id", "dup"], ascending=[False, True, True], kind="stable")
-        size, p = block["size"].to_numpy(float), block["p"].to_numpy(float)
+        size, p = block["size"].to_numpy(float), block["p"].to_numpy(float).copy()
         rng = np.random.default_rng([seed, len(block), int(size.sum()), int(block["block"].iloc[0])])
-        p = flight(size, p, rng)
         if last:
+            # the smallest documents wait for the landing
+            flown = max(0, len(p) - LANDING)
+            p[:flown] = flight(size[:flown], p[:flown], rng)
             p = landing(size, p)
+        else:
+            p = flight(size, p, rng)
         return block.assign(p=p)
 
     return run

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mooclens.llm import fingerprint, mixing, packing
-from mooclens.llm.common import query, read_table
+from mooclens.llm.common import ORACLE, QUERIES, query, read_table  # noqa: F401
 
 
 @query("op1_mixing")
