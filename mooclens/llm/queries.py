@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mooclens.llm import fingerprint, mixing, packing
+from mooclens.llm import fingerprint, hyperminhash, mixing, packing
 from mooclens.llm.common import ORACLE, QUERIES, query, read_table  # noqa: F401
 
 
@@ -26,3 +26,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
