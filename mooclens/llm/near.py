@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mooclens.llm.bitmap import member_filter
 from mooclens.llm.common import stored
 from mooclens.llm.components import components
 
@@ -52,9 +53,8 @@ def _matrix(blobs, bins: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, bins)
 
 
-def _estimated(pairs: DataFrame, items: DataFrame, bins: int, threshold: float, chance: Callable) -> DataFrame:
+def _estimated(pairs: DataFrame, info: DataFrame, bins: int, threshold: float, chance: Callable) -> DataFrame:
     """Pairs whose set sizes and registers allow the threshold."""
-    info = items.select("node", "n", "regs")
     both = (
         pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
         .join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
@@ -136,10 +136,17 @@ def grouped(
     threshold = percent / 100
     bands = items.select("node", F.explode("keys").alias("key"))
     centres = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    shared = stored(bands.join(centres, "key"), "near-buckets")
+    centres = stored(centres, "near-centres")
+    meets = member_filter(centres, "key")
+    shared = stored(bands.where(meets("key")).join(centres, "key").distinct(), "near-buckets")
+    # an item may be listed more than once, each time alike
+    involved = shared.select("node").distinct()
+    touched = member_filter(involved, "node")
+    info = items.select("node", "n", "regs").where(touched("node")).join(involved, "node", "left_semi")
+    info = stored(info.dropDuplicates(["node"]), "near-items")
     by_lo = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     by_hi = shared.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
-    tried = stored(_estimated(by_lo.unionByName(by_hi).distinct(), items, bins, threshold, chance), "near-tried")
+    tried = stored(_estimated(by_lo.unionByName(by_hi).distinct(), info, bins, threshold, chance), "near-tried")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -160,7 +167,7 @@ def grouped(
         .withColumn("block", own)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label")
-        .join(items.select("node", "n", "regs"), "node")
+        .join(info, "node")
     )
     rest = left.groupBy("key", "i", "j").applyInPandas(_across(bins, threshold, chance), "a long, b long").distinct()
     # pairs with a centre have been tried

@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mooclens.llm import fingerprint, hyperminhash, mixing, packing
+from mooclens.llm import fingerprint, hyperminhash, line_dedup, mixing, packing
 from mooclens.llm.common import ORACLE, QUERIES, query, read_table  # noqa: F401
 
 
@@ -31,3 +31,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "removed_lines")
