@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mooclens.llm import fingerprint, hyperminhash, line_dedup, mixing, packing
-from mooclens.llm.common import ORACLE, QUERIES, query, read_table  # noqa: F401
+from mooclens.llm import fingerprint, hyperminhash, line_dedup, mixing, packing, ppm
+from mooclens.llm.common import ORACLE, QUERIES, fold, query, read_table  # noqa: F401
 
 
 @query("op1_mixing")
@@ -37,3 +38,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", "n_lines", "removed_lines")
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    trees = ppm.learn(ppm.sample(docs, ~held_out))
+    return ppm.identify(docs, trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
