@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooclens.llm import fingerprint, hyperminhash, line_dedup, mixing, packing, ppm
+from mooclens.llm import fingerprint, hyperminhash, line_dedup, mixing, packing, ppm, toxicity
 from mooclens.llm.common import ORACLE, QUERIES, fold, query, read_table  # noqa: F401
 
 
@@ -46,3 +46,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
     trees = ppm.learn(ppm.sample(docs, ~held_out))
     return ppm.identify(docs, trees).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    found = toxicity.scored(docs, toxicity.learn(docs, labels, ~held_out), keep=["doc_id"])
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+    )
