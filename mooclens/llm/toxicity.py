@@ -4,8 +4,9 @@ Learning (from labelled rows that the caller allows):
 
 * At most ``EXAMPLES`` labelled documents of either class, least hashes of
   the id first, whole texts: the documented bound of the classifier.
-* Terms are runs of letters, A-Z lowered. Those that tell the classes apart
-  (chi-square and odds ratio on the examples) make the vocabulary, at most
+* Terms are runs of letters, A-Z lowered, and their first 4 and 5 bytes, so
+  that inflected and compounded forms meet. Those that tell the classes apart
+  (log-likelihood ratio and odds ratio on the examples) make the vocabulary, at most
   ``TERMS``. Their inverse document frequencies count all documents.
 * Example vectors ((1 + ln tf) * idf, length 1) go into an inverted index
   in blocks of ``BLOCK`` examples with the block's greatest weight per term.
@@ -35,36 +36,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooclens.llm.common import stored
-from mooclens.llm.textnum import NOT_LETTERS, as_bytes, chunks, word_hashes
+from mooclens.llm.textnum import NOT_LETTERS, Layout, as_bytes, chunks, mix
 
 EXAMPLES = 4096
 TERMS = 1024
-LEAST_CHI2 = 24.0
+LEAST_G2 = 28.0
 LEAST_ODDS = 4.0
+PREFIXES = (4, 5)
 BLOCK = 64
 K = 15
 
 
+def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Signed hashes of all terms, and bounds by text: the words, and for
+    words longer than that their first ``PREFIXES`` bytes."""
+    lay = Layout(texts, lower=True)
+    prefix = lay.prefix()
+    start, end = lay.words(NOT_LETTERS)
+    owner = [lay.text_of(start)]
+    hashes = [lay.span_hashes(start, end, prefix)]
+    for n in PREFIXES:
+        long = start[end - start > n]
+        owner.append(lay.text_of(long))
+        hashes.append(mix(lay.span_hashes(long, long + n, prefix) + np.uint64(n)))
+    by_text = np.argsort(np.concatenate(owner), kind="stable")
+    bounds = np.searchsorted(np.concatenate(owner)[by_text], np.arange(len(texts) + 1))
+    return np.concatenate(hashes)[by_text].view(np.int64), bounds
+
+
 def _term_counts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct term hashes (signed) of each text, and how often."""
+    """Distinct terms of each text, and how often."""
     for a, b in chunks(texts):
-        hashes, bounds = word_hashes(texts[a:b], lower=True, breaks=NOT_LETTERS)
+        hashes, bounds = _terms(texts[a:b])
         for i in range(b - a):
-            terms, n = np.unique(hashes[bounds[i] : bounds[i + 1]].view(np.int64), return_counts=True)
-            yield terms, n
+            yield np.unique(hashes[bounds[i] : bounds[i + 1]], return_counts=True)
 
 
 def _known(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """(positions in the vocabulary, counts) of each text."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    if not len(vocabulary):
+        return [none] * len(texts)
     out = []
     for a, b in chunks(texts):
-        hashes, bounds = word_hashes(texts[a:b], lower=True, breaks=NOT_LETTERS)
-        signed = hashes.view(np.int64)
-        at = np.minimum(np.searchsorted(vocabulary, signed), len(vocabulary) - 1) if len(vocabulary) else np.zeros(len(signed), np.int64)
-        hit = np.flatnonzero(vocabulary[at] == signed) if len(vocabulary) else np.zeros(0, np.int64)
+        hashes, bounds = _terms(texts[a:b])
+        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+        hit = np.flatnonzero(vocabulary[at] == hashes)
         ends = np.searchsorted(hit, bounds)
         for i in range(b - a):
-            out.append(np.unique(at[hit[ends[i] : ends[i + 1]]], return_counts=True))
+            found = at[hit[ends[i] : ends[i + 1]]]
+            out.append(np.unique(found, return_counts=True) if len(found) else none)
     return out
 
 
@@ -182,10 +203,15 @@ def vocabulary(texts: DataFrame, terms: int = TERMS) -> np.ndarray:
         F.sum("toxic").cast("double").alias("p"), F.sum(1 - F.col("toxic")).cast("double").alias("q")
     )
     p, q, n = F.col("p"), F.col("q"), pos + neg
-    chi2 = n * F.pow(p * (neg - q) - q * (pos - p), 2) / ((p + q) * (n - p - q + 1e-9) * pos * neg)
+
+    def cell(seen, row, column):
+        return F.when(seen > 0, 2 * seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    rest, with_term = n - p - q, p + q
+    g2 = cell(p, with_term, F.lit(pos)) + cell(q, with_term, F.lit(neg)) + cell(pos - p, rest, F.lit(pos)) + cell(neg - q, rest, F.lit(neg))
     odds = F.abs(F.log((p + 0.5) * (neg - q + 0.5) / ((q + 0.5) * (pos - p + 0.5))))
-    best = counts.select("term", chi2.alias("chi2")).where((F.col("chi2") >= LEAST_CHI2) & (odds >= float(np.log(LEAST_ODDS))))
-    return np.sort(np.array([r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(terms).collect()], np.int64))
+    best = counts.select("term", g2.alias("g2")).where((F.col("g2") >= LEAST_G2) & (odds >= float(np.log(LEAST_ODDS))))
+    return np.sort(np.array([r["term"] for r in best.orderBy(F.desc("g2"), "term").limit(terms).collect()], np.int64))
 
 
 def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
