@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,8 @@ from mooclens.llm.textnum import Layout, as_bytes, chunks
 SIZE = 4096
 END_ID = 1
 BUCKET_ROWS = 200_000
-#: Distinct words that a worker keeps the ids of, between chunks.
-WORD_CACHE = 200_000
+#: A worker forgets the ids of its distinct words when it has more.
+WORD_CACHE = 2_000_000
 
 _PIECES = pa.schema(
     [
@@ -54,8 +55,9 @@ class WordTokenizer:
 
     For a tokenizer that drops white space and starts a new token at each
     word, a text's ids are its words' ids in order, so every distinct word
-    of a chunk is encoded once. Words are split at ASCII white space only;
-    anything else in a word is left to the tokenizer."""
+    is encoded once and kept, by hash, for later chunks and tasks of the
+    worker. Words are split at ASCII white space only; anything else in a
+    word is left to the tokenizer."""
 
     def __init__(self, path: str):
         import os
@@ -64,42 +66,57 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)  # hashes, ascending
+        self.at = np.zeros(0, np.int64)  # where a word's ids are in flat
+        self.size = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tok.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        size = np.fromiter((len(x) for x in found), np.int64, len(found))
+        at = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in found)])
+        to = np.searchsorted(self.keys, hashes)
+        self.keys, self.at, self.size = (np.insert(x, to, y) for x, y in ((self.keys, hashes), (self.at, at), (self.size, size)))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) and bounds by text."""
         lay = Layout(texts)
         start, end = lay.words()
-        hashes = lay.span_hashes(start, end)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = lay.buf.tobytes()
-        words = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        new = [w for w in words if w not in self.known]
-        fresh = {}
-        for w, e in zip(new, self.tok.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            fresh[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] if w in self.known else fresh[w] for w in words]
-        if len(self.known) < WORD_CACHE:
-            self.known.update(fresh)
-        sizes = np.fromiter((len(x) for x in ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        at = np.cumsum(sizes) - sizes
-        per_word = sizes[which]
-        ends = np.cumsum(per_word)
-        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(at[which] - (ends - per_word), per_word)
+        distinct, first, which = np.unique(lay.span_hashes(start, end), return_index=True, return_inverse=True)
+        if len(self.keys) > WORD_CACHE:
+            self._clear()
+        new = first[~np.isin(distinct, self.keys, assume_unique=True)]
+        if len(new):
+            raw = lay.buf.tobytes()
+            words = [raw[a:b] for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            self._learn(lay.span_hashes(start[new], end[new]), words)
+        own = np.searchsorted(self.keys, distinct)[which]
+        size = self.size[own]
+        ends = np.cumsum(size)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.at[own] - (ends - size), size)
         bounds = np.concatenate([[0], ends])[np.searchsorted(start, lay.begin)]
-        return flat[take], bounds
+        return self.flat[take], bounds
+
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker, whose words later tasks use too."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = _tokenizer(tokenizer_path)
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 2 << 20):
                 ids, bounds = tok.encode(texts[a:b])
                 rows = []
                 for i in range(b - a):
