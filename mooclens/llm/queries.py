@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooclens.llm import cover_tree, fingerprint, hyperminhash, line_dedup, mixing, packing, ppm, toxicity
+from mooclens.llm import cover_tree, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, toxicity
 from mooclens.llm.common import ORACLE, QUERIES, fold, query, read_table  # noqa: F401
 
 
@@ -61,3 +61,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_cover_tree")
 def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op4_katz")
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    found = katz.scores(read_table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
