@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooclens.llm import cover_tree, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, toxicity
+from mooclens.llm import cover_tree, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, template_extract, toxicity
 from mooclens.llm.common import ORACLE, QUERIES, fold, query, read_table  # noqa: F401
 
 
@@ -68,3 +68,9 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
     found = katz.scores(read_table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_html")
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = template_extract.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
