@@ -95,11 +95,12 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(s))
                 regs.append(registers(*bin_minima(s, BINS)).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [t.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(regs, pa.binary())],
-                ["doc_id", "n", "node", "regs"],
+                [t.column("row"), t.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(regs, pa.binary())],
+                ["row", "doc_id", "n", "node", "regs"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, node long, regs binary")
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, n long, node long, regs binary")
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
@@ -117,7 +118,8 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id
-    (the least doc_id reachable by links) and kept (it is that one)."""
+    (the least doc_id reachable by links), kept (it is that one) and row,
+    the xxhash64 of doc_id and text."""
     table = stored(_digests(docs, width), "hmh-digests")
     full = table.where("n > 0")
     nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "hmh-nodes")
@@ -151,8 +153,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     named = labels.join(nodes.select("node", "least"), "node")
     names = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
     by_node = nodes.select("node", "least").join(names, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))
-    found = full.join(by_node, "node").select("doc_id", "n", "component_id")
-    empty = table.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    found = full.join(by_node, "node").select("row", "doc_id", "n", "component_id")
+    empty = table.where("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(empty).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row"
     )
