@@ -31,7 +31,7 @@ from mooclens.llm.bitmap import member_filter
 from mooclens.llm.common import stored
 from mooclens.llm.near import grouped
 from mooclens.llm.onepermutation import bin_minima, densified
-from mooclens.llm.textnum import as_bytes, chunks, mix, windows, word_hashes
+from mooclens.llm.textnum import as_bytes, chunks, mix, parts, windows, word_hashes
 
 BINS = 384
 BAND = 6
@@ -88,7 +88,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _digests(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in parts(batches, "text"):
             ids, sizes, regs = [], [], []
             for s in shingle_sets(as_bytes(t.column("text")), width):
                 ids.append(digest(s))
@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
         ids = nodes.join(asked, "node", "left_semi").select(F.coalesce("least", F.lit(-1)).alias("_id"), "node")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
+            for t in parts(batches, "text"):
                 sets = list(shingle_sets(as_bytes(t.column("text")), width))
                 ids = np.array([digest(s) for s in sets], np.int64)
                 same = ids == t.column("node").to_numpy()

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.llm.common import shuffle_partitions
-from mooclens.llm.textnum import as_bytes, chunks, word_hashes
+from mooclens.llm.textnum import as_bytes, chunks, parts, word_hashes
 from mooclens.session import ensure_checkpoint_dir
 
 CHUNK = 24 << 20
@@ -100,7 +100,7 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, ids, train, hashes, sizes = 0, 0, [], [], [], []
-        for t in batches:
+        for t in parts(batches, "text"):
             texts = as_bytes(t.column("text"))
             doc_ids, flags = t.column("doc_id").to_pylist(), t.column("train").to_pylist()
             for a, b in chunks(texts):

@@ -32,7 +32,7 @@ from mooclens.llm.common import stored
 from mooclens.llm.hyperminhash import band_keys
 from mooclens.llm.near import grouped
 from mooclens.llm.onepermutation import bin_minima, densified
-from mooclens.llm.textnum import LOWER, Layout, as_bytes, chunks, mix
+from mooclens.llm.textnum import LOWER, Layout, as_bytes, chunks, mix, parts
 
 MIN_CHARS = 30
 WIDTH = 10
@@ -74,7 +74,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line, node) of the judged lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in parts(batches, "text"):
             out = []
             for row, doc, text in zip(t.column("row").to_pylist(), t.column("doc_id").to_pylist(), as_bytes(t.column("text")), strict=True):
                 out += [(row, doc, k, line_id(line)) for k, line in judged(text)]
@@ -91,7 +91,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """(node, n, regs) of the judged lines; repeats within a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in parts(batches, "text", 32 << 20):  # large: repeats within it go
             lines = {line_id(line): line for text in as_bytes(t.column("text")) for _, line in judged(text)}
             sizes, regs = [], []
             for s in shingle_sets(list(lines.values())):
@@ -131,7 +131,7 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         wanted = member_filter(asked, "node")
 
         def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
+            for t in parts(batches, "text"):
                 found = {line_id(line): line for text in as_bytes(t.column("text")) for _, line in judged(text)}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "line"]

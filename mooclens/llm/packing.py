@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooclens.llm.common import stored
-from mooclens.llm.textnum import Layout, as_bytes, chunks
+from mooclens.llm.textnum import Layout, as_bytes, chunks, parts
 
 SIZE = 4096
 END_ID = 1
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             texts = as_bytes(batch.column("text"))
             doc_ids = batch.column("doc_id").to_pylist()
             for a, b in chunks(texts, 2 << 20):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooclens.llm.common import stored
-from mooclens.llm.textnum import LOWER, SPACES, as_bytes, chunks
+from mooclens.llm.textnum import LOWER, SPACES, as_bytes, chunks, parts
 
 DOCS = 2000
 SYMBOLS = 64
@@ -132,7 +132,7 @@ def learn(texts: DataFrame) -> Trees:
     """Trees of the languages of (lang, text)."""
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in parts(batches, "text"):
             n = np.bincount(_buffer(as_bytes(t.column("text")))[0], minlength=256)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n)], ["byte", "n"])
 
@@ -143,7 +143,7 @@ def learn(texts: DataFrame) -> Trees:
         symbol[r["byte"]] = k + 1
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in parts(batches, "text"):
             langs = np.array(t.column("lang").to_pylist())
             texts = as_bytes(t.column("text"))
             for lang in np.unique(langs):
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         names = np.array([*trees.langs, "und"], object)
-        for t in batches:
+        for t in parts(batches, "text"):
             lettered = t.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
             n = len(lettered)
             best, score = np.full(n, len(names) - 1), np.zeros(n)

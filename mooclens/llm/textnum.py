@@ -9,7 +9,7 @@ is bounded by the chunk, not by the Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -62,6 +62,21 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def parts(batches: Iterable, column: str, limit: int = 8 << 20) -> Iterator:
+    """The batches' rows in batches of about ``limit`` bytes of ``column``:
+    what a task derives from a batch stays small, however many rows Spark
+    sends at once."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        slot = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts that hold about ``limit`` bytes."""
     first, held = 0, 0

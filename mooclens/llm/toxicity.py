@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooclens.llm.common import stored
-from mooclens.llm.textnum import NOT_LETTERS, Layout, as_bytes, chunks, mix
+from mooclens.llm.textnum import NOT_LETTERS, Layout, as_bytes, chunks, mix, parts
 
 EXAMPLES = 4096
 TERMS = 1024
@@ -218,7 +218,7 @@ def frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
     """In how many of all documents each vocabulary term occurs; documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
+        for t in parts(batches, "text"):
             n = np.zeros(len(terms) + 1, np.int64)
             for at, _ in _known(as_bytes(t.column("text")), terms):
                 n[at] += 1
@@ -255,7 +255,7 @@ def scored(docs: DataFrame, index: BlockMaxIndex, keep: list[str] | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for t in batches:
+        for t in parts(batches, "_text"):
             scores, near = [], []
             for terms, n in _known(as_bytes(t.column("_text")), index.vocabulary):
                 s, found, cosines = index.score(terms, n)
