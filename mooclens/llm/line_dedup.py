@@ -174,11 +174,16 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     joined = rows.join(gone, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     lines = F.split("text", "\n", -1)
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
-    old = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("text", "n_lines", "removed_lines")]
+    own = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    # the document's columns are unpacked last: theirs may be any names
     out = joined.select(
-        *old,
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"),
+        "doc",
+        F.struct(
+            F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias("text"),
+            F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+            F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"),
+        ).alias("new"),
+    )
+    return out.select(
+        *[F.col("new" if c == "text" else "doc").getField(c).alias(c) for c in own], F.col("new.n_lines"), F.col("new.removed_lines")
     )
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "removed_lines")], "n_lines", "removed_lines")

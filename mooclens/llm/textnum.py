@@ -145,9 +145,8 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int, padded: bool = F
     place = np.arange(n) - np.repeat(bounds[:-1], counts)
     out = hashes.copy()
     for k in range(1, width):
-        back = np.empty(n, np.uint64)
-        back[:k] = PAD
-        back[k:] = hashes[: n - k]
+        back = np.full(n, PAD, np.uint64)
+        back[k:] = hashes[: max(0, n - k)]
         back[place < k] = PAD
         out = out * BASE + mix(back + np.uint64(k))
     out = mix(out)
