@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
         texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), "text").where(wanted("_id")).join(ids, "_id")
         return texts.select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
-    labels = grouped(items, sets_of, BINS, percent, chance)
+    labels = grouped(items, sets_of, BINS, BAND, percent, chance)
     named = labels.join(nodes.select("node", "least"), "node")
     names = named.join(named.groupBy("label").agg(F.min("least").alias("component")), "label").select("node", "component")
     by_node = nodes.select("node", "least").join(names, "node", "left").select("node", F.coalesce("component", "least").alias("component_id"))

@@ -145,7 +145,7 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         texts = docs.select("text").mapInArrow(lines, "node long, line binary").where(wanted("node"))
         return texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, set binary")
 
-    return grouped(_keyed(signatures), sets_of, BINS, percent, chance)
+    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

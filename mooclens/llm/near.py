@@ -10,9 +10,14 @@ confirmed on whole sets.
    the greatest node: twice as many pairs as rows, however large the bucket.
 2. Union-find over the confirmed links. Buckets whose items are all in one
    component are done.
-3. What remains, buckets with items of different components, is finished
-   exactly: pairs across components whose registers allow the threshold
-   are confirmed too. Buckets beyond ``BLOCK`` items are split into blocks.
+3. What remains are buckets with items of different components. There an
+   item outside the bucket's largest component is compared with the few
+   items of other components that its registers say are most like it,
+   which ties nearly all items that have a link at all; union-find again.
+4. The rest is finished exactly: for buckets that are still divided, all
+   pairs across components whose registers allow the threshold. A pair is
+   looked at in the first of its common buckets only. Buckets beyond
+   ``BLOCK`` items are split into blocks.
 
 Every candidate pair is thus confirmed, ruled out by its registers (at
 five standard errors), or already inside one component.
@@ -33,6 +38,8 @@ from mooclens.llm.common import stored
 from mooclens.llm.components import components
 
 BLOCK = 20_000
+#: Partners of step 3.
+LIKELY = 2
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -101,12 +108,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(bins: int, threshold: float, chance: Callable):
+def _across(bins: int, band_size: int, threshold: float, chance: Callable, most: int | None):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs of a bucket (or of two of its blocks) across components
-        that the registers allow. Items of the largest component are only
-        compared with others."""
+        that the registers allow; for each item outside the largest
+        component the ``most`` likely ones, or all."""
         _, i, j = key
+        band = int(rows["band"].iloc[0])
+        before = slice(0, band * band_size)
         left, right = rows[rows["block"] == i], rows[rows["block"] == j]
         big = rows["label"].value_counts().index[0]
         out = []
@@ -116,8 +125,14 @@ def _across(bins: int, threshold: float, chance: Callable):
                 m = np.flatnonzero((lab != r.label) & (np.minimum(n, r.n) >= threshold * np.maximum(n, r.n) - 1e-9))
                 if not len(m):
                     continue
-                agree = (reg[m] == np.frombuffer(r.regs, np.uint16)).mean(axis=1)
-                m = m[allowed(agree, chance(n[m], np.full(len(m), r.n)), np.minimum(n[m], r.n), bins, threshold)]
+                same = reg[m] == np.frombuffer(r.regs, np.uint16)
+                agree = same.mean(axis=1)
+                ok = allowed(agree, chance(n[m], np.full(len(m), r.n)), np.minimum(n[m], r.n), bins, threshold)
+                # pairs that an earlier band brings together are looked at there
+                ok &= ~same[:, before].reshape(len(m), band, band_size).all(axis=2).any(axis=1)
+                m, agree = m[ok], agree[ok]
+                if most is not None:
+                    m = m[np.argsort(-agree, kind="stable")[:most]]
                 out += [(min(r.node, x), max(r.node, x)) for x in node[m].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
 
@@ -125,7 +140,7 @@ def _across(bins: int, threshold: float, chance: Callable):
 
 
 def grouped(
-    items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bins: int, percent: int, chance: Callable
+    items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bins: int, band_size: int, percent: int, chance: Callable
 ) -> DataFrame:
     """(node, label) for all items that have a link.
 
@@ -134,7 +149,7 @@ def grouped(
     that registers of different minima agree.
     """
     threshold = percent / 100
-    bands = items.select("node", F.explode("keys").alias("key"))
+    bands = items.select("node", F.posexplode("keys").alias("band", "key"))
     centres = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     centres = stored(centres, "near-centres")
     meets = member_filter(centres, "key")
@@ -154,24 +169,27 @@ def grouped(
 
     links = confirmed(tried)
     labels = components(links)
-    named = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = (
-        named.groupBy("key")
-        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows"))
-        .where("x < y and rows > 2")
-        .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = (
-        named.join(open_, "key")
-        .withColumn("block", own)
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "label")
-        .join(info, "node")
-    )
-    rest = left.groupBy("key", "i", "j").applyInPandas(_across(bins, threshold, chance), "a long, b long").distinct()
-    # pairs with a centre have been tried
-    more = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(confirmed(more)))
+    for most in (LIKELY, None):
+        named = shared.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        divided = (
+            named.groupBy("key")
+            .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows"))
+            .where("x < y and rows > 2")
+            .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+        )
+        left = (
+            named.join(divided, "key")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "band", "block", "node", "label")
+            .join(info, "node")
+        )
+        pairs = left.groupBy("key", "i", "j").applyInPandas(_across(bins, band_size, threshold, chance, most), "a long, b long").distinct()
+        # pairs with a centre, and likely ones, have been tried
+        more = stored(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
+        found = confirmed(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        tried = tried.unionByName(more)
+    return labels
