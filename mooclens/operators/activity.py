@@ -70,7 +70,7 @@ def total_activity(log: DataFrame) -> DataFrame:
         count_when(F.col("_ch") == 1).alias("n_chapter_object"),
         count_when(F.col("_sq") == 1).alias("n_sequential_object"),
     )
-    return per_day.join(objects, "enrollment_id", "inner").select("enrollment_id", *ACTIVITY_FEATURES)
+    return per_day.join(objects, "enrollment_id", "left").na.fill(0, objects.columns[1:]).select("enrollment_id", *ACTIVITY_FEATURES)
 
 
 # The 13 daily measures, in the reference's column order: (suffix, source, event).
@@ -107,7 +107,7 @@ def daily_long(log: DataFrame, course: DataFrame, n_days: int = N_DAYS) -> DataF
         count_when(F.col("_p") == 1).alias("pro_object"),
         count_when(F.col("_sq") == 1).alias("seq_object"),
     )
-    return counts.join(objects, ["enrollment_id", "day"], "inner").select("enrollment_id", "day", *DAILY_MEASURES)
+    return counts.join(objects, ["enrollment_id", "day"], "left").na.fill(0, objects.columns[2:]).select("enrollment_id", "day", *DAILY_MEASURES)
 
 
 def daily_column(day: int, measure: str) -> str:

@@ -53,7 +53,8 @@ def course_info(log: DataFrame) -> DataFrame:
         count_when(F.col("_ch") == 1).alias("n_chapter"),
         count_when(F.col("_sq") == 1).alias("n_sequential"),
     )
-    base = rows.join(users, "course_id", "inner").join(objs, "course_id", "inner").select(
+    # a course without users or objects named in its log counts none
+    base = rows.join(users, "course_id", "left").join(objs, "course_id", "left").na.fill(0, [*users.columns[1:], *objs.columns[1:]]).select(
         "course_id", "start_date", "end_date", "n_enroll", *[n for n, _, _ in COURSE_EVENT_COUNTS],
         "n_video", "n_problem", "n_chapter", "n_sequential",
     )

@@ -24,6 +24,16 @@ from mooclens.session import BUCKETS_KEY, HOT_ROWS_KEY, conf_int, ensure_checkpo
 BUCKET = "_bkt"
 
 
+def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on equal ``keys`` where NULL equals NULL; the keys of ``left``
+    stay. A NULL group is a group like any other."""
+    other = right.select(*[F.col(c).alias(f"_k_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in keys:
+        cond = cond & left[c].eqNullSafe(other[f"_k_{c}"])
+    return left.join(other, cond, how).drop(*[f"_k_{c}" for c in keys])
+
+
 def _hot_bounds(df: DataFrame, keys: list[str], order_col: str) -> DataFrame | None:
     """Per-hot-group quantile bounds of ``order_col`` or None if no group is hot."""
     spark = df.sparkSession
@@ -35,7 +45,7 @@ def _hot_bounds(df: DataFrame, keys: list[str], order_col: str) -> DataFrame | N
         return None
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = (
-        df.join(hot, keys, "left_semi")
+        _join_same(df, hot, keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * n_buckets).alias("_bounds"))
         .select(*keys, F.array_distinct("_bounds").alias("_bounds"))
@@ -59,7 +69,7 @@ def with_buckets(df: DataFrame, keys: list[str], order_col: str, small: bool = F
     b = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
         F.size(F.filter("_bounds", lambda x: x < o))
     )
-    out = df.join(bounds, keys, "left").withColumn(BUCKET, b).drop("_bounds")
+    out = _join_same(df, bounds, keys, "left").withColumn(BUCKET, b).drop("_bounds")
     return out, True
 
 
@@ -107,7 +117,7 @@ def prefix_sums(
     carry = totals.select(
         *keys, BUCKET, *[F.coalesce(F.sum(tmp[n]).over(wb), F.lit(0)).alias(f"_c_{tmp[n]}") for n in sums]
     )
-    joined = bucketed.join(carry, keys + [BUCKET], "inner")
+    joined = _join_same(bucketed, carry, keys + [BUCKET], "inner")
     w = frame(Window.partitionBy(*keys, BUCKET))
     out = joined.select(
         *df.columns,
@@ -140,7 +150,7 @@ def previous_value(df: DataFrame, keys: list[str], order_col: str, value_col: st
     last = bucketed.groupBy(*keys, BUCKET).agg(F.max_by(value_col, order_col).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy(BUCKET)
     carry = last.select(*keys, BUCKET, F.lag("_last").over(wb).alias("_carry"))
-    joined = bucketed.join(carry, keys + [BUCKET], "inner")
+    joined = _join_same(bucketed, carry, keys + [BUCKET], "inner")
     w = Window.partitionBy(*keys, BUCKET).orderBy(order_col)
     prev = F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag(value_col).over(w))
     return joined.select(*df.columns, prev.alias(name))

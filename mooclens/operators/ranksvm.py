@@ -9,9 +9,8 @@ objective + gradient evaluation and every Hessian-vector product is one
 Spark pass: the decision values are a column expression, the pair terms
 come from the pair-free dominance sweeps of ``mooclens.operators.rank``
 (counts l+/l- and sums over the violating sets), and X^T v is one
-aggregation with p sums. The outer loop is a trust-region Newton method
-with conjugate-gradient inner steps (Lin, Weng and Keerthi, 2008),
-stopping when ||grad|| <= eps * ||grad at w = 0||.
+aggregation with p sums. The outer loop is an inexact Newton method with a
+backtracking line search, stopping when ||grad|| <= eps * ||grad at w = 0||.
 """
 
 from __future__ import annotations
@@ -35,78 +34,56 @@ def _dot(cols: list[str], w) -> Column:
     return expr
 
 
-def _tron(n: int, eps: float, max_iter: int, mask: np.ndarray):
-    """Trust-region Newton method as a generator. It yields
-    ('fun', w) and expects (f, grad), or ('hv', w_at, s) and expects the
-    Hessian-vector product at the last evaluated point; it returns w.
-    ``mask`` (1 = free, 0 = fixed at 0) removes features exactly."""
-    eta0, eta1, eta2 = 1e-4, 0.25, 0.75
-    sig1, sig2, sig3 = 0.25, 0.5, 4.0
+def newton_search(n: int, eps: float, max_iter: int, free: np.ndarray):
+    """Minimise a smooth convex function by inexact Newton steps with a
+    backtracking line search, as a generator: it yields ("value", w) and is
+    sent (value, gradient), or ("curvature", w, s) and is sent the Hessian
+    at w times s; it returns w. Coordinates with ``free`` 0 stay at 0.
+
+    Step lengths halve until the value falls by a share of what the slope
+    promises (Armijo). Only accepted points are ever kept, so gradient and
+    curvature always belong to the same w. Stops when the gradient has
+    shrunk to ``eps`` of the one at 0, or no step improves the value.
+    """
     w = np.zeros(n)
-    f, g = yield ("fun", w)
-    g = g * mask
-    last = w
-    delta = g0 = float(np.linalg.norm(g))
-    if g0 == 0:
-        return w
-    it = 1
-    while it <= max_iter:
-        # truncated conjugate gradient inside the trust region
-        st = np.zeros(n)
-        r = -g
-        d = r.copy()
-        tol = 0.1 * np.linalg.norm(g)
-        rr = r @ r
-        while np.linalg.norm(r) > tol:
-            hd = (yield ("hv", last, d))
-            hd = d + (hd - d) * mask
-            alpha = rr / (d @ hd)
-            nxt = st + alpha * d
-            if np.linalg.norm(nxt) > delta:
-                sd, ss, dd = st @ d, st @ st, d @ d
-                rad = math.sqrt(sd * sd + dd * (delta * delta - ss))
-                tau = (delta * delta - ss) / (sd + rad) if sd >= 0 else (rad - sd) / dd
-                st = st + tau * d
-                r = r - tau * hd
+    value, gradient = yield "value", w
+    gradient = gradient * free
+    first = now = np.linalg.norm(gradient)
+    for _ in range(max_iter):
+        if now <= eps * first:
+            break
+        # the closer to the optimum, the more exactly the step is solved for
+        step = yield from _newton_step(w, gradient, free, now * min(0.1, math.sqrt(now / first)))
+        slope, length = gradient @ step, 1.0
+        while length > 1e-10:
+            there = w + length * step
+            v, g = yield "value", there
+            if v <= value + 1e-4 * length * slope:
                 break
-            st = nxt
-            r = r - alpha * hd
-            rr_new = r @ r
-            d = r + (rr_new / rr) * d
-            rr = rr_new
-        gs = g @ st
-        prered = -0.5 * (gs - st @ r)
-        w_new = w + st
-        f_new, g_new = yield ("fun", w_new)
-        last = w_new
-        actred = f - f_new
-        snorm = np.linalg.norm(st)
-        if it == 1:
-            delta = min(delta, snorm)
-        curv = f_new - f - gs
-        a = sig3 if curv <= 0 else max(sig1, -0.5 * (gs / curv))
-        if actred < eta0 * prered:
-            delta = min(max(a, sig1) * snorm, sig2 * delta)
-        elif actred < eta1 * prered:
-            delta = max(sig1 * delta, min(a * snorm, sig2 * delta))
-        elif actred < eta2 * prered:
-            delta = max(sig1 * delta, min(a * snorm, sig3 * delta))
+            length /= 2
         else:
-            delta = max(delta, min(a * snorm, sig3 * delta))
-        if actred > eta0 * prered:
-            it += 1
-            w, f, g = w_new, f_new, g_new * mask
-            if np.linalg.norm(g) <= eps * g0:
-                break
-        if f < -1.0e32:
-            break
-        if abs(actred) <= 0 and prered <= 0:
-            break
-        if abs(actred) <= 1.0e-12 * abs(f) and abs(prered) <= 1.0e-12 * abs(f):
             break
+        w, value, gradient = there, v, g * free
+        now = np.linalg.norm(gradient)
     return w
 
 
+def _newton_step(w: np.ndarray, gradient: np.ndarray, free: np.ndarray, enough: float):
+    """Conjugate gradients for (Hessian at w) step = -gradient, until the
+    residual's norm is at most ``enough``."""
+    step, left, along = np.zeros_like(w), -gradient, -gradient
+    for _ in range(10 * len(w)):
+        bent = (yield "curvature", w, along) * free
+        size = left @ left
+        gain = size / (along @ bent)
+        step = step + gain * along
+        left = left - gain * bent
+        if np.linalg.norm(left) <= enough:
+            break
+        along = left + (left @ left / size) * along
+    return step
+
+
 class RankSVMBatch:
     """Evaluates f/grad and Hessian-vector products of the pairwise loss for
     many candidates (each with its own C and weights) in one Spark job:
@@ -144,9 +121,9 @@ class RankSVMBatch:
 
     def _sweeps(self, frame: DataFrame, value: str) -> DataFrame:
         plus = _dominance(frame, "_qk", "_r", "z", value, 1.0, "plus", self.small).select(
-            "_qk", "_r", F.col("_cnt").alias("lp"), F.col("_sum").alias("gp"))
+            "_qk", "_r", F.col("_cnt").alias("below"), F.col("_sum").alias("below_z"))
         minus = _dominance(frame, "_qk", "_r", "z", value, 1.0, "minus", self.small).select(
-            "_qk", "_r", F.col("_cnt").alias("lm"), F.col("_sum").alias("gm"))
+            "_qk", "_r", F.col("_cnt").alias("above"), F.col("_sum").alias("above_z"))
         return frame.join(plus, ["_qk", "_r"], "inner").join(minus, ["_qk", "_r"], "inner")
 
     def _xt(self, frame: DataFrame, u: Column, extra: list[Column]) -> dict:
@@ -156,37 +133,40 @@ class RankSVMBatch:
         rows = frame.groupBy("_cid").agg(*extra, *aggs).collect()
         return {r["_cid"]: r for r in rows}
 
-    def fun(self, reqs: list[tuple[int, float, np.ndarray]]) -> dict:
-        """reqs: (cid, C, w) -> {cid: (f, grad)}"""
-        frame = self._expand([(cid, [w]) for cid, _, w in reqs], "_w")
-        frame = frame.withColumn("z", self._dot("_x", F.col("_w")))
-        st = self._sweeps(frame, "z")
-        ataxw = (F.col("lp") + F.col("lm")) * F.col("z") - F.col("gp") - F.col("gm")
-        ate = F.col("lm") - F.col("lp")
-        loss = F.sum(F.col("z") * (ataxw - 2 * ate) + F.col("lm")).alias("_loss")
-        res = self._xt(st, ataxw - ate, [loss])
+    def values(self, asked: list[tuple[int, float, np.ndarray]]) -> dict:
+        """(candidate, C, w) -> {candidate: (value, gradient)}.
+
+        A pair's margin shortfall is m = 1 - z_i + z_j. As the preferred row
+        i, a row has ``above`` violated pairs whose partners' scores sum to
+        ``above_z``; as the other row j, ``below`` and ``below_z``. Half the
+        loss's slope in z and the loss itself follow row by row:
+        sum m^2 = sum m + sum m (z_j - z_i) = sum m + sum z * slope / 2.
+        """
+        frame = self._expand([(cid, [w]) for cid, _, w in asked], "_w")
+        rows = self._sweeps(frame.withColumn("z", self._dot("_x", F.col("_w"))), "z")
+        shortfall = F.col("above") * (1 - F.col("z")) + F.col("above_z")
+        half_slope = F.col("below") * (1 + F.col("z")) - F.col("below_z") - shortfall
+        found = self._xt(rows, half_slope, [F.sum(shortfall + F.col("z") * half_slope).alias("_loss")])
         out = {}
-        for cid, C, w in reqs:
-            r = res.get(cid)
-            w = np.asarray(w, dtype=float)
-            xt = np.array([(r[f"_s{k}"] if r else 0.0) or 0.0 for k in range(len(self.features))])
-            lo = ((r["_loss"] if r else 0.0) or 0.0)
-            out[cid] = (float(w @ w / 2.0 + C * lo), w + 2.0 * C * xt)
+        for cid, C, w in asked:
+            pull, loss = self._of(found.get(cid), "_loss")
+            out[cid] = (float(w @ w / 2 + C * loss), w + 2 * C * pull)
         return out
 
-    def hv(self, reqs: list[tuple[int, float, np.ndarray, np.ndarray]]) -> dict:
-        """reqs: (cid, C, w_at, s) -> {cid: H s} with the violating sets of w_at."""
-        frame = self._expand([(cid, [w, s]) for cid, _, w, s in reqs], "_w", "_s")
-        frame = frame.withColumn("z", self._dot("_x", F.col("_w"))).withColumn("_wa", self._dot("_x", F.col("_s")))
-        st = self._sweeps(frame, "_wa")
-        u = F.col("_wa") * (F.col("lp") + F.col("lm")) - F.col("gp") - F.col("gm")
-        res = self._xt(st, u, [])
-        out = {}
-        for cid, C, w, s in reqs:
-            r = res.get(cid)
-            xt = np.array([(r[f"_s{k}"] if r else 0.0) or 0.0 for k in range(len(self.features))])
-            out[cid] = np.asarray(s, dtype=float) + 2.0 * C * xt
-        return out
+    def curvatures(self, asked: list[tuple[int, float, np.ndarray, np.ndarray]]) -> dict:
+        """(candidate, C, w, s) -> {candidate: Hessian at w times s}: the
+        slope's change along s while the violated pairs of w stay."""
+        frame = self._expand([(cid, [w, s]) for cid, _, w, s in asked], "_w", "_s")
+        frame = frame.withColumn("z", self._dot("_x", F.col("_w"))).withColumn("_dz", self._dot("_x", F.col("_s")))
+        rows = self._sweeps(frame, "_dz")
+        bend = (F.col("above") + F.col("below")) * F.col("_dz") - F.col("above_z") - F.col("below_z")
+        found = self._xt(rows, bend, [])
+        return {cid: s + 2 * C * self._of(found.get(cid))[0] for cid, C, _, s in asked}
+
+    def _of(self, row, extra: str | None = None) -> tuple[np.ndarray, float]:
+        """Sums of a candidate; zeros if no row was there to sum."""
+        sums = np.array([(row[f"_s{k}"] if row else 0.0) or 0.0 for k in range(len(self.features))])
+        return sums, float((row[extra] if row and extra else 0.0) or 0.0)
 
 
 def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[float, str | None]],
@@ -196,30 +176,26 @@ def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[fl
     candidates share every Spark pass. Returns one {feature: w} per
     candidate (a dropped feature is left out)."""
     batch = RankSVMBatch(df, features, qid, rid, label)
-    p = len(features)
-    gens, pending, result = {}, {}, {}
+    searches, waiting, weights = {}, {}, {}
     for cid, (C, drop) in enumerate(candidates):
-        mask = np.array([0.0 if f == drop else 1.0 for f in features])
-        gens[cid] = (_tron(p, eps, max_iter, mask), float(C))
-        pending[cid] = next(gens[cid][0])
-    while pending:
-        funs = [(cid, gens[cid][1], req[1]) for cid, req in pending.items() if req[0] == "fun"]
-        hvs = [(cid, gens[cid][1], req[1], req[2]) for cid, req in pending.items() if req[0] == "hv"]
-        answers = {}
-        if funs:
-            answers.update(batch.fun(funs))
-        if hvs:
-            answers.update(batch.hv(hvs))
-        for cid, ans in answers.items():
+        free = np.array([float(f != drop) for f in features])
+        searches[cid] = newton_search(len(features), eps, max_iter, free)
+        waiting[cid] = next(searches[cid])
+    while waiting:
+        # one Spark pass answers all searches that wait for the same thing
+        values = [(cid, float(candidates[cid][0]), ask[1]) for cid, ask in waiting.items() if ask[0] == "value"]
+        bends = [(cid, float(candidates[cid][0]), *ask[1:]) for cid, ask in waiting.items() if ask[0] == "curvature"]
+        answers = (batch.values(values) if values else {}) | (batch.curvatures(bends) if bends else {})
+        for cid, answer in answers.items():
             try:
-                pending[cid] = gens[cid][0].send(ans)
-            except StopIteration as stop:
-                result[cid] = stop.value
-                del pending[cid]
-    out = []
-    for cid, (C, drop) in enumerate(candidates):
-        out.append({f: float(v) for f, v in zip(features, result[cid]) if f != drop})
-    return out
+                waiting[cid] = searches[cid].send(answer)
+            except StopIteration as done:
+                weights[cid] = done.value
+                del waiting[cid]
+    return [
+        {f: float(v) for f, v in zip(features, weights[cid]) if f != drop}
+        for cid, (_, drop) in enumerate(candidates)
+    ]
 
 
 def rank_svm_fit(df: DataFrame, features: list[str], C: float = 1.0, qid: str = "qid", rid: str = "row_id",
@@ -229,21 +205,17 @@ def rank_svm_fit(df: DataFrame, features: list[str], C: float = 1.0, qid: str =
     return fit_candidates(df, features, [(C, drop)], qid, rid, label, eps, max_iter)[0]
 
 
-def trust_region_newton(obj, n: int, eps: float = 1e-3, max_iter: int = 1000) -> np.ndarray:
-    """Run the trust-region method on an object with fun(w) -> f,
-    grad(w) -> g and hv(s) -> H s (Hessian at the last fun point)."""
-    gen = _tron(n, eps, max_iter, np.ones(n))
-    req = next(gen)
+def minimise(objective, n: int, eps: float = 1e-3, max_iter: int = 1000) -> np.ndarray:
+    """``newton_search`` on an object with value(w) -> (value, gradient) and
+    curvature(w, s) -> Hessian at w times s."""
+    search = newton_search(n, eps, max_iter, np.ones(n))
+    ask = next(search)
     while True:
-        if req[0] == "fun":
-            f = obj.fun(req[1])
-            ans = (f, obj.grad(req[1]))
-        else:
-            ans = obj.hv(req[2])
+        answer = objective.value(ask[1]) if ask[0] == "value" else objective.curvature(*ask[1:])
         try:
-            req = gen.send(ans)
-        except StopIteration as stop:
-            return stop.value
+            ask = search.send(answer)
+        except StopIteration as done:
+            return done.value
 
 
 def rank_svm_score(df: DataFrame, weights: dict, out: str = "score") -> DataFrame:

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 FIXTURE_CTES = {
     "raw_log": """
-  SELECT event_id, user_id * 10 + k % 5 AS enrollment_id, user_id AS username,
-         'c' || CAST(k % 5 AS VARCHAR) AS course_id, CAST(ts AS TIMESTAMP) AS time, CAST(ts AS DATE) AS date,
+  SELECT event_id, user_id * 10 + course AS enrollment_id, user_id AS username,
+         'c' || CAST(course AS VARCHAR) AS course_id, CAST(ts AS TIMESTAMP) AS time, CAST(ts AS DATE) AS date,
          CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'browser' ELSE 'server' END AS source,
          CASE event_type WHEN 'view' THEN 'video' WHEN 'click' THEN 'problem' WHEN 'purchase' THEN 'access'
               WHEN 'signup' THEN 'nagivate' ELSE 'discussion' END AS event,
          'o' || CAST(k AS VARCHAR) AS object, k
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) e
-  WHERE ts < TIMESTAMP '2024-01-11' + to_days(CAST(k % 5 * 3 AS INTEGER))""",
+  FROM (SELECT *, greatest(k % 5, least(9, greatest(0, CAST(floor(datediff('day', DATE '2024-01-11', CAST(ts AS DATE)) / 3.0) AS BIGINT) + 1))) AS course
+        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) f) e""",
     "enrollment": """
   SELECT DISTINCT enrollment_id, username, course_id FROM raw_log""",
     "object_raw": """

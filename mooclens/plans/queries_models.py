@@ -171,7 +171,7 @@ def k11_sigmoid_calibration(spark, sf):
 def l8_kfold_predictions(spark, sf):
     """5-fold out-of-fold predictions of an L2 logistic regression."""
     x = scale.column_minmax(feature_table(spark, sf), FEATS)
-    return models.kfold_predictions(x, FEATS, models.logistic_regression(1.0, 600), k=5)
+    return models.kfold_predictions(x, FEATS, lambda n: models.logistic_regression(1.0, n), k=5)
 
 
 @query("l10_early_stopping")
@@ -192,11 +192,13 @@ def blend_matrix(spark, sf, splits=("blend",)):
     blending problem is one big query)."""
     def build():
         s = cal_scores(spark, sf)
-        wide = s.groupBy("enrollment_id", "label", "split").pivot("model", list(range(64))).agg(F.first("score"))
+        ids = sorted(r[0] for r in s.select("model").distinct().collect())  # one for each model
+        wide = s.groupBy("enrollment_id", "label", "split").pivot("model", ids).agg(F.first("score"))
         return materialize(wide, "blend_matrix")
     wide = _stored(spark, ("blend_matrix", sf), build).where(F.col("split").isin(*splits))
+    fixed = ("enrollment_id", "label", "split")
     return wide.select(F.lit(0).cast("bigint").alias("qid"), F.col("enrollment_id").alias("row_id"), "label",
-                       "split", *[F.col(f"`{i}`").alias(f"m{i}") for i in range(64)])
+                       "split", *[F.col(f"`{i}`").alias(f"m{i}") for i in wide.columns if i not in fixed])
 
 
 MODELS = [f"m{i}" for i in range(64)]
