@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.bitmap import member_filter
+from mooclens.llm.bitmap import Members
 from mooclens.llm.common import stored
 from mooclens.llm.near import grouped
 from mooclens.llm.onepermutation import bin_minima, densified
@@ -145,8 +145,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
                     ["node", "set"],
                 )
 
-        wanted = member_filter(ids, "_id")
-        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), "text").where(wanted("_id")).join(ids, "_id")
+        texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), "text")
+        texts = Members(ids, "_id").of(texts, "_id").join(ids, "_id")
         return texts.select("node", "text").mapInArrow(run, "node long, set binary").dropDuplicates(["node"])
 
     labels = grouped(items, sets_of, BINS, BAND, percent, chance)

@@ -27,17 +27,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.bitmap import member_filter
+from mooclens.llm.bitmap import Members
 from mooclens.llm.common import stored
 from mooclens.llm.hyperminhash import band_keys
 from mooclens.llm.near import grouped
-from mooclens.llm.onepermutation import bin_minima, densified
+from mooclens.llm.onepermutation import probe_ranks
 from mooclens.llm.textnum import LOWER, Layout, as_bytes, chunks, mix, parts
 
 MIN_CHARS = 30
 WIDTH = 10
 BINS = 27
 BAND = 3
+#: Bits of a hash that tell a bin's hashes apart; the rest number the bins of a
+#: chunk's lines.
+TOP = 37
 PERCENT = 80
 _STRIP = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -70,6 +73,36 @@ def shingle_sets(lines: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
             yield np.unique(lay.span_hashes(first, last, prefix))
 
 
+def signatures(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Filled bins of each line, and its registers: 16 bits of each bin's
+    least window hash, empty bins densified. All lines at once."""
+    lay = Layout(lines)
+    starts = np.flatnonzero((lay.buf & 0xC0) != 0x80)  # code points, and the space after each line
+    at = np.searchsorted(starts, lay.begin)
+    own = np.repeat(np.arange(len(lines)), np.diff(at))
+    place = np.arange(len(starts)) - at[own]
+    size = np.diff(at)[own] - 1
+    window = np.flatnonzero(place <= np.maximum(size - width, 0))
+    last = np.minimum(window + width, at[own[window]] + size[window])
+    h = lay.span_hashes(starts[window], starts[last])
+    slot = own[window].astype(np.uint64) * np.uint64(BINS) + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32))
+    # one sort of (bin, top of the hash) puts each bin's least hash first
+    ordered = np.sort(slot << np.uint64(TOP) | h >> np.uint64(64 - TOP))
+    slot = ordered >> np.uint64(TOP)
+    first = np.concatenate([[True], slot[1:] != slot[:-1]])
+    least, full = np.zeros(len(lines) * BINS, np.uint64), np.zeros(len(lines) * BINS, bool)
+    least[slot[first]], full[slot[first]] = ordered[first] & np.uint64((1 << TOP) - 1), True
+    least, full = least.reshape(-1, BINS), full.reshape(-1, BINS)
+    # each empty bin asks the others in its own order (as in densified)
+    order = np.argsort(probe_ranks(BINS), axis=1)
+    out, lacking = least.copy(), ~full
+    for ask in order.T:
+        fits = lacking & full[:, ask]
+        out = np.where(fits, least[:, ask], out)
+        lacking &= ~fits
+    return full.sum(axis=1), (mix(out) >> np.uint64(48)).astype(np.uint16)
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
     """(row, doc_id, line, node) of the judged lines."""
 
@@ -88,19 +121,17 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(node, n, regs) of the judged lines; repeats within a batch once."""
+    """(node, n, regs) of the judged lines, n the number of filled bins;
+    repeats within a part once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in parts(batches, "text", 32 << 20):  # large: repeats within it go
+        for t in parts(batches, "text"):
             lines = {line_id(line): line for text in as_bytes(t.column("text")) for _, line in judged(text)}
-            sizes, regs = [], []
-            for s in shingle_sets(list(lines.values())):
-                filled, least = bin_minima(s, BINS)
-                sizes.append(len(s))
-                regs.append((mix(densified(filled, least, BINS)) >> np.uint64(48)).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(lines), pa.int64()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], ["node", "n", "regs"]
-            )
+            nodes, texts = list(lines), list(lines.values())
+            for a, b in chunks(texts):
+                filled, regs = signatures(texts[a:b])
+                blobs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BINS), b - a, [None, pa.py_buffer(regs.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(filled), blobs.cast(pa.binary())], ["node", "n", "regs"])
 
     return docs.select("text").mapInArrow(run, "node long, n long, regs binary")
 
@@ -128,11 +159,13 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signatures = stored(_signatures(docs), "line-signatures")
 
     def sets_of(asked: DataFrame) -> DataFrame:
-        wanted = member_filter(asked, "node")
+        wanted = Members(asked, "node")
 
         def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in parts(batches, "text"):
                 found = {line_id(line): line for text in as_bytes(t.column("text")) for _, line in judged(text)}
+                may = wanted.hold(np.fromiter(found, np.int64, len(found)))
+                found = {k: line for (k, line), held in zip(found.items(), may.tolist(), strict=True) if held}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "line"]
                 )
@@ -142,10 +175,10 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 own = [s.tobytes() for s in shingle_sets(t.column("line").to_pylist())]
                 yield pa.RecordBatch.from_arrays([t.column("node"), pa.array(own, pa.binary())], ["node", "set"])
 
-        texts = docs.select("text").mapInArrow(lines, "node long, line binary").where(wanted("node"))
+        texts = docs.select("text").mapInArrow(lines, "node long, line binary")
         return texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, set binary")
 
-    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance)
+    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance, sized=False)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.bitmap import member_filter
+from mooclens.llm.bitmap import Members
 from mooclens.llm.common import stored
 from mooclens.llm.components import components
 
@@ -60,12 +60,29 @@ def _matrix(blobs, bins: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint16).reshape(-1, bins)
 
 
-def _estimated(pairs: DataFrame, info: DataFrame, bins: int, threshold: float, chance: Callable) -> DataFrame:
+def _meeting(items: DataFrame, shared: Members) -> DataFrame:
+    """(node, band, key) of the items' keys that ``shared`` may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not t.num_rows:
+                continue
+            keys = t.column("keys").flatten().to_numpy()
+            hit = np.flatnonzero(shared.hold(keys))
+            bands = len(keys) // t.num_rows
+            node = t.column("node").to_numpy()[hit // bands]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array((hit % bands).astype(np.int32)), pa.array(keys[hit])], ["node", "band", "key"])
+
+    return items.select("node", "keys").mapInArrow(run, "node long, band int, key long")
+
+
+def _estimated(pairs: DataFrame, info: DataFrame, bins: int, threshold: float, chance: Callable, sized: bool) -> DataFrame:
     """Pairs whose set sizes and registers allow the threshold."""
+    least = threshold if sized else 0.0
     both = (
         pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
         .join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-        .where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
+        .where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +125,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(bins: int, band_size: int, threshold: float, chance: Callable, most: int | None):
+def _across(bins: int, band_size: int, threshold: float, chance: Callable, sized: bool, most: int | None):
+    least = threshold if sized else 0.0
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         """Pairs of a bucket (or of two of its blocks) across components
         that the registers allow; for each item outside the largest
@@ -122,7 +141,7 @@ def _across(bins: int, band_size: int, threshold: float, chance: Callable, most:
         for one, other in ((left, right), (right, left)) if i != j else ((left, right),):
             reg, lab, n, node = _matrix(other["regs"], bins), other["label"].to_numpy(), other["n"].to_numpy(), other["node"].to_numpy()
             for r in one[one["label"] != big].itertuples(index=False):
-                m = np.flatnonzero((lab != r.label) & (np.minimum(n, r.n) >= threshold * np.maximum(n, r.n) - 1e-9))
+                m = np.flatnonzero((lab != r.label) & (np.minimum(n, r.n) >= least * np.maximum(n, r.n) - 1e-9))
                 if not len(m):
                     continue
                 same = reg[m] == np.frombuffer(r.regs, np.uint16)
@@ -140,28 +159,35 @@ def _across(bins: int, band_size: int, threshold: float, chance: Callable, most:
 
 
 def grouped(
-    items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], bins: int, band_size: int, percent: int, chance: Callable
+    items: DataFrame,
+    sets_of: Callable[[DataFrame], DataFrame],
+    bins: int,
+    band_size: int,
+    percent: int,
+    chance: Callable,
+    sized: bool = True,
 ) -> DataFrame:
     """(node, label) for all items that have a link.
 
     ``sets_of(nodes)`` gives (node, set) for the nodes asked for: the whole
     set as packed ascending uint64. ``chance(na, nb)`` is the probability
-    that registers of different minima agree.
+    that registers of different minima agree. Unless ``sized``, n is only a
+    lower bound of the set's size and says nothing about size ratios.
     """
     threshold = percent / 100
-    bands = items.select("node", F.posexplode("keys").alias("band", "key"))
+    bands = items.select("node", F.explode("keys").alias("key"))
     centres = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     centres = stored(centres, "near-centres")
-    meets = member_filter(centres, "key")
-    shared = stored(bands.where(meets("key")).join(centres, "key").distinct(), "near-buckets")
+    meeting = _meeting(items, Members(centres, "key"))
+    shared = stored(meeting.join(centres, "key").distinct(), "near-buckets")
     # an item may be listed more than once, each time alike
     involved = shared.select("node").distinct()
-    touched = member_filter(involved, "node")
-    info = items.select("node", "n", "regs").where(touched("node")).join(involved, "node", "left_semi")
+    touched = Members(involved, "node").of(items.select("node", "n", "regs"), "node")
+    info = touched.join(involved, "node", "left_semi")
     info = stored(info.dropDuplicates(["node"]), "near-items")
     by_lo = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
     by_hi = shared.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
-    tried = stored(_estimated(by_lo.unionByName(by_hi).distinct(), info, bins, threshold, chance), "near-tried")
+    tried = stored(_estimated(by_lo.unionByName(by_hi).distinct(), info, bins, threshold, chance, sized), "near-tried")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -184,7 +210,7 @@ def grouped(
             .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "band", "block", "node", "label")
             .join(info, "node")
         )
-        pairs = left.groupBy("key", "i", "j").applyInPandas(_across(bins, band_size, threshold, chance, most), "a long, b long").distinct()
+        pairs = left.groupBy("key", "i", "j").applyInPandas(_across(bins, band_size, threshold, chance, sized, most), "a long, b long").distinct()
         # pairs with a centre, and likely ones, have been tried
         more = stored(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
         found = confirmed(more)
