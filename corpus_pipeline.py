@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled documents outside the held-out fold."""
     learn = F.coalesce(fold("doc_id", 5) != 0, F.lit(False))
     index = toxicity.learn(docs, read_table(spark, sf_dir, "labels"), learn)
-    found = toxicity.scored(docs.select(F.struct(*docs.columns).alias("doc"), "text"), index, keep=["doc"])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "text")  # its columns may be called score too
+    found = toxicity.scored(rows, index, keep=["doc"])
     return found.where("score < 0.5").select("doc.*")
 
 

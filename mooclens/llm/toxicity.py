@@ -251,13 +251,15 @@ def scored(docs: DataFrame, index: BlockMaxIndex, keep: list[str] | None = None)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     near_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
     near_ddl = "array<struct<doc_id: bigint, toxic: int, cosine: double>>"
-    kept = docs.select(*keep, F.lit(0.0).alias("score"), F.lit(None).cast(near_ddl).alias("evidence"))
+    # the row as one column: its own columns may have any names
+    rows = docs.select(F.struct(*keep).alias("doc"), "text")
+    schema = rows.select("doc", F.lit(0.0).alias("score"), F.lit(None).cast(near_ddl).alias("evidence")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for t in parts(batches, "_text"):
+        for t in parts(batches, "text"):
             scores, near = [], []
-            for terms, n in _known(as_bytes(t.column("_text")), index.vocabulary):
+            for terms, n in _known(as_bytes(t.column("text")), index.vocabulary):
                 s, found, cosines = index.score(terms, n)
                 scores.append(s)
                 near.append(
@@ -267,7 +269,8 @@ def scored(docs: DataFrame, index: BlockMaxIndex, keep: list[str] | None = None)
                     ]
                 )
             yield pa.RecordBatch.from_arrays(
-                [*(t.column(c) for c in keep), pa.array(scores, pa.float64()), pa.array(near, near_type)], [*keep, "score", "evidence"]
+                [t.column("doc"), pa.array(scores, pa.float64()), pa.array(near, near_type)], ["doc", "score", "evidence"]
             )
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, kept.schema)
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col("doc").getField(c).alias(c) for c in keep], "score", "evidence")
