@@ -13,7 +13,7 @@ counts where a small corpus gives no Good-Turing discounts. alpha(v) normalises
 Contexts never seen have alpha 1. A text's tokens are its words (A-Z
 lowered) and one end, which is also the context of the first word.
 
-Scale. Texts are tokenised once into chunks of some 24 MB: the chunk's
+Scale. Texts are tokenised once into chunks of some 16 MB: the chunk's
 distinct words (64-bit hashes) and the tokens as numbers of them, in a
 table bucketed by chunk. Counts travel the other way round from a join of
 tokens: a chunk asks each hash bucket for the words, later for the pairs,
@@ -48,7 +48,7 @@ from mooclens.llm.common import shuffle_partitions
 from mooclens.llm.textnum import as_bytes, chunks, parts, word_hashes
 from mooclens.session import ensure_checkpoint_dir
 
-CHUNK = 24 << 20
+CHUNK = 16 << 20
 CUTOFF = 5
 #: What counts above the cutoff lose.
 LESS = 0.5

@@ -167,18 +167,17 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 may = wanted.hold(np.fromiter(found, np.int64, len(found)))
                 found = {k: line for (k, line), held in zip(found.items(), may.tolist(), strict=True) if held}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "line"]
+                    [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "set"]
                 )
 
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for t in batches:
-                own = [s.tobytes() for s in shingle_sets(t.column("line").to_pylist())]
-                yield pa.RecordBatch.from_arrays([t.column("node"), pa.array(own, pa.binary())], ["node", "set"])
+        texts = docs.select("text").mapInArrow(lines, "node long, set binary")
+        return texts.join(asked, "node", "left_semi").dropDuplicates(["node"])
 
-        texts = docs.select("text").mapInArrow(lines, "node long, line binary")
-        return texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(sets, "node long, set binary")
+    def unpack(lines: list[bytes]) -> list[np.ndarray]:
+        return list(shingle_sets(lines))
 
-    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance, sized=False)
+    # lines travel as they are, their larger sets are made where they are compared
+    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance, sized=False, unpack=unpack)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

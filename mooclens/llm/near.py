@@ -107,7 +107,11 @@ def similarity(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     return common, len(x) + len(y) - common
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def packed_sets(blobs: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in blobs]
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Callable) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on whole sets."""
     whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b"
@@ -116,9 +120,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             ok = []
-            for x, y in zip(t.column("sa"), t.column("sb"), strict=True):
-                inter, union = similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
-                ok.append(100 * inter >= percent * union and union > 0)
+            for at in range(0, t.num_rows, 500):
+                some = t.slice(at, 500)
+                for x, y in zip(unpack(some.column("sa").to_pylist()), unpack(some.column("sb").to_pylist()), strict=True):
+                    inter, union = similarity(x, y)
+                    ok.append(100 * inter >= percent * union and union > 0)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(c).filter(keep) for c in ("a", "b")], schema=_PAIR)
 
@@ -166,12 +172,13 @@ def grouped(
     percent: int,
     chance: Callable,
     sized: bool = True,
+    unpack: Callable = packed_sets,
 ) -> DataFrame:
     """(node, label) for all items that have a link.
 
-    ``sets_of(nodes)`` gives (node, set) for the nodes asked for: the whole
-    set as packed ascending uint64. ``chance(na, nb)`` is the probability
-    that registers of different minima agree. Unless ``sized``, n is only a
+    ``sets_of(nodes)`` gives (node, set) for the nodes asked for, and
+    ``unpack`` turns such values into whole sets, arrays of ascending
+    distinct hashes. ``chance(na, nb)`` is the probability that registers of different minima agree. Unless ``sized``, n is only a
     lower bound of the set's size and says nothing about size ratios.
     """
     threshold = percent / 100
@@ -191,7 +198,7 @@ def grouped(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return stored(_confirmed(pairs, stored(sets_of(nodes), "near-sets"), percent), "near-links")
+        return stored(_confirmed(pairs, stored(sets_of(nodes), "near-sets"), percent, unpack), "near-links")
 
     links = confirmed(tried)
     labels = components(links)
