@@ -60,12 +60,8 @@ def addition_candidates(scores: DataFrame, chosen: list, split: str = "val", id_
 def best_candidate(cands: DataFrame, model: str = "model", metric: str = "auc"):
     """argmax of the metric, first (smallest) model id on ties.
     Returns (model, value) of the winner as Python values (one row)."""
-    row = cands.where(F.col(metric).isNotNull()).agg(
-        F.max_by(F.struct(F.col(metric), -F.col(model)), F.struct(F.col(metric), -F.col(model))).alias("b")
-    ).select("b.*").first()
-    if row is None or row[0] is None:
-        return None, None
-    return -row[1], row[0]
+    best = cands.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.asc(model)).select(model, metric).first()
+    return (None, None) if best is None else (best[0], best[1])
 
 
 def backward_elimination(scores: DataFrame, rule: str = "until_no_gain", split: str = "val",

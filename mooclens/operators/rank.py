@@ -1,19 +1,21 @@
 """Learning-to-rank building blocks (N1-N4) and ranking metrics (L3, L4).
 
 No operator here pairs rows: pair counts are 2D dominance counts (higher
-label and lower score) computed by sweeps. Each row is replicated once per
-label level below it (a row of level L is "larger" than every level
-t < L), and a running sum over (qid, t) in score order gives, at each
-probe, the number (and score sum) of rows that dominate it. Work is
-O(rows x levels); the running sums use the skew-safe scans of
-``mooclens.operators.prefix`` so one huge query is split across tasks.
+label and lower score) computed by sweeps. Each row enters the cells that
+hold its label level, and probes the cells that make up the levels beyond
+it; a running sum over (qid, cell) in score order gives, at each probe, the
+number (and score sum) of rows that dominate it. Cells are ranges of levels
+of length 1, 2, 4..., so a row enters and probes about log2(levels) cells,
+with real-valued labels too; where a query has few levels, one cell for
+each level to be compared with is less. The running sums use the skew-safe
+scans of ``mooclens.operators.prefix`` so one huge query is split.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.prefix import prefix_sums, row_numbers
@@ -41,6 +43,35 @@ def query_sizes(df: DataFrame, qid: str = "qid") -> DataFrame:
     return df.groupBy(qid).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Up to so many label levels a query has one cell for each.
+FEW_LEVELS = 8
+
+
+def _cells(level: Column, levels: Column, direction: str) -> tuple[Column, Column]:
+    """Cells that a row of ``level`` enters, and cells that it probes, of a
+    query with ``levels`` levels: arrays of (size, number). Each probed set
+    covers the levels above ('plus') or below ('minus') exactly once."""
+    def cell(size, number):
+        return F.struct(size.cast("int").alias("size"), number.cast("long").alias("number"))
+
+    above = direction == "plus"
+    one = F.lit(-1)
+    # entered for each level that looks at this one
+    near = F.when(level > 1, F.sequence(F.lit(1), level - 1)) if above else F.when(level < levels, F.sequence(level + 1, levels))
+    enters_few = F.transform(F.coalesce(near, F.array().cast("array<int>")), lambda t: cell(one, t))
+    probes_few = F.array(cell(one, level))
+    # cell (b, n) holds the levels l with l div 2^b = n
+    sizes = F.sequence(F.lit(0), F.ceil(F.log2(levels + 1)).cast("int"))
+    number = lambda b: F.floor(level / F.pow(F.lit(2.0), b))
+    enters = F.transform(sizes, lambda b: cell(b, number(b)))
+    # the neighbour in the same pair lies wholly beyond the row's own half
+    odd = lambda b: number(b) % 2 == 1
+    beside = F.filter(sizes, lambda b: ~odd(b) if above else odd(b))
+    probes = F.transform(beside, lambda b: cell(b, number(b) + (1 if above else -1)))
+    few = levels <= FEW_LEVELS
+    return F.when(few, enters_few).otherwise(enters), F.when(few, probes_few).otherwise(probes)
+
+
 def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, margin: float,
                direction: str, small: bool = False) -> DataFrame:
     """For each row i: count (and sum of ``value``) over rows j of the same
@@ -48,35 +79,27 @@ def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, m
     (direction='plus'), or a lower level and key_j > key_i - margin
     (direction='minus'). Needs columns qid, rid, level, key."""
     val = F.col(value).cast("double") if value else F.lit(0.0)
-    lvl = F.col("level")
-    if direction == "plus":
-        # j counts for thresholds t = 1 .. level_j - 1; probe of i at t = level_i
-        ts = F.when(lvl > 1, F.sequence(F.lit(1), lvl - 1))
-        data_key = F.col(key).cast("double")
-        probe_key = F.col(key).cast("double") + F.lit(margin)
-    else:
-        # j counts for thresholds t = level_j + 1 .. k; negate keys so that
-        # "key_j > key_i - margin" becomes an ascending sweep.
-        kmax = F.col("_kmax")
-        ts = F.when(lvl < kmax, F.sequence(lvl + 1, kmax))
-        data_key = -F.col(key).cast("double")
-        probe_key = -(F.col(key).cast("double") - F.lit(margin))
-    base = df
-    if direction == "minus":
-        kq = df.groupBy(qid).agg(F.max("level").alias("_kmax"))
-        base = df.join(kq, qid, "inner")
-    data = base.where(ts.isNotNull()).select(
-        qid, F.explode(ts).alias("_t"), data_key.alias("_key"), F.lit(1).alias("_kind"),
+    sign = 1.0 if direction == "plus" else -1.0
+    own = F.lit(sign) * F.col(key).cast("double")
+    levels = df.groupBy(qid).agg(F.max("level").alias("_kmax"))
+    enters, probes = _cells(F.col("level"), F.col("_kmax"), direction)
+    base = df.join(levels, qid, "inner")
+    data = base.select(
+        qid, F.explode(enters).alias("_t"), own.alias("_key"), F.lit(1).alias("_kind"),
         F.lit(None).cast(df.schema[rid].dataType).alias(rid), F.lit(1).cast("long").alias("_w"), val.alias("_v"),
     )
     probe = base.select(
-        qid, F.col("level").alias("_t"), probe_key.alias("_key"), F.lit(0).alias("_kind"),
+        qid, F.explode(probes).alias("_t"), (own + F.lit(margin)).alias("_key"), F.lit(0).alias("_kind"),
         F.col(rid), F.lit(0).cast("long").alias("_w"), F.lit(0.0).alias("_v"),
     )
+    # rows in one place of a cell count together: a probe follows the sums of
+    # all smaller keys, so equal keys need no order among themselves
+    data = data.groupBy(qid, "_t", "_key", "_kind").agg(
+        F.lit(None).cast(df.schema[rid].dataType).alias(rid), F.sum("_w").alias("_w"), F.sum("_v").alias("_v"))
     events = data.unionByName(probe)
     swept = prefix_sums(events, [qid, "_t"], ["_key", "_kind"],
                         {"_cnt": F.col("_w"), "_sum": F.col("_v")}, inclusive=True, small=small)
-    return swept.where(F.col("_kind") == 0).select(qid, rid, "_cnt", "_sum")
+    return swept.where(F.col("_kind") == 0).groupBy(qid, rid).agg(F.sum("_cnt").alias("_cnt"), F.sum("_sum").alias("_sum"))
 
 
 def margin_violations(df: DataFrame, z: str, qid: str = "qid", rid: str = "row_id", margin: float = 1.0,
@@ -104,9 +127,11 @@ def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str
     disc = _dominance(lv, qid, rid, score, None, 0.0, "plus", small)
     nd = disc.groupBy(qid).agg(F.sum("_cnt").alias("n_discordant"))
     per_label = lv.groupBy(qid, "level").agg(F.count(F.lit(1)).alias("_c"))
-    tot = per_label.groupBy(qid).agg(
-        ((F.sum("_c") * F.sum("_c") - F.sum(F.col("_c") * F.col("_c"))) / 2).cast("long").alias("n_pairs")
-    )
+    # exact beyond 64 bits: a query of 4 * 10^9 rows has 10^19 pairs
+    c = F.col("_c").cast("decimal(19,0)")
+    tot = per_label.groupBy(qid).agg(F.sum(c).alias("_n"), F.sum(c * c).cast("decimal(38,0)").alias("_same"))
+    twice = (F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")).cast("decimal(38,0)") - F.col("_same")
+    tot = tot.select(qid, (twice.cast("decimal(38,0)") / 2).cast("long").alias("n_pairs"))
     return tot.join(nd, qid, "left").select(qid, "n_pairs", F.coalesce("n_discordant", F.lit(0)).alias("n_discordant"))
 
 
@@ -129,12 +154,24 @@ def _discount(pos):
     return F.when(pos <= 2, F.lit(1.0)).otherwise(F.lit(math.log(2.0)) / F.log(pos.cast("double")))
 
 
-def _cumulative_gain(df: DataFrame, qid: str, rid: str, order_key, label: str, small: bool) -> DataFrame:
-    keyed = df.select(qid, rid, label, order_key.alias("_o"))
-    pos = row_numbers(keyed, [qid], ["_o", rid], "_pos", small=small)
-    gain = (F.pow(F.lit(2.0), F.col(label).cast("double")) - 1) * _discount(F.col("_pos"))
-    cum = prefix_sums(pos, [qid], ["_pos"], {"_dcg": gain}, inclusive=True, small=small)
-    return cum.select(qid, "_pos", "_dcg")
+def _gain(label: str) -> Column:
+    return F.pow(F.lit(2.0), F.col(label).cast("double")) - 1
+
+
+def _summed(placed: DataFrame, qid: str, label: str, out: str, small: bool) -> DataFrame:
+    """Discounted gains up to each position ``_pos``."""
+    return prefix_sums(placed, [qid], ["_pos"], {out: _gain(label) * _discount(F.col("_pos"))}, small=small).select(qid, "_pos", out)
+
+
+def _ideal_positions(df: DataFrame, qid: str, rid: str, label: str, small: bool) -> DataFrame:
+    """Positions by falling label. Where a label's rows begin follows from
+    the counts of the labels; inside a label any order will do, so its rows
+    are numbered by row id, which a label that most rows share splits by."""
+    counts = df.groupBy(qid, label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", -F.col(label).cast("double"))
+    begins = prefix_sums(counts, [qid], ["_o"], {"_before": F.col("_n")}, inclusive=False, small=small)
+    inside = row_numbers(df.select(qid, rid, label), [qid, label], [rid], "_inside", small=small)
+    placed = inside.join(begins.select(qid, label, "_before"), [qid, label], "inner")
+    return placed.withColumn("_pos", F.col("_before") + F.col("_inside"))
 
 
 def ndcg_per_query(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
@@ -143,9 +180,9 @@ def ndcg_per_query(df: DataFrame, score: str = "score", qid: str = "qid", rid: s
     2^label - 1; 0 when the best label has gain 0. Score ties are broken
     by row id (ascending)."""
     small = queries_are_small(df, qid)
-    actual = _cumulative_gain(df, qid, rid, -F.col(score).cast("double"), label, small)
-    ideal = _cumulative_gain(df, qid, rid, -F.col(label).cast("double"), label, small) \
-        .withColumnRenamed("_dcg", "_idcg")
+    by_score = df.select(qid, rid, label, (-F.col(score).cast("double")).alias("_o"))
+    actual = _summed(row_numbers(by_score, [qid], ["_o", rid], "_pos", small=small), qid, label, "_dcg", small)
+    ideal = _summed(_ideal_positions(df, qid, rid, label, small), qid, label, "_idcg", small)
     j = actual.join(ideal, [qid, "_pos"], "inner")
     per = j.groupBy(qid).agg(
         F.avg(F.try_divide(F.col("_dcg"), F.col("_idcg"))).alias("_r"),

@@ -51,11 +51,11 @@ def round_doubles(df: DataFrame, decimals: int = 6) -> DataFrame:
 @lru_cache(maxsize=1)
 def load_all():
     """Import the modules that register queries."""
-    from mooclens.plans import queries_features  # noqa: F401
-    for mod in ("queries_scoring", "queries_ranking", "queries_io", "queries_models"):
-        try:
-            __import__(f"mooclens.plans.{mod}")
-        except ModuleNotFoundError as e:
-            if e.name != f"mooclens.plans.{mod}":
-                raise
+    from mooclens.plans import (  # noqa: F401
+        queries_features,
+        queries_io,
+        queries_models,
+        queries_ranking,
+        queries_scoring,
+    )
     return True
