@@ -130,15 +130,17 @@ def daily_wide(log: DataFrame, course: DataFrame, n_days: int = N_DAYS) -> DataF
     return out.select("enrollment_id", *cols)
 
 
-def daily_area(long: DataFrame, n_days: int = N_DAYS) -> DataFrame:
+def daily_area(long: DataFrame, enrollments: DataFrame, n_days: int = N_DAYS) -> DataFrame:
     """Trapezoid area of each measure's n_days daily values on
     x = 1/n .. 1: (2 * sum(v) - v_first - v_last) / (2 n). Columns
-    ``{measure}_auc``; enrollments absent from ``long`` are not listed."""
+    ``{measure}_auc`` for each row of ``enrollments`` (enrollment_id); one
+    without a day in ``long`` has area 0."""
     d = F.col("day")
     weight = F.lit(2.0) - (d == 0).cast("double") - (d == n_days - 1).cast("double")
-    return long.groupBy("enrollment_id").agg(
+    area = long.groupBy("enrollment_id").agg(
         *[(F.sum(F.col(m) * weight) / F.lit(2.0 * n_days)).alias(f"{m}_auc") for m in DAILY_MEASURES]
     )
+    return enrollments.join(area, "enrollment_id", "left").na.fill(0.0, area.columns[1:])
 
 
 def exact_date_counts(log: DataFrame, key: str = "enrollment_id") -> DataFrame:

@@ -303,10 +303,11 @@ def d12_exact_date_user(spark, sf):
 
 def _daily_area_sql() -> str:
     cols = ", ".join(
-        f"sum({m} * (2.0 - CASE WHEN day = 0 THEN 1 ELSE 0 END - CASE WHEN day = 29 THEN 1 ELSE 0 END)) / 60.0"
+        f"coalesce(sum({m} * (2.0 - CASE WHEN day = 0 THEN 1 ELSE 0 END - CASE WHEN day = 29 THEN 1 ELSE 0 END)) / 60.0, 0.0)"
         f" AS {m}_auc" for m in activity.DAILY_MEASURES
     )
-    return with_ctes(rounded(f"SELECT enrollment_id, {cols} FROM daily_long GROUP BY enrollment_id",
+    body = f"SELECT e.enrollment_id, {cols} FROM (SELECT DISTINCT enrollment_id FROM log) e LEFT JOIN daily_long d ON d.enrollment_id = e.enrollment_id GROUP BY e.enrollment_id"
+    return with_ctes(rounded(body,
                              ["enrollment_id"], [f"{m}_auc" for m in activity.DAILY_MEASURES]), DAILY_CTE)
 
 
@@ -314,7 +315,8 @@ def _daily_area_sql() -> str:
 def d14_daily_area(spark, sf):
     """Trapezoid area of the 30 daily values of each measure."""
     log = fx_log(spark, sf)
-    return activity.daily_area(activity.daily_long(log, course_ops.course_info(log)))
+    ids = log.select("enrollment_id").distinct()
+    return activity.daily_area(activity.daily_long(log, course_ops.course_info(log)), ids)
 
 
 def _smooth_sql() -> str:
