@@ -48,6 +48,8 @@ _STRIP = bytes([0x20, *range(0x09, 0x0E)])
 def judged(text: bytes, min_chars: int = MIN_CHARS) -> Iterator[tuple[int, bytes]]:
     """(line number, trimmed line with A-Z lowered) of the lines to judge."""
     for k, line in enumerate(text.split(b"\n")):
+        if len(line) < min_chars:
+            continue
         line = line.strip(_STRIP)
         if len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode()) >= min_chars):
             yield k, line.lower()
@@ -95,11 +97,14 @@ def signatures(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
     least, full = least.reshape(-1, BINS), full.reshape(-1, BINS)
     # each empty bin asks the others in its own order (as in densified)
     order = np.argsort(probe_ranks(BINS), axis=1)
-    out, lacking = least.copy(), ~full
-    for ask in order.T:
-        fits = lacking & full[:, ask]
-        out = np.where(fits, least[:, ask], out)
-        lacking &= ~fits
+    out, (line, empty) = least.copy(), np.nonzero(~full)
+    for turn in range(BINS):
+        if not len(line):
+            break
+        ask = order[empty, turn]
+        fits = full[line, ask]
+        out[line[fits], empty[fits]] = least[line[fits], ask[fits]]
+        line, empty = line[~fits], empty[~fits]
     return full.sum(axis=1), (mix(out) >> np.uint64(48)).astype(np.uint16)
 
 

@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,9 +120,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Callable
         for t in batches:
             ok = []
             for at in range(0, t.num_rows, 500):
-                some = t.slice(at, 500)
-                for x, y in zip(unpack(some.column("sa").to_pylist()), unpack(some.column("sb").to_pylist()), strict=True):
-                    inter, union = similarity(x, y)
+                left, right = (t.column(c).slice(at, 500).to_pylist() for c in ("sa", "sb"))
+                distinct = list(dict.fromkeys([*left, *right]))
+                whole = dict(zip(distinct, unpack(distinct), strict=True))
+                for x, y in zip(left, right, strict=True):
+                    inter, union = similarity(whole[x], whole[y])
                     ok.append(100 * inter >= percent * union and union > 0)
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column(c).filter(keep) for c in ("a", "b")], schema=_PAIR)
@@ -132,38 +133,80 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Callable
 
 
 def _across(bins: int, band_size: int, threshold: float, chance: Callable, sized: bool, most: int | None):
+    """Pairs of each bucket (or of two of its blocks) across components that
+    the registers allow; for each item outside the largest component the
+    ``most`` likely ones, or all. Rows come sorted by bucket: many small
+    buckets are worked through in one batch."""
     least = threshold if sized else 0.0
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs of a bucket (or of two of its blocks) across components
-        that the registers allow; for each item outside the largest
-        component the ``most`` likely ones, or all."""
-        _, i, j = key
-        band = int(rows["band"].iloc[0])
-        before = slice(0, band * band_size)
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
-        big = rows["label"].value_counts().index[0]
+    def found(block: np.ndarray, label: np.ndarray, n: np.ndarray, node: np.ndarray, regs: np.ndarray, i: int, j: int, band: int) -> list:
+        labels, size = np.unique(label, return_counts=True)
+        big = labels[size.argmax()]
+        sides = ((i, j), (j, i)) if i != j else ((i, j),)
         out = []
-        for one, other in ((left, right), (right, left)) if i != j else ((left, right),):
-            reg, lab, n, node = _matrix(other["regs"], bins), other["label"].to_numpy(), other["n"].to_numpy(), other["node"].to_numpy()
-            for r in one[one["label"] != big].itertuples(index=False):
-                m = np.flatnonzero((lab != r.label) & (np.minimum(n, r.n) >= least * np.maximum(n, r.n) - 1e-9))
+        for one, other in sides:
+            there = np.flatnonzero(block == other)
+            for r in np.flatnonzero((block == one) & (label != big)):
+                m = there[(label[there] != label[r]) & (np.minimum(n[there], n[r]) >= least * np.maximum(n[there], n[r]) - 1e-9)]
                 if not len(m):
                     continue
-                same = reg[m] == np.frombuffer(r.regs, np.uint16)
+                same = regs[m] == regs[r]
                 agree = same.mean(axis=1)
-                ok = allowed(agree, chance(n[m], np.full(len(m), r.n)), np.minimum(n[m], r.n), bins, threshold)
+                ok = allowed(agree, chance(n[m], np.full(len(m), n[r])), np.minimum(n[m], n[r]), bins, threshold)
                 # pairs that an earlier band brings together are looked at there
-                ok &= ~same[:, before].reshape(len(m), band, band_size).all(axis=2).any(axis=1)
+                ok &= ~same[:, : band * band_size].reshape(len(m), band, band_size).all(axis=2).any(axis=1)
                 m, agree = m[ok], agree[ok]
                 if most is not None:
                     m = m[np.argsort(-agree, kind="stable")[:most]]
-                out += [(min(r.node, x), max(r.node, x)) for x in node[m].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+                out += [(min(node[r], x), max(node[r], x)) for x in node[m]]
+        return out
+
+    def of(t: pa.Table, start: int, end: int) -> list:
+        """Pairs of the whole buckets in rows start to end."""
+        cols = {c: t.column(c).to_numpy()[start:end] for c in ("key", "i", "j", "band", "block", "label", "n", "node")}
+        regs = _matrix(t.column("regs").slice(start, end - start).to_pylist(), bins)
+        cuts = np.flatnonzero(_starts(cols["key"], cols["i"], cols["j"])).tolist() + [end - start]
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = [cols[c][a:b] for c in ("block", "label", "n", "node")]
+            out += found(*own, regs[a:b], int(cols["i"][a]), int(cols["j"][a]), int(cols["band"][a]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for t in batches:
+            if not t.num_rows:
+                continue
+            first = np.flatnonzero(_starts(*(t.column(c).to_numpy() for c in ("key", "i", "j")), held[-1] if held else None))
+            if held and not len(first):
+                held.append(t)
+                continue
+            whole = pa.Table.from_batches([*held, t])
+            end = whole.num_rows - t.num_rows + int(first[-1])
+            yield _pairs(of(whole, 0, end))
+            held = whole.slice(end).combine_chunks().to_batches()
+        if held:
+            whole = pa.Table.from_batches(held)
+            yield _pairs(of(whole, 0, whole.num_rows))
 
     return run
 
 
+def _starts(key: np.ndarray, i: np.ndarray, j: np.ndarray, before: pa.RecordBatch | None = None) -> np.ndarray:
+    """Where a row's bucket differs from that of the row before it."""
+    out = np.ones(len(key), bool)
+    out[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    if before is not None and len(key):
+        last = before.slice(before.num_rows - 1)
+        out[0] = (key[0], i[0], j[0]) != tuple(last.column(c)[0].as_py() for c in ("key", "i", "j"))
+    return out
+
+
+def _pairs(found: list) -> pa.RecordBatch:
+    rows = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=_PAIR)
+
+
 def grouped(
     items: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
@@ -217,7 +260,8 @@ def grouped(
             .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "band", "block", "node", "label")
             .join(info, "node")
         )
-        pairs = left.groupBy("key", "i", "j").applyInPandas(_across(bins, band_size, threshold, chance, sized, most), "a long, b long").distinct()
+        by_bucket = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = by_bucket.mapInArrow(_across(bins, band_size, threshold, chance, sized, most), "a long, b long").distinct()
         # pairs with a centre, and likely ones, have been tried
         more = stored(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
         found = confirmed(more)
