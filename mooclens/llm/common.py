@@ -30,7 +30,19 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it
+    (a local session started elsewhere; on a cluster --py-files does it)."""
+    import mooclens
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(mooclens.__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +50,7 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     """Write ``df`` as Parquet in the folder that spark.checkpoint.dir names
     and read it back. Later jobs start from files that every executor can
     read, so a lost executor never forces the work before them again."""
+    ship(df.sparkSession)
     path = os.path.join(
         ensure_checkpoint_dir(df.sparkSession), "mooclens-llm", f"{name}-{uuid.uuid4().hex}"
     )

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.common import shuffle_partitions
+from mooclens.llm.common import shuffle_partitions, ship
 from mooclens.llm.onepermutation import bin_minima, densified
 from mooclens.llm.textnum import as_bytes, chunks, mix, windows, word_hashes
 
@@ -151,6 +151,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def edited_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprint of every text and of its edited text, with likenesses."""
     spark = docs.sparkSession
+    ship(spark)
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NULL_KEY)).alias("key"))
     pieces = 4 * shuffle_partitions(spark)
     steps = [i / pieces for i in range(1, pieces)]

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.common import shuffle_partitions
+from mooclens.llm.common import shuffle_partitions, ship
 from mooclens.llm.textnum import as_bytes, chunks, parts, word_hashes
 from mooclens.session import ensure_checkpoint_dir
 
@@ -352,6 +352,7 @@ def scores(docs: DataFrame, train) -> DataFrame:
     train_tokens, base_score (smoothed word frequencies), score (Katz), both
     log10 of the text's probability. ``train``: condition for learning."""
     spark = docs.sparkSession
+    ship(spark)
     buckets = shuffle_partitions(spark)
     table = _bucketed(_chunked(docs.withColumn("train", F.coalesce(train, F.lit(False)))), "chunks")
     each = table.groupBy("chunk")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mooclens.llm.common import stored
+from mooclens.llm.common import ship, stored
 from mooclens.llm.textnum import Layout, as_bytes, chunks, parts
 
 SIZE = 4096
@@ -128,6 +128,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES
                 )
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES_DDL)
 
 
