@@ -16,7 +16,7 @@ scored in order of their bounds until the bound falls below the worst of
 the ``K`` best. The result is exact, ties by example number.
 
 Score: votes weighted by 1 / (0.1 + distance) and by how many documents an
-example of its class stands for, mapped to a probability by a monotone fit
+example of its class stands for, with a prior vote of the toxic share, mapped to a probability by a monotone fit
 on the examples' own leave-one-out votes. A text without any vocabulary
 term scores the smoothed toxic share of such examples.
 
@@ -45,6 +45,8 @@ LEAST_ODDS = 4.0
 PREFIXES = (4, 5)
 BLOCK = 64
 K = 15
+#: Weight of the classes' shares among the votes: far neighbours count little.
+PRIOR = 10.0
 
 
 def _terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,7 @@ class BlockMaxIndex:
         self.starts = [np.searchsorted(e, np.arange(blocks + 1) * BLOCK) for e, _ in self.posts]
         zero = [int(toxic[i]) for i, h in enumerate(heaviest) if h < 0]
         total = sum(stands_for[y] for y in zero)
-        share = sum(stands_for[int(y)] for y in toxic if y) / max(1.0, sum(stands_for[int(y)] for y in toxic))
+        self.share = share = sum(stands_for[int(y)] for y in toxic if y) / max(1.0, sum(stands_for[int(y)] for y in toxic))
         self.no_terms = (sum(stands_for[y] for y in zero if y) + share) / (total + 1)
         self.votes, self.chances = np.array([0.5]), np.array([share])
 
@@ -142,7 +144,7 @@ class BlockMaxIndex:
 
     def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
         w = self.weight[examples] / (0.1 + np.maximum(0, 1 - cosines))
-        return float((w * self.toxic[examples]).sum() / w.sum())
+        return float(((w * self.toxic[examples]).sum() + PRIOR * self.share) / (w.sum() + PRIOR))
 
     def calibrate(self) -> None:
         """Monotone map from votes to toxic shares, fitted on the examples'
