@@ -12,6 +12,9 @@ from mooclens.plans.oracle import rounded, with_ctes
 from mooclens.plans.registry import query
 from mooclens.sources import fixtures as fx
 
+# courses c0..c7 of the derived log: its events end on 30 January (fixtures.raw_log)
+N_COURSES = 8
+
 
 def fx_log(spark: SparkSession, sf: str, fanout: bool = True) -> DataFrame:
     return build_log(fx.raw_log(spark, sf), fx.enrollment(spark, sf), fx.objects(spark, sf), fanout=fanout)
@@ -372,7 +375,7 @@ def d15_last_course_time(spark, sf):
 
 
 def _legacy_full_sql() -> str:
-    onehot = ", ".join(f"CASE WHEN e.course_id = 'c{i}' THEN 1 ELSE 0 END AS course_c{i}" for i in range(5))
+    onehot = ", ".join(f"CASE WHEN e.course_id = 'c{i}' THEN 1 ELSE 0 END AS course_c{i}" for i in range(N_COURSES))
     return with_ctes(
         f"SELECT c.*, {onehot}, t.course_last_time FROM ({_legacy_counts_sql()}) c "
         "JOIN enrollment e ON c.enrollment_id = e.enrollment_id "
@@ -443,7 +446,7 @@ def k5_normalize_by_course(spark, sf):
 
 
 @query("d16_course_one_hot", with_ctes(
-    "SELECT enrollment_id, " + ", ".join(f"CAST(course_id = 'c{i}' AS INTEGER) AS course_c{i}" for i in range(5))
+    "SELECT enrollment_id, " + ", ".join(f"CAST(course_id = 'c{i}' AS INTEGER) AS course_c{i}" for i in range(N_COURSES))
     + " FROM enrollment"))
 def d16_course_one_hot(spark, sf):
     """One indicator column per course (sorted course list)."""
