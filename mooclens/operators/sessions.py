@@ -70,10 +70,12 @@ def session_stats(sessions: DataFrame, key: str, prefix: str, n_name: str) -> Da
     lengths of exactly 600 or 1800 fall in no class.
     """
     t = F.col("time")
+    # whole microseconds add up exactly in any order
+    micros = F.round(F.when(t != 0, t) * 1_000_000).cast("long")
     return sessions.groupBy(key).agg(
         F.count(t).alias(n_name),
         F.max(t).alias(f"{prefix}_t_max"),
-        F.avg(F.when(t != 0, t)).alias(f"{prefix}_t_mean"),
+        (F.sum(micros) / (F.count(micros) * F.lit(1e6))).alias(f"{prefix}_t_mean"),
         count_when(t < SMALL_SECONDS).alias(f"{prefix}_n_small_session"),
         count_when((t > SMALL_SECONDS) & (t < LARGE_SECONDS)).alias(f"{prefix}_n_mid_session"),
         count_when(t > LARGE_SECONDS).alias(f"{prefix}_n_large_session"),

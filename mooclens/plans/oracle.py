@@ -100,7 +100,8 @@ SHARED_CTES = {
   FROM gap_groups GROUP BY enrollment_id, grp""",
     "session_info": """
   SELECT enrollment_id, count(*) AS s_n_session, max(time) AS s_t_max,
-         avg(CASE WHEN time <> 0 THEN time END) AS s_t_mean,
+         CAST(sum(CASE WHEN time <> 0 THEN CAST(round(time * 1000000) AS BIGINT) END) AS DOUBLE)
+             / (count(*) FILTER (WHERE time <> 0) * 1e6) AS s_t_mean,
          count(*) FILTER (WHERE time < 600) AS s_n_small_session,
          count(*) FILTER (WHERE time > 600 AND time < 1800) AS s_n_mid_session,
          count(*) FILTER (WHERE time > 1800) AS s_n_large_session
@@ -111,7 +112,8 @@ SHARED_CTES = {
   FROM log GROUP BY username""",
     "user_sessions": """
   SELECT e.username, count(*) AS u_n_sessions, max(time) AS u_t_max,
-         avg(CASE WHEN time <> 0 THEN time END) AS u_t_mean,
+         CAST(sum(CASE WHEN time <> 0 THEN CAST(round(time * 1000000) AS BIGINT) END) AS DOUBLE)
+             / (count(*) FILTER (WHERE time <> 0) * 1e6) AS u_t_mean,
          count(*) FILTER (WHERE time < 600) AS u_n_small_session,
          count(*) FILTER (WHERE time > 600 AND time < 1800) AS u_n_mid_session,
          count(*) FILTER (WHERE time > 1800) AS u_n_large_session
