@@ -9,13 +9,16 @@ many pages a host has. Classes of at least two tokens (or one that holds
 others) whose tokens come once a page make the template's containers, the
 others its repeated parts; containers nest by their paths.
 
-The template's slots are the text of its containers. Going down from the
-page's body, the container that holds nearly all of the slot text that is
-neither link text nor of a boilerplate kind is the article's; all its text
-is extracted, but for boilerplate elements inside it. Hosts of fewer than
-``LEAST_PAGES`` pages show too little, and use the template of all hosts
-together; a page that lacks its template's container falls back to its
-article, main or body element.
+The template's slots are the text of its containers; a slot is constant
+if its text is one and the same on pages that differ otherwise. Going down
+from the page's body, the article's containers are the innermost ones that
+leave out only constant slots, link text and boilerplate (paths of fewer
+than a tenth of the pages do not stop the descent; article and main
+elements are not split). All their text is extracted, but for boilerplate
+elements inside, and outside them what is neither constant, nor
+boilerplate, nor blocks of nothing but links. Hosts of fewer than ``LEAST_PAGES`` pages show too little, and use the template of
+all hosts together; a page that lacks its template's containers has its
+article elements, main or body instead.
 
 Edge cases: null or empty html gives the empty text; null urls share a
 host; unclosed and truncated markup is read as far as it goes; an empty
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 from mooclens.llm.common import stored
 
 LEAST_PAGES = 8
-#: Share of the slot text that makes a container the one to go down to.
-MOST = 0.7
+#: A slot is constant on this many different pages at least (bits of a map of 62).
+DIFFERENT = 6
 
 # ---- fixed values: HTML element kinds and names that sites use for what is
 # not the article
@@ -69,8 +72,9 @@ def _boilerplate(tag: str, names: list[str]) -> bool:
 
 
 def parsed(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, bool, str]]:
-    """("open" | "text" | "edge", path, boilerplate, in a link, text) in page
-    order: containers opened, stretches of text, and ends of blocks."""
+    """("open" | "text" | "break" | "edge", path, boilerplate, in a link, text)
+    in page order: containers opened, stretches of text, line breaks, and
+    ends of blocks."""
     stack: list[tuple[str, str, bool]] = []  # tag, token, boilerplate
     link, at, n = 0, 0, len(page)
     while at < n:
@@ -88,7 +92,7 @@ def parsed(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, bool, str]]:
             if tag == "a":
                 link = max(0, link + (-1 if m[1] else 1))
             elif tag == "br":
-                yield "text", (), False, False, " "
+                yield "break", (), False, False, " "
             continue
         yield "edge", (), False, False, ""
         if m[1]:
@@ -116,111 +120,133 @@ def host_of(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
 
 
-_TOKENS = "host string, path string, pages long, total long, vector long, chars long"
+_TOKENS = "host string, path string, pages long, total long, vector long, chars long, lo long, hi long, variants long"
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
     """Occurrences of the tokens, added up within a batch: pages, total, the
-    vector's hash, and characters of slot text directly in the container."""
+    vector's hash, and of the slot text directly in the container the
+    characters, the least and greatest hash, and a map of the pages' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             seen: dict[tuple[str, str], list[int]] = {}
             for host, page_id, page in zip(*(t.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
                 counts: dict[str, int] = {}
-                chars: dict[str, int] = {}
+                slots: dict[str, list[str]] = {}
                 for kind, path, boiler, link, text in parsed(page or ""):
                     key = ">".join(path)
                     if kind == "open":
                         counts[key] = counts.get(key, 0) + 1
                     elif kind == "text" and path and not boiler and not link:
-                        chars[key] = chars.get(key, 0) + len(text.strip())
+                        slots.setdefault(key, []).append(text)
+                texts = {key: x for key, own in slots.items() if (x := " ".join("".join(own).split()))}
+                variant = 1 << xxhash.xxh64_intdigest("\n".join(texts.values())) % 62
                 for key, k in counts.items():
-                    row = seen.setdefault((host, key), [0, 0, 0, 0])
+                    row = seen.setdefault((host, key), [0, 0, 0, 0, None, None, 0])
                     row[0] += 1
                     row[1] += k
                     row[2] += xxhash.xxh64_intdigest(f"{page_id} {k}") >> 8  # sums stay exact
                     row[2] &= (1 << 62) - 1
-                    row[3] += chars.get(key, 0)
+                    if key in texts:
+                        h = xxhash.xxh64_intdigest(texts[key]) >> 11  # exact as doubles, too
+                        row[3] += len(texts[key])
+                        row[4], row[5] = (h, h) if row[4] is None else (min(h, row[4]), max(h, row[5]))
+                        row[6] |= variant
             rows = [(h, p, *v) for (h, p), v in seen.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.string(), *[pa.int64()] * 4]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 7]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "pages", "total", "vector", "chars"]
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                ["host", "path", "pages", "total", "vector", "chars", "lo", "hi", "variants"],
             )
 
     return pages.select("host", "page_id", "html").mapInArrow(run, _TOKENS)
 
 
-def _main_container(tokens: pd.DataFrame) -> tuple[str, int]:
-    """Path of the article's container, and pages, from a host's tokens."""
+_TEMPLATE = "host string, main array<string>, constant array<string>"
+
+
+def _main_containers(tokens: pd.DataFrame) -> tuple[list[str], int, list[str]]:
+    """Paths of the article's containers, pages, and the paths of constant
+    slots, from a host's tokens."""
     pages = int(tokens["pages"].max())
     once = tokens[(tokens["total"] == tokens["pages"]) & (tokens["pages"] * 2 >= pages)]
     paths = set(once["path"])
     classes = once.groupby(["pages", "total", "vector"])["path"].transform("size")
     holds = [any(q.startswith(p + ">") for q in paths) for p in once["path"]]
     containers = set(once["path"][(classes >= 2) | np.array(holds, bool)])
-    text = dict(zip(tokens["path"], tokens["chars"], strict=True))
+    same = (tokens["lo"] == tokens["hi"]) & np.array([int(v).bit_count() >= DIFFERENT for v in tokens["variants"]], bool)
+    constant = sorted(tokens["path"][same])
+    varying = tokens[~same & (tokens["pages"] * 10 >= pages)]
+    text = dict(zip(varying["path"], varying["chars"], strict=True))
     below = lambda p: sum(n for q, n in text.items() if q == p or q.startswith(p + ">"))
-    at = next((p for p in sorted(containers, key=len) if p.split(">")[-1].split(".")[0] == "body"), "")
-    while True:
-        held = below(at) if at else sum(text.values())
+
+    def cover(at: str) -> list[str]:
         inner = [c for c in containers if c.startswith(at + ">" if at else "") and c != at]
-        inner = [c for c in inner if c.count(">") == min(x.count(">") for x in inner)]
-        best = max(inner, key=lambda c: (below(c), c), default=None)
-        if best is None or not held or below(best) < MOST * held:
-            return at, pages
-        at = best
+        top = [c for c in inner if below(c) and not any(c.startswith(x + ">") for x in inner)]
+        held = below(at) if at else sum(text.values())
+        whole = at.split(">")[-1].split(".")[0] in ("article", "main") and len(top) > 1
+        return [at] if whole or not held or sum(map(below, top)) < held else [p for c in sorted(top) for p in cover(c)]
+
+    return cover(next((p for p in sorted(containers, key=len) if p.split(">")[-1].split(".")[0] == "body"), "")), pages, constant
 
 
-def templates(pages: DataFrame) -> tuple[DataFrame, str]:
-    """(host, main) of hosts whose template differs from the common one, and
-    the common one, deduced from all hosts' pages together."""
+def templates(pages: DataFrame) -> tuple[DataFrame, tuple[list[str], list[str]]]:
+    """(host, main, constant) of hosts whose template differs from the common
+    one, and the common one, deduced from all hosts' pages together."""
     tokens = stored(_tokens(pages), "page-tokens")
     mask = F.lit((1 << 62) - 1)
-    add = [F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").bitwiseAND(F.lit((1 << 40) - 1))).bitwiseAND(mask).alias("vector"), F.sum("chars").alias("chars")]
+    add = [F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum(F.col("vector").bitwiseAND(F.lit((1 << 40) - 1))).bitwiseAND(mask).alias("vector"), F.sum("chars").alias("chars"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("variants").alias("variants")]
     by_host = stored(tokens.groupBy("host", "path").agg(*add), "host-tokens")
     together = by_host.groupBy("path").agg(*add)
     # paths of a tenth of all pages: the skeleton that hosts share
     n = by_host.where(~F.col("path").contains(">")).agg(F.max("pages")).first()[0]
     if n is None:
-        return pages.sparkSession.createDataFrame([], "host string, main string"), ""
+        return pages.sparkSession.createDataFrame([], _TEMPLATE), ([], [])
     total = pages.count()
     common = together.where(F.col("pages") * 10 >= total).toPandas()
-    shared = _main_container(common)[0] if len(common) else ""
+    shared = _main_containers(common)[::2] if len(common) else ([], [])
 
     def deduced(own: pd.DataFrame) -> pd.DataFrame:
-        main, seen = _main_container(own)
-        told = seen >= LEAST_PAGES and main != shared
-        return pd.DataFrame({"host": [own["host"].iloc[0]], "main": [main]} if told else {"host": [], "main": []}, dtype=object)
+        main, seen, constant = _main_containers(own)
+        told = seen >= LEAST_PAGES and (main, constant) != shared
+        return pd.DataFrame([(own["host"].iloc[0], main, constant)] if told else [], columns=["host", "main", "constant"], dtype=object)
 
-    return stored(by_host.groupBy("host").applyInPandas(deduced, "host string, main string"), "page-templates"), shared
+    return stored(by_host.groupBy("host").applyInPandas(deduced, _TEMPLATE), "page-templates"), shared
 
 
-def _blocks(page: str, main: str) -> str:
-    """Text of the main container's blocks, boilerplate inside left out."""
-    want = tuple(main.split(">")) if main else ()
-    depth = len(want)
+def _blocks(page: str, main: list[str], constant: set[str]) -> str:
+    """Text of the page's blocks: of the main containers those that are not
+    boilerplate, of the rest those that are not constant and not all links."""
     events = list(parsed(page))
-    inside = lambda path: path[:depth] == want
-    if not main or not any(k == "open" and inside(p) for k, p, *_ in events):
+    opened = {p: b for k, p, b, *_ in events if k == "open"}
+    wants = [p for p in opened if ">".join(p) in main]
+    if not wants:
         for name in ("article", "main", "body"):
-            hit = next((p for k, p, b, *_ in events if k == "open" and p[-1].split(".")[0] == name and (name == "body" or not b)), None)
-            if hit:
-                want, depth = hit, len(hit)
+            wants = [p for p, b in opened.items() if p[-1].split(".")[0] == name and (name == "body" or not b)]
+            if wants:
                 break
         else:
-            want, depth = (), 0
-    out, held = [], []
-    for kind, path, boiler, _, text in events:
+            wants = [()]
+    inside = {p: any(p[: len(w)] == w for w in wants) for p in {(), *(p for _, p, *_ in events)}}
+    fixed = {p for p in inside if not inside[p] and ">".join(p) in constant}
+    out, held, told = [], [], False
+
+    def end() -> None:
+        nonlocal held, told
+        out.append("".join(held) if told else "")
+        held, told = [], False
+
+    for kind, path, boiler, link, text in events:
         if kind == "edge" or kind == "open":
-            out.append("".join(held))
-            held = []
-        elif not path:
+            end()
+        elif kind == "break":
             held.append(text)
-        elif inside(path) and not boiler:
+        elif not boiler and path not in fixed:
             held.append(text)
-    out.append("".join(held))
+            told = told or inside[path] or not link and not text.isspace()
+    end()
     blocks = (" ".join(html.unescape(b).split()) for b in out)
     return "\n".join(b for b in blocks if b)
 
@@ -230,13 +256,17 @@ def extract(pages: DataFrame) -> DataFrame:
     that name."""
     keep = [c for c in pages.columns if c not in ("text", "html")]
     rows = pages.select(F.struct(*keep).alias("_row"), "page_id", "html", host_of().alias("host"))
-    other, shared = templates(rows)
-    other = other.select(F.col("host").alias("_host"), "main")
-    told = rows.join(other, F.col("host") == F.col("_host"), "left").select("_row", "html", F.coalesce("main", F.lit(shared)).alias("main"))
+    other, (main, constant) = templates(rows)
+    other = other.select(F.col("host").alias("_host"), "main", "constant")
+    shared = [F.array(*map(F.lit, paths)).cast("array<string>").alias(c) for c, paths in (("main", main), ("constant", constant))]
+    told = rows.join(other, F.col("host") == F.col("_host"), "left").select(
+        "_row", "html", F.coalesce("main", shared[0]).alias("main"), F.coalesce("constant", shared[1]).alias("constant")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            texts = [_blocks(p, m) if p else "" for p, m in zip(t.column("html").to_pylist(), t.column("main").to_pylist(), strict=True)]
+            given = zip(*(t.column(c).to_pylist() for c in ("html", "main", "constant")), strict=True)
+            texts = [_blocks(p, m, set(c)) if p else "" for p, m, c in given]
             yield pa.RecordBatch.from_arrays([t.column("_row"), pa.array(texts, pa.string())], ["_row", "text"])
 
     schema = told.select("_row", F.lit("").alias("text")).schema

@@ -163,3 +163,41 @@ def test_given_pages(spark):
         m = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", m[1])]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+def words(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_text_beside_the_body_is_kept(spark):
+    """A heading, a lead and a second part beside the container of most text; one
+    long paragraph a page; a rare note; constant text and link lists go."""
+    body = "<html><body><div class=crumbs>You are here</div>{0}<ul class=more><li><a href=x>More {1}</a></ul></body></html>"
+    layouts = {
+        "lead": "<article><h1>Head {0}</h1><p class=lead>Lead <a href=x>to</a> {0}</p><div class=content><p>One {1}</p><p>Two {1}</p></div></article>",
+        "parts": "<h1>Head {0}</h1><article><p>One {1}</p></article><div class=part><p>Two {0}</p></div>",
+        "long": "<div class=top><h1>Head {0}</h1></div><div class=content><p>One {1}</p></div>",
+    }
+    expect = {
+        "lead": "Head {0}\nLead to {0}\nOne {1}\nTwo {1}",
+        "parts": "Head {0}\nOne {1}\nTwo {0}",
+        "long": "Head {0}\nOne {1}",
+    }
+    rows, wanted = [], {}
+    for j, (host, layout) in enumerate(layouts.items()):
+        for i in range(20):
+            n, short, full = 100 * j + i, words(i, 2), words(i, 60)
+            note = ("<div class=note><p>Rare one</p></div>", "\nRare one") if i == 7 else ("", "")
+            rows.append((n, f"http://{host}.org/{i}", body.format(layout.format(short, full) + note[0], i)))
+            wanted[n] = expect[host].format(short, full) + note[1]
+    two = "<html><body><article class=a><p>First</p></article><article class=b><p>Second</p></article></body></html>"
+    rows.append((900, "http://few.org", two))
+    wanted[900] = "First\nSecond"
+    out = template_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == wanted
+
+
+def test_equal_pages_show_no_constant_text(spark):
+    rows = [(i, "http://one.org/", "<body><h1>Head</h1><div class=c><p>Same text</p></div></body>") for i in range(12)]
+    out = template_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["text"] for r in out.collect()} == {"Head\nSame text"}
