@@ -14,9 +14,9 @@ if its text is one and the same on pages that differ otherwise. Going down
 from the page's body, the article's containers are the innermost ones that
 leave out only constant slots, link text and boilerplate (paths of fewer
 than a tenth of the pages do not stop the descent; article and main
-elements are not split). All their text is extracted, but for boilerplate
-elements inside, and outside them what is neither constant, nor
-boilerplate, nor blocks of nothing but links. Hosts of fewer than ``LEAST_PAGES`` pages show too little, and use the template of
+elements are not split). All text is extracted but constant slots,
+boilerplate elements, and outside the containers blocks of nothing but
+links. Hosts of fewer than ``LEAST_PAGES`` pages show too little, and use the template of
 all hosts together; a page that lacks its template's containers has its
 article elements, main or body instead.
 
@@ -55,10 +55,15 @@ INLINE = {
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "header", "form", "button", "menu", "dialog", "head", *RAW}
 BOILERPLATE_NAMES = {
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "cookie",
-    "cookies", "consent", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter", "notice",
-    "notices", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor",
-    "sponsored", "subscribe", "toolbar", "widget",
+    "cookies", "consent", "cta", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation",
+    "newsletter", "notice", "notices", "paywall", "popup", "promo", "related", "replies", "respond", "share", "sharing",
+    "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Parts that make a name tell a state, such as no-sidebar or comments-open.
+STATES = {"no", "not", "without", "has", "with", "open", "opened", "closed", "enabled", "disabled", "fixed", "sticky"}
+#: Elements that are never boilerplate by their names, and those that show where the article is.
+WHOLE = {"html", "body", "main", "article"}
+LANDMARKS = {"main", "article", "h1"}
 # ---- end of fixed values
 
 _MARKUP = re.compile(
@@ -67,23 +72,36 @@ _MARKUP = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
-def _boilerplate(tag: str, names: list[str]) -> bool:
-    return tag in BOILERPLATE_TAGS or any(p in BOILERPLATE_NAMES for n in names for p in re.split(r"[-_]+", n))
+def _named(names: list[str]) -> bool:
+    parts = (re.split(r"[-_]+", n) for n in names)
+    return any(not STATES.intersection(p) and not BOILERPLATE_NAMES.isdisjoint(p) for p in parts)
 
 
-def parsed(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, bool, str]]:
+def parsed(page: str) -> list[tuple[str, tuple[str, ...], bool, bool, str]]:
     """("open" | "text" | "break" | "edge", path, boilerplate, in a link, text)
     in page order: containers opened, stretches of text, line breaks, and
-    ends of blocks."""
-    stack: list[tuple[str, str, bool]] = []  # tag, token, boilerplate
+    ends of blocks.
+
+    Navigation and the like are boilerplate by their tags, but not the header
+    of an article. Other elements are so by their names, unless they hold the
+    page's article: a heading of first order, main or article element, or,
+    where none is outside, more than half of the text."""
+    events: list[tuple[str, int, bool, str]] = []
+    # by element: path, parent, boilerplate by tag, by name, characters, landmarks
+    paths: list[tuple[str, ...]] = [()]
+    up, by_tag, by_name, chars, marks = [0], [False], [False], [0], [0]
+    stack: list[tuple[str, int]] = []  # tag, element
     link, at, n = 0, 0, len(page)
     while at < n:
         m = _MARKUP.search(page, at)
         end = m.start() if m else n
         if end > at:
-            yield "text", tuple(t for _, t, _ in stack), any(b for *_, b in stack), link > 0, page[at:end]
+            e = stack[-1][1] if stack else 0
+            events.append(("text", e, link > 0, page[at:end]))
+            if not link:
+                chars[e] += len(page[at:end].strip())
         if not m:
-            return
+            break
         at = max(m.end(), end + 1)
         tag = (m[2] or "").lower()
         if not tag:
@@ -92,11 +110,11 @@ def parsed(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, bool, str]]:
             if tag == "a":
                 link = max(0, link + (-1 if m[1] else 1))
             elif tag == "br":
-                yield "break", (), False, False, " "
+                events.append(("break", 0, False, " "))
             continue
-        yield "edge", (), False, False, ""
+        events.append(("edge", 0, False, ""))
         if m[1]:
-            if any(t == tag for t, *_ in stack):
+            if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
                 link = 0
@@ -108,12 +126,27 @@ def parsed(page: str) -> Iterator[tuple[str, tuple[str, ...], bool, bool, str]]:
         if stack and stack[-1][0] == "p" or tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
             stack.pop()  # a block ends an open paragraph, an item the item before
         names = [x.lower() for g in _NAMES.findall(m[3] or "") for x in "".join(g).split()]
-        token = ".".join([tag, *names[:1]])
-        path = (*(t for _, t, _ in stack), token)
-        own = _boilerplate(tag, names)
-        yield "open", path, own or any(b for *_, b in stack), False, ""
+        parent, named = stack[-1][1] if stack else 0, _named(names)
+        own = tag in BOILERPLATE_TAGS and tag != "form" and not (tag == "header" and any(t in ("article", "main") for t, _ in stack))
+        events.append(("open", len(paths), False, ""))
         if tag not in VOID and not (m[3] or "").endswith("/"):
-            stack.append((tag, token, own))
+            stack.append((tag, len(paths)))
+        paths.append((*paths[parent], ".".join([tag, *names[:1]])))
+        up.append(parent)
+        by_tag.append(by_tag[parent] or own)
+        by_name.append((named or tag == "form") and tag not in WHOLE)
+        chars.append(0)
+        marks.append(int(tag in LANDMARKS and not named and not by_tag[-1]))
+    # an element's text and landmarks are also its parents'
+    for e in range(len(paths) - 1, 0, -1):
+        if not by_tag[e]:
+            chars[up[e]] += chars[e]
+            marks[up[e]] += marks[e]
+    boiler = [False]
+    for e in range(1, len(paths)):
+        holds = marks[e] > 0 or marks[0] == 0 and 2 * chars[e] > chars[0]
+        boiler.append(boiler[up[e]] or by_tag[e] or by_name[e] and not holds)
+    return [(kind, paths[e], boiler[e], linked, text) for kind, e, linked, text in events]
 
 
 def host_of(url: str = "url"):
@@ -217,9 +250,9 @@ def templates(pages: DataFrame) -> tuple[DataFrame, tuple[list[str], list[str]]]
 
 
 def _blocks(page: str, main: list[str], constant: set[str]) -> str:
-    """Text of the page's blocks: of the main containers those that are not
-    boilerplate, of the rest those that are not constant and not all links."""
-    events = list(parsed(page))
+    """Text of the page's blocks that are neither boilerplate nor constant,
+    outside the main containers nor all links."""
+    events = parsed(page)
     opened = {p: b for k, p, b, *_ in events if k == "open"}
     wants = [p for p in opened if ">".join(p) in main]
     if not wants:
@@ -230,7 +263,7 @@ def _blocks(page: str, main: list[str], constant: set[str]) -> str:
         else:
             wants = [()]
     inside = {p: any(p[: len(w)] == w for w in wants) for p in {(), *(p for _, p, *_ in events)}}
-    fixed = {p for p in inside if not inside[p] and ">".join(p) in constant}
+    fixed = {p for p in inside if ">".join(p) in constant}
     out, held, told = [], [], False
 
     def end() -> None:

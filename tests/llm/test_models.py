@@ -201,3 +201,30 @@ def test_equal_pages_show_no_constant_text(spark):
     rows = [(i, "http://one.org/", "<body><h1>Head</h1><div class=c><p>Same text</p></div></body>") for i in range(12)]
     out = template_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
     assert {r["text"] for r in out.collect()} == {"Head\nSame text"}
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<body class='page no-sidebar'><article><h1>Head {0}</h1><p>One {1}</p></article></body>",
+        "<body><div class='header-fixed wrapper'><article class='post comments-open'><h1>Head {0}</h1><p>One {1}</p></article></div></body>",
+        "<body><div class='nav wrapper'><div class=post><h1>Head {0}</h1><p>One {1}</p></div></div></body>",
+        "<html class=has-banner><body><form id=widget-form><main id='main-nav-content'><h1>Head {0}</h1><p>One {1}</p></main></form></body></html>",
+        "<body><div class=widget><h2>Head {0}</h2><p>One {1}</p></div></body>",
+        "<body><article><header><h1>Head {0}</h1></header><p>One {1}</p></article></body>",
+    ],
+)
+def test_names_do_not_take_the_article(frame):
+    short, full = words(3, 2), words(3, 60)
+    assert template_extract._blocks(frame.format(short, full), [], set()) == f"Head {short}\nOne {full}"
+
+
+def test_constant_slots_and_comments_in_the_article_go(spark):
+    page = """<html><body class=no-sidebar><article class='post comments-open'><h1>Head {0}</h1><p class=lead>Lead {0}</p>
+        <div class=join><p>Join us today</p></div><p>One {1}</p><p>Two {0}</p><div class=paywall-box>Pay {0}</div><div class=cta>Buy {0}</div>
+        <div class=disqus><article class=comment><p>Reader {1} {1}</p></article></div><section id=replies><p>Nice {0}</p></section></article></body></html>"""
+    rows = [(i, f"http://one.org/{i}", page.format(words(i, 2), words(i, 40))) for i in range(20)]
+    out = template_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {
+        i: f"Head {words(i, 2)}\nLead {words(i, 2)}\nOne {words(i, 40)}\nTwo {words(i, 2)}" for i in range(20)
+    }
