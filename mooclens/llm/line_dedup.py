@@ -35,7 +35,8 @@ from mooclens.llm.onepermutation import probe_ranks
 from mooclens.llm.textnum import LOWER, Layout, as_bytes, chunks, mix, parts
 
 MIN_CHARS = 30
-WIDTH = 10
+#: One changed character leaves a line of 49 characters or more above the threshold.
+WIDTH = 5
 BINS = 27
 BAND = 3
 #: Bits of a hash that tell a bin's hashes apart; the rest number the bins of a

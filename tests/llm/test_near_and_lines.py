@@ -106,3 +106,25 @@ def test_fuzzy_lines_and_repeats(spark):
 def test_empty_tables(nothing):
     assert hyperminhash.near_duplicates(nothing).count() == 0
     assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+@pytest.mark.parametrize("size", [30, 60, 100])
+def test_one_changed_character_or_word(spark, size):
+    """Copies of short lines with one edit, against all pairs at the width in use."""
+    rng = random.Random(size)
+    rows, chars, words = [], [], []
+    for i in range(60):
+        line = prose(rng, size)[: size - 4] + " end"
+        k = size // 2
+        one = line[:k] + "#" + line[k + 1 :]
+        w = line.split(" ")
+        w[len(w) // 2] = "q" * len(w[len(w) // 2])
+        rows += [(3 * i, line), (3 * i + 1, one), (3 * i + 2, " ".join(w))]
+        chars.append(3 * i + 1)
+        words.append((3 * i + 2, len(w[len(w) // 2])))
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed_lines(rows, width=line_dedup.WIDTH)
+    if size >= 60:
+        assert all(got[d] == [0] for d in chars)
+    if size >= 100:
+        assert all(got[d] == [0] for d, n in words if n <= 6)
