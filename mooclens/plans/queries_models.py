@@ -144,11 +144,10 @@ def m16_l1_logistic(spark, sf):
 
 @query("k8_poly2_minmax")
 def k8_poly2_minmax(spark, sf):
-    """K8: degree-2 expansion of 8 activity features, min-max fitted
+    """K8: degree-2 expansion of all features, min-max fitted
     separately on train and prediction data, then L2 logistic (C = 0.1)."""
     x = feature_table(spark, sf)
-    cols = FEATS[:8]
-    tr, te = models.poly2_minmax(x.where(F.col("split") != "test"), x.where(F.col("split") == "test"), cols)
+    tr, te = models.poly2_minmax(x.where(F.col("split") != "test"), x.where(F.col("split") == "test"), FEATS)
     m = models.logistic_regression(0.1, tr.count()).fit(tr)
     return models.positive_score(m.transform(te), "enrollment_id")
 
@@ -161,10 +160,17 @@ def k10_isotonic_calibration(spark, sf):
 
 @query("k11_sigmoid_calibration")
 def k11_sigmoid_calibration(spark, sf):
-    """Platt scaling of model 0's blend scores from 5 stratified folds."""
-    s = fx.scores(spark, sf).where((F.col("model") == 0) & (F.col("split") == "blend"))
-    folds = metrics.stratified_folds(s.select("enrollment_id", "label"), 5, seed=None)
-    return models.sigmoid_calibration(s, folds, 5)
+    """Platt scaling of every model's blend scores from 5 stratified
+    folds of its own."""
+    s = fx.scores(spark, sf).where(F.col("split") == "blend").withColumn("class", F.struct("model", "label"))
+    s = materialize(metrics.stratified_folds(s, 5, label="class", seed=None).drop("class"), "k11_folds")
+    out = None
+    for i in sorted(r[0] for r in s.select("model").distinct().collect()):
+        own = s.where(F.col("model") == i)
+        found = models.sigmoid_calibration(own.drop("fold"), own.select("enrollment_id", "fold"), 5)
+        found = materialize(found.withColumn("model", F.lit(i)), "k11_model")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query("l8_kfold_predictions")
@@ -188,7 +194,7 @@ def l10_early_stopping(spark, sf):
 
 
 def blend_matrix(spark, sf, splits=("blend",)):
-    """Calibrated scores of the 64 models, one row per id (qid 0: the
+    """Calibrated scores of all models, one row per id (qid 0: the
     blending problem is one big query)."""
     def build():
         s = cal_scores(spark, sf)
@@ -201,27 +207,32 @@ def blend_matrix(spark, sf, splits=("blend",)):
                        "split", *[F.col(f"`{i}`").alias(f"m{i}") for i in wide.columns if i not in fixed])
 
 
-MODELS = [f"m{i}" for i in range(64)]
+def blend_models(matrix):
+    """The model columns of a blend matrix."""
+    return [c for c in matrix.columns if c not in ("qid", "row_id", "label", "split")]
 
 
 @query("n5_rank_svm_blend")
 def n5_rank_svm_blend(spark, sf):
-    """Ranking SVM on the 64 calibrated scores of the blend split; weights."""
-    w = ranksvm.rank_svm_fit(blend_matrix(spark, sf), MODELS, C=1.0)
+    """Ranking SVM on all models' calibrated scores of the blend split; weights."""
+    x = blend_matrix(spark, sf)
+    w = ranksvm.rank_svm_fit(x, blend_models(x), C=1.0)
     return ranksvm.weights_table(spark, w)
 
 
 @query("m11_grid_search_c")
 def m11_grid_search_c(spark, sf):
     """C in 1e-5 .. 1e4, all ten fits in shared passes; validation AUC."""
-    return ranksvm.grid_search_c(blend_matrix(spark, sf), blend_matrix(spark, sf, ("val",)), MODELS,
+    x = blend_matrix(spark, sf)
+    return ranksvm.grid_search_c(x, blend_matrix(spark, sf, ("val",)), blend_models(x),
                                  [10.0 ** i for i in range(-5, 5)])
 
 
 @query("m13_refit_and_answer")
 def m13_refit_and_answer(spark, sf):
     """Refit on blend + val, score test, write rescaled answers (A9), read back."""
-    w = ranksvm.rank_svm_fit(blend_matrix(spark, sf, ("blend", "val")), MODELS, C=1.0)
+    x = blend_matrix(spark, sf, ("blend", "val"))
+    w = ranksvm.rank_svm_fit(x, blend_models(x), C=1.0)
     test = ranksvm.rank_svm_score(blend_matrix(spark, sf, ("test",)), w)
     path = scratch_dir(spark, "final")
     io.write_rescaled_answers(test.select(F.col("row_id").alias("enrollment_id"), "score"), path)
@@ -231,7 +242,8 @@ def m13_refit_and_answer(spark, sf):
 @query("a13_model_round_trip")
 def a13_model_round_trip(spark, sf):
     """Fitted weights saved as a table and loaded back."""
-    w = ranksvm.rank_svm_fit(blend_matrix(spark, sf), MODELS[:8], C=0.1)
+    x = blend_matrix(spark, sf)
+    w = ranksvm.rank_svm_fit(x, blend_models(x), C=0.1)
     path = scratch_dir(spark, "model")
     io.save_weights(ranksvm.weights_table(spark, w), path)
     return io.load_weights(spark, path)
@@ -271,4 +283,5 @@ def n7_pairwise_logistic(spark, sf):
 def m9_rank_svm_removal_round(spark, sf):
     """M9 with the ranking SVM: for each of the 64 models, refit without it
     (all 64 fits share every Spark pass) and report validation AUC."""
-    return ranksvm.removal_round(blend_matrix(spark, sf), blend_matrix(spark, sf, ("val",)), MODELS, C=1.0)
+    x = blend_matrix(spark, sf)
+    return ranksvm.removal_round(x, blend_matrix(spark, sf, ("val",)), blend_models(x), C=1.0)
