@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooclens.llm import cover_tree, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, repeats, sql, template_extract, toxicity
+from mooclens.llm import cover_tree, divergence, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, repeats, sql, template_extract, toxicity
 from mooclens.llm.common import ORACLE, QUERIES, fold, query, read_table  # noqa: F401
 
 
@@ -80,3 +80,8 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_divergence", sql.DIVERGENCE)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))

@@ -24,3 +24,50 @@ SELECT m.doc_id, CAST(m.n_words AS BIGINT) AS n_words, CAST(coalesce(len(m.k), 0
        sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM marked m LEFT JOIN kept t ON m.row = t.row
 """
+
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
+  FROM documents
+), t AS (
+  SELECT row, lang, source,
+         translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM d
+), kept AS (
+  SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang
+), groups AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total
+  FROM groups g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL
+), lang_totals AS (
+  SELECT lang, sum(total)::HUGEINT AS total FROM totals GROUP BY lang
+), q AS (
+  SELECT k.lang, k.term, 1 + (1000000000 * (sum(c.n) + 5)) // (any_value(lt.total) + 5 * any_value(v.v)) AS q
+  FROM kept k JOIN c ON k.lang = c.lang AND k.term = c.term JOIN v ON k.lang = v.lang
+  JOIN lang_totals lt ON k.lang = lt.lang GROUP BY k.lang, k.term
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * v.v) AS p
+  FROM totals g JOIN kept k ON g.lang = k.lang JOIN v ON g.lang = v.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR r <= 50
+"""
