@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooclens.llm import cover_tree, divergence, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, repeats, sql, template_extract, toxicity
+from mooclens.llm import conversations, cover_tree, divergence, fingerprint, hyperminhash, katz, line_dedup, mixing, packing, ppm, repeats, sql, template_extract, toxicity
 from mooclens.llm.common import ORACLE, QUERIES, fold, query, read_table  # noqa: F401
 
 
@@ -85,3 +85,8 @@ def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_divergence", sql.DIVERGENCE)
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversations", sql.CONVERSATIONS)
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(read_table(spark, sf_dir, "conversations"))
