@@ -166,7 +166,7 @@ def _evaluated(rules: list[str]):
     return run
 
 
-def _joined(group: pd.DataFrame) -> pd.DataFrame:
+def _joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Consecutive blocks of a conversation as one."""
     group = group.sort_values("block")
     matrix, out = None, None
@@ -181,7 +181,7 @@ def _joined(group: pd.DataFrame) -> pd.DataFrame:
         out = [out[0] + x.blank, out[1] + x.duplicate, out[2] + x.truncated, out[3] + x.illegal + border, out[4], x.last]
     costs, audits = rg.packed(matrix)
     row = dict(zip(_FACTS, [costs, audits, *out], strict=True))
-    return pd.DataFrame([{"conv_id": group["conv_id"].iloc[0], "block": group["block"].iloc[0] // FAN} | row])
+    return pd.DataFrame([{"conv_id": group["conv_id"].iloc[0], "block": key[1]} | row])
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -209,12 +209,14 @@ def _block_pairs(cells: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     p = np.empty((len(sources), len(terms)), np.int64)
     p[:] = sources["rest"].to_numpy()[:, None]
     p[at, row] = cells["p"].to_numpy()
-    names = sources["source"].to_numpy()
-    out = []
+    names = sources["source"].to_numpy(object)
+    one, two, value = [], [], []
     for k in range(len(sources) - 1):
-        f = np.abs(p[k + 1 :] - p[k]).sum(axis=1)
-        out.append(pd.DataFrame({"lang": cells["lang"].iloc[0], "source": names[k], "item": names[k + 1 :], "value": f}))
-    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("lang", "source", "item", "value")})
+        one += [names[k]] * (len(names) - k - 1)
+        two += names[k + 1 :].tolist()
+        value.append(np.abs(p[k + 1 :] - p[k]).sum(axis=1))
+    value = np.concatenate([np.zeros(0, np.int64), *value])
+    return pd.DataFrame({"lang": cells["lang"].iloc[0], "source": one, "item": two, "value": value})
 
 
 def divergence(
