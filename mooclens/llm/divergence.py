@@ -45,10 +45,12 @@ from mooclens.llm.textnum import NOT_LETTERS, Layout, as_bytes, parts
 
 MIN_DOCS = 30
 TOP = 50
-#: Keys of a shard, bytes of keys in a broadcast round, cells that a task holds.
+#: Keys of a shard, bytes of keys in a broadcast round, slots that a task holds,
+#: cells (term, source) of a block.
 SHARD_KEYS = 1 << 15
 ROUND_BYTES = 64 << 20
-CELLS = 1 << 20
+SLOTS = 1 << 20
+CELLS = 1 << 16
 PART = 4 << 20
 _GROUPS = "lang string, source string, term string, n long"
 
@@ -121,7 +123,7 @@ def perfect_hashes(kept: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataF
     return stored(numbered.groupBy("shard").applyInPandas(_build, SCHEMA), "perfect-hashes"), shards
 
 
-def _counter(table, shards: int, most_cells: int):
+def _counter(table, shards: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = PerfectHash(table.value, shards)
         slots: dict[tuple[str, str], np.ndarray] = {}
@@ -164,7 +166,7 @@ def _counter(table, shards: int, most_cells: int):
                         slots[names[k]] = np.zeros(len(keys.lang_slots[lang]), np.int64)
                         held += len(slots[names[k]])
                     slots[names[k]][keys.local[at[mine]]] += n[here[mine]]
-            if held > most_cells:
+            if held > most:
                 yield from emptied()
                 held = 0
         yield from emptied()
@@ -187,7 +189,7 @@ def group_counts(docs: DataFrame, kept: DataFrame, round_bytes: int = ROUND_BYTE
     for own in rounds:
         some = table.where(F.col("shard").between(own[0], own[-1])) if own else table.limit(0)
         held = spark.sparkContext.broadcast(some.toArrow())
-        counts = _text_columns(docs).mapInArrow(_counter(held, shards, CELLS), _GROUPS)
+        counts = _text_columns(docs).mapInArrow(_counter(held, shards, SLOTS), _GROUPS)
         found = counts if found is None else found.unionByName(counts)
     return stored(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "group-counts")
 

@@ -72,6 +72,7 @@ def test_against_dictionaries(spark, rounds):
 
 def test_small_dense_arrays_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(divergence, "CELLS", 300)
+    monkeypatch.setattr(divergence, "SLOTS", 40)
     monkeypatch.setattr(divergence, "PART", 2000)
     rows = corpus(9, 500)
     df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
