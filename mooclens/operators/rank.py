@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.operators.prefix import prefix_sums, row_numbers
+from mooclens.operators.prefix import _join_same, prefix_sums, row_numbers
 from mooclens.session import HOT_ROWS_KEY, conf_int
 
 
@@ -32,10 +32,11 @@ def queries_are_small(df: DataFrame, qid: str = "qid") -> bool:
 
 def label_levels(df: DataFrame, qid: str = "qid", label: str = "label", out: str = "level",
                  small: bool = False) -> DataFrame:
-    """Dense label levels 1..k inside each query (ascending label)."""
+    """Dense label levels 1..k inside each query (ascending label; rows
+    without a label are the lowest level, rows without a query are one)."""
     distinct = df.select(qid, label).distinct()
     levels = row_numbers(distinct, [qid], [label], out, small=small)
-    return df.join(levels.select(qid, label, F.col(out).cast("int").alias(out)), [qid, label], "inner")
+    return _join_same(df, levels.select(qid, label, F.col(out).cast("int").alias(out)), [qid, label], "inner")
 
 
 def query_sizes(df: DataFrame, qid: str = "qid") -> DataFrame:
@@ -83,7 +84,7 @@ def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, m
     own = F.lit(sign) * F.col(key).cast("double")
     levels = df.groupBy(qid).agg(F.max("level").alias("_kmax"))
     enters, probes = _cells(F.col("level"), F.col("_kmax"), direction)
-    base = df.join(levels, qid, "inner")
+    base = _join_same(df, levels, [qid], "inner")
     data = base.select(
         qid, F.explode(enters).alias("_t"), own.alias("_key"), F.lit(1).alias("_kind"),
         F.lit(None).cast(df.schema[rid].dataType).alias(rid), F.lit(1).cast("long").alias("_w"), val.alias("_v"),
@@ -114,7 +115,7 @@ def margin_violations(df: DataFrame, z: str, qid: str = "qid", rid: str = "row_i
         qid, rid, F.col("_cnt").alias("l_plus"), F.col("_sum").alias("gamma_plus"))
     minus = _dominance(df, qid, rid, z, value, margin, "minus", small).select(
         qid, rid, F.col("_cnt").alias("l_minus"), F.col("_sum").alias("gamma_minus"))
-    return df.join(plus, [qid, rid], "inner").join(minus, [qid, rid], "inner")
+    return _join_same(_join_same(df, plus, [qid, rid], "inner"), minus, [qid, rid], "inner")
 
 
 def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
@@ -132,7 +133,7 @@ def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str
     tot = per_label.groupBy(qid).agg(F.sum(c).alias("_n"), F.sum(c * c).cast("decimal(38,0)").alias("_same"))
     twice = (F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")).cast("decimal(38,0)") - F.col("_same")
     tot = tot.select(qid, (twice.cast("decimal(38,0)") / 2).cast("long").alias("n_pairs"))
-    return tot.join(nd, qid, "left").select(qid, "n_pairs", F.coalesce("n_discordant", F.lit(0)).alias("n_discordant"))
+    return _join_same(tot, nd, [qid], "left").select(qid, "n_pairs", F.coalesce("n_discordant", F.lit(0)).alias("n_discordant"))
 
 
 def pairwise_accuracy(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
@@ -170,7 +171,7 @@ def _ideal_positions(df: DataFrame, qid: str, rid: str, label: str, small: bool)
     counts = df.groupBy(qid, label).agg(F.count(F.lit(1)).alias("_n")).withColumn("_o", -F.col(label).cast("double"))
     begins = prefix_sums(counts, [qid], ["_o"], {"_before": F.col("_n")}, inclusive=False, small=small)
     inside = row_numbers(df.select(qid, rid, label), [qid, label], [rid], "_inside", small=small)
-    placed = inside.join(begins.select(qid, label, "_before"), [qid, label], "inner")
+    placed = _join_same(inside, begins.select(qid, label, "_before"), [qid, label], "inner")
     return placed.withColumn("_pos", F.col("_before") + F.col("_inside"))
 
 
@@ -183,7 +184,7 @@ def ndcg_per_query(df: DataFrame, score: str = "score", qid: str = "qid", rid: s
     by_score = df.select(qid, rid, label, (-F.col(score).cast("double")).alias("_o"))
     actual = _summed(row_numbers(by_score, [qid], ["_o", rid], "_pos", small=small), qid, label, "_dcg", small)
     ideal = _summed(_ideal_positions(df, qid, rid, label, small), qid, label, "_idcg", small)
-    j = actual.join(ideal, [qid, "_pos"], "inner")
+    j = _join_same(actual, ideal, [qid, "_pos"], "inner")
     per = j.groupBy(qid).agg(
         F.avg(F.try_divide(F.col("_dcg"), F.col("_idcg"))).alias("_r"),
         F.max(F.when(F.col("_pos") == 1, F.col("_idcg"))).alias("_top"),

@@ -3,7 +3,7 @@
 Group statistics are computed with one aggregation and joined back (the
 group table is small: one row per model/split or per course), never with
 an unordered window over a whole group, so a hot group does not end up in
-one task.
+one task. Rows whose group is NULL are a group of their own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.functions.scalar import safe_div
-from mooclens.operators.prefix import row_numbers
+from mooclens.operators.prefix import _join_same, row_numbers
 from mooclens.operators.sizing import maybe_broadcast
 
 
@@ -26,7 +26,7 @@ def _stats(df: DataFrame, keys: list[str], col: str) -> DataFrame:
 
 def _join_stats(df: DataFrame, keys: list[str], stats: DataFrame) -> DataFrame:
     if keys:
-        return df.join(maybe_broadcast(stats), keys, "inner")
+        return _join_same(df, maybe_broadcast(stats), keys, "inner")
     # Global statistics: a single-row table, applied as scalar subqueries.
     row = {c: stats.select(c).scalar() for c in stats.columns}
     return df.select("*", *[v.alias(k) for k, v in row.items()])
@@ -38,7 +38,7 @@ def rank_calibrate(df: DataFrame, keys: list[str], score: str = "score", id_col:
     id. Ranks come from the skew-safe row numbering (P1)."""
     ranked = row_numbers(df, keys, [score, id_col], "_rn")
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    j = ranked.join(maybe_broadcast(counts), keys, "inner")
+    j = _join_same(ranked, maybe_broadcast(counts), keys, "inner")
     res = ((F.col("_rn") - 1) / F.col("_n")).alias(out)
     return j.select(*[c for c in df.columns if c != out], res)
 

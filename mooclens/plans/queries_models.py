@@ -1,12 +1,13 @@
-"""Registered model-fitting queries (rows-only checks: model internals are
-Spark ML's or iterative, so no SQL oracle)."""
+"""Registered model-fitting queries (rows-only checks where model internals
+are Spark ML's)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mooclens.operators import metrics, models, pairs, ranksvm, scale
+from mooclens.operators import calibration, metrics, models, pairs, ranksvm, scale
 from mooclens.plans import features as feat
+from mooclens.plans.oracle import rounded, with_ctes
 from mooclens.plans.queries_features import fx_log
 from mooclens.plans.queries_ranking import scratch_dir
 from mooclens.plans.queries_scoring import cal_scores
@@ -152,25 +153,71 @@ def k8_poly2_minmax(spark, sf):
     return models.positive_score(m.transform(te), "enrollment_id")
 
 
-@query("k10_isotonic_calibration")
+# Least concave majorant by the min-max formula: the fit at a score is the
+# greatest, over starts below, of the least mean up to any end above.
+ISOTONIC_SQL = with_ctes(rounded("SELECT * FROM applied", ["model", "split", "enrollment_id", "label"], ["score"]), {
+    "points": """
+  SELECT model, score AS x, sum(label) AS s, count(*) AS w, row_number() OVER (PARTITION BY model ORDER BY score) AS i
+  FROM scores WHERE split = 'blend' GROUP BY model, score""",
+    "sums": """
+  SELECT model, x, i, sum(s) OVER (PARTITION BY model ORDER BY i) AS cs, sum(w) OVER (PARTITION BY model ORDER BY i) AS cw, s, w FROM points""",
+    "least": """
+  SELECT a.model, a.i AS start, b.i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.model, a.i ORDER BY b.i DESC) AS m
+  FROM sums a JOIN sums b ON a.model = b.model AND b.i >= a.i""",
+    "fitted": """
+  SELECT p.model, p.x, max(l.m) AS v FROM points p JOIN least l ON p.model = l.model AND p.i = l.i GROUP BY p.model, p.x""",
+    "applied": """
+  SELECT s.model, s.split, s.enrollment_id, s.label,
+         CASE WHEN lo.x IS NULL THEN hi.v WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.v
+              ELSE lo.v + (hi.v - lo.v) * (s.score - lo.x) / (hi.x - lo.x) END AS score
+  FROM (SELECT * FROM scores WHERE split IN ('val', 'test')) s
+  ASOF LEFT JOIN fitted lo ON s.model = lo.model AND s.score >= lo.x
+  ASOF LEFT JOIN fitted hi ON s.model = hi.model AND s.score <= hi.x"""})
+
+
+@query("k10_isotonic_calibration", ISOTONIC_SQL)
 def k10_isotonic_calibration(spark, sf):
     """Per model isotonic calibration fitted on blend scores, applied to val and test."""
-    return models.isotonic_calibration(fx.scores(spark, sf), fit_split="blend", apply_splits=("val", "test"))
-
-
-@query("k11_sigmoid_calibration")
+    return calibration.isotonic_calibration(fx.scores(spark, sf), fit_split="blend", apply_splits=("val", "test"))
+
+
+# Ten full Newton steps from zero for every (model, fold left out).
+SIGMOID_SQL = with_ctes(rounded("SELECT * FROM scaled", ["model", "split", "enrollment_id", "label", "fold"], ["score"]), {
+    "folded": """
+  SELECT *, CAST((row_number() OVER (PARTITION BY model, label ORDER BY enrollment_id) - 1) % 5 AS INTEGER) AS fold
+  FROM scores WHERE split = 'blend'""",
+    "fits": """
+  SELECT DISTINCT model, fold AS f, 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM folded
+  UNION ALL
+  SELECT model, f, i + 1, a - (g1 * h00 - g0 * h01) / (h11 * h00 - h01 * h01), b - (g0 * h11 - g1 * h01) / (h11 * h00 - h01 * h01) FROM (
+    SELECT model, f, i, a, b, sum(p - label) AS g0, sum((p - label) * score) AS g1, sum(p * (1 - p)) AS h00,
+           sum(p * (1 - p) * score) AS h01, sum(p * (1 - p) * score * score) AS h11
+    FROM (SELECT t.model, t.f, t.i, t.a, t.b, r.label, r.score, 1 / (1 + exp(-(t.a * r.score + t.b))) AS p
+          FROM fits t JOIN folded r ON t.model = r.model AND t.f <> r.fold WHERE t.i < 10) x
+    GROUP BY model, f, i, a, b) y""",
+    "scaled": """
+  SELECT r.model, r.split, r.enrollment_id, r.label, r.fold, 1 / (1 + exp(-(t.a * r.score + t.b))) AS score
+  FROM folded r JOIN fits t ON r.model = t.model AND r.fold = t.f AND t.i = 10"""}).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("k11_sigmoid_calibration", SIGMOID_SQL)
 def k11_sigmoid_calibration(spark, sf):
     """Platt scaling of every model's blend scores from 5 stratified
-    folds of its own."""
+    folds of its own, all models and folds in the same passes."""
     s = fx.scores(spark, sf).where(F.col("split") == "blend").withColumn("class", F.struct("model", "label"))
     s = materialize(metrics.stratified_folds(s, 5, label="class", seed=None).drop("class"), "k11_folds")
-    out = None
-    for i in sorted(r[0] for r in s.select("model").distinct().collect()):
-        own = s.where(F.col("model") == i)
-        found = models.sigmoid_calibration(own.drop("fold"), own.select("enrollment_id", "fold"), 5)
-        found = materialize(found.withColumn("model", F.lit(i)), "k11_model")
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = calibration.sigmoid_calibration(s, ["model"], 5)
+    return found.select("model", "split", "enrollment_id", "label", "fold", "score")
+
+
+@query("k11_calibrated_forest")
+def k11_calibrated_forest(spark, sf):
+    """K11 as a classifier: an entropy forest refitted for each of 5 folds,
+    calibrated on the fold left out, mean of the five for the test split."""
+    x = feature_table(spark, sf)
+    return calibration.calibrated_classifier(
+        x.where(F.col("split") != "test"), x.where(F.col("split") == "test"), FEATS,
+        lambda f: models.random_forest(n_trees=100, max_depth=15, impurity="entropy", seed=f))
 
 
 @query("l8_kfold_predictions")
