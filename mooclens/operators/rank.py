@@ -9,12 +9,20 @@ of length 1, 2, 4..., so a row enters and probes about log2(levels) cells,
 with real-valued labels too; where a query has few levels, one cell for
 each level to be compared with is less. The running sums use the skew-safe
 scans of ``mooclens.operators.prefix`` so one huge query is split.
+
+Where no query is huge (``queries_are_small``), rows are shuffled once, by
+query, and ``swept`` counts both directions over whole queries of a sorted
+partition, some hundred thousand rows at a time, with the same cells: rows
+keep their columns and nothing is joined back.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +52,113 @@ def query_sizes(df: DataFrame, qid: str = "qid") -> DataFrame:
     return df.groupBy(qid).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows that ``swept`` works through at once; a query's rows stay together.
+SWEEP_ROWS = 1 << 18
+
+
+def _runs(ordered: list[np.ndarray]) -> np.ndarray:
+    """Number of the run of equal rows of sorted arrays that each row is in."""
+    new = np.zeros(len(ordered[0]), bool)
+    for x in ordered:
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def dense_levels(group: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Levels 1..k of ascending labels inside each group (ascending numbers);
+    NaN is the lowest."""
+    label = np.where(np.isnan(label), -np.inf, label)
+    order = np.lexsort((label, group))
+    run = _runs([group[order], label[order]])
+    first = np.zeros(group[-1] + 1 if len(group) else 0, np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])) if len(group) else []
+    first[group[order][heads]] = run[heads]
+    out = np.empty(len(group), np.int64)
+    out[order] = run - first[group[order]] + 1
+    return out
+
+
+def dominance(group: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.ndarray, margin: float,
+              direction: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: count and sum of ``value`` over rows of its group with a
+    higher level and a key below its own + margin ('plus'), or a lower level
+    and a key above its own - margin ('minus'). A row of level l looks at the
+    neighbour of each of its cells l div 2^b that lies beyond it in the same
+    pair; together these hold every level beyond l once."""
+    n, above = len(group), direction == "plus"
+    own = key if above else -key
+    count, total = np.zeros(n, np.int64), np.zeros(n)
+    for b in range(int(level.max(initial=0)).bit_length()):
+        cell = level >> b
+        odd = cell & 1 == 1
+        asks = np.flatnonzero(~odd if above else odd)
+        held = np.flatnonzero(odd if above else ~odd)
+        who = np.concatenate([held, asks])
+        is_ask = np.arange(len(who)) >= len(held)
+        at = np.where(is_ask, cell[who] + (1 if above else -1), cell[who])
+        place = np.where(is_ask, own[who] + margin, own[who])
+        # at equal places the asking row comes first: the bound is strict
+        order = np.lexsort((~is_ask, place, at, group[who]))
+        run = _runs([group[who][order], at[order]])
+        seen = np.cumsum(~is_ask[order])
+        # extended precision: differences of sums over the whole chunk
+        sums = np.cumsum(np.where(is_ask, 0.0, value[who])[order], dtype=np.longdouble)
+        start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))[run] if len(run) else run
+        before = np.where(start > 0, seen[start - 1], 0)
+        before_sum = np.where(start > 0, sums[start - 1], 0)
+        mine = np.flatnonzero(is_ask[order])
+        row = who[order][mine]
+        count[row] += seen[mine] - before[mine]
+        total[row] += (sums[mine] - before_sum[mine]).astype(float)
+    return count, total
+
+
+def _whole_queries(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole queries of a sorted partition, and each row's query."""
+    held, rows = [], 0
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in keys]
+        return _runs([c.indices.to_numpy(zero_copy_only=False) for c in codes])
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= SWEEP_ROWS:
+            table = pa.Table.from_batches(held)
+            group = numbered(table)
+            cut = int(np.searchsorted(group, group[-1]))  # the last query may go on
+            if cut:
+                yield table.slice(0, cut), group[:cut]
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        table = pa.Table.from_batches(held)
+        yield table, numbered(table)
+
+
+def _floats(table: pa.Table, column: str) -> np.ndarray:
+    return table.column(column).cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def swept(df: DataFrame, keys: list[str], key: str, value: str, margin: float, level: str | None = None,
+          label: str | None = None, directions=("plus", "minus")) -> DataFrame:
+    """``df`` with cnt_<direction> and sum_<direction> of ``dominance`` for
+    every row inside its group of ``keys``; levels are given, or made from
+    ``label``. Groups must be small enough for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in _whole_queries(batches, keys):
+            at = dense_levels(group, _floats(table, label)) if level is None else _floats(table, level).astype(np.int64)
+            for d in directions:
+                count, total = dominance(group, at, _floats(table, key), _floats(table, value), margin, d)
+                table = table.append_column(f"cnt_{d}", pa.array(count)).append_column(f"sum_{d}", pa.array(total))
+            yield from table.combine_chunks().to_batches()
+
+    extra = ", ".join(f"cnt_{d} long, sum_{d} double" for d in directions)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, {extra}")
+
+
 #: Up to so many label levels a query has one cell for each.
 FEW_LEVELS = 8
 
@@ -111,6 +226,9 @@ def margin_violations(df: DataFrame, z: str, qid: str = "qid", rid: str = "row_i
     ``value`` (default z itself). Input needs qid, rid, level and z."""
     value = value or z
     small = queries_are_small(df, qid)
+    if small:
+        names = {f"{a}_{d}": f"{b}_{d}" for d in ("plus", "minus") for a, b in (("cnt", "l"), ("sum", "gamma"))}
+        return swept(df, [qid], z, value, margin, level="level").withColumnsRenamed(names)
     plus = _dominance(df, qid, rid, z, value, margin, "plus", small).select(
         qid, rid, F.col("_cnt").alias("l_plus"), F.col("_sum").alias("gamma_plus"))
     minus = _dominance(df, qid, rid, z, value, margin, "minus", small).select(
@@ -124,6 +242,13 @@ def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str
     (the higher label has a strictly lower score; score ties are
     concordant). Returns (qid, n_pairs, n_discordant)."""
     small = queries_are_small(df, qid)
+    if small:
+        # at most (4 * 10^6)^2 pairs a query here: exact in doubles
+        rows = df.select(qid, F.col(label).cast("double").alias("_y"), F.col(score).cast("double").alias("_z"), F.lit(0.0).alias("_v"))
+        found = swept(rows, [qid], "_z", "_v", 0.0, label="_y", directions=("plus",)).withColumnRenamed("cnt_plus", "_d").drop("sum_plus")
+        per_label = found.groupBy(qid, "_y").agg(F.count(F.lit(1)).alias("_c"), F.sum("_d").alias("_d"))
+        pairs = (F.pow(F.sum(F.col("_c").cast("double")), F.lit(2.0)) - F.sum(F.col("_c").cast("double") * F.col("_c"))) / 2
+        return per_label.groupBy(qid).agg(pairs.cast("long").alias("n_pairs"), F.sum("_d").alias("n_discordant"))
     lv = label_levels(df, qid, label, small=small)
     disc = _dominance(lv, qid, rid, score, None, 0.0, "plus", small)
     nd = disc.groupBy(qid).agg(F.sum("_cnt").alias("n_discordant"))

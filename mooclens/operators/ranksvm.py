@@ -6,23 +6,29 @@ label_i > label_j of max(0, 1 - w'(x_i - x_j))^2.
 
 Rows stay on the executors; the driver holds only w (p numbers). Every
 objective + gradient evaluation and every Hessian-vector product is one
-Spark pass: the decision values are a column expression, the pair terms
-come from the pair-free dominance sweeps of ``mooclens.operators.rank``
-(counts l+/l- and sums over the violating sets), and X^T v is one
-aggregation with p sums. The outer loop is an inexact Newton method with a
+Spark pass: the decision values come from blocks of the matrix, the pair terms
+from the pair-free dominance sweeps of ``mooclens.operators.rank``
+(counts l+/l- and sums over the violating sets), and X^T v is summed up
+where the blocks lie. The outer loop is an inexact Newton method with a
 backtracking line search, stopping when ||grad|| <= eps * ||grad at w = 0||.
 """
 
 from __future__ import annotations
 
 import math
+import os
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark import StorageLevel
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.operators.rank import _dominance, label_levels
+from mooclens.operators.prefix import _join_same
+from mooclens.operators.rank import _dominance, label_levels, swept
 from mooclens.session import HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir
 
 
@@ -84,89 +90,153 @@ def _newton_step(w: np.ndarray, gradient: np.ndarray, free: np.ndarray, enough:
     return step
 
 
+#: Rows of a block of the matrix.
+BLOCK_ROWS = 4096
+
+
 class RankSVMBatch:
     """Evaluates f/grad and Hessian-vector products of the pairwise loss for
-    many candidates (each with its own C and weights) in one Spark job:
-    rows are expanded by candidate id and the sweeps are keyed by
-    (candidate, query)."""
+    many candidates (each with its own C and weights) in one Spark job.
+
+    The matrix is stored once in blocks of rows, bucketed by block. A pass
+    multiplies each block by the candidates' weights where it lies, shuffles
+    only (candidate, query, level, score) rows for the sweeps, and brings each
+    row's slope back to its block, where X^T u is summed up. No candidate
+    copies a row's features."""
 
     def __init__(self, df: DataFrame, features: list[str], qid: str = "qid", rid: str = "row_id",
                  label: str = "label"):
         self.features, self.qid, self.rid = list(features), qid, rid
         spark = df.sparkSession
-        ensure_checkpoint_dir(spark)
         lv = label_levels(df.select(qid, rid, label, *features), qid, label)
-        x = F.array(*[F.col(c).cast("double") for c in features]).alias("_x")
+        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")
         # Cut the lineage once: every iteration re-reads this table.
-        self.base = lv.select(F.col(qid).alias("_q"), F.col(rid).alias("_r"), "level", x).checkpoint(eager=True)
-        # A sweep group (candidate, query, level) holds at most two events
-        # per row of the query: one size check decides for all sweeps.
-        biggest = self.base.groupBy("_q").count().agg(F.max("count")).first()[0] or 0
+        self.base = self._stored(lv.select(F.col(qid).alias("q"), "level", x).mapInArrow(_blocks, _blocks_schema(df.schema[qid])))
+        # A sweep group (candidate, query) holds as many rows as the query:
+        # one size check decides for all sweeps.
+        biggest = self.base.select(F.explode("q").alias("q")).groupBy("q").count().agg(F.max("count")).first()[0] or 0
         self.small = 2 * biggest <= conf_int(spark, HOT_ROWS_KEY)
 
     @staticmethod
-    def _dot(vec: str, weights: Column) -> Column:
-        return F.aggregate(F.zip_with(F.col(vec), weights, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-
-    def _expand(self, cands: list[tuple[int, list]], *vectors: str) -> DataFrame:
-        """rows x candidates: each candidate brings its id and vectors."""
-        items = F.array(*[F.struct(F.lit(cid).alias("_cid"),
-                                   *[F.array(*[F.lit(float(v)) for v in vec]).alias(name)
-                                     for name, vec in zip(vectors, vecs)])
-                          for cid, vecs in cands])
-        e = self.base.select("_q", "_r", "level", "_x", F.explode(items).alias("_c"))
-        return e.select(F.struct(F.col("_c._cid").alias("c"), F.col("_q").alias("q")).alias("_qk"),
-                        F.col("_c._cid").alias("_cid"), "_r", "level", "_x",
-                        *[F.col(f"_c.{v}").alias(v) for v in vectors])
-
-    def _sweeps(self, frame: DataFrame, value: str) -> DataFrame:
-        plus = _dominance(frame, "_qk", "_r", "z", value, 1.0, "plus", self.small).select(
-            "_qk", "_r", F.col("_cnt").alias("below"), F.col("_sum").alias("below_z"))
-        minus = _dominance(frame, "_qk", "_r", "z", value, 1.0, "minus", self.small).select(
-            "_qk", "_r", F.col("_cnt").alias("above"), F.col("_sum").alias("above_z"))
-        return frame.join(plus, ["_qk", "_r"], "inner").join(minus, ["_qk", "_r"], "inner")
-
-    def _xt(self, frame: DataFrame, u: Column, extra: list[Column]) -> dict:
+    def _stored(df: DataFrame) -> DataFrame:
+        """A table bucketed by block in the checkpoint folder. It is read
+        through its files, so the catalogue keeps no name of it."""
+        spark = df.sparkSession
+        name = f"mooclens_matrix_{uuid.uuid4().hex}"
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path = os.path.join(ensure_checkpoint_dir(spark), "mooclens-tables", name)
+        df.write.bucketBy(n, "block").option("path", path).saveAsTable(name, format="parquet")
+        table = spark.table(name)
+        table.schema  # resolved before the name goes
+        spark.sql(f"DROP TABLE {name}")
+        return table
+
+    def _narrow(self, cands: list[tuple[int, list]], more: bool) -> DataFrame:
+        """(cid, q, block, i, level, z, v): a row for each row and candidate;
+        v is the second vector's product, or z."""
+        cids = np.array([c for c, _ in cands], np.int32)
+        weights = np.stack([vecs[0] for _, vecs in cands])
+        second = np.stack([vecs[1] for _, vecs in cands]) if more else None
+        p, kind = len(self.features), self.base.schema["q"].dataType.elementType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, q, level, x in zip(*(batch.column(c) for c in ("block", "q", "level", "x")), strict=True):
+                    q, level = q.values, level.values.to_numpy()
+                    m = np.frombuffer(x.as_py()).reshape(-1, p)
+                    z = (m @ weights.T).T.ravel()
+                    v = z if second is None else (m @ second.T).T.ravel()
+                    n, k = len(level), len(cids)
+                    columns = [np.repeat(cids, n), pa.concat_arrays([q] * k), np.full(n * k, block.as_py()), np.tile(np.arange(n, dtype=np.int32), k), np.tile(level, k), z, v]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["cid", "q", "block", "i", "level", "z", "v"])
+
+        return self.base.mapInArrow(run, f"cid int, q {kind}, block long, i int, level int, z double, v double")
+
+    def _sweeps(self, frame: DataFrame) -> DataFrame:
+        """below, below_v: rows of higher levels under the margin; above,
+        above_v: rows of lower levels over it."""
+        if self.small:
+            names = {"cnt_plus": "below", "sum_plus": "below_v", "cnt_minus": "above", "sum_minus": "above_v"}
+            return swept(frame, ["cid", "q"], "z", "v", 1.0, level="level").withColumnsRenamed(names)
+        keyed = frame.withColumn("_qk", F.struct("cid", "q")).withColumn("_r", F.struct("block", "i"))
+        for d, name in (("plus", "below"), ("minus", "above")):
+            found = _dominance(keyed, "_qk", "_r", "z", "v", 1.0, d, False)
+            keyed = _join_same(keyed, found.select("_qk", "_r", F.col("_cnt").alias(name), F.col("_sum").alias(f"{name}_v")), ["_qk", "_r"], "inner")
+        return keyed
+
+    def _xt(self, rows: DataFrame, u: Column, loss: Column) -> dict:
+        """{candidate: (X^T u, sum of loss)}."""
         p = len(self.features)
-        vec = F.transform("_x", lambda v: v * u)
-        aggs = [F.sum(F.element_at(vec, k + 1)).alias(f"_s{k}") for k in range(p)]
-        rows = frame.groupBy("_cid").agg(*extra, *aggs).collect()
-        return {r["_cid"]: r for r in rows}
+
+        def summed(blocks: pd.DataFrame, slopes: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for x in blocks["x"]:
+                m = np.frombuffer(x).reshape(-1, p)
+                cids, col = np.unique(slopes["cid"].to_numpy(), return_inverse=True)
+                put = np.zeros((len(cids), len(m)))
+                put[col, slopes["i"].to_numpy()] = slopes["u"].to_numpy()
+                losses = np.bincount(col, slopes["loss"].to_numpy(), len(cids))
+                s = np.column_stack([put @ m, losses])
+                out.append((np.repeat(cids, p + 1), np.tile(np.arange(p + 1), len(cids)), s.ravel()))
+            return pd.DataFrame(dict(zip(("cid", "k", "s"), (np.concatenate(c) for c in zip(*out)))) if out else {"cid": [], "k": [], "s": []})
+
+        slopes = rows.select("block", "cid", "i", u.alias("u"), loss.alias("loss"))
+        parts = self.base.select("block", "x").groupBy("block").cogroup(slopes.groupBy("block")).applyInPandas(summed, "cid int, k int, s double")
+        found: dict = {}
+        for r in parts.groupBy("cid", "k").agg(F.sum("s").alias("s")).collect():  # candidates x (features + 1)
+            found.setdefault(r["cid"], np.zeros(p + 1))[r["k"]] = r["s"]
+        zero = np.zeros(p + 1)
+        return {c: (x[:-1], float(x[-1])) for c, x in found.items()} | {None: (zero[:-1], 0.0)}
 
     def values(self, asked: list[tuple[int, float, np.ndarray]]) -> dict:
         """(candidate, C, w) -> {candidate: (value, gradient)}.
 
         A pair's margin shortfall is m = 1 - z_i + z_j. As the preferred row
         i, a row has ``above`` violated pairs whose partners' scores sum to
-        ``above_z``; as the other row j, ``below`` and ``below_z``. Half the
+        ``above_v``; as the other row j, ``below`` and ``below_v``. Half the
         loss's slope in z and the loss itself follow row by row:
         sum m^2 = sum m + sum m (z_j - z_i) = sum m + sum z * slope / 2.
         """
-        frame = self._expand([(cid, [w]) for cid, _, w in asked], "_w")
-        rows = self._sweeps(frame.withColumn("z", self._dot("_x", F.col("_w"))), "z")
-        shortfall = F.col("above") * (1 - F.col("z")) + F.col("above_z")
-        half_slope = F.col("below") * (1 + F.col("z")) - F.col("below_z") - shortfall
-        found = self._xt(rows, half_slope, [F.sum(shortfall + F.col("z") * half_slope).alias("_loss")])
+        rows = self._sweeps(self._narrow([(cid, [w]) for cid, _, w in asked], False))
+        shortfall = F.col("above") * (1 - F.col("z")) + F.col("above_v")
+        half_slope = F.col("below") * (1 + F.col("z")) - F.col("below_v") - shortfall
+        found = self._xt(rows, half_slope, shortfall + F.col("z") * half_slope)
         out = {}
         for cid, C, w in asked:
-            pull, loss = self._of(found.get(cid), "_loss")
+            pull, loss = found.get(cid, found[None])
             out[cid] = (float(w @ w / 2 + C * loss), w + 2 * C * pull)
         return out
 
     def curvatures(self, asked: list[tuple[int, float, np.ndarray, np.ndarray]]) -> dict:
         """(candidate, C, w, s) -> {candidate: Hessian at w times s}: the
         slope's change along s while the violated pairs of w stay."""
-        frame = self._expand([(cid, [w, s]) for cid, _, w, s in asked], "_w", "_s")
-        frame = frame.withColumn("z", self._dot("_x", F.col("_w"))).withColumn("_dz", self._dot("_x", F.col("_s")))
-        rows = self._sweeps(frame, "_dz")
-        bend = (F.col("above") + F.col("below")) * F.col("_dz") - F.col("above_z") - F.col("below_z")
-        found = self._xt(rows, bend, [])
-        return {cid: s + 2 * C * self._of(found.get(cid))[0] for cid, C, _, s in asked}
+        rows = self._sweeps(self._narrow([(cid, [w, s]) for cid, _, w, s in asked], True))
+        bend = (F.col("above") + F.col("below")) * F.col("v") - F.col("above_v") - F.col("below_v")
+        found = self._xt(rows, bend, F.lit(0.0))
+        return {cid: s + 2 * C * found.get(cid, found[None])[0] for cid, C, _, s in asked}
+
+    def hessian(self, C: float, w: np.ndarray) -> np.ndarray:
+        """The whole Hessian at w: all unit vectors in one pass."""
+        p = len(self.features)
+        found = self.curvatures([(k, C, w, np.eye(p)[k]) for k in range(p)])
+        h = np.stack([found[k] for k in range(p)])
+        return (h + h.T) / 2
+
+
+def _blocks_schema(qid) -> str:
+    return f"block long, q array<{qid.dataType.simpleString()}>, level array<int>, x binary"
 
-    def _of(self, row, extra: str | None = None) -> tuple[np.ndarray, float]:
-        """Sums of a candidate; zeros if no row was there to sum."""
-        sums = np.array([(row[f"_s{k}"] if row else 0.0) or 0.0 for k in range(len(self.features))])
-        return sums, float((row[extra] if row and extra else 0.0) or 0.0)
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (q, level, x) in blocks of at most BLOCK_ROWS."""
+    part, number = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            some = batch.slice(at, BLOCK_ROWS)
+            x = some.column("x").flatten().to_numpy().tobytes()
+            q, level = (pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(c)) for c in ("q", "level"))
+            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), q, level, pa.array([x], pa.binary())], ["block", "q", "level", "x"])
+            number += 1
 
 
 def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[float, str | None]],
@@ -176,26 +246,32 @@ def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[fl
     candidates share every Spark pass. Returns one {feature: w} per
     candidate (a dropped feature is left out)."""
     batch = RankSVMBatch(df, features, qid, rid, label)
-    searches, waiting, weights = {}, {}, {}
-    for cid, (C, drop) in enumerate(candidates):
+    searches = {}
+    for cid, (_, drop) in enumerate(candidates):
         free = np.array([float(f != drop) for f in features])
         searches[cid] = newton_search(len(features), eps, max_iter, free)
-        waiting[cid] = next(searches[cid])
+    weights = _run(batch, searches, {cid: float(C) for cid, (C, _) in enumerate(candidates)})
+    return [
+        {f: float(v) for f, v in zip(features, weights[cid]) if f != drop}
+        for cid, (_, drop) in enumerate(candidates)
+    ]
+
+
+def _run(batch: RankSVMBatch, searches: dict, cs: dict) -> dict:
+    """Work all searches to their ends: {candidate: what it returns}."""
+    waiting, ended = {cid: next(x) for cid, x in searches.items()}, {}
     while waiting:
         # one Spark pass answers all searches that wait for the same thing
-        values = [(cid, float(candidates[cid][0]), ask[1]) for cid, ask in waiting.items() if ask[0] == "value"]
-        bends = [(cid, float(candidates[cid][0]), *ask[1:]) for cid, ask in waiting.items() if ask[0] == "curvature"]
+        values = [(cid, cs[cid], ask[1]) for cid, ask in waiting.items() if ask[0] == "value"]
+        bends = [(cid, cs[cid], *ask[1:]) for cid, ask in waiting.items() if ask[0] == "curvature"]
         answers = (batch.values(values) if values else {}) | (batch.curvatures(bends) if bends else {})
         for cid, answer in answers.items():
             try:
                 waiting[cid] = searches[cid].send(answer)
             except StopIteration as done:
-                weights[cid] = done.value
+                ended[cid] = done.value
                 del waiting[cid]
-    return [
-        {f: float(v) for f, v in zip(features, weights[cid]) if f != drop}
-        for cid, (_, drop) in enumerate(candidates)
-    ]
+    return ended
 
 
 def rank_svm_fit(df: DataFrame, features: list[str], C: float = 1.0, qid: str = "qid", rid: str = "row_id",
@@ -244,18 +320,162 @@ def grid_search_c(train: DataFrame, valid: DataFrame, features: list[str], cs, l
     return auc(scored, ["C"], "score", label).select("C", "auc")
 
 
+class Refit:
+    """Minimisation for one candidate from a known neighbour: quasi-Newton
+    steps (BFGS) that begin with the neighbour's Hessian, steps halving until
+    the value falls. ``norm`` bounds the distance to the optimum: the
+    objective holds w'w/2, so |w - best| <= |gradient|."""
+
+    def __init__(self, start: np.ndarray, hessian: np.ndarray, free: np.ndarray, target: float):
+        self.free, self.target = free, target
+        own = np.flatnonzero(free)
+        self.inverse = np.zeros_like(hessian)
+        self.inverse[np.ix_(own, own)] = np.linalg.inv(hessian[np.ix_(own, own)])
+        # where the neighbour's parabola, cut at w = 0 for what is dropped, is least
+        self.trial = start * free + self.inverse @ (hessian @ (start * (1 - free)))
+        self.w, self.value, self.gradient, self.norm, self.length, self.done = None, np.inf, None, np.inf, 1.0, False
+
+    def take(self, value: float, gradient: np.ndarray) -> None:
+        gradient = gradient * self.free
+        if self.w is not None:
+            step = self.trial - self.w
+            if value > self.value + 1e-4 * (self.gradient @ step):
+                self.length /= 2
+                self.done = self.length < 1e-10
+                self.trial = self.w + step / 2
+                return
+            change = gradient - self.gradient
+            bend = step @ change
+            if bend > 1e-14 * np.linalg.norm(step) * np.linalg.norm(change):
+                turn = np.eye(len(step)) - np.outer(step, change) / bend
+                self.inverse = turn @ self.inverse @ turn.T + np.outer(step, step) / bend
+        self.w, self.value, self.gradient, self.norm, self.length = self.trial, value, gradient, np.linalg.norm(gradient), 1.0
+        self.done = self.norm <= self.target
+        self.trial = self.w - self.free * (self.inverse @ gradient)
+
+
+def _narrow_scores(valid: DataFrame, features: list[str], weights: dict, label: str) -> DataFrame:
+    """(cid, label, score) of every row and candidate."""
+    names, m = np.array(list(weights), np.int32), np.stack(list(weights.values()))
+    x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = b.column("x").flatten().to_numpy().reshape(-1, m.shape[1]) @ m.T
+            columns = [pa.array(np.repeat(names, len(z))), pa.concat_arrays([b.column("y")] * len(names)), pa.array(z.T.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, ["cid", "label", "score"])
+
+    return valid.select(F.col(label).cast("double").alias("y"), x).mapInArrow(run, "cid int, label double, score double")
+
+
+def _auc_range(valid: DataFrame, features: list[str], weights: dict, reach: dict, label: str) -> dict:
+    """{candidate: (least, greatest AUC)} when each pair's difference may
+    still move by ``reach``."""
+    from mooclens.operators.metrics import auc
+
+    s = _narrow_scores(valid, features, weights, label)
+    by = F.create_map(*[F.lit(x) for c, d in reach.items() for x in (c, float(d))])[F.col("cid")]
+    moved = F.when(F.col("label") == 1, F.col("score") + F.col("sign") * by).otherwise(F.col("score"))
+    shifted = s.select("cid", "label", "score", F.explode(F.array(F.lit(-1), F.lit(1))).alias("sign"))
+    found = auc(shifted.select("cid", "sign", "label", moved.alias("score")), ["cid", "sign"]).collect()
+    at = {(r["cid"], r["sign"]): r["auc"] for r in found}
+    return {c: (at[c, -1], at[c, 1]) for c in weights}
+
+
+def refit_without(batch: RankSVMBatch, C: float, start: np.ndarray, drops: list[int], kept: np.ndarray, first: float,
+                  eps: float, valid: DataFrame | None = None, label: str = "label", max_iter: int = 200) -> dict:
+    """Fits without each of the features ``drops`` (numbers), from the fit
+    ``start`` with the features ``kept`` (0 / 1): {feature: w}, in passes over
+    the rows that all share. With ``valid``, fits whose validation AUC cannot
+    become the best any more are given up and left out."""
+    hessian = batch.hessian(C, start)
+    fits = {}
+    for d in drops:
+        free = kept.copy()
+        free[d] = 0.0
+        fits[d] = Refit(start, hessian, free, eps * first)
+    reach = None
+    for turn in range(max_iter):
+        open_ = {d: x for d, x in fits.items() if not x.done}
+        if not open_ or (valid is not None and len(fits) == 1):
+            break
+        for d, (value, gradient) in batch.values([(d, C, x.trial) for d, x in open_.items()]).items():
+            open_[d].take(value, gradient)
+        if valid is not None and turn % 2 == 1 and any(not x.done for x in fits.values()):
+            if reach is None:  # the longest row: a pair's difference moves by twice its length at most
+                square = sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) ** 2 for c in batch.features), F.lit(0.0))
+                reach = 2 * (valid.agg(F.max(F.sqrt(square))).first()[0] or 0.0)
+            between = _auc_range(valid, batch.features, {d: x.w for d, x in fits.items()}, {d: reach * x.norm for d, x in fits.items()}, label)
+            best = max(low for low, _ in between.values())
+            fits = {d: x for d, x in fits.items() if between[d][1] >= best}
+    return {d: x.w if x.w is not None else x.trial for d, x in fits.items()}
+
+
+def _full_fit(batch: RankSVMBatch, C: float, eps: float) -> tuple[np.ndarray, float]:
+    """Weights of all features, and the gradient's length at 0."""
+    p = len(batch.features)
+    first = float(np.linalg.norm(batch.values([(0, C, np.zeros(p))])[0][1]))
+    return _run(batch, {0: newton_search(p, eps, 1000, np.ones(p))}, {0: C})[0], first
+
+
 def removal_round(train: DataFrame, valid: DataFrame, features: list[str], C: float, label: str = "label",
-                  id_col: str = "row_id", qid: str = "qid") -> DataFrame:
-    """M9 with the ranking SVM, one round: for every feature, fit without
-    it (all candidates in the same passes) and report validation AUC."""
+                  id_col: str = "row_id", qid: str = "qid", eps: float = 1e-3) -> DataFrame:
+    """M9 with the ranking SVM, one round: for every feature, refit without
+    it (all candidates in the same passes, from the fit of all features) and
+    report validation AUC."""
     from mooclens.operators.metrics import auc
 
-    fits = fit_candidates(train, features, [(C, f) for f in features], qid, id_col, label)
-    scored = None
-    for f, w in zip(features, fits):
-        part = rank_svm_score(valid, w).select(F.lit(f).alias("dropped"), "score", label)
-        scored = part if scored is None else scored.unionByName(part)
-    return auc(scored, ["dropped"], "score", label).select("dropped", "auc")
+    batch = RankSVMBatch(train, features, qid, id_col, label)
+    w, first = _full_fit(batch, float(C), eps)
+    fits = refit_without(batch, float(C), w, list(range(len(features))), np.ones(len(features)), first, eps)
+    scored = _narrow_scores(valid, features, fits, label)
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("cid") + 1)
+    return auc(scored, ["cid"]).select(name.alias("dropped"), "auc")
+
+
+def backward_elimination(train: DataFrame, valid: DataFrame, features: list[str], C: float, rule: str = "until_no_gain",
+                         label: str = "label", id_col: str = "row_id", qid: str = "qid", eps: float = 1e-3,
+                         max_rounds: int | None = None, give_up: bool = True) -> tuple[list[str], list[tuple], dict]:
+    """M9 with refits, the whole loop: each round drops the feature whose
+    removal gives the best validation AUC (the first of equals), fitting from
+    the last round's weights. Rules as in ``blend.backward_elimination``:
+    'exhaust', 'exhaust_keep_best', 'until_no_gain', 'keep_last'. Returns the
+    kept features, [(round, dropped, auc)] and {feature: w} of the kept."""
+    from mooclens.operators.metrics import auc
+
+    if rule not in ("exhaust", "exhaust_keep_best", "until_no_gain", "keep_last"):
+        raise ValueError(f"rule={rule!r}")
+    batch = RankSVMBatch(train, features, qid, id_col, label)
+    C, p = float(C), len(features)
+    w, first = _full_fit(batch, C, eps)
+    kept, history = np.ones(p), []
+
+    def aucs(fits: dict) -> dict:
+        return {r["cid"]: r["auc"] for r in auc(_narrow_scores(valid, features, fits, label), ["cid"]).collect()}
+
+    previous = aucs({0: w})[0]
+    best = (previous, kept.copy(), w)
+    while kept.sum() > 1 and (max_rounds is None or len(history) < max_rounds):
+        own = [int(k) for k in np.flatnonzero(kept)]
+        fits = refit_without(batch, C, w, own, kept, first, eps, valid if give_up else None, label)
+        found = aucs(fits)
+        drop = max((k for k in found if found[k] is not None), key=lambda k: (found[k], -k), default=None)
+        if drop is None:
+            break
+        history.append((len(history) + 1, features[drop], found[drop]))
+        gained = found[drop] > previous
+        if rule == "until_no_gain" and not gained:
+            break
+        kept, w, previous = kept.copy(), fits[drop], found[drop]
+        kept[drop] = 0.0
+        if found[drop] > best[0]:
+            best = (found[drop], kept.copy(), w)
+        if rule == "keep_last" and not gained:
+            break
+    if rule == "exhaust_keep_best":
+        _, kept, w = best
+    names = [f for f, k in zip(features, kept) if k]
+    return names, history, {f: float(v) for f, v, k in zip(features, w, kept) if k}
 
 
 def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", seed: int = 0) -> DataFrame:
