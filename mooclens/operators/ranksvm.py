@@ -106,7 +106,7 @@ class RankSVMBatch:
 
     def __init__(self, df: DataFrame, features: list[str], qid: str = "qid", rid: str = "row_id",
                  label: str = "label"):
-        self.features, self.qid, self.rid = list(features), qid, rid
+        self.features, self.qid, self.rid, self.passes = list(features), qid, rid, 0
         spark = df.sparkSession
         lv = label_levels(df.select(qid, rid, label, *features), qid, label)
         x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")
@@ -197,6 +197,7 @@ class RankSVMBatch:
         loss's slope in z and the loss itself follow row by row:
         sum m^2 = sum m + sum m (z_j - z_i) = sum m + sum z * slope / 2.
         """
+        self.passes += 1
         rows = self._sweeps(self._narrow([(cid, [w]) for cid, _, w in asked], False))
         shortfall = F.col("above") * (1 - F.col("z")) + F.col("above_v")
         half_slope = F.col("below") * (1 + F.col("z")) - F.col("below_v") - shortfall
@@ -382,13 +383,12 @@ def _auc_range(valid: DataFrame, features: list[str], weights: dict, reach: dict
     return {c: (at[c, -1], at[c, 1]) for c in weights}
 
 
-def refit_without(batch: RankSVMBatch, C: float, start: np.ndarray, drops: list[int], kept: np.ndarray, first: float,
-                  eps: float, valid: DataFrame | None = None, label: str = "label", max_iter: int = 200) -> dict:
+def refit_without(batch: RankSVMBatch, C: float, start: np.ndarray, hessian: np.ndarray, drops: list[int],
+                  kept: np.ndarray, first: float, eps: float, valid: DataFrame | None = None, label: str = "label", max_iter: int = 200) -> dict:
     """Fits without each of the features ``drops`` (numbers), from the fit
-    ``start`` with the features ``kept`` (0 / 1): {feature: w}, in passes over
-    the rows that all share. With ``valid``, fits whose validation AUC cannot
+    ``start`` with the features ``kept`` (0 / 1) and the Hessian there or near:
+    {feature: w}, in passes over the rows that all share. With ``valid``, fits whose validation AUC cannot
     become the best any more are given up and left out."""
-    hessian = batch.hessian(C, start)
     fits = {}
     for d in drops:
         free = kept.copy()
@@ -411,11 +411,27 @@ def refit_without(batch: RankSVMBatch, C: float, start: np.ndarray, drops: list[
     return {d: x.w if x.w is not None else x.trial for d, x in fits.items()}
 
 
-def _full_fit(batch: RankSVMBatch, C: float, eps: float) -> tuple[np.ndarray, float]:
-    """Weights of all features, and the gradient's length at 0."""
-    p = len(batch.features)
-    first = float(np.linalg.norm(batch.values([(0, C, np.zeros(p))])[0][1]))
-    return _run(batch, {0: newton_search(p, eps, 1000, np.ones(p))}, {0: C})[0], first
+def _full_fit(batch: RankSVMBatch, C: float, eps: float, max_iter: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fit of all features by Newton steps with the whole Hessian, two passes
+    a step: weights, Hessian there, and the gradient's length at 0."""
+    w = np.zeros(len(batch.features))
+    value, gradient = batch.values([(0, C, w)])[0]
+    first = float(np.linalg.norm(gradient))
+    hessian = batch.hessian(C, w)
+    for _ in range(max_iter):
+        if np.linalg.norm(gradient) <= eps * first:
+            break
+        step, length = -np.linalg.solve(hessian, gradient), 1.0
+        while length > 1e-10:
+            v, g = batch.values([(0, C, w + length * step)])[0]
+            if v <= value + 1e-4 * length * (gradient @ step):
+                break
+            length /= 2
+        else:
+            break
+        w, value, gradient = w + length * step, v, g
+        hessian = batch.hessian(C, w)
+    return w, hessian, first
 
 
 def removal_round(train: DataFrame, valid: DataFrame, features: list[str], C: float, label: str = "label",
@@ -426,8 +442,8 @@ def removal_round(train: DataFrame, valid: DataFrame, features: list[str], C: fl
     from mooclens.operators.metrics import auc
 
     batch = RankSVMBatch(train, features, qid, id_col, label)
-    w, first = _full_fit(batch, float(C), eps)
-    fits = refit_without(batch, float(C), w, list(range(len(features))), np.ones(len(features)), first, eps)
+    w, hessian, first = _full_fit(batch, float(C), eps)
+    fits = refit_without(batch, float(C), w, hessian, list(range(len(features))), np.ones(len(features)), first, eps)
     scored = _narrow_scores(valid, features, fits, label)
     name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("cid") + 1)
     return auc(scored, ["cid"]).select(name.alias("dropped"), "auc")
@@ -447,8 +463,8 @@ def backward_elimination(train: DataFrame, valid: DataFrame, features: list[str]
         raise ValueError(f"rule={rule!r}")
     batch = RankSVMBatch(train, features, qid, id_col, label)
     C, p = float(C), len(features)
-    w, first = _full_fit(batch, C, eps)
-    kept, history = np.ones(p), []
+    w, hessian, first = _full_fit(batch, C, eps)
+    kept, history, quick = np.ones(p), [], True
 
     def aucs(fits: dict) -> dict:
         return {r["cid"]: r["auc"] for r in auc(_narrow_scores(valid, features, fits, label), ["cid"]).collect()}
@@ -457,7 +473,11 @@ def backward_elimination(train: DataFrame, valid: DataFrame, features: list[str]
     best = (previous, kept.copy(), w)
     while kept.sum() > 1 and (max_rounds is None or len(history) < max_rounds):
         own = [int(k) for k in np.flatnonzero(kept)]
-        fits = refit_without(batch, C, w, own, kept, first, eps, valid if give_up else None, label)
+        if history and not quick:
+            hessian = batch.hessian(C, w)
+        before = batch.passes
+        fits = refit_without(batch, C, w, hessian, own, kept, first, eps, valid if give_up else None, label)
+        quick = batch.passes - before <= 3  # else the Hessian of earlier rounds no longer serves
         found = aucs(fits)
         drop = max((k for k in found if found[k] is not None), key=lambda k: (found[k], -k), default=None)
         if drop is None:
