@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.functions.scalar import l2_distance
@@ -13,39 +13,58 @@ from mooclens.operators.prefix import row_numbers
 from mooclens.operators.sizing import maybe_broadcast
 
 
+#: Modulus and factors of the draws: plain arithmetic that any engine repeats.
+PRIME, FACTOR, STRIDES = 2147483647, 48271, (16807, 69621, 630360016)
+
+
+def _draw(row: Column, turn: Column, place: Column, seed: int) -> Column:
+    """A number in 0..PRIME-1 for (row, repeat, place): two rounds of a
+    multiplicative generator; every product stays under 2^63."""
+    def one(x):
+        return (x % PRIME) * FACTOR % PRIME
+
+    first = one(row * STRIDES[0] + seed)
+    return one(one(first + turn * STRIDES[1]) + place * STRIDES[2])
+
+
 def hard_negative_pairs(df: DataFrame, id_col: str = "id", vec: str = "x", label: str = "label",
                         n_candidates: int = 20, repeats: int = 1, seed: int = 0) -> DataFrame:
     """For every row, ``repeats`` times, draw ``n_candidates`` distinct
-    rows of the opposite class and keep the L2-nearest one.
+    rows of the opposite class and keep the L2-nearest one (the least id of
+    equals).
 
-    Rows of each class are numbered 0..M-1 in a seeded hash order (the
-    skew-safe numbering: a class is a huge group). A row's candidates are
-    positions (start + j) mod M for j < min(n, M), start a seeded hash of
-    (row, repeat): distinct rows, drawn without replacement. Candidates
-    are fetched by an equi-join on (class, position) and the nearest is
-    kept with ``min_by``. Returns (id, repeat, other_id, x1, x2, y) with y
-    the row's own label.
+    Rows of each class are numbered 0..M-1 by id, without their vectors (the
+    skew-safe numbering: a class is a huge group). The class is cut into as
+    many strata as there are draws, floor(t M / n) to floor((t + 1) M / n),
+    and draw t takes one row of stratum t, each row and draw its own: distinct
+    rows, drawn without replacement, and neighbours share no run of them. With
+    M <= n every row is a candidate. A row's vector goes to its candidates
+    once; what comes back is the distance, and only the nearest one's vector
+    is fetched. Rows without a label or id take no part; a class without
+    an opposite gives no rows. Returns (id, repeat, other_id, x1, x2, y) with
+    y the row's own label.
     """
-    keyed = df.select(id_col, vec, F.col(label).cast("int").alias("_c"),
-                      F.xxhash64(F.col(id_col), F.lit(seed)).cast("double").alias("_h"))
-    numbered = row_numbers(keyed, ["_c"], ["_h", id_col], "_pos").withColumn("_pos", F.col("_pos") - 1)
+    base = df.where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
+    base = base.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_c"), F.col(vec).alias("_x"))
+    numbered = row_numbers(base.select("_id", "_c"), ["_c"], ["_id"], "_pos").withColumn("_pos", F.col("_pos") - 1)
     sizes = maybe_broadcast(numbered.groupBy("_c").agg(F.count(F.lit(1)).alias("_m")))
-    opp = sizes.select(F.col("_c").alias("_o"), F.col("_m"))
-    rows = numbered.withColumn("_o", 1 - F.col("_c")).join(opp, "_o", "inner")
-    rep = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    rows = rows.select("*", rep)
-    start = F.pmod(F.xxhash64(F.col(id_col), F.col("repeat"), F.lit(seed + 1)), F.col("_m"))
-    k = F.least(F.lit(n_candidates), F.col("_m"))
-    cand = rows.select(
-        id_col, "repeat", "_c", "_o", F.col(vec).alias("x1"),
-        F.explode(F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.pmod(start + j, F.col("_m")))).alias("_cp"),
-    )
-    other = numbered.select(F.col("_c").alias("_o"), F.col("_pos").alias("_cp"),
-                            F.col(id_col).alias("other_id"), F.col(vec).alias("x2"))
-    j = cand.join(other, ["_o", "_cp"], "inner").withColumn("_d", l2_distance("x1", "x2"))
-    best = j.groupBy(id_col, "repeat").agg(
-        F.min_by(F.struct("other_id", "x1", "x2", "_c"), F.struct("_d", "other_id")).alias("b"))
-    return best.select(id_col, "repeat", "b.other_id", "b.x1", "b.x2", F.col("b._c").alias("y"))
+    opposite = sizes.select((1 - F.col("_c")).alias("_c"), "_m")
+    rows = numbered.join(opposite, "_c", "inner").withColumn("_k", F.least(F.lit(n_candidates).cast("long"), F.col("_m")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_t"))
+    low, high = (F.floor((F.col("_t") + d) * F.col("_m") / F.col("_k")) for d in (0, 1))
+    place = low + _draw(F.col("_pos"), F.col("repeat").cast("long"), F.col("_t"), seed) % (high - low)
+    asked = rows.select("_id", "repeat", "_c", (1 - F.col("_c")).alias("_o"), place.alias("_pos"))
+    who = numbered.select(F.col("_c").alias("_o"), "_pos", F.col("_id").alias("other_id"))
+    asked = asked.join(who, ["_o", "_pos"], "inner").select("_id", "repeat", "_c", "other_id")
+    vectors = base.select("_id", "_x")
+    met = asked.join(vectors.withColumnRenamed("_x", "_x1"), "_id").join(
+        vectors.select(F.col("_id").alias("other_id"), F.col("_x").alias("_x2")), "other_id")
+    near = met.select("_id", "repeat", "_c", F.struct(l2_distance("_x1", "_x2").alias("_d"), "other_id").alias("_n"))
+    best = near.groupBy("_id", "repeat", "_c").agg(F.min("_n").alias("_n")).select("_id", "repeat", "_c", "_n.other_id")
+    out = best.join(vectors.withColumnRenamed("_x", "x1"), "_id").join(
+        vectors.select(F.col("_id").alias("other_id"), F.col("_x").alias("x2")), "other_id")
+    return out.select(F.col("_id").alias(id_col), "repeat", "other_id", "x1", "x2", F.col("_c").alias("y"))
 
 
 def pairwise_logistic(pairs: DataFrame, reg: float = 0.0, max_iter: int = 100):
@@ -56,9 +75,3 @@ def pairwise_logistic(pairs: DataFrame, reg: float = 0.0, max_iter: int = 100):
                      F.col("y").cast("double").alias("label"))
     m = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter).fit(d)
     return [float(v) for v in m.coefficients]
-
-
-def linear_score(df: DataFrame, weights: list[float], vec: str = "x", out: str = "score") -> DataFrame:
-    w = F.array(*[F.lit(float(v)) for v in weights])
-    dot = F.aggregate(F.zip_with(F.col(vec), w, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return df.withColumn(out, dot)

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.operators.prefix import _join_same
+from mooclens.operators.prefix import _join_same, row_numbers
 from mooclens.operators.rank import _dominance, label_levels, swept
 from mooclens.session import HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir
 
@@ -498,36 +498,46 @@ def backward_elimination(train: DataFrame, valid: DataFrame, features: list[str]
     return names, history, {f: float(v) for f, v, k in zip(features, w, kept) if k}
 
 
-def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", seed: int = 0) -> DataFrame:
-    """L9 fold assignment: whole queries go to folds by a seeded hash of
-    the qid. With a single query, rows are assigned by a hash of the row id
-    instead (and each fold is then evaluated as its own query)."""
-    n_q = df.select(qid).distinct().limit(2).count()
-    key = F.col(qid) if n_q > 1 else F.col(rid)
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", seed: int = 0) -> tuple[DataFrame, int]:
+    """L9 fold assignment: ``df`` with ``fold``, and the number of folds.
+
+    Whole queries go to folds, at most as many folds as queries: queries in
+    order of falling size, equal sizes shuffled by MD5 of seed and qid, are
+    dealt out to and fro (0..k-1, k-1..0, ...), so no fold is empty and
+    folds hold about as many rows. A single query's rows are shuffled by MD5
+    of seed and row id and dealt out in turn, to at most rows / 2 folds."""
+    sizes = df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
+    n_queries, n_rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    single = n_queries == 1
+    k = max(1, min(k, (n_rows or 0) // 2 if single else n_queries))
+    name = rid if single else qid
+    dealt = (df.select(F.col(rid), F.lit(0).alias("_o")) if single else sizes.select(qid, (-F.col("_n")).alias("_o")))
+    shuffled = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(name).cast("string")).cast("binary"))
+    dealt = dealt.select(name, "_o", shuffled.alias("_h"), F.lit(0).alias("_all"))
+    place = row_numbers(dealt, ["_all"], ["_o", "_h", name], "_at").withColumn("_at", F.col("_at") - 1)
+    turn, at = F.floor(F.col("_at") / k), F.col("_at") % k
+    fold = at if single else F.when(turn % 2 == 0, at).otherwise(k - 1 - at)
+    return _join_same(df, place.select(name, fold.cast("int").alias("fold")), [name], "inner"), k
 
 
 def cross_validate(df: DataFrame, features: list[str], C: float, k: int = 5, qid: str = "qid",
                    rid: str = "row_id", label: str = "label", seed: int = 0) -> DataFrame:
     """Query-level k-fold CV; pairwise accuracy (L3) and mean NDCG (L4)
-    of the out-of-fold decision values. Returns one row."""
+    of the out-of-fold decision values. Returns one row. Each fold of a single
+    query counts as its own query."""
     from mooclens.operators.rank import mean_ndcg, pairwise_accuracy
+    from mooclens.session import materialize
 
-    folded = query_folds(df, k, qid, rid, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    single = folded.select(qid).distinct().limit(2).count() == 1
-    parts = []
+    folded, k = query_folds(df, k, qid, rid, seed)
+    if k < 2:
+        raise ValueError("cross-validation needs two queries, or four rows of one")
+    folded = materialize(folded, "query_folds")
+    oof = None
     for f in range(k):
-        train = folded.where(F.col("fold") != f)
-        test = folded.where(F.col("fold") == f)
-        if train.limit(1).count() == 0 or test.limit(1).count() == 0:
-            continue
-        w = rank_svm_fit(train, features, C, qid, rid, label)
-        parts.append(rank_svm_score(test, w))
-    folded.unpersist()
-    oof = parts[0]
-    for p in parts[1:]:
-        oof = oof.unionByName(p)
-    if single:
+        w = rank_svm_fit(folded.where(F.col("fold") != f), features, C, qid, rid, label)
+        part = rank_svm_score(folded.where(F.col("fold") == f), w)
+        oof = part if oof is None else oof.unionByName(part)
+    if folded.select(qid).distinct().limit(2).count() == 1:
         oof = oof.withColumn(qid, F.col("fold").cast(oof.schema[qid].dataType))
     acc = pairwise_accuracy(oof, "score", qid, rid, label).select("pairwise_accuracy")
     nd = mean_ndcg(oof, score="score", qid=qid, rid=rid, label=label).select("mean_ndcg")

@@ -77,12 +77,14 @@ def feature_tables(all_log: DataFrame, all_enrollment: DataFrame, interval_minut
     return FeatureTables(course, sessions, session_info, user, leak)
 
 
-def final_features(log: DataFrame, enrollment: DataFrame, t: FeatureTables) -> DataFrame:
+def final_features(log: DataFrame, enrollment: DataFrame, t: FeatureTables, align: str = "left") -> DataFrame:
     """enrollment_id plus the 56 feature columns (double), missing and
     infinite values as 0.
 
     ``log`` / ``enrollment`` are the split being featurized; ``t`` holds
-    the tables built on all logs.
+    the tables built on all logs. ``align='left'`` gives a row to every row of
+    ``enrollment``; ``'full'`` (C6) also to enrollments that only the log has:
+    their user and course are unknown, so those features are 0.
     """
     act = total_activity(log)
     course = maybe_broadcast(
@@ -100,7 +102,7 @@ def final_features(log: DataFrame, enrollment: DataFrame, t: FeatureTables) -> D
     )
     enr = enrollment.select("enrollment_id", "username", "course_id")
     j = (
-        enr.join(act, "enrollment_id", "left")
+        enr.join(act, "enrollment_id", align)
         .join(course, "course_id", "left")
         .join(t.user, "username", "left")
         .join(t.session_info, "enrollment_id", "left")
@@ -139,3 +141,20 @@ def generate_features(log: DataFrame, enrollment: DataFrame, interval_minutes: f
         log = materialize(log.select(*LOG_FIELDS), "log")
     tables = feature_tables(log, enrollment, interval_minutes, store_course=materialize_log)
     return final_features(log, enrollment, tables)
+
+
+def split_features(splits: dict[str, tuple[DataFrame, DataFrame]], interval_minutes: float = 30) -> DataFrame:
+    """G1: features of several splits (name: (log, enrollment)) whose course,
+    session, user and look-ahead tables are built over the logs of all splits
+    together, each split's own activity from its own log. Every enrollment on
+    either side of a split has a row: (split, enrollment_id, features)."""
+    from mooclens.operators.logs import union_logs
+    from mooclens.session import materialize
+
+    logs = [log.select(F.lit(name).alias("split"), *LOG_FIELDS) for name, (log, _) in splits.items()]
+    stored = materialize(union_logs(*logs), "split_log")
+    everyone = union_logs(*[e.select("enrollment_id", "username", "course_id") for _, e in splits.values()])
+    tables = feature_tables(stored.drop("split"), everyone, interval_minutes, store_course=True)
+    out = [final_features(stored.where(F.col("split") == name), enrollment, tables, "full").select(F.lit(name).alias("split"), "*")
+           for name, (_, enrollment) in splits.items()]
+    return union_logs(*out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mooclens.operators import activity, course as course_ops, leak, sessions, user
 from mooclens.operators.logs import build_log
 from mooclens.plans import features as feat
-from mooclens.plans.oracle import rounded, with_ctes
+from mooclens.plans.oracle import FIXTURE_CTES, rounded, with_ctes
 from mooclens.plans.registry import query
 from mooclens.sources import fixtures as fx
 
@@ -183,7 +183,7 @@ def d10_total_activity(spark, sf):
 
 # ---------------------------------------------------------------- flagship
 
-def _h15_sql() -> str:
+def _h15_sql(full: bool = False, extra: dict[str, str] | None = None) -> str:
     from mooclens.operators.sessions import SESSION_FEATURES
     from mooclens.operators.user import USER_FEATURES
 
@@ -217,6 +217,12 @@ def _h15_sql() -> str:
   LEFT JOIN leak k ON e.enrollment_id = k.enrollment_id"""
     )
 
+    if full:
+        inner = inner.replace("LEFT JOIN activity", "FULL JOIN activity")
+        for t in ("s", "k"):
+            inner = inner.replace(f"ON e.enrollment_id = {t}.", f"ON coalesce(e.enrollment_id, a.enrollment_id) = {t}.")
+        inner = inner.replace("SELECT e.enrollment_id,", "SELECT coalesce(e.enrollment_id, a.enrollment_id) AS enrollment_id,")
+
     def div(a, b):
         return f"CASE WHEN {b} = 0 THEN 0 ELSE {a} / {b} END"
 
@@ -232,7 +238,29 @@ def _h15_sql() -> str:
         outer_expr[name] = div(a, b)
     outer = "SELECT enrollment_id, " + ", ".join(f"{v} AS {k}" for k, v in outer_expr.items()) + \
         " FROM (" + mid + ") m"
-    return with_ctes(rounded(outer, ["enrollment_id"], feat.FINAL_FEATURES))
+    if full:
+        outer = "SELECT CASE WHEN enrollment_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, " + outer.removeprefix("SELECT ")
+    return with_ctes(rounded(outer, ["split"] * full + ["enrollment_id"], feat.FINAL_FEATURES), extra)
+
+
+def _uneven() -> dict[str, str]:
+    """An enrollment table without course c9, a log without course c0."""
+    raw = FIXTURE_CTES["raw_log"]
+    return {
+        "raw_log": f"SELECT * FROM ({raw}) r WHERE course_id <> 'c0'",
+        "enrollment": f"SELECT DISTINCT enrollment_id, username, course_id FROM ({raw}) r WHERE course_id <> 'c9'",
+        "object_raw": FIXTURE_CTES["object_raw"].replace("FROM raw_log", f"FROM ({raw}) r"),
+    }
+
+
+@query("g1_two_split_features", _h15_sql(True, _uneven()))
+def g1_two_split_features(spark, sf):
+    """Features of two splits, tables over both splits' logs;
+    enrollments that only the log or only the enrollment table has."""
+    enr = fx.enrollment(spark, sf).where("course_id <> 'c9'")
+    log = build_log(fx.raw_log(spark, sf).where("course_id <> 'c0'"), enr, fx.objects(spark, sf))
+    parts = {"train": F.col("enrollment_id") % 2 == 0, "test": F.col("enrollment_id") % 2 != 0}
+    return feat.split_features({name: (log.where(own), enr.where(own)) for name, own in parts.items()})
 
 
 @query("h15_enrollment_features", _h15_sql())

@@ -313,7 +313,39 @@ def l9_query_cross_validation(spark, sf):
     return ranksvm.cross_validate(r, ["l_discount", "l_tax", "price"], C=1.0, k=3)
 
 
-@query("n6_hard_negative_pairs")
+# Folds dealt out to and fro over queries by falling size, equal sizes by MD5.
+FOLDS_SQL = with_ctes("""
+SELECT l.qid, l.row_id, CAST(CASE WHEN (p.at_ // 3) % 2 = 0 THEN p.at_ % 3 ELSE 2 - p.at_ % 3 END AS INTEGER) AS fold
+FROM lines l JOIN (SELECT qid, row_number() OVER (ORDER BY count(*) DESC, md5('0:' || CAST(qid AS VARCHAR)), qid) - 1 AS at_
+                   FROM lines GROUP BY qid) p ON l.qid = p.qid""")
+
+
+@query("l9_query_folds", FOLDS_SQL)
+def l9_query_folds(spark, sf):
+    """Whole queries dealt out to three folds, balanced by rows."""
+    return ranksvm.query_folds(fx.lines(spark, sf).select("qid", "row_id"), 3)[0]
+
+
+HARD_NEGATIVES_SQL = """
+WITH e AS (
+  SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS c,
+         row_number() OVER (PARTITION BY CASE WHEN label >= 5 THEN 1 ELSE 0 END ORDER BY vec_id) - 1 AS pos FROM embeddings
+), sizes AS (SELECT c, count(*) AS m FROM e GROUP BY c
+), draws AS (
+  SELECT e.id, e.c, e.x, e.pos, s.m, least(20, s.m) AS k, t,
+         (((((e.pos * 16807 + 3) % 2147483647) * 48271 % 2147483647 + 0 * 69621) % 2147483647) * 48271 % 2147483647 + t * 630360016) % 2147483647 * 48271 % 2147483647 AS draw
+  FROM e JOIN sizes s ON s.c = 1 - e.c, range(20) r(t) WHERE t < least(20, s.m)
+), asked AS (
+  SELECT id, c, x, t * m // k + draw % ((t + 1) * m // k - t * m // k) AS place FROM draws
+), met AS (
+  SELECT a.id, a.c, a.x AS x1, o.id AS other_id, o.x AS x2,
+         row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, o.x), o.id) AS r
+  FROM asked a JOIN e o ON o.c = 1 - a.c AND o.pos = a.place
+)
+SELECT id, CAST(0 AS INTEGER) AS repeat, other_id, x1, x2, c AS y FROM met WHERE r = 1"""
+
+
+@query("n6_hard_negative_pairs", HARD_NEGATIVES_SQL)
 def n6_hard_negative_pairs(spark, sf):
     """For each embedding, the nearest of 20 opposite-class candidates."""
     e = fx.table(spark, sf, "embeddings").select(
