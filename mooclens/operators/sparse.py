@@ -117,21 +117,40 @@ def _scaled(v: Column) -> Column:
     )
 
 
+def save_factors(factors: DataFrame, path: str) -> None:
+    """K9: the factor table as files, for scaling other rows the same way."""
+    factors.select("idx", "fmin", "fmax", "lower", "upper").write.parquet(path)
+
+
+def load_factors(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def scale_sparse(entries: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """K9 apply, sparse in and sparse out: scaled entries and the default of
+    each feature, (idx, value), that rows without the entry have. What 0
+    becomes is the default, so absent entries need no rows; entries equal to
+    their default are left out. Single-valued features are dropped, as are
+    entries of features without factors."""
+    f = factors.where(F.col("fmax") != F.col("fmin")).withColumn("_default", _scaled(F.lit(0.0)))
+    defaults = f.select("idx", F.col("_default").alias("value"))
+    scaled = entries.join(maybe_broadcast(f), "idx", "inner").select(
+        *[c for c in entries.columns if c != "value"], _scaled(F.col("value")).alias("value"), "_default")
+    return scaled.where(F.col("value") != F.col("_default")).drop("_default"), defaults
+
+
 def apply_scale(entries: DataFrame, rows: DataFrame, factors: DataFrame, keys: list[str]) -> DataFrame:
-    """K9 apply: scale present values; single-valued features are dropped;
-    zeros are not written; a feature absent from a row is written when 0
-    does not map to 0. Returns long entries (keys, idx, value)."""
+    """K9 apply with every value written, as the text format needs it: scaled
+    entries and, in rows that lack a feature, its default; zeros are not
+    written. Returns long entries (keys, idx, value)."""
     f = maybe_broadcast(factors.where(F.col("fmax") != F.col("fmin")))
     present = entries.join(f, "idx", "inner").select(*keys, "idx", _scaled(F.col("value")).alias("value"))
-    zero_img = f.select("idx", _scaled(F.lit(0.0)).alias("_z")).where(F.col("_z") != 0)
-    zero_idx = [r[0] for r in zero_img.select("idx").collect()]  # bounded: one per feature
-    out = present.where(F.col("value") != 0)
-    if zero_idx:
-        cand = rows.select(*keys, F.explode(F.array(*[F.lit(int(i)) for i in zero_idx])).alias("idx"))
-        absent = cand.join(entries.select(*keys, "idx"), keys + ["idx"], "left_anti")
-        filled = absent.join(maybe_broadcast(zero_img), "idx", "inner").select(*keys, "idx", F.col("_z").alias("value"))
-        out = out.unionByName(filled)
-    return out
+    _, defaults = scale_sparse(entries, factors)
+    # one row with a value for each feature that is not 0 where it is absent
+    other = defaults.where(F.col("value") != 0).agg(F.collect_list(F.struct("idx", "value")).alias("_all"))
+    lacking = rows.select(*keys, F.explode(other.select("_all").scalar()).alias("_e")).select(*keys, "_e.idx", "_e.value")
+    filled = lacking.join(entries.select(*keys, "idx"), [*keys, "idx"], "left_anti")
+    return present.where(F.col("value") != 0).unionByName(filled)
 
 
 def scale_labels(rows: DataFrame, label: str = "label", lower: float = -1.0, upper: float = 1.0) -> DataFrame:

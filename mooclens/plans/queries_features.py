@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mooclens.operators import activity, course as course_ops, leak, sessions, user
+from mooclens.operators import activity, course as course_ops, leak, scale, sessions, user
 from mooclens.operators.logs import build_log
 from mooclens.plans import features as feat
 from mooclens.plans.oracle import FIXTURE_CTES, rounded, with_ctes
@@ -318,6 +318,28 @@ def d11_daily_wide(spark, sf):
     return activity.daily_wide(log, course_ops.course_info(log))
 
 
+def _smooth_sql() -> str:
+    cols = [c for c in activity.ACTIVITY_FEATURES if not c.endswith("_day")]
+    mean = "list_avg(list_filter([CAST({} AS DOUBLE), {}, {}], lambda x: x IS NOT NULL)) AS {}"
+    means = [mean.format(*cols[i : i + 3], cols[i]) for i in range(len(cols) - 2)]
+    return with_ctes(rounded(f"SELECT enrollment_id, {', '.join(means)} FROM activity", ["enrollment_id"], cols[:-2]))
+
+
+@query("e5_smooth_columns", _smooth_sql())
+def e5_smooth_columns(spark, sf):
+    """E5 on a wide table: each activity count with the two next to it."""
+    cols = [c for c in activity.ACTIVITY_FEATURES if not c.endswith("_day")]
+    return activity.smooth_columns(activity.total_activity(fx_log(spark, sf)).select("enrollment_id", *cols), cols)
+
+
+@query("h9_to_one", with_ctes("SELECT enrollment_id, " + ", ".join(
+    f"CAST({c} > 0 AS INTEGER) AS {c}" for c in activity.ACTIVITY_FEATURES if c.startswith("n_")) + " FROM activity"))
+def h9_to_one(spark, sf):
+    """Every activity count as 1 if above 0."""
+    cols = [c for c in activity.ACTIVITY_FEATURES if c.startswith("n_")]
+    return scale.binarize_columns(activity.total_activity(fx_log(spark, sf)).select("enrollment_id", *cols), cols)
+
+
 @query("d12_exact_date_enrollment", with_ctes(
     "SELECT enrollment_id, CAST(date AS VARCHAR) AS date, count(*) AS n FROM log GROUP BY 1, 2"))
 def d12_exact_date_enrollment(spark, sf):

@@ -215,6 +215,30 @@ def k9_svm_scale(spark, sf):
     return sparse.apply_scale(entries, rows, fac, RK)
 
 
+@query("k9_scale_saved_factors", with_ctes(rounded("""
+SELECT CAST(NULL AS BIGINT) AS qid, CAST(NULL AS INTEGER) AS row_id, idx, -1.0 + 2.0 * (0 - fmin) / (fmax - fmin) AS value
+FROM fac WHERE fmax <> fmin
+UNION ALL
+SELECT s.qid, s.row_id, s.idx, -1.0 + 2.0 * (s.value - f.fmin) / (f.fmax - f.fmin) FROM sparse s JOIN fac f ON s.idx = f.idx
+WHERE f.fmax <> f.fmin AND s.value <> 0""", RK + ["idx"], ["value"]), K9_CTE))
+def k9_scale_saved_factors(spark, sf):
+    """K9 with factors saved and loaded: scaled entries, and a row without
+    qid and row_id for each feature's default."""
+    entries, path = fx.sparse(spark, sf), scratch_dir(spark, "factors")
+    sparse.save_factors(sparse.scale_factors(entries, fx.sparse_labels(spark, sf)), path)
+    scaled, defaults = sparse.scale_sparse(entries, sparse.load_factors(spark, path))
+    keys = [F.lit(None).cast(scaled.schema[c].dataType).alias(c) for c in RK]
+    return scaled.select(*RK, "idx", "value").unionByName(defaults.select(*keys, "idx", "value"))
+
+
+@query("k9_scale_labels", with_ctes(rounded("""
+SELECT qid, row_id, -1.0 + 2.0 * (label - (SELECT min(label) FROM ranking)) / ((SELECT max(label) FROM ranking) - (SELECT min(label) FROM ranking)) AS label
+FROM ranking""", RK, ["label"])))
+def k9_scale_labels(spark, sf):
+    """K9's optional target scaling to [-1, 1]."""
+    return sparse.scale_labels(fx.sparse_labels(spark, sf)).select(*RK, "label")
+
+
 M7_CTE = {"m7": """
   SELECT r.qid, r.row_id, r.label, coalesce(z, 0) AS z FROM ranking r LEFT JOIN (
     SELECT s.qid, s.row_id, sum(s.value * w.w) AS z FROM sparse s

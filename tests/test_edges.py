@@ -91,3 +91,20 @@ def test_svmlight_rejects(spark):
     assert sorted(r["reason"] for r in rejects.collect()) == ["bad label", "empty line", "indices not ascending"]
     assert sorted((r["label"], r["qid"]) for r in rows.collect()) == [(0.0, 0), (1.0, 3)]
     assert entries.count() == 3
+
+
+def test_sparse_scaling_with_defaults(spark, tmp_path):
+    """Absent entries have the feature's default; entries at it need no row."""
+    from mooclens.operators.sparse import load_factors, save_factors, scale_factors, scale_sparse
+
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "r int")
+    entries = spark.createDataFrame([(1, 1, 2.0), (2, 1, 4.0), (1, 2, 5.0), (2, 2, 5.0), (3, 2, 5.0), (1, 3, -1.0), (2, 3, 0.0), (3, 3, 1.0)],
+                                    "r int, idx int, value double")
+    save_factors(scale_factors(entries, rows), str(tmp_path / "factors"))
+    scaled, defaults = scale_sparse(entries, load_factors(spark, str(tmp_path / "factors")))
+    assert sorted(map(tuple, defaults.collect())) == [(1, -1.0), (3, 0.0)]
+    # feature 1: min 0 (absent in row 3), so 2 -> 0 and 4 -> 1; feature 2 is single-valued; 0 of feature 3 is its default
+    assert sorted((r["r"], r["idx"], r["value"]) for r in scaled.collect()) == [(1, 1, 0.0), (1, 3, -1.0), (2, 1, 1.0), (3, 3, 1.0)]
+    other = spark.createDataFrame([(9, 1, 8.0), (9, 7, 1.0)], "r int, idx int, value double")
+    assert [tuple(r) for r in scale_sparse(other, load_factors(spark, str(tmp_path / "factors")))[0].collect()] == [(9, 1, 3.0)]
+    assert scale_sparse(other.where("false"), scale_factors(other.where("false"), rows))[0].count() == 0
