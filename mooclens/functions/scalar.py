@@ -76,3 +76,12 @@ def count_when(cond: Column) -> Column:
 
 def sum_when(cond: Column, value) -> Column:
     return F.sum(F.when(cond, col_of(value)).otherwise(F.lit(0)))
+
+
+def seeded(col: str, seed: int) -> Column:
+    """A number in 0..2^52-1 from a column's text and a seed: the first 13
+    hexadecimal digits of MD5("seed:text"), which any engine repeats; exact as
+    a double. NULL counts as a text of its own."""
+    text = F.coalesce(F.col(col).cast("string"), F.lit("\0"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")

@@ -102,16 +102,22 @@ def backward_elimination(scores: DataFrame, rule: str = "until_no_gain", split:
     return current, history
 
 
-def forward_selection(scores: DataFrame, rounds: int, split: str = "val", id_col: str = "enrollment_id",
-                      label: str = "label", repeat: bool = False):
-    """Greedily add the model with the best blended AUC."""
+def forward_selection(scores: DataFrame, rounds: int | None = None, split: str = "val", id_col: str = "enrollment_id",
+                      label: str = "label", repeat: bool = False, rule: str = "until_no_gain"):
+    """Greedily add the model with the best blended AUC.
+
+    rule: 'until_no_gain' (stop before the first addition that does not
+    raise the AUC) or 'exhaust' (go on to ``rounds``, or until no model is
+    left). Returns (chosen model ids, history rows [(round, added, auc)])."""
+    if rule not in ("until_no_gain", "exhaust") or (rule == "exhaust" and repeat and rounds is None):
+        raise ValueError(f"rule={rule!r}, repeat={repeat}, rounds={rounds}")
     chosen, history = [], []
-    for rnd in range(1, rounds + 1):
+    while rounds is None or len(chosen) < rounds:
         m, val = best_candidate(addition_candidates(scores, chosen, split, id_col, label, repeat))
-        if m is None:
+        if m is None or (rule == "until_no_gain" and history and val <= history[-1][2]):
             break
         chosen.append(m)
-        history.append((rnd, m, val))
+        history.append((len(chosen), m, val))
     return chosen, history
 
 

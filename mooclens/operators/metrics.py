@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mooclens.functions.scalar import seeded
 from mooclens.operators.prefix import prefix_sums, row_numbers
 from mooclens.operators.sizing import maybe_broadcast
 
@@ -74,7 +75,7 @@ def stratified_folds(df: DataFrame, k: int, id_col: str = "enrollment_id", label
     if seed is None:
         keyed = df.withColumn("_o", F.col(id_col).cast("double"))
     else:
-        keyed = df.withColumn("_o", F.xxhash64(F.col(id_col), F.lit(seed)).cast("double"))
+        keyed = df.withColumn("_o", seeded(id_col, seed).cast("double"))
     ranked = row_numbers(keyed, [label], ["_o", id_col], "_rn")
     return ranked.select(*df.columns, ((F.col("_rn") - 1) % k).cast("int").alias(out))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.functions.scalar import safe_div
+from mooclens.functions.scalar import safe_div, seeded
 from mooclens.operators.prefix import _join_same, row_numbers
 from mooclens.operators.sizing import maybe_broadcast
 
@@ -121,25 +121,24 @@ def binarize_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*keep, *[(F.col(c) > 0).cast("int").alias(c) for c in cols])
 
 
-def hash_unit(col, seed: int) -> F.Column:
-    """Deterministic pseudo-random number in [0, 1) from a column and a seed."""
-    h = F.xxhash64(F.col(col) if isinstance(col, str) else col, F.lit(seed))
-    return (F.pmod(h, F.lit(1 << 30)) / F.lit(float(1 << 30)))
+def shuffled(df: DataFrame, id_col: str, seed: int = 0, out: str = "position") -> DataFrame:
+    """a random permutation as each row's place, 1..n, in a seeded order
+    (P1 numbers the rows; equal draws go by id)."""
+    keyed = df.withColumn("_h", seeded(id_col, seed)).withColumn("_g", F.lit(0))
+    return row_numbers(keyed, ["_g"], ["_h", id_col], out).select(*df.columns, out)
 
 
 def holdout_split(df: DataFrame, id_col: str, frac: float = 0.8, seed: int = 0) -> DataFrame:
-    """Shuffle by a seeded hash and put the first int(frac * n) + 1
-    rows in 'train', the rest in 'valid' (exact sizes via P1 ranks)."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    ranked = row_numbers(keyed.withColumn("_g", F.lit(0)), ["_g"], ["_h", id_col], "_rn")
-    n = df.count()
-    cut = int(frac * n) + 1
-    return ranked.select(*df.columns, F.when(F.col("_rn") <= cut, "train").otherwise("valid").alias("part"))
+    """Shuffle and put the first int(frac * n) + 1 rows in 'train', the
+    rest in 'valid'."""
+    cut = int(frac * df.count()) + 1
+    part = F.when(F.col("_place") <= cut, "train").otherwise("valid").alias("part")
+    return shuffled(df, id_col, seed, "_place").select(*df.columns, part)
 
 
 def random_half(models: DataFrame, model_col: str = "model", seed: int = 0) -> DataFrame:
-    """Keep each model with probability 1/2 (seeded hash bit)."""
-    return models.where(F.pmod(F.xxhash64(F.col(model_col), F.lit(seed)), F.lit(2)) == 0)
+    """Keep each model with probability 1/2 (by its seeded draw)."""
+    return models.where(seeded(model_col, seed) % 2 == 0)
 
 
 def one_hot_label(df: DataFrame, label: str = "label", n_classes: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from mooclens.operators import activity
 from mooclens.plans.oracle import rounded, with_ctes
 from mooclens.plans.queries_features import fx_log
 from mooclens.plans.registry import query
+from mooclens.session import materialize
 from mooclens.sources import fixtures as fx
 
 KEYS = ["model", "split"]
@@ -136,9 +137,16 @@ def l7_stratified_folds(spark, sf):
     return metrics.stratified_folds(fx.truth(spark, sf), 5, seed=None)
 
 
-@query("l7_stratified_folds_hashed")
+def draw_sql(col: str, seed: int) -> str:
+    """The draw of ``functions.scalar.seeded``."""
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({col} AS VARCHAR)), 1, 13) AS BIGINT)"
+
+
+@query("l7_stratified_folds_hashed", with_ctes(f"""
+SELECT enrollment_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY {draw_sql("enrollment_id", 7)}, enrollment_id) - 1)
+       % 5 AS INTEGER) AS fold FROM truth"""))
 def l7_stratified_folds_hashed(spark, sf):
-    """L7 shuffled by a seeded hash (rows-only: the hash is Spark's)."""
+    """L7 shuffled by seeded draws."""
     return metrics.stratified_folds(fx.truth(spark, sf), 5, seed=7)
 
 
@@ -239,18 +247,30 @@ def m9_backward_elimination(spark, sf):
 
 @query("m10_forward_selection")
 def m10_forward_selection(spark, sf):
-    chosen, hist = blend.forward_selection(cal_scores(spark, sf), rounds=5, repeat=True)
+    """M10 whole loop: models are added, repeatedly if that helps, until the
+    validation AUC no longer rises."""
+    _, hist = blend.forward_selection(materialize(cal_scores(spark, sf), "scores"), repeat=True)
     return spark.createDataFrame([(r, int(m), float(a)) for r, m, a in hist], "round int, added int, auc double")
 
 
-# ---------------------------------------------------------------- K13, K14 (seeded hashes: rows-only)
+# ---------------------------------------------------------------- F4, K13, K14 (seeded draws)
+
+PLACE_SQL = f"row_number() OVER (ORDER BY {draw_sql('enrollment_id', 3)}, enrollment_id)"
+
+
+@query("f4_shuffled", with_ctes(f"SELECT enrollment_id, label, {PLACE_SQL} AS position FROM truth"))
+def f4_shuffled(spark, sf):
+    """a seeded random permutation of the enrollments."""
+    return scale.shuffled(fx.truth(spark, sf), "enrollment_id", seed=3)
+
 
-@query("k13_holdout_split")
+@query("k13_holdout_split", with_ctes(f"""
+SELECT enrollment_id, label, CASE WHEN {PLACE_SQL} <= floor(0.8 * count(*) OVER ()) + 1 THEN 'train' ELSE 'valid' END AS part FROM truth"""))
 def k13_holdout_split(spark, sf):
     return scale.holdout_split(fx.truth(spark, sf), "enrollment_id", 0.8, seed=3)
 
 
-@query("k14_random_half_models")
+@query("k14_random_half_models", with_ctes(f"SELECT model FROM (SELECT DISTINCT model FROM scores) m WHERE {draw_sql('model', 1)} % 2 = 0"))
 def k14_random_half_models(spark, sf):
     models = fx.scores(spark, sf).select("model").distinct()
     return scale.random_half(models, "model", seed=1)

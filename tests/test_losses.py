@@ -135,3 +135,19 @@ def test_minimiser_on_a_quadratic():
             return a @ s
 
     assert np.allclose(minimise(Bowl(), 2, eps=1e-8), np.linalg.solve(a, np.ones(2)))
+
+
+def test_forward_selection_stops_without_gain(spark):
+    """Every added model raises the AUC, and no further one would."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(80):
+        y = i % 2
+        rows += [(i, m, "val", y, y * w + rng.random()) for m, w in (("a", 0.6), ("b", 0.5), ("c", 0.0), ("d", -0.6))]
+    scores = spark.createDataFrame(rows, "enrollment_id long, model string, split string, label int, score double").cache()
+    chosen, history = blend.forward_selection(scores)
+    values = [h[2] for h in history]
+    assert [h[1] for h in history] == chosen and values == sorted(set(values)) and "d" not in chosen
+    _, rest = blend.forward_selection(scores, rule="exhaust")
+    assert len(rest) == 4 and rest[: len(history)] == history and rest[len(history)][2] <= values[-1]
+    assert len(blend.forward_selection(scores, rounds=3, repeat=True, rule="exhaust")[0]) == 3
