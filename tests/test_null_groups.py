@@ -18,7 +18,7 @@ def lines(request, spark):
 def per_query(rows, *cols):
     found = {}
     for r in rows:
-        found.setdefault(r["qid"], []).append(tuple(r[c] for c in cols))
+        found.setdefault(r["qid"], []).append(tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in cols))
     return {q: sorted(x, key=repr) for q, x in found.items()}
 
 
