@@ -35,8 +35,9 @@ from mooclens.llm.textnum import Layout, as_bytes, chunks, parts
 SIZE = 4096
 END_ID = 1
 BUCKET_ROWS = 200_000
-#: A worker forgets the ids of its distinct words when it has more.
-WORD_CACHE = 2_000_000
+#: A worker forgets the ids of its distinct words when they take more bytes,
+#: and at the end of each task: what stays of a task is the tokenizer alone.
+WORD_BYTES = 16 << 20
 
 _PIECES = pa.schema(
     [
@@ -55,8 +56,7 @@ class WordTokenizer:
 
     For a tokenizer that drops white space and starts a new token at each
     word, a text's ids are its words' ids in order, so every distinct word
-    is encoded once and kept, by hash, for later chunks and tasks of the
-    worker. Words are split at ASCII white space only; anything else in a
+    is encoded once and kept, by hash, for later chunks of the task. Words are split at ASCII white space only; anything else in a
     word is left to the tokenizer."""
 
     def __init__(self, path: str):
@@ -66,9 +66,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.flat))
+
+    def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # hashes, ascending
         self.at = np.zeros(0, np.int64)  # where a word's ids are in flat
         self.size = np.zeros(0, np.int64)
@@ -87,8 +90,8 @@ class WordTokenizer:
         lay = Layout(texts)
         start, end = lay.words()
         distinct, first, which = np.unique(lay.span_hashes(start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > WORD_CACHE:
-            self._clear()
+        if self.nbytes() > WORD_BYTES:
+            self.clear()
         new = first[~np.isin(distinct, self.keys, assume_unique=True)]
         if len(new):
             raw = lay.buf.tobytes()
@@ -104,7 +107,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker, whose words later tasks use too."""
+    """One for each worker."""
     return WordTokenizer(path)
 
 
@@ -127,6 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES
                 )
+        tok.clear()
 
     ship(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, _PIECES_DDL)
