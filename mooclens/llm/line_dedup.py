@@ -1,15 +1,15 @@
 """Fuzzy line de-duplication by MinHash.
 
-Lines (split at \\n) of at least ``MIN_CHARS`` code points after trimming
-are judged; shorter ones always stay, as chance repeats them. A line's set
-is its character shingles (windows of ``WIDTH`` code points, A-Z lowered).
-One-permutation signatures are banded in rows of ``BAND``; candidates are
-confirmed by exact Jaccard >= 0.8 on whole shingle sets, and union-find
-over the links keeps one line of each component: the first by (doc_id,
-line number). Equal lines (lowered, trimmed) are one node.
+Lines (split at \\n) are judged whatever their length; blank ones stay. A
+line's set is its character shingles (windows of ``WIDTH`` code points, A-Z
+lowered; a shorter line is its only shingle). One-permutation signatures
+are banded in rows of ``BAND``; candidates whose set sizes and registers
+allow it are confirmed by exact Jaccard >= 0.8 on whole shingle sets, and
+union-find over the links keeps one line of each component: the first by
+(doc_id, line number). Equal lines (lowered, trimmed) are one node.
 
-Nine bands of three miss a pair at 0.8 with probability 0.0016, at 0.85
-with 0.0002; equal lines are never missed.
+Sixteen bands of five miss a pair at 0.8 with probability 0.0017, at 0.85
+with 0.0001; equal lines are never missed.
 
 Edge cases: null text stays null; empty texts and lines stay; rows equal in
 doc_id and text are one document and all come out alike; null ids come
@@ -34,14 +34,17 @@ from mooclens.llm.near import grouped
 from mooclens.llm.onepermutation import probe_ranks
 from mooclens.llm.textnum import LOWER, Layout, as_bytes, chunks, mix, parts
 
-MIN_CHARS = 30
+#: Code points of the shortest line to judge.
+MIN_CHARS = 1
 #: One changed character leaves a line of 49 characters or more above the threshold.
 WIDTH = 5
-BINS = 27
-BAND = 3
+BINS = 80
+BAND = 5
 #: Bits of a hash that tell a bin's hashes apart; the rest number the bins of a
 #: chunk's lines.
 TOP = 37
+#: Lines of more windows are counted on whole hashes: TOP bits would begin to collide.
+COUNTED = 2000
 PERCENT = 80
 _STRIP = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -77,8 +80,8 @@ def shingle_sets(lines: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]
 
 
 def signatures(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Filled bins of each line, and its registers: 16 bits of each bin's
-    least window hash, empty bins densified. All lines at once."""
+    """Distinct windows of each line, and its registers: 16 bits of each
+    bin's least window hash, empty bins densified. All lines at once."""
     lay = Layout(lines)
     starts = np.flatnonzero((lay.buf & 0xC0) != 0x80)  # code points, and the space after each line
     at = np.searchsorted(starts, lay.begin)
@@ -91,6 +94,11 @@ def signatures(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
     slot = own[window].astype(np.uint64) * np.uint64(BINS) + (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32))
     # one sort of (bin, top of the hash) puts each bin's least hash first
     ordered = np.sort(slot << np.uint64(TOP) | h >> np.uint64(64 - TOP))
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    count = np.bincount((ordered[new] >> np.uint64(TOP)).astype(np.int64) // BINS, minlength=len(lines))
+    cuts = np.searchsorted(own[window], np.arange(len(lines) + 1))
+    for i in np.flatnonzero(np.diff(cuts) > COUNTED):
+        count[i] = len(np.unique(h[cuts[i] : cuts[i + 1]]))
     slot = ordered >> np.uint64(TOP)
     first = np.concatenate([[True], slot[1:] != slot[:-1]])
     least, full = np.zeros(len(lines) * BINS, np.uint64), np.zeros(len(lines) * BINS, bool)
@@ -106,7 +114,7 @@ def signatures(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.n
         fits = full[line, ask]
         out[line[fits], empty[fits]] = least[line[fits], ask[fits]]
         line, empty = line[~fits], empty[~fits]
-    return full.sum(axis=1), (mix(out) >> np.uint64(48)).astype(np.uint16)
+    return count, (mix(out) >> np.uint64(48)).astype(np.uint16)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -127,7 +135,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(node, n, regs) of the judged lines, n the number of filled bins;
+    """(node, n, regs) of the judged lines, n the size of the shingle set;
     repeats within a part once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +143,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
             lines = {line_id(line): line for text in as_bytes(t.column("text")) for _, line in judged(text)}
             nodes, texts = list(lines), list(lines.values())
             for a, b in chunks(texts):
-                filled, regs = signatures(texts[a:b])
+                sizes, regs = signatures(texts[a:b])
                 blobs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * BINS), b - a, [None, pa.py_buffer(regs.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(filled), blobs.cast(pa.binary())], ["node", "n", "regs"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a:b], pa.int64()), pa.array(sizes), blobs.cast(pa.binary())], ["node", "n", "regs"])
 
     return docs.select("text").mapInArrow(run, "node long, n long, regs binary")
 
@@ -183,7 +191,7 @@ def line_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return list(shingle_sets(lines))
 
     # lines travel as they are, their larger sets are made where they are compared
-    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance, sized=False, unpack=unpack)
+    return grouped(_keyed(signatures), sets_of, BINS, BAND, percent, chance, unpack=unpack)
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -52,7 +52,7 @@ def near_components(rows, width, percent=80):
     return {d: union.find(d) for d, _ in sets}
 
 
-def removed_lines(rows, min_chars=30, width=WIDTH):
+def removed_lines(rows, min_chars=1, width=WIDTH):
     """{doc_id: sorted removed line numbers} of distinct (doc_id, text)."""
     places = {}
     for d, t in rows:

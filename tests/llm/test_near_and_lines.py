@@ -100,7 +100,7 @@ def test_fuzzy_lines_and_repeats(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     expect = removed_lines(rows)
     assert {d: r["removed_lines"] for d, r in got.items()} == expect
-    assert got[2]["text"].endswith("\nshort") and got[3]["text"] == "" and all(expect[i] == [0] for i in range(10, 60))
+    assert got[2]["removed_lines"] == [1, 2] and got[3]["text"] == "" and all(expect[i] == [0] for i in range(10, 60))
 
 
 def test_empty_tables(nothing):
@@ -128,3 +128,17 @@ def test_one_changed_character_or_word(spark, size):
         assert all(got[d] == [0] for d in chars)
     if size >= 100:
         assert all(got[d] == [0] for d, n in words if n <= 6)
+
+
+def test_short_lines(spark):
+    """Equal short lines go, whatever their length; blank ones stay."""
+    rows = [(1, "Subscribe to our list now\n\nyes"), (2, "one\n  subscribe to our LIST now\n\n"), (3, "Yes \ntwo\n \nyet"), (4, "\n")]
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == removed_lines(rows) == {1: [], 2: [1], 3: [0], 4: []}
+
+
+def test_signature_counts_distinct_windows():
+    rng = random.Random(8)
+    lines = [b"ab", b"abababababab", b"x" * 5000, prose(rng, 40).encode(), prose(rng, 3000).encode()]
+    sizes, regs = line_dedup.signatures(lines)
+    assert sizes.tolist() == [len(s) for s in line_dedup.shingle_sets(lines)] and regs.shape == (5, line_dedup.BINS)
