@@ -4,8 +4,8 @@ A window ``partitionBy(g).orderBy(o)`` sends each group to one task. When a
 group is hot (one key may hold a third of all rows) that task becomes the
 job. The helpers here first count group sizes; if no group exceeds
 ``mooclens.prefix.hotGroupRows`` they use the plain window. Otherwise each
-hot group is cut into ranges of its order key by approximate quantiles, the
-window runs per (group, range) and a small per-range table supplies the
+hot group is cut into ranges of its whole order tuple by quantiles of a row
+sample (equal leading keys are told apart by the next ones), the window runs per (group, range) and a small per-range table supplies the
 carry-in (running totals, previous values) from earlier ranges.
 
 The bounds are checkpointed (reliable checkpoint in spark.checkpoint.dir)
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from mooclens.session import BUCKETS_KEY, HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir
 
 BUCKET = "_bkt"
+#: Rows sampled for each range of a hot group.
+SAMPLED = 32
 
 
 def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -34,43 +36,53 @@ def _join_same(left: DataFrame, right: DataFrame, keys: list[str], how: str) ->
     return left.join(other, cond, how).drop(*[f"_k_{c}" for c in keys])
 
 
-def _hot_bounds(df: DataFrame, keys: list[str], order_col: str) -> DataFrame | None:
-    """Per-hot-group quantile bounds of ``order_col`` or None if no group is hot."""
+def _order_tuple(order: str | list[str]) -> Column:
+    return F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order)])
+
+
+def _hot_bounds(df: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame | None:
+    """Per-hot-group range splitters of the order tuple or None if no group
+    is hot. A group's number of ranges follows from its rows, up to the
+    configured most; the splitters are quantiles of a row sample of a size
+    that does not grow with the group."""
     spark = df.sparkSession
     threshold = conf_int(spark, HOT_ROWS_KEY)
-    n_buckets = conf_int(spark, BUCKETS_KEY)
+    most = max(2, conf_int(spark, BUCKETS_KEY))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > threshold).select(*keys)
+    hot = sizes.where(F.col("_n") > threshold)
     if hot.isEmpty():
         return None
-    probs = [i / n_buckets for i in range(1, n_buckets)]
+    wanted = F.greatest(F.lit(2), F.least(F.lit(most), F.ceil(4.0 * F.col("_n") / threshold))).cast("int")
+    hot = hot.withColumn("_b", wanted)
+    n, sample = F.size("_s"), SAMPLED * F.col("_b")
     bounds = (
-        _join_same(df, hot, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10 * n_buckets).alias("_bounds"))
-        .select(*keys, F.array_distinct("_bounds").alias("_bounds"))
+        _join_same(df.select(*keys, _order_tuple(order).alias("_p1_order")), hot, keys, "inner")
+        .where(F.rand(1) * F.col("_n") < sample)
+        .groupBy(*keys, "_b")
+        .agg(F.sort_array(F.collect_list("_p1_order")).alias("_s"))
+        .select(*keys, F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.col("_b") - 1),
+            lambda i: F.get("_s", F.floor(i * n / F.col("_b")).cast("int")))).alias("_bounds"))
     )
     ensure_checkpoint_dir(spark)
     bounds = bounds.checkpoint(eager=True)
     # Hot groups number at most rows / threshold; broadcast only when the
     # bounds table is small, else let the (skew-aware) shuffle join run.
-    if bounds.count() * n_buckets <= 4_000_000:
+    if bounds.count() * most <= 1_000_000:
         bounds = F.broadcast(bounds)
     return bounds
 
 
-def with_buckets(df: DataFrame, keys: list[str], order_col: str, small: bool = False) -> tuple[DataFrame, bool]:
+def with_buckets(df: DataFrame, keys: list[str], order: str | list[str], small: bool = False) -> tuple[DataFrame, bool]:
     """Add ``_bkt``: 0 for ordinary groups, key range number inside hot groups.
-    ``small=True`` states that no group can be hot (skips the size check)."""
-    bounds = None if small else _hot_bounds(df, keys, order_col)
+    ``order`` is a column or the whole order tuple; rows equal in it share a
+    range. ``small=True`` states that no group can be hot (skips the size check)."""
+    bounds = None if small else _hot_bounds(df, keys, order)
     if bounds is None:
         return df.withColumn(BUCKET, F.lit(0)), False
-    o = F.col(order_col).cast("double")
-    b = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter("_bounds", lambda x: x < o))
-    )
-    out = _join_same(df, bounds, keys, "left").withColumn(BUCKET, b).drop("_bounds")
-    return out, True
+    out = _join_same(df, bounds, keys, "left").withColumn("_p1_order", _order_tuple(order))
+    b = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("_bounds", lambda x: x < F.col("_p1_order"))))
+    return out.withColumn(BUCKET, b).drop("_bounds", "_p1_order"), True
 
 
 def prefix_sums(
@@ -85,7 +97,7 @@ def prefix_sums(
 ) -> DataFrame:
     """Add running sums of the ``sums`` expressions inside each group.
 
-    Rows are ordered by ``order_cols`` (the first one drives the ranges).
+    Rows are ordered by ``order_cols``, which also drive the ranges.
     ``inclusive`` includes the current row. ``ties='range'`` gives rows with
     equal order keys the same value (RANGE frame on the first order
     column, which must then be the only one); ``'rows'`` needs a unique
@@ -105,7 +117,7 @@ def prefix_sums(
         return spec.orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
 
     if prebucketed is None:
-        bucketed, split = with_buckets(base, keys, order_cols[0], small)
+        bucketed, split = with_buckets(base, keys, order_cols, small)
     else:  # ``df`` already carries _bkt from an earlier with_buckets call
         bucketed, split = base, prebucketed
     if not split:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from mooclens.operators.prefix import prefix_sums, previous_value, row_numbers
+from mooclens.operators.prefix import BUCKET, prefix_sums, previous_value, row_numbers, with_buckets
 
 
 def _data(spark, n=400, groups=3, seed=1):
@@ -47,3 +47,16 @@ def test_previous_value_hot(hot):
     w = Window.partitionBy("g").orderBy("k")
     ref = {r["id"]: r["p"] for r in df.select("id", F.lag("k").over(w).alias("p")).collect()}
     assert ours == ref
+
+
+def test_equal_leading_keys_are_split(hot):
+    """90% of a group equal in the leading key: no range holds them all, and
+    the positions stay those of one window. Text keys need no cast."""
+    rows = [("a", "same" if i % 10 else f"k{i:03d}", i) for i in range(2000)] + [(None, None, i) for i in range(2)]
+    df = hot.createDataFrame(rows, "g string, k string, id long")
+    split, cut = with_buckets(df, ["g"], ["k", "id"])
+    sizes = [r["count"] for r in split.groupBy("g", BUCKET).count().collect()]
+    assert cut and max(sizes) < 900
+    ours = {(r["g"], r["id"]): r["rn"] for r in row_numbers(df, ["g"], ["k", "id"]).collect()}
+    w = Window.partitionBy("g").orderBy("k", "id")
+    assert ours == {(r["g"], r["id"]): r["rn"] for r in df.select("g", "id", F.row_number().over(w).alias("rn")).collect()}
