@@ -148,6 +148,11 @@ def exact_date_counts(log: DataFrame, key: str = "enrollment_id") -> DataFrame:
     return log.groupBy(key, "date").agg(F.count("time").alias("n"))
 
 
+def log_dates(log: DataFrame) -> list:
+    """The calendar dates of the log, ascending (one a day, so bounded)."""
+    return [r[0] for r in log.select("date").where(F.col("date").isNotNull()).distinct().orderBy("date").collect()]
+
+
 def exact_date_wide(log: DataFrame, key: str, dates: list) -> DataFrame:
     """D12 pivoted on a given date list (fixed schema), 0-filled."""
     long = exact_date_counts(log, key)

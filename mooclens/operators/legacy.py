@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from mooclens.functions.scalar import count_when
 from mooclens.operators.logs import EVENTS, SOURCES
+from mooclens.operators.prefix import row_numbers
 from mooclens.operators.sizing import maybe_broadcast
 
+#: Columns of the wide one-hot form; ``course_entries`` has no such bound.
 MAX_ONE_HOT = 10_000
 
 
@@ -44,7 +46,7 @@ def course_list(df: DataFrame) -> list[str]:
     courses = df.select("course_id").distinct()
     rows = courses.limit(MAX_ONE_HOT + 1).collect()
     if len(rows) > MAX_ONE_HOT:
-        raise ValueError(f"more than {MAX_ONE_HOT} courses; use a StringIndexer + sparse one-hot instead")
+        raise ValueError(f"more than {MAX_ONE_HOT} courses; use course_entries or legacy_entries")
     return sorted(r[0] for r in rows)
 
 
@@ -70,6 +72,40 @@ def build_legacy_features(log: DataFrame, enrollment: DataFrame) -> DataFrame:
     return out.drop("course_id")
 
 
+def course_dictionary(df: DataFrame) -> DataFrame:
+    """(course_id, idx): a dense number from 0 for each course, in order of
+    course_id. Nothing is collected; NULL is no course."""
+    courses = df.select("course_id").where(F.col("course_id").isNotNull()).distinct()
+    numbered = row_numbers(courses.withColumn("_all", F.lit(0)), ["_all"], ["course_id"], "_n")
+    return numbered.select("course_id", (F.col("_n") - 1).alias("idx"))
+
+
+def course_entries(enrollment: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """D16 for any number of courses: the non-zero cells (enrollment_id, idx,
+    value 1.0) of the indicator columns, idx by ``course_dictionary``.
+    Enrollments of courses outside the dictionary have no cell."""
+    dictionary = course_dictionary(enrollment) if dictionary is None else dictionary
+    cells = enrollment.select("enrollment_id", "course_id").join(maybe_broadcast(dictionary), "course_id")
+    return cells.select("enrollment_id", "idx", F.lit(1.0).alias("value"))
+
+
+def legacy_entries(log: DataFrame, enrollment: DataFrame) -> DataFrame:
+    """D18 for any number of courses, as sparse cells (enrollment_id, idx,
+    value), zeros left out: idx 0 to 24 are the D13 counts in the order of
+    ``LEGACY_COUNT_COLUMNS``, 25 the course's last event time, 26 and up the
+    course indicators."""
+    counts = legacy_counts(log)
+    first = len(LEGACY_COUNT_COLUMNS)
+    enr = enrollment.select("enrollment_id", "course_id")
+    facts = maybe_broadcast(course_dictionary(enr).join(last_course_time(log), "course_id", "left"))
+    rows = counts.join(enr, "enrollment_id").join(facts, "course_id", "left")
+    cells = [F.struct(F.lit(i).cast("long").alias("idx"), F.col(c).cast("double").alias("value"))
+             for i, c in enumerate([*LEGACY_COUNT_COLUMNS, "course_last_time"])]
+    cells.append(F.struct((F.col("idx") + (first + 1)).alias("idx"), F.lit(1.0).alias("value")))
+    long = rows.select("enrollment_id", F.explode(F.array(*cells)).alias("c")).select("enrollment_id", "c.idx", "c.value")
+    return long.where(F.col("idx").isNotNull() & (F.col("value") != 0))
+
+
 HIST_MEASURES = ["span", "last_offset", "n_logs"]
 
 

@@ -177,3 +177,28 @@ def linear_scores(entries: DataFrame, weights: DataFrame, keys: list[str], rows:
 def linear_probability(z: Column) -> Column:
     """M7 for logistic models: 1 / (1 + exp(-z))."""
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def multiclass_scores(entries: DataFrame, weights: DataFrame, keys: list[str], rows: DataFrame) -> DataFrame:
+    """M7 with one weight vector a class, ``weights`` = (class, idx, w): for
+    each row and class the decision value z, the probability p (logistic
+    values that sum to 1 over the classes) and whether the class is the
+    predicted one, that of the greatest z (ties: the least class). Rows
+    without entries have z 0 everywhere. Indices without weight are ignored."""
+    classes = weights.select("class").distinct()
+    by_idx = maybe_broadcast(weights.groupBy("idx").agg(F.collect_list(F.struct("class", "w")).alias("_ws")))
+    terms = entries.join(by_idx, "idx").select(*keys, "value", F.explode("_ws").alias("_w"))
+    z = terms.groupBy(*keys, F.col("_w.class").alias("class")).agg(F.sum(F.col("value") * F.col("_w.w")).alias("z"))
+    # the classes of a model are few: one array goes with each row
+    listed = classes.agg(F.sort_array(F.collect_list("class")).alias("_c")).select("_c").scalar()
+    found = z.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "z"))).alias("_z"))
+    every = rows.select(*keys, listed.alias("_c")).join(found, keys, "left")
+    zs = F.transform("_c", lambda c: F.struct(c.alias("class"), F.coalesce(F.try_element_at("_z", c), F.lit(0.0)).alias("z")))
+    every = every.select(*keys, zs.alias("_z"))
+    total = F.aggregate("_z", F.lit(0.0), lambda acc, x: acc + linear_probability(x["z"]))
+    best = F.array_max(F.transform("_z", lambda x: x["z"]))
+    winner = F.array_min(F.transform(F.filter("_z", lambda x: x["z"] == best), lambda x: x["class"]))
+    every = every.select(*keys, F.explode("_z").alias("_x"), total.alias("_t"), winner.alias("_win"))
+    return every.select(*keys, F.col("_x.class").alias("class"), F.col("_x.z").alias("z"),
+                        (linear_probability(F.col("_x.z")) / F.col("_t")).alias("p"),
+                        (F.col("_x.class") == F.col("_win")).alias("predicted"))

@@ -502,3 +502,60 @@ def d16_course_one_hot(spark, sf):
     """One indicator column per course (sorted course list)."""
     from mooclens.operators.legacy import course_one_hot
     return course_one_hot(fx.enrollment(spark, sf))
+
+
+@query("d16_course_entries", with_ctes(
+    "SELECT e.enrollment_id, d.idx, CAST(1 AS DOUBLE) AS value FROM enrollment e JOIN ("
+    "SELECT course_id, row_number() OVER (ORDER BY course_id) - 1 AS idx FROM "
+    "(SELECT DISTINCT course_id FROM enrollment WHERE course_id IS NOT NULL) c) d ON e.course_id = d.course_id"))
+def d16_course_entries(spark, sf):
+    """D16 as sparse cells, for any number of courses."""
+    from mooclens.operators.legacy import course_entries
+    return course_entries(fx.enrollment(spark, sf))
+
+
+def _legacy_entries_sql() -> str:
+    from mooclens.operators.legacy import LEGACY_COUNT_COLUMNS
+    first = len(LEGACY_COUNT_COLUMNS)
+    extra = {
+        "legacy_rows": f"SELECT c.*, e.course_id FROM ({_legacy_counts_sql()}) c "
+                       "JOIN enrollment e ON c.enrollment_id = e.enrollment_id",
+        "course_facts": "SELECT d.course_id, d.idx, t.last_time FROM (SELECT course_id, "
+                        "row_number() OVER (ORDER BY course_id) - 1 AS idx FROM (SELECT DISTINCT course_id FROM enrollment "
+                        "WHERE course_id IS NOT NULL) c) d LEFT JOIN (SELECT course_id, max(epoch_us(time) // 1000000) AS last_time "
+                        "FROM log GROUP BY course_id) t ON d.course_id = t.course_id",
+    }
+    cells = [f"SELECT enrollment_id, {i} AS idx, CAST({c} AS DOUBLE) AS value FROM legacy_rows"
+             for i, c in enumerate(LEGACY_COUNT_COLUMNS)]
+    cells.append(f"SELECT enrollment_id, {first}, CAST(last_time AS DOUBLE) FROM legacy_rows r "
+                 "JOIN course_facts f ON r.course_id = f.course_id")
+    cells.append(f"SELECT enrollment_id, idx + {first + 1}, CAST(1 AS DOUBLE) FROM legacy_rows r "
+                 "JOIN course_facts f ON r.course_id = f.course_id")
+    return with_ctes("SELECT enrollment_id, CAST(idx AS BIGINT) AS idx, value FROM (" + " UNION ALL ".join(cells)
+                     + ") u WHERE value <> 0", extra)
+
+
+@query("d18_legacy_entries", _legacy_entries_sql())
+def d18_legacy_entries(spark, sf):
+    """D18 as sparse cells, for any number of courses."""
+    from mooclens.operators.legacy import legacy_entries
+    return legacy_entries(fx_log(spark, sf), fx.enrollment(spark, sf))
+
+
+def _exact_date_wide_sql(key: str) -> str:
+    return with_ctes(f"SELECT * FROM (PIVOT (SELECT {key}, CAST(date AS VARCHAR) AS date FROM log) "
+                     f"ON date USING count(*) GROUP BY {key})")
+
+
+@query("d12_exact_date_wide_enrollment", _exact_date_wide_sql("enrollment_id"))
+def d12_exact_date_wide_enrollment(spark, sf):
+    """A column for each date of the log, by enrollment."""
+    log = fx_log(spark, sf)
+    return activity.exact_date_wide(log, "enrollment_id", activity.log_dates(log))
+
+
+@query("d12_exact_date_wide_user", _exact_date_wide_sql("username"))
+def d12_exact_date_wide_user(spark, sf):
+    """A column for each date of the log, by user."""
+    log = fx_log(spark, sf)
+    return activity.exact_date_wide(log, "username", activity.log_dates(log))

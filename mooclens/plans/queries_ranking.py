@@ -272,3 +272,30 @@ def l5_regression_scores(spark, sf):
     """L5 on rounded M7 decision values against the labels."""
     z = _m7_frame(spark, sf).withColumn("pred", F.round("z"))
     return metrics.regression_scores(z, "pred", "label")
+
+
+M7_MULTI_CTE = {
+    "mw": """
+  SELECT c.class, c.idx, c.w - a.w AS w FROM (
+    SELECT r.label AS class, s.idx, avg(s.value) AS w FROM sparse s
+    JOIN ranking r ON s.qid = r.qid AND s.row_id = r.row_id GROUP BY r.label, s.idx) c
+  JOIN (SELECT idx, avg(value) AS w FROM sparse GROUP BY idx) a ON c.idx = a.idx""",
+    "mz": """
+  SELECT r.qid, r.row_id, k.class, coalesce(t.z, 0) AS z FROM ranking r
+  CROSS JOIN (SELECT DISTINCT class FROM mw) k LEFT JOIN (
+    SELECT s.qid, s.row_id, mw.class, sum(s.value * mw.w) AS z FROM sparse s JOIN mw ON s.idx = mw.idx
+    GROUP BY s.qid, s.row_id, mw.class) t ON r.qid = t.qid AND r.row_id = t.row_id AND k.class = t.class"""}
+
+
+@query("m7_multiclass_scores", with_ctes(rounded(
+    "SELECT qid, row_id, class, z, (1 / (1 + exp(-z))) / sum(1 / (1 + exp(-z))) OVER (PARTITION BY qid, row_id) AS p, "
+    "row_number() OVER (PARTITION BY qid, row_id ORDER BY round(z, 9) DESC, class) = 1 AS predicted FROM mz",
+    [*RK, "class", "predicted"], ["z", "p"]), M7_MULTI_CTE))
+def m7_multiclass_scores(spark, sf):
+    """M7 for more than two classes: a weight vector for each label level
+    (its mean value less the mean of all)."""
+    entries, rows = fx.sparse(spark, sf), fx.ranking(spark, sf)
+    labelled = entries.join(rows.select(*RK, F.col("label").alias("class")), RK)
+    means = entries.groupBy("idx").agg(F.avg("value").alias("_a"))
+    weights = labelled.groupBy("class", "idx").agg(F.avg("value").alias("_w")).join(means, "idx")
+    return sparse.multiclass_scores(entries, weights.select("class", "idx", (F.col("_w") - F.col("_a")).alias("w")), RK, rows)
