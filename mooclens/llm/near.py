@@ -10,14 +10,16 @@ confirmed on whole sets.
    the greatest node: twice as many pairs as rows, however large the bucket.
 2. Union-find over the confirmed links. Buckets whose items are all in one
    component are done.
-3. What remains are buckets with items of different components. There an
-   item outside the bucket's largest component is compared with the few
-   items of other components that its registers say are most like it,
-   which ties nearly all items that have a link at all; union-find again.
-4. The rest is finished exactly: for buckets that are still divided, all
-   pairs across components whose registers allow the threshold. A pair is
-   looked at in the first of its common buckets only. Buckets beyond
-   ``BLOCK`` items are split into blocks.
+3. What remains are buckets with items of different components. There the
+   registers give a spanning forest of the likeliest pairs across them, fewer
+   pairs than items, which ties nearly all items that have a link at all;
+   union-find again.
+4. The rest is finished exactly, where buckets are still divided: items with
+   a pair across components that the registers allow bring their sets, and
+   every such pair is compared in the bucket's task, until its components are
+   one. Only links leave the task, never more than items. A pair is looked at in the first
+   of its common buckets only. Buckets beyond ``BLOCK`` items or ``ELEMENTS``
+   elements are split into blocks.
 
 Every candidate pair is thus confirmed, ruled out by its registers (at
 five standard errors), or already inside one component.
@@ -37,8 +39,8 @@ from mooclens.llm.common import stored
 from mooclens.llm.components import components
 
 BLOCK = 20_000
-#: Partners of step 3.
-LIKELY = 2
+#: Elements of the sets that a block holds in step 4.
+ELEMENTS = 4_000_000
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -132,44 +134,124 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, unpack: Callable
     return whole.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _across(bins: int, band_size: int, threshold: float, chance: Callable, sized: bool, most: int | None):
-    """Pairs of each bucket (or of two of its blocks) across components that
-    the registers allow; for each item outside the largest component the
-    ``most`` likely ones, or all. Rows come sorted by bucket: many small
-    buckets are worked through in one batch."""
+class _Bucket:
+    """Items of one bucket, or of two blocks of it."""
+
+    def __init__(self, cols: dict[str, np.ndarray], regs: np.ndarray, allows: Callable, least: float, band_size: int):
+        self.label, self.n, self.node, self.block = (cols[c] for c in ("label", "n", "node", "block"))
+        self.band, self.blocks = int(cols["band"][0]), (int(cols["i"][0]), int(cols["j"][0]))
+        self.regs, self.allows, self.least, self.band_size = regs, allows, least, band_size
+        labels, size = np.unique(self.label, return_counts=True)
+        #: The component that most of them are in.
+        self.big = labels[size.argmax()]
+
+    def outside(self) -> np.ndarray:
+        return np.flatnonzero(self.label != self.big)
+
+    def partners(self, r: int, there: np.ndarray, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``there`` in other components than r (and in the other
+        block) that sizes and registers allow, and shares of equal registers;
+        with ``first`` not those that an earlier band brings together."""
+        other = self.label[there] != self.label[r]
+        if self.blocks[0] != self.blocks[1]:
+            other &= self.block[there] != self.block[r]
+        other &= np.minimum(self.n[there], self.n[r]) >= self.least * np.maximum(self.n[there], self.n[r]) - 1e-9
+        m = there[other]
+        same = self.regs[m] == self.regs[r]
+        agree = same.mean(axis=1)
+        ok = np.flatnonzero(self.allows(agree, self.n[m], self.n[r]))
+        if first:
+            before = same[ok, : self.band * self.band_size].reshape(len(ok), self.band, self.band_size)
+            ok = ok[~before.all(axis=2).any(axis=1)]
+        return m[ok], agree[ok]
+
+
+def _forest(bucket: _Bucket) -> list[tuple[int, int]]:
+    """Pairs that would tie the components together: a spanning forest of the
+    likeliest ones, grown from the largest component. Fewer than items.
+    Pairs with a centre have been tried."""
+    free = (bucket.node != bucket.node.min()) & (bucket.node != bucket.node.max())
+    todo, inside = np.flatnonzero(free & (bucket.label != bucket.big)), np.flatnonzero(free & (bucket.label == bucket.big))
+    best, via = np.full(len(bucket.node), -1.0), np.zeros(len(bucket.node), np.int64)
+    for r in todo:
+        m, agree = bucket.partners(r, inside)
+        if len(m):
+            best[r], via[r] = agree.max(), m[agree.argmax()]
+    out = []
+    while len(todo):
+        r = todo[best[todo].argmax()]
+        if best[r] >= 0:
+            out.append((bucket.node[r], bucket.node[via[r]]))
+        joins = bucket.label[todo] == bucket.label[r]
+        new, todo = todo[joins], todo[~joins]
+        for x in new:
+            m, agree = bucket.partners(x, todo)
+            nearer = agree > best[m]
+            best[m[nearer]], via[m[nearer]] = agree[nearer], x
+    return out
+
+
+def _open(bucket: _Bucket) -> np.ndarray:
+    """Which items have a partner that is not ruled out."""
+    seen = np.zeros(len(bucket.node), bool)
+    everyone = np.arange(len(seen))
+    for r in bucket.outside():
+        m, _ = bucket.partners(r, everyone, first=True)
+        seen[m] = True
+        seen[r] |= len(m) > 0
+    return seen
+
+
+def _true_links(bucket: _Bucket, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between components, confirmed on whole sets: each pair that is
+    not ruled out is compared until its components are one."""
+    size = np.array([len(x) for x in sets])
+    end = np.cumsum(size)
+    kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
+    own = [code[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
+    mark = np.zeros(len(kinds), bool)
+    everyone = np.arange(len(sets))
+    out = []
+    for r in bucket.outside():
+        if bucket.label[r] == bucket.big:  # tied by an earlier turn, which looked at its other pairs or leaves them to later ones
+            continue
+        m, agree = bucket.partners(r, everyone, first=True)
+        m = m[np.argsort(-agree, kind="stable")]
+        mark[own[r]] = True
+        for some in (m[:8], m[8:]):
+            some = some[bucket.label[some] != bucket.label[r]]
+            if not len(some):
+                continue
+            hits = mark[np.concatenate([own[x] for x in some])]
+            common = np.bincount(np.repeat(np.arange(len(some)), size[some]), hits, len(some)).astype(np.int64)
+            union = size[some] + size[r] - common
+            linked = some[(100 * common >= percent * union) & (union > 0)]
+            labels, at = np.unique(bucket.label[linked], return_index=True)
+            out += [(bucket.node[r], bucket.node[x]) for x in linked[at]]
+            one = np.append(labels, bucket.label[r])
+            bucket.label[np.isin(bucket.label, one)] = bucket.big if bucket.big in one else bucket.label[r]
+        mark[own[r]] = False
+    return out
+
+
+def _across(bins: int, band_size: int, threshold: float, chance: Callable, sized: bool, work: Callable, result: Callable):
+    """``result`` of what ``work`` finds in each bucket (given its items and
+    its rows). Rows come sorted by bucket: many small buckets are worked
+    through in one batch."""
     least = threshold if sized else 0.0
 
-    def found(block: np.ndarray, label: np.ndarray, n: np.ndarray, node: np.ndarray, regs: np.ndarray, i: int, j: int, band: int) -> list:
-        labels, size = np.unique(label, return_counts=True)
-        big = labels[size.argmax()]
-        sides = ((i, j), (j, i)) if i != j else ((i, j),)
-        out = []
-        for one, other in sides:
-            there = np.flatnonzero(block == other)
-            for r in np.flatnonzero((block == one) & (label != big)):
-                m = there[(label[there] != label[r]) & (np.minimum(n[there], n[r]) >= least * np.maximum(n[there], n[r]) - 1e-9)]
-                if not len(m):
-                    continue
-                same = regs[m] == regs[r]
-                agree = same.mean(axis=1)
-                ok = allowed(agree, chance(n[m], np.full(len(m), n[r])), np.minimum(n[m], n[r]), bins, threshold)
-                # pairs that an earlier band brings together are looked at there
-                ok &= ~same[:, : band * band_size].reshape(len(m), band, band_size).all(axis=2).any(axis=1)
-                m, agree = m[ok], agree[ok]
-                if most is not None:
-                    m = m[np.argsort(-agree, kind="stable")[:most]]
-                out += [(min(node[r], x), max(node[r], x)) for x in node[m]]
-        return out
+    def allows(agree: np.ndarray, n: np.ndarray, own: int) -> np.ndarray:
+        return allowed(agree, chance(n, np.full(len(n), own)), np.minimum(n, own), bins, threshold)
 
     def of(t: pa.Table, start: int, end: int) -> list:
-        """Pairs of the whole buckets in rows start to end."""
+        """What is found in the whole buckets in rows start to end."""
         cols = {c: t.column(c).to_numpy()[start:end] for c in ("key", "i", "j", "band", "block", "label", "n", "node")}
-        regs = _matrix(t.column("regs").slice(start, end - start).to_pylist(), bins)
         cuts = np.flatnonzero(_starts(cols["key"], cols["i"], cols["j"])).tolist() + [end - start]
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            own = [cols[c][a:b] for c in ("block", "label", "n", "node")]
-            out += found(*own, regs[a:b], int(cols["i"][a]), int(cols["j"][a]), int(cols["band"][a]))
+            rows = t.slice(start + a, b - a)
+            own = {c: x[a:b].copy() for c, x in cols.items()}
+            out += work(_Bucket(own, _matrix(rows.column("regs").to_pylist(), bins), allows, least, band_size), rows)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,11 +265,11 @@ def _across(bins: int, band_size: int, threshold: float, chance: Callable, sized
                 continue
             whole = pa.Table.from_batches([*held, t])
             end = whole.num_rows - t.num_rows + int(first[-1])
-            yield _pairs(of(whole, 0, end))
+            yield result(of(whole, 0, end))
             held = whole.slice(end).combine_chunks().to_batches()
         if held:
             whole = pa.Table.from_batches(held)
-            yield _pairs(of(whole, 0, whole.num_rows))
+            yield result(of(whole, 0, whole.num_rows))
 
     return run
 
@@ -203,10 +285,22 @@ def _starts(key: np.ndarray, i: np.ndarray, j: np.ndarray, before: pa.RecordBatc
 
 
 def _pairs(found: list) -> pa.RecordBatch:
-    rows = np.array(sorted(set(found)), np.int64).reshape(-1, 2)
+    rows = np.array(sorted({(min(x), max(x)) for x in found}), np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], schema=_PAIR)
 
 
+_ITEM = ["key", "band", "node", "label", "n"]
+
+
+def _open_rows(bucket: _Bucket, rows: pa.Table) -> list[pa.Table]:
+    return [rows.select(_ITEM).filter(pa.array(_open(bucket)))]
+
+
+def _tables(found: list[pa.Table]) -> pa.RecordBatch:
+    whole = pa.concat_tables(found).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in whole.columns], _ITEM)
+
+
 def grouped(
     items: DataFrame,
     sets_of: Callable[[DataFrame], DataFrame],
@@ -245,28 +339,51 @@ def grouped(
 
     links = confirmed(tried)
     labels = components(links)
-    for most in (LIKELY, None):
-        named = shared.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        divided = (
-            named.groupBy("key")
-            .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows"))
-            .where("x < y and rows > 2")
-            .select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-        )
-        left = (
-            named.join(divided, "key")
+
+    def buckets(rows: DataFrame, limits: list) -> DataFrame:
+        """The items of ``rows`` (key, band, node, label, ...)
+        for each pair of blocks, which hold at most about ``limits`` (values
+        to sum up, and bounds)."""
+        cut = rows.groupBy("key").agg(F.ceil(F.greatest(F.lit(1.0), *[F.sum(x) / most for x, most in limits])).cast("int").alias("blocks"))
+        both = (
+            rows.join(cut, "key")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "band", "block", "node", "label")
-            .join(info, "node")
+            .withColumn("i", F.least("block", "with"))
+            .withColumn("j", F.greatest("block", "with"))
         )
-        by_bucket = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = by_bucket.mapInArrow(_across(bins, band_size, threshold, chance, sized, most), "a long, b long").distinct()
-        # pairs with a centre, and likely ones, have been tried
-        more = stored(pairs.join(tried, ["a", "b"], "left_anti"), "near-rest")
-        found = confirmed(more)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        tried = tried.unionByName(more)
-    return labels
+        return both.drop("blocks", "with")
+
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def divided(labels: DataFrame) -> DataFrame:
+        """(key, band, node, label, n, regs, block, i, j) of buckets with
+        items of several components."""
+        named = shared.select("key", "band", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows"))
+        left = named.join(several.where("x < y and rows > 2").select("key"), "key")
+        return buckets(left, [(F.lit(1.0), BLOCK)]).join(info, "node")
+
+    def across(work: Callable, result: Callable) -> Callable:
+        return _across(bins, band_size, threshold, chance, sized, work, result)
+
+    # at most one pair an item: pairs with a centre have been tried
+    likely = in_order(divided(labels)).mapInArrow(across(lambda b, _: _forest(b), _pairs), "a long, b long").distinct()
+    found = confirmed(stored(likely.join(tried, ["a", "b"], "left_anti"), "near-likely"))
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = components(links)
+    # the rest exactly: items with a pair that is still open, then such pairs on their sets
+    open_ = in_order(divided(labels)).mapInArrow(across(_open_rows, _tables), "key long, band int, node long, label long, n long")
+    open_ = stored(open_.distinct(), "near-open")
+    if open_.isEmpty():
+        return labels
+    sets = stored(sets_of(open_.select("node").distinct()), "near-sets")
+    whole = buckets(open_, [(F.lit(1.0), BLOCK), (F.col("n"), ELEMENTS)]).join(info.select("node", "regs"), "node").join(sets, "node")
+
+    def compared(bucket: _Bucket, rows: pa.Table) -> list:
+        return _true_links(bucket, unpack(rows.column("set").to_pylist()), percent)
+
+    found = stored(in_order(whole).mapInArrow(across(compared, _pairs), "a long, b long").distinct(), "near-links")
+    return labels if found.isEmpty() else components(links.unionByName(found))

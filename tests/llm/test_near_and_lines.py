@@ -142,3 +142,26 @@ def test_signature_counts_distinct_windows():
     lines = [b"ab", b"abababababab", b"x" * 5000, prose(rng, 40).encode(), prose(rng, 3000).encode()]
     sizes, regs = line_dedup.signatures(lines)
     assert sizes.tolist() == [len(s) for s in line_dedup.shingle_sets(lines)] and regs.shape == (5, line_dedup.BINS)
+
+
+def test_isolated_items_of_a_hot_group(spark, monkeypatch):
+    """Texts that share buckets with very many others but are linked with
+    few or none: every link is found, and only few pairs leave the buckets."""
+    rnd = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(160):
+        words = list(base)
+        for at in rnd.choice(150, int(rnd.integers(1, 16)), replace=False):
+            words[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written = []
+    plain = near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name, *a: written.append((name, out := plain(df, name, *a))) or out)
+    monkeypatch.setattr(near, "ELEMENTS", 9000)
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_duplicates(docs, width=2).collect()}
+    assert got == near_components(rows, 2)
+    assert len(set(got.values())) > 1
+    most = max(df.count() for name, df in written if name in ("near-likely", "near-links"))
+    assert most < 10 * len(rows)
