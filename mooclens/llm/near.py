@@ -6,8 +6,8 @@ signature as packed uint16 registers, and its band keys. Items that share a
 key are candidates. Links need set intersection / union >= threshold,
 confirmed on whole sets.
 
-1. In each bucket every item is compared with two centres, the least and
-   the greatest node: twice as many pairs as rows, however large the bucket.
+1. In each bucket every item is compared with a centre, the least node: no
+   more pairs than rows, however large the bucket.
 2. Union-find over the confirmed links. Buckets whose items are all in one
    component are done.
 3. What remains are buckets with items of different components. There the
@@ -48,13 +48,14 @@ def filled_bins(n: np.ndarray, bins: int) -> np.ndarray:
     return bins * (1 - np.exp(-np.maximum(n, 1) / bins))
 
 
-def allowed(agree: np.ndarray, chance: np.ndarray, n: np.ndarray, bins: int, threshold: float) -> np.ndarray:
+def allowed(agree: np.ndarray, chance: np.ndarray, n: np.ndarray, bins: int, threshold: float, errors: float = -5) -> np.ndarray:
     """Whether a share of agreeing registers, corrected for the chance that
     different minima give equal registers, is compatible with a similarity
-    of ``threshold``, n being the smaller set's size."""
+    of ``threshold``, n being the smaller set's size: not below it by more
+    than five standard errors (or above it by ``errors``)."""
     estimate = (agree - chance) / (1 - chance)
     error = np.sqrt(threshold * (1 - threshold) / filled_bins(n, bins))
-    return estimate >= threshold - 5 * error
+    return estimate >= np.minimum(threshold + errors * error, 1)
 
 
 def _matrix(blobs, bins: int) -> np.ndarray:
@@ -148,7 +149,7 @@ class _Bucket:
     def outside(self) -> np.ndarray:
         return np.flatnonzero(self.label != self.big)
 
-    def partners(self, r: int, there: np.ndarray, first: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def partners(self, r: int, there: np.ndarray, first: bool = False, errors: float = -5) -> tuple[np.ndarray, np.ndarray]:
         """Those of ``there`` in other components than r (and in the other
         block) that sizes and registers allow, and shares of equal registers;
         with ``first`` not those that an earlier band brings together."""
@@ -159,7 +160,7 @@ class _Bucket:
         m = there[other]
         same = self.regs[m] == self.regs[r]
         agree = same.mean(axis=1)
-        ok = np.flatnonzero(self.allows(agree, self.n[m], self.n[r]))
+        ok = np.flatnonzero(self.allows(agree, self.n[m], self.n[r], errors))
         if first:
             before = same[ok, : self.band * self.band_size].reshape(len(ok), self.band, self.band_size)
             ok = ok[~before.all(axis=2).any(axis=1)]
@@ -169,12 +170,12 @@ class _Bucket:
 def _forest(bucket: _Bucket) -> list[tuple[int, int]]:
     """Pairs that would tie the components together: a spanning forest of the
     likeliest ones, grown from the largest component. Fewer than items.
-    Pairs with a centre have been tried."""
-    free = (bucket.node != bucket.node.min()) & (bucket.node != bucket.node.max())
+    Pairs with the centre have been tried."""
+    free = bucket.node != bucket.node.min()
     todo, inside = np.flatnonzero(free & (bucket.label != bucket.big)), np.flatnonzero(free & (bucket.label == bucket.big))
     best, via = np.full(len(bucket.node), -1.0), np.zeros(len(bucket.node), np.int64)
     for r in todo:
-        m, agree = bucket.partners(r, inside)
+        m, agree = bucket.partners(r, inside, errors=1)
         if len(m):
             best[r], via[r] = agree.max(), m[agree.argmax()]
     out = []
@@ -185,7 +186,7 @@ def _forest(bucket: _Bucket) -> list[tuple[int, int]]:
         joins = bucket.label[todo] == bucket.label[r]
         new, todo = todo[joins], todo[~joins]
         for x in new:
-            m, agree = bucket.partners(x, todo)
+            m, agree = bucket.partners(x, todo, errors=1)
             nearer = agree > best[m]
             best[m[nearer]], via[m[nearer]] = agree[nearer], x
     return out
@@ -240,8 +241,8 @@ def _across(bins: int, band_size: int, threshold: float, chance: Callable, sized
     through in one batch."""
     least = threshold if sized else 0.0
 
-    def allows(agree: np.ndarray, n: np.ndarray, own: int) -> np.ndarray:
-        return allowed(agree, chance(n, np.full(len(n), own)), np.minimum(n, own), bins, threshold)
+    def allows(agree: np.ndarray, n: np.ndarray, own: int, errors: float) -> np.ndarray:
+        return allowed(agree, chance(n, np.full(len(n), own)), np.minimum(n, own), bins, threshold, errors)
 
     def of(t: pa.Table, start: int, end: int) -> list:
         """What is found in the whole buckets in rows start to end."""
@@ -320,7 +321,7 @@ def grouped(
     """
     threshold = percent / 100
     bands = items.select("node", F.explode("keys").alias("key"))
-    centres = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    centres = bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "lo")
     centres = stored(centres, "near-centres")
     meeting = _meeting(items, Members(centres, "key"))
     shared = stored(meeting.join(centres, "key").distinct(), "near-buckets")
@@ -329,9 +330,8 @@ def grouped(
     touched = Members(involved, "node").of(items.select("node", "n", "regs"), "node")
     info = touched.join(involved, "node", "left_semi")
     info = stored(info.dropDuplicates(["node"]), "near-items")
-    by_lo = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b"))
-    by_hi = shared.where("node <> hi").select(F.col("node").alias("a"), F.col("hi").alias("b"))
-    tried = stored(_estimated(by_lo.unionByName(by_hi).distinct(), info, bins, threshold, chance, sized), "near-tried")
+    central = shared.where("node <> lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    tried = stored(_estimated(central, info, bins, threshold, chance, sized), "near-tried")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
