@@ -40,7 +40,9 @@ from mooclens.llm.components import components
 
 BLOCK = 20_000
 #: Elements of the sets that a block holds in step 4.
-ELEMENTS = 4_000_000
+ELEMENTS = 1_000_000
+#: Sets that are compared with one at a time.
+SLAB = 256
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -209,8 +211,9 @@ def _true_links(bucket: _Bucket, sets: list[np.ndarray], percent: int) -> list[t
     size = np.array([len(x) for x in sets])
     end = np.cumsum(size)
     kinds, code = np.unique(np.concatenate(sets), return_inverse=True)
+    kinds, code = len(kinds), code.astype(np.int32)
     own = [code[e - k : e] for e, k in zip(end.tolist(), size.tolist(), strict=True)]
-    mark = np.zeros(len(kinds), bool)
+    mark = np.zeros(kinds, bool)
     everyone = np.arange(len(sets))
     out = []
     for r in bucket.outside():
@@ -219,7 +222,8 @@ def _true_links(bucket: _Bucket, sets: list[np.ndarray], percent: int) -> list[t
         m, agree = bucket.partners(r, everyone, first=True)
         m = m[np.argsort(-agree, kind="stable")]
         mark[own[r]] = True
-        for some in (m[:8], m[8:]):
+        for at in (0, *range(8, len(m), SLAB)):
+            some = m[at : at + (SLAB if at else 8)]
             some = some[bucket.label[some] != bucket.label[r]]
             if not len(some):
                 continue
@@ -227,8 +231,8 @@ def _true_links(bucket: _Bucket, sets: list[np.ndarray], percent: int) -> list[t
             common = np.bincount(np.repeat(np.arange(len(some)), size[some]), hits, len(some)).astype(np.int64)
             union = size[some] + size[r] - common
             linked = some[(100 * common >= percent * union) & (union > 0)]
-            labels, at = np.unique(bucket.label[linked], return_index=True)
-            out += [(bucket.node[r], bucket.node[x]) for x in linked[at]]
+            labels, first = np.unique(bucket.label[linked], return_index=True)
+            out += [(bucket.node[r], bucket.node[x]) for x in linked[first]]
             one = np.append(labels, bucket.label[r])
             bucket.label[np.isin(bucket.label, one)] = bucket.big if bucket.big in one else bucket.label[r]
         mark[own[r]] = False
