@@ -208,16 +208,18 @@ def _slots(runs: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 
 def ranked(rows: DataFrame, key: str, order: list[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``rows`` with ``rank`` (from 0) among those of equal ``key``, counted
-    in hash buckets of about ``bucket_rows``: no task holds a whole key."""
+    in hash buckets of about ``bucket_rows``: no task holds a whole key. Keys
+    must be few (lengths are at most ``SIZE``), as their counts are broadcast."""
     per_key = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_all"))
-    cut = rows.join(per_key, key).withColumn(
+    cut = rows.join(F.broadcast(per_key), key).withColumn(
         "_bucket", F.pmod(F.xxhash64(*order), F.ceil(F.col("_all") / bucket_rows)).cast("long")
     )
     per_bucket = cut.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
     by_bucket = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = per_bucket.withColumn("_before", F.coalesce(F.sum("_rows").over(by_bucket), F.lit(0))).drop("_rows")
     inside = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)) - 1
-    return cut.withColumn("_inside", inside).join(before, [key, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_inside")).drop("_all", "_bucket", "_inside", "_before")
+    # else the window would take a partitioning by the key alone
+    return cut.repartition(key, "_bucket").withColumn("_inside", inside).join(before, [key, "_bucket"]).withColumn("rank", F.col("_before") + F.col("_inside")).drop("_all", "_bucket", "_inside", "_before")
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:

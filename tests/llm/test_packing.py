@@ -71,3 +71,14 @@ def test_exact_complements_come_first():
     runs = packing.plan(counts)
     assert sum(times for _, times in runs) == -(-int(counts @ np.arange(101)) // 100)
     assert ((60, 40), 1) in runs or any(sorted(i) == [40, 60] for i, _ in runs)
+
+
+def test_ranks_of_a_hot_key(spark):
+    """One length has nearly all rows: they are dealt by (length, bucket)."""
+    rows = spark.range(1000).selectExpr("id as doc_id", "0L as piece", "if(id < 900, 7L, id % 3) as length")
+    out = packing.ranked(rows, "length", ["doc_id", "piece"], bucket_rows=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("row_number()") :]
+    assert "hashpartitioning(length" in window and "_bucket" in window[window.index("hashpartitioning(length") :].split(")")[0]
+    for _, own in out.toPandas().groupby("length"):
+        assert sorted(own["rank"]) == list(range(len(own)))
