@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.common import stored
+from mooclens.llm.common import least_hashes, stored
 from mooclens.llm.textnum import LOWER, SPACES, as_bytes, chunks, parts
 
 DOCS = 2000
@@ -64,8 +64,7 @@ def _grams(buf: np.ndarray, symbol: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, learn, docs_per_lang: int = DOCS) -> DataFrame:
     """(lang, text) of the rows to learn from. ``learn``: a condition."""
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= docs_per_lang)
+    ids = least_hashes(usable.select("doc_id", "lang"), "lang", ["doc_id"], docs_per_lang)
     # a stored table of known size: Spark broadcasts it if that is small
     ids = stored(ids.select("doc_id", "lang").distinct(), "ppm-sample")
     return usable.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"]).select("lang", "text")

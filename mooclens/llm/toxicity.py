@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mooclens.llm.common import stored
+from mooclens.llm.common import least_hashes, stored
 from mooclens.llm.textnum import NOT_LETTERS, Layout, as_bytes, chunks, mix, parts
 
 EXAMPLES = 4096
@@ -177,9 +177,7 @@ def examples(docs: DataFrame, labels: DataFrame, learn, most: int = EXAMPLES) ->
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     usable = docs.where(learn & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = stored(marked.join(usable.select("doc_id").distinct(), "doc_id"), "tox-labelled")
-    by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"))
-    ids = known.withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= most).drop("_n")
-    ids = stored(ids, "tox-sample")
+    ids = stored(least_hashes(known, "toxic", ["doc_id"], most), "tox-sample")
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = {r["toxic"]: r["count"] for r in ids.groupBy("toxic").count().collect()}
     texts = usable.join(ids, "doc_id").select("doc_id", "toxic", "text")

@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from mooclens.llm import ppm, template_extract, toxicity
+from mooclens.llm import common, ppm, template_extract, toxicity
 from mooclens.llm.common import fold
 from pyspark.sql import functions as F
 
@@ -228,3 +228,12 @@ def test_constant_slots_and_comments_in_the_article_go(spark):
     assert {r["page_id"]: r["text"] for r in out.collect()} == {
         i: f"Head {words(i, 2)}\nLead {words(i, 2)}\nOne {words(i, 40)}\nTwo {words(i, 2)}" for i in range(20)
     }
+
+
+def test_least_hashes_are_those_of_a_whole_sort(spark):
+    rows = spark.range(6000).selectExpr("id % 4500 as doc_id", "if(id < 5000, 'a', 'b') as lang")
+    hashed = [(r["lang"], r["h"], r["doc_id"]) for r in rows.selectExpr("lang", "xxhash64(doc_id) as h", "doc_id").collect()]
+    for most in (1, 700, 3000):
+        got = sorted(tuple(r) for r in common.least_hashes(rows, "lang", ["doc_id"], most).select("lang", "doc_id").collect())
+        expect = [(lang, d) for lang in "ab" for _, _, d in sorted(x for x in hashed if x[0] == lang)[:most]]
+        assert got == sorted(expect)
