@@ -89,14 +89,17 @@ def normalize_by_group(features: DataFrame, groups: DataFrame, cols: list[str],
 def column_minmax(df: DataFrame, cols: list[str], fit: DataFrame | None = None) -> DataFrame:
     """K6: min-max each column to [0, 1]; all-zero columns stay as they
     are; a constant non-zero column maps to 0. ``fit`` (default ``df``)
-    supplies the min / max (K7: pass the union of all splits)."""
+    supplies the min / max (K7: pass the union of all splits). The driver
+    takes one row, three numbers a column: as subqueries they would be one
+    plan each in every later plan on the result."""
     src = fit if fit is not None else df
     aggs = []
     for i, c in enumerate(cols):
         aggs += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"),
                  F.count(F.when(F.col(c) != 0, 1)).alias(f"_nz{i}")]
     stats = src.agg(*aggs)
-    vals = {k: stats.select(k).scalar() for k in stats.columns}
+    row = stats.first()
+    vals = {f.name: F.lit(row[f.name]).cast(f.dataType) for f in stats.schema}
     out = []
     for i, c in enumerate(cols):
         lo, hi, nz = vals[f"_lo{i}"], vals[f"_hi{i}"], vals[f"_nz{i}"]

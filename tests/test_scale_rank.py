@@ -83,3 +83,15 @@ def test_pair_counts_brute_force(spark):
         nd = sum(1 for a, b in itertools.permutations(rs, 2) if b[2] > a[2] and b[3] < a[3])
         ref[q] = (np_, nd)
     assert got == ref
+
+
+def test_column_minmax_plan_does_not_grow_with_columns(spark):
+    """The bounds are numbers in the plan, not a subquery for each of them."""
+    rows = [(1, 0, None, 2.0, 7), (2, 0, None, 4.0, 7), (3, 0, 5.0, None, 7)]
+    df = spark.createDataFrame(rows, "id int, zero int, one double, some double, same int")
+    out = scale.column_minmax(df, ["zero", "one", "some", "same"])
+    assert "ubquery" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.orderBy("id").collect()] == [
+        (1, 0.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 0.0, 0.0)]
+    empty = scale.column_minmax(df.where("false"), ["some"])
+    assert empty.count() == 0 and scale.column_minmax(df, ["some"], fit=df.where("false")).first()["some"] == 2.0
