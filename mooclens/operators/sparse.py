@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.sizing import maybe_broadcast
+from mooclens.session import materialize
 
 
 def num_text(c: Column) -> Column:
@@ -30,16 +31,23 @@ def to_svmlight_lines(entries: DataFrame, rows: DataFrame, keys: list[str], labe
         .alias("_e")
     )
     j = rows.join(pairs, keys, "left")
-    feats = F.array_join(
-        F.transform(F.coalesce("_e", F.array().cast("array<struct<i:int,v:double>>")),
-                    lambda e: F.concat(e["i"].cast("string"), F.lit(":"), num_text(e["v"]))), " ")
     head = num_text(F.col(label))
     if qid:
         head = F.concat(head, F.lit(" qid:"), F.col(qid).cast("string"))
-    line = F.when(F.length(feats) > 0, F.concat(head, F.lit(" "), feats)).otherwise(head)
+    feats = F.transform(F.coalesce("_e", F.array().cast("array<struct<i:int,v:double>>")),
+                        lambda e: F.concat(e["i"].cast("string"), F.lit(":"), num_text(e["v"])))
+    line = F.when(head.isNotNull(), F.array_join(F.concat(F.array(head), feats), " "))
     return j.select(*keys, line.alias("line"))
 
 
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """``keep`` and new columns that are worked out once a row. Spark copies a
+    select's expressions into every filter and select on it; a generator's
+    output it takes as it is."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(made)))
+
+
 def parse_svmlight(lines: DataFrame, line_col: str = "value", id_col: str = "row_id"):
     """Parse text lines into (rows, entries, rejects).
 
@@ -51,27 +59,23 @@ def parse_svmlight(lines: DataFrame, line_col: str = "value", id_col: str = "row
     """
     df = lines if id_col in lines.columns else lines.withColumn(id_col, F.monotonically_increasing_id())
     toks = F.filter(F.split(F.trim(F.col(line_col)), r"[ \t]+"), lambda t: F.length(t) > 0)
-    df = df.select(id_col, toks.alias("_tok"))
-    head = F.try_element_at("_tok", F.lit(1))
-    rest = F.slice("_tok", 2, F.greatest(F.size("_tok") - 1, F.lit(0)))
-    has_qid = F.coalesce(F.try_element_at(rest, F.lit(1)).startswith("qid:"), F.lit(False))
-    feats = F.when(has_qid, F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest)
-    parsed = df.select(
-        id_col,
-        (head).try_cast("double").alias("label"),
-        F.when(has_qid, (F.substring(F.try_element_at(rest, F.lit(1)), 5, 1 << 20)).try_cast("int")).otherwise(F.lit(0)).alias("qid"),
-        F.transform(feats, lambda t: F.struct(
-            (F.substring_index(t, ":", 1)).try_cast("int").alias("idx"),
-            (F.substring_index(t, ":", -1)).try_cast("double").alias("value"),
-            (F.size(F.split(t, ":")) == 2).alias("ok"),
-        )).alias("_f"),
-        F.size("_tok").alias("_n"),
-    )
-    idxs = F.transform("_f", lambda s: s["idx"])
-    ascending = F.aggregate(
-        F.zip_with(idxs, F.slice(F.concat(F.array(F.lit(0)), idxs), 1, F.size(idxs)), lambda a, b: a > b),
-        F.lit(True), lambda acc, x: acc & F.coalesce(x, F.lit(False)),
+    df = _once(df, [id_col], _tok=toks)
+    second = F.try_element_at("_tok", F.lit(2))
+    has_qid = F.coalesce(second.startswith("qid:"), F.lit(False))
+    df = _once(
+        df, [id_col],
+        label=F.try_element_at("_tok", F.lit(1)).try_cast("double"),
+        qid=F.when(has_qid, F.substring(second, 5, 1 << 20).try_cast("int")).otherwise(F.lit(0)),
+        _feats=F.slice("_tok", F.when(has_qid, 3).otherwise(2), F.greatest(F.size("_tok"), F.lit(0))),
+        _n=F.size("_tok"),
     )
+    parsed = _once(df, [id_col, "label", "qid", "_n"], _f=F.transform("_feats", lambda t: F.struct(
+        (F.substring_index(t, ":", 1)).try_cast("int").alias("idx"),
+        (F.substring_index(t, ":", -1)).try_cast("double").alias("value"),
+        (F.size(F.split(t, ":")) == 2).alias("ok"),
+    )))
+    idxs = F.col("_f")["idx"]
+    ascending = F.sort_array(F.array_distinct(idxs)) == idxs  # from 1, as smaller ones are bad tokens
     bad_tok = F.exists("_f", lambda s: (~s["ok"]) | s["idx"].isNull() | s["value"].isNull() | (s["idx"] < 1))
     reason = (
         F.when(F.col("_n") == 0, "empty line")
@@ -80,7 +84,7 @@ def parse_svmlight(lines: DataFrame, line_col: str = "value", id_col: str = "row
         .when(bad_tok, "bad feature token")
         .when(~ascending, "indices not ascending")
     )
-    checked = parsed.withColumn("_reason", reason)
+    checked = _once(parsed, [id_col, "label", "qid", "_f"], _reason=reason)
     rejects = checked.where(F.col("_reason").isNotNull()).select(id_col, F.col("_reason").alias("reason"))
     good = checked.where(F.col("_reason").isNull())
     rows = good.select(id_col, "label", "qid")
@@ -185,20 +189,24 @@ def multiclass_scores(entries: DataFrame, weights: DataFrame, keys: list[str], r
     values that sum to 1 over the classes) and whether the class is the
     predicted one, that of the greatest z (ties: the least class). Rows
     without entries have z 0 everywhere. Indices without weight are ignored."""
-    classes = weights.select("class").distinct()
-    by_idx = maybe_broadcast(weights.groupBy("idx").agg(F.collect_list(F.struct("class", "w")).alias("_ws")))
-    terms = entries.join(by_idx, "idx").select(*keys, "value", F.explode("_ws").alias("_w"))
-    z = terms.groupBy(*keys, F.col("_w.class").alias("class")).agg(F.sum(F.col("value") * F.col("_w.w")).alias("z"))
-    # the classes of a model are few: one array goes with each row
-    listed = classes.agg(F.sort_array(F.collect_list("class")).alias("_c")).select("_c").scalar()
-    found = z.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "z"))).alias("_z"))
-    every = rows.select(*keys, listed.alias("_c")).join(found, keys, "left")
-    zs = F.transform("_c", lambda c: F.struct(c.alias("class"), F.coalesce(F.try_element_at("_z", c), F.lit(0.0)).alias("z")))
-    every = every.select(*keys, zs.alias("_z"))
-    total = F.aggregate("_z", F.lit(0.0), lambda acc, x: acc + linear_probability(x["z"]))
-    best = F.array_max(F.transform("_z", lambda x: x["z"]))
-    winner = F.array_min(F.transform(F.filter("_z", lambda x: x["z"] == best), lambda x: x["class"]))
-    every = every.select(*keys, F.explode("_z").alias("_x"), total.alias("_t"), winner.alias("_win"))
-    return every.select(*keys, F.col("_x.class").alias("class"), F.col("_x.z").alias("z"),
-                        (linear_probability(F.col("_x.z")) / F.col("_t")).alias("p"),
-                        (F.col("_x.class") == F.col("_win")).alias("predicted"))
+    # the classes of a model are few: each is one sum over a row's entries,
+    # which stay as they are, not one row for each class; the weights are
+    # read three times and made once
+    kind = weights.schema["class"].dataType
+    known = materialize(weights.where(F.col("class").isNotNull()), "class_weights")
+    classes = [F.lit(r["class"]).cast(kind) for r in known.select("class").distinct().orderBy("class").collect()]
+    per_class = [F.sum(F.when(F.col("class") == c, F.col("w"))).alias(f"_w{k}") for k, c in enumerate(classes)]
+    by_idx = maybe_broadcast(known.groupBy("idx").agg(F.count(F.lit(1)).alias("_known"), *per_class))
+    sums = [F.sum(F.col("value") * F.col(f"_w{k}")).alias(f"_z{k}") for k in range(len(classes))]
+    found = entries.join(by_idx, "idx").groupBy(*keys).agg(F.count(F.lit(1)).alias("_terms"), *sums)
+    every = rows.select(*keys).join(found, keys, "left")
+    z = [F.col(f"_z{k}") for k in range(len(classes))]
+    every = every.select(*keys, *[F.coalesce(v, F.lit(0.0)).alias(f"_z{k}") for k, v in enumerate(z)])
+    best = F.greatest(*z) if len(z) > 1 else z[0] if z else F.lit(0.0)
+    total = sum((linear_probability(v) for v in z), F.lit(0.0))
+    winner = F.coalesce(*[F.when(v == best, c) for c, v in zip(classes, z)], F.lit(None).cast(kind))
+    every = _once(every, every.columns, _t=total, _win=winner)
+    parts = [F.struct(c.alias("class"), v.alias("z"), (linear_probability(v) / F.col("_t")).alias("p"),
+                      (c == F.col("_win")).alias("predicted")) for c, v in zip(classes, z)]
+    shape = f"array<struct<class:{kind.simpleString()},z:double,p:double,predicted:boolean>>"
+    return every.select(*keys, F.inline(F.array(*parts).cast(shape)))

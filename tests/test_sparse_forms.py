@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from mooclens.operators import activity, legacy, sparse
+from mooclens.sources import fixtures
 
 
 def test_twenty_thousand_courses(hot):
@@ -58,3 +59,36 @@ def test_dates_wide(spark):
     wide = activity.exact_date_wide(log, "enrollment_id", activity.log_dates(log))
     assert wide.columns == ["enrollment_id", "2014-05-01", "2014-05-03"]
     assert sorted(map(tuple, wide.collect())) == [(1, 2, 1), (2, 0, 1)]
+
+
+def test_multiclass_keeps_one_row_for_each_entry(spark):
+    """No row for each entry and class: classes are sums side by side, and
+    the weights are worked out once."""
+    weights = spark.createDataFrame([(0, 1, 1.0), (1, 1, -1.0), (None, 1, 3.0)], "class int, idx int, w double")
+    entries = spark.createDataFrame([("x", 1, 2.0)], "id string, idx int, value double")
+    out = sparse.multiclass_scores(entries, weights, ["id"], entries.select("id"))
+    before_sums = out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [id")[1]
+    assert "Generate" not in before_sums and "collect_list" not in before_sums
+    assert sorted((r["class"], r["z"], r["predicted"]) for r in out.collect()) == [(0, 2.0, True), (1, -2.0, False)]
+    assert sparse.multiclass_scores(entries, weights.where("false"), ["id"], entries.select("id")).count() == 0
+
+
+def test_parse_works_each_step_out_once(spark):
+    """The rejects' filter repeats no step of the parse, whatever the line."""
+    lines = [("1 qid:3 1:2 2:3",), ("x 1:2",), ("1 1:a",), ("1 3:1 2:1",), ("1 0:4",), ("   ",), (None,), ("1 qid:x",), ("1 1:2 1:3",), ("1 1:2:3",)]
+    rows, entries, rejects = sparse.parse_svmlight(spark.createDataFrame(lines, "value string"))
+    assert rejects._jdf.queryExecution().optimizedPlan().toString().count("split(trim(") == 1
+    reasons = sorted(r["reason"] for r in rejects.collect())
+    assert reasons == sorted(["bad label", "bad feature token", "indices not ascending", "bad feature token", "empty line",
+                              "bad qid", "indices not ascending", "bad feature token", "bad label"]) and rows.count() == 1
+    assert sorted((r["idx"], r["value"]) for r in entries.collect()) == [(1, 2.0), (2, 3.0)]
+
+
+def test_sparse_entries_come_from_one_pass(spark, tmp_path):
+    rows = [(1, 1, 1, 1, 5.0, 9.0, 0.0, 0.1), (1, 2, 1, 1, 0.0, 9.0, None, 0.2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, "
+                          "l_extendedprice double, l_discount double, l_tax double") \
+        .withColumn("l_shipdate", F.lit(dt.datetime(1995, 1, 1))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = fixtures.sparse(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, 5.0), (1, 1, 3, 0.1), (1, 2, 3, 0.2)]
