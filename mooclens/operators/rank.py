@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.prefix import _join_same, prefix_sums, row_numbers
-from mooclens.session import HOT_ROWS_KEY, conf_int
+from mooclens.operators.sizing import maybe_broadcast
+from mooclens.session import HOT_ROWS_KEY, conf_int, materialize
 
 
 def queries_are_small(df: DataFrame, qid: str = "qid") -> bool:
@@ -236,6 +237,35 @@ def margin_violations(df: DataFrame, z: str, qid: str = "qid", rid: str = "row_i
     return _join_same(_join_same(df, plus, [qid, rid], "inner"), minus, [qid, rid], "inner")
 
 
+def _few_level_pairs(df: DataFrame, levels: DataFrame, most: int, score: str, qid: str, label: str) -> DataFrame:
+    """``pair_counts`` where no query has more than a few levels: a row for
+    each score holds how many rows of each level have it, and running sums of
+    these numbers give the higher levels' rows below. ``levels``: (qid, label,
+    level, _c), a row for each label of a query with its rows."""
+    level = levels.select(qid, label, F.col("level").cast("int").alias("_l"))
+    found = df.groupBy(qid, F.col(score).cast("double").alias("_z"), label).agg(F.count(F.lit(1)).alias("_c"))
+    found = _join_same(found, maybe_broadcast(level), [qid, label], "inner")
+    at = found.groupBy(qid, "_z").agg(*[F.sum(F.when(F.col("_l") == k, F.col("_c")).otherwise(F.lit(0))).alias(f"_n{k}") for k in range(1, most + 1)])
+    at = prefix_sums(materialize(at, "score_levels"), [qid], ["_z"], {f"_b{k}": F.col(f"_n{k}") for k in range(2, most + 1)}, inclusive=False)
+    crossed = F.lit(0).cast("long")
+    for k in range(1, most):
+        above = F.col(f"_b{k + 1}")
+        for j in range(k + 2, most + 1):
+            above = above + F.col(f"_b{j}")
+        crossed = crossed + F.col(f"_n{k}") * above
+    nd = at.groupBy(qid).agg(F.sum(crossed).alias("n_discordant"))
+    return _join_same(_pair_totals(levels, qid), nd, [qid], "left").select(qid, "n_pairs", F.coalesce("n_discordant", F.lit(0)).alias("n_discordant"))
+
+
+def _pair_totals(levels: DataFrame, qid: str) -> DataFrame:
+    """(qid, n_pairs) from the rows ``_c`` of each level."""
+    # exact beyond 64 bits: a query of 4 * 10^9 rows has 10^19 pairs
+    c = F.col("_c").cast("decimal(19,0)")
+    tot = levels.groupBy(qid).agg(F.sum(c).alias("_n"), F.sum(c * c).cast("decimal(38,0)").alias("_same"))
+    twice = (F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")).cast("decimal(38,0)") - F.col("_same")
+    return tot.select(qid, (twice.cast("decimal(38,0)") / 2).cast("long").alias("n_pairs"))
+
+
 def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
                 label: str = "label") -> DataFrame:
     """Per query, pairs with different labels and discordant pairs
@@ -249,15 +279,16 @@ def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str
         per_label = found.groupBy(qid, "_y").agg(F.count(F.lit(1)).alias("_c"), F.sum("_d").alias("_d"))
         pairs = (F.pow(F.sum(F.col("_c").cast("double")), F.lit(2.0)) - F.sum(F.col("_c").cast("double") * F.col("_c"))) / 2
         return per_label.groupBy(qid).agg(pairs.cast("long").alias("n_pairs"), F.sum("_d").alias("n_discordant"))
+    labels = df.groupBy(qid, label).agg(F.count(F.lit(1)).alias("_c"))
+    levels = materialize(row_numbers(labels, [qid], [label], "level"), "label_levels")
+    most = levels.agg(F.max("level")).first()[0] or 0
+    if most <= FEW_LEVELS:
+        return _few_level_pairs(df, levels, int(most), score, qid, label)
     lv = label_levels(df, qid, label, small=small)
     disc = _dominance(lv, qid, rid, score, None, 0.0, "plus", small)
     nd = disc.groupBy(qid).agg(F.sum("_cnt").alias("n_discordant"))
     per_label = lv.groupBy(qid, "level").agg(F.count(F.lit(1)).alias("_c"))
-    # exact beyond 64 bits: a query of 4 * 10^9 rows has 10^19 pairs
-    c = F.col("_c").cast("decimal(19,0)")
-    tot = per_label.groupBy(qid).agg(F.sum(c).alias("_n"), F.sum(c * c).cast("decimal(38,0)").alias("_same"))
-    twice = (F.col("_n").cast("decimal(19,0)") * F.col("_n").cast("decimal(19,0)")).cast("decimal(38,0)") - F.col("_same")
-    tot = tot.select(qid, (twice.cast("decimal(38,0)") / 2).cast("long").alias("n_pairs"))
+    tot = _pair_totals(per_label, qid)
     return _join_same(tot, nd, [qid], "left").select(qid, "n_pairs", F.coalesce("n_discordant", F.lit(0)).alias("n_discordant"))
 
 

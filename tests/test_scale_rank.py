@@ -95,3 +95,23 @@ def test_column_minmax_plan_does_not_grow_with_columns(spark):
         (1, 0.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 0.0, 0.0)]
     empty = scale.column_minmax(df.where("false"), ["some"])
     assert empty.count() == 0 and scale.column_minmax(df, ["some"], fit=df.where("false")).first()["some"] == 2.0
+
+
+def test_few_levels_of_a_huge_query_need_no_cells(spark, hot, monkeypatch):
+    """A huge query with few labels is counted on its distinct scores; one with many by cells, with the same result."""
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2]), i, rng.choice([None, 0, 1, 2, 3]), rng.choice([None, *map(float, range(9))])) for i in range(150)]
+    df = spark.createDataFrame(rows, "qid long, row_id long, label int, score double")
+    expect = {}
+    for q, _, y, s in rows:  # without label or score: the lowest
+        n = expect.setdefault(q, [0, 0])
+        for q2, _, y2, s2 in rows:
+            if q2 == q and (-1 if y2 is None else y2) > (-1 if y is None else y):
+                n[0] += 1
+                n[1] += (-1 if s2 is None else s2) < (-1 if s is None else s)
+    take = lambda: {r["qid"]: [r["n_pairs"], r["n_discordant"]] for r in rank.pair_counts(df).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(rank, "FEW_LEVELS", 2)
+        assert take() == expect
+    monkeypatch.setattr(rank, "_dominance", None)
+    assert take() == expect
