@@ -82,3 +82,19 @@ def test_ranks_of_a_hot_key(spark):
     assert "hashpartitioning(length" in window and "_bucket" in window[window.index("hashpartitioning(length") :].split(")")[0]
     for _, own in out.toPandas().groupby("length"):
         assert sorted(own["rank"]) == list(range(len(own)))
+
+
+def test_words_go_to_the_tokenizer_in_lines(monkeypatch):
+    words = "naïve café été ̈abc don't it's 12ab,cd z z z\u0085 ΑΣ İstanbul ß ﬁ 日本語 한국어 a\x00b \x1c </w> a</w>b …".split(" ") * 40
+    tok, told = packing.WordTokenizer(PATH), []
+
+    class Told:
+        def encode_batch(self, texts, **kw):
+            told.append(len(texts))
+            return whole.encode_batch(texts, **kw)
+
+    whole, tok.tok = tok.tok, Told()
+    alone = [whole.encode(w, add_special_tokens=False).ids for w in words]
+    tok._learn(np.arange(len(words), dtype=np.uint64), [w.encode() for w in words])
+    assert [tok.flat[a : a + n].tolist() for a, n in zip(tok.at, tok.size)] == alone
+    assert sum(told) == -(-len(words) // packing.LINE_WORDS)
