@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.prefix import _join_same, row_numbers
-from mooclens.operators.rank import _dominance, label_levels, swept
+from mooclens.operators.rank import _dominance, _runs, _whole_queries, dominance, label_levels, swept
 from mooclens.session import HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir
 
 
@@ -92,6 +92,8 @@ def _newton_step(w: np.ndarray, gradient: np.ndarray, free: np.ndarray, enough:
 
 #: Rows of a block of the matrix.
 BLOCK_ROWS = 4096
+#: Where no query has more rows, blocks hold whole queries.
+WHOLE_ROWS = 1 << 16
 
 
 class RankSVMBatch:
@@ -102,7 +104,9 @@ class RankSVMBatch:
     multiplies each block by the candidates' weights where it lies, shuffles
     only (candidate, query, level, score) rows for the sweeps, and brings each
     row's slope back to its block, where X^T u is summed up. No candidate
-    copies a row's features."""
+    copies a row's features. Where all queries are of ordinary size, a block
+    holds whole queries and a pass needs no shuffle: sweeps and sums are done
+    where the block lies."""
 
     def __init__(self, df: DataFrame, features: list[str], qid: str = "qid", rid: str = "row_id",
                  label: str = "label"):
@@ -110,12 +114,16 @@ class RankSVMBatch:
         spark = df.sparkSession
         lv = label_levels(df.select(qid, rid, label, *features), qid, label)
         x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")
-        # Cut the lineage once: every iteration re-reads this table.
-        self.base = self._stored(lv.select(F.col(qid).alias("q"), "level", x).mapInArrow(_blocks, _blocks_schema(df.schema[qid])))
         # A sweep group (candidate, query) holds as many rows as the query:
         # one size check decides for all sweeps.
-        biggest = self.base.select(F.explode("q").alias("q")).groupBy("q").count().agg(F.max("count")).first()[0] or 0
+        biggest = df.groupBy(qid).count().agg(F.max("count")).first()[0] or 0
         self.small = 2 * biggest <= conf_int(spark, HOT_ROWS_KEY)
+        self.whole = self.small and biggest <= WHOLE_ROWS
+        rows = lv.select(F.col(qid).alias("q"), "level", x)
+        if self.whole:
+            rows = rows.repartition("q").sortWithinPartitions("q")
+        # Cut the lineage once: every iteration re-reads this table.
+        self.base = self._stored(rows.mapInArrow(_whole_blocks if self.whole else _blocks, _blocks_schema(df.schema[qid])))
 
     @staticmethod
     def _stored(df: DataFrame) -> DataFrame:
@@ -182,12 +190,37 @@ class RankSVMBatch:
 
         slopes = rows.select("block", "cid", "i", u.alias("u"), loss.alias("loss"))
         parts = self.base.select("block", "x").groupBy("block").cogroup(slopes.groupBy("block")).applyInPandas(summed, "cid int, k int, s double")
-        found: dict = {}
+        return self._summed(parts)
+
+    def _summed(self, parts: DataFrame) -> dict:
+        p, found = len(self.features), {}
         for r in parts.groupBy("cid", "k").agg(F.sum("s").alias("s")).collect():  # candidates x (features + 1)
             found.setdefault(r["cid"], np.zeros(p + 1))[r["k"]] = r["s"]
         zero = np.zeros(p + 1)
         return {c: (x[:-1], float(x[-1])) for c, x in found.items()} | {None: (zero[:-1], 0.0)}
 
+    def _in_blocks(self, cands: list[tuple[int, list]], slopes) -> dict:
+        """As ``_xt``, block by block: ``slopes`` gives u and the loss of rows
+        from z, v and the sweeps' below, below_v, above, above_v."""
+        p = len(self.features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {cid: np.zeros(p + 1) for cid, _ in cands}
+            for batch in batches:
+                for q, level, x in zip(*(batch.column(c) for c in ("q", "level", "x")), strict=True):
+                    group = _runs([q.values.dictionary_encode(null_encoding="encode").indices.to_numpy()])
+                    level = level.values.to_numpy().astype(np.int64)
+                    m = np.frombuffer(x.as_py()).reshape(-1, p)
+                    for cid, vecs in cands:
+                        z, v = m @ vecs[0], m @ vecs[-1]
+                        u, loss = slopes(z, v, *(s for d in ("plus", "minus") for s in dominance(group, level, z, v, 1.0, d)))
+                        total[cid] += np.append(u @ m, np.sum(loss))
+            cids = np.array(list(total), np.int32)
+            columns = [np.repeat(cids, p + 1), np.tile(np.arange(p + 1, dtype=np.int32), len(cids)), np.concatenate(list(total.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "k", "s"])
+
+        return self._summed(self.base.select("q", "level", "x").mapInArrow(run, "cid int, k int, s double"))
+
     def values(self, asked: list[tuple[int, float, np.ndarray]]) -> dict:
         """(candidate, C, w) -> {candidate: (value, gradient)}.
 
@@ -198,10 +231,7 @@ class RankSVMBatch:
         sum m^2 = sum m + sum m (z_j - z_i) = sum m + sum z * slope / 2.
         """
         self.passes += 1
-        rows = self._sweeps(self._narrow([(cid, [w]) for cid, _, w in asked], False))
-        shortfall = F.col("above") * (1 - F.col("z")) + F.col("above_v")
-        half_slope = F.col("below") * (1 + F.col("z")) - F.col("below_v") - shortfall
-        found = self._xt(rows, half_slope, shortfall + F.col("z") * half_slope)
+        found = self._pass([(cid, [w]) for cid, _, w in asked], _loss_slopes)
         out = {}
         for cid, C, w in asked:
             pull, loss = found.get(cid, found[None])
@@ -211,11 +241,16 @@ class RankSVMBatch:
     def curvatures(self, asked: list[tuple[int, float, np.ndarray, np.ndarray]]) -> dict:
         """(candidate, C, w, s) -> {candidate: Hessian at w times s}: the
         slope's change along s while the violated pairs of w stay."""
-        rows = self._sweeps(self._narrow([(cid, [w, s]) for cid, _, w, s in asked], True))
-        bend = (F.col("above") + F.col("below")) * F.col("v") - F.col("above_v") - F.col("below_v")
-        found = self._xt(rows, bend, F.lit(0.0))
+        found = self._pass([(cid, [w, s]) for cid, _, w, s in asked], _bends)
         return {cid: s + 2 * C * found.get(cid, found[None])[0] for cid, C, _, s in asked}
 
+    def _pass(self, cands: list[tuple[int, list]], slopes) -> dict:
+        if self.whole:
+            return self._in_blocks(cands, slopes)
+        rows = self._sweeps(self._narrow(cands, len(cands[0][1]) > 1))
+        u, loss = slopes(*(F.col(c) for c in ("z", "v", "below", "below_v", "above", "above_v")))
+        return self._xt(rows, u, loss if isinstance(loss, Column) else F.lit(loss))
+
     def hessian(self, C: float, w: np.ndarray) -> np.ndarray:
         """The whole Hessian at w: all unit vectors in one pass."""
         p = len(self.features)
@@ -224,6 +259,17 @@ class RankSVMBatch:
         return (h + h.T) / 2
 
 
+def _loss_slopes(z, v, below, below_v, above, above_v):
+    """Half the loss's slope in z, and the loss, of columns or arrays."""
+    shortfall = above * (1 - z) + above_v
+    half_slope = below * (1 + z) - below_v - shortfall
+    return half_slope, shortfall + z * half_slope
+
+
+def _bends(z, v, below, below_v, above, above_v):
+    return (above + below) * v - above_v - below_v, 0.0
+
+
 def _blocks_schema(qid) -> str:
     return f"block long, q array<{qid.dataType.simpleString()}>, level array<int>, x binary"
 
@@ -233,13 +279,29 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK_ROWS):
-            some = batch.slice(at, BLOCK_ROWS)
-            x = some.column("x").flatten().to_numpy().tobytes()
-            q, level = (pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(c)) for c in ("q", "level"))
-            yield pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), q, level, pa.array([x], pa.binary())], ["block", "q", "level", "x"])
+            yield _block(batch.slice(at, BLOCK_ROWS), part << 32 | number)
             number += 1
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition sorted by q in blocks of whole queries, of about
+    BLOCK_ROWS rows or one greater query."""
+    part, number = TaskContext.get().partitionId(), 0
+    for table, group in _whole_queries(batches, ["q"]):
+        table, at = table.combine_chunks(), 0
+        while at < len(group):
+            # the queries that begin in the next BLOCK_ROWS rows
+            end = int(np.searchsorted(group, group[min(at + BLOCK_ROWS, len(group)) - 1], "right"))
+            yield _block(table.slice(at, end - at).to_batches()[0], part << 32 | number)
+            at, number = end, number + 1
+
+
+def _block(rows: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    x = rows.column("x").flatten().to_numpy().tobytes()
+    q, level = (pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c)) for c in ("q", "level"))
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), q, level, pa.array([x], pa.binary())], ["block", "q", "level", "x"])
+
+
 def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[float, str | None]],
                    qid: str = "qid", rid: str = "row_id", label: str = "label", eps: float = 1e-3,
                    max_iter: int = 1000) -> list[dict]:
@@ -506,7 +568,10 @@ def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", se
     dealt out to and fro (0..k-1, k-1..0, ...), so no fold is empty and
     folds hold about as many rows. A single query's rows are shuffled by MD5
     of seed and row id and dealt out in turn, to at most rows / 2 folds."""
-    sizes = df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
+    from mooclens.session import materialize
+
+    # read several times below, and what makes the rows may be costly
+    sizes = materialize(df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n")), "query_sizes")
     n_queries, n_rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
     single = n_queries == 1
     k = max(1, min(k, (n_rows or 0) // 2 if single else n_queries))
@@ -528,7 +593,7 @@ def cross_validate(df: DataFrame, features: list[str], C: float, k: int = 5, qid
     from mooclens.operators.rank import mean_ndcg, pairwise_accuracy
     from mooclens.session import materialize
 
-    folded, k = query_folds(df, k, qid, rid, seed)
+    folded, k = query_folds(materialize(df, "query_rows"), k, qid, rid, seed)
     if k < 2:
         raise ValueError("cross-validation needs two queries, or four rows of one")
     folded = materialize(folded, "query_folds")
@@ -537,6 +602,7 @@ def cross_validate(df: DataFrame, features: list[str], C: float, k: int = 5, qid
         w = rank_svm_fit(folded.where(F.col("fold") != f), features, C, qid, rid, label)
         part = rank_svm_score(folded.where(F.col("fold") == f), w)
         oof = part if oof is None else oof.unionByName(part)
+    oof = materialize(oof, "query_scores")
     if folded.select(qid).distinct().limit(2).count() == 1:
         oof = oof.withColumn(qid, F.col("fold").cast(oof.schema[qid].dataType))
     acc = pairwise_accuracy(oof, "score", qid, rid, label).select("pairwise_accuracy")

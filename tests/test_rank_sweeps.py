@@ -155,3 +155,34 @@ def test_giving_up_keeps_the_best(spark):
     score = lambda x: auc(dict(zip(names, x)), valid)
     best = max(range(5), key=lambda k: score(all_fits[k]))
     assert best in some and set(some) <= set(all_fits)
+
+
+def test_blocks_of_whole_queries_give_the_same_without_a_shuffle(spark, monkeypatch):
+    train, _, names = matrix(spark, queries=10)
+    train = train.selectExpr("nullif(qid, 3) AS qid", "row_id", "label", *names).coalesce(1)
+    batch = RankSVMBatch(train, names)
+    blocks = [r["q"] for r in batch.base.select("q").collect()]
+    assert batch.whole and sum(map(len, blocks)) == train.count()
+    held = [q for b in blocks for q in set(b)]
+    assert len(held) == len(set(held)) == 10  # each query in one block
+    w, s = np.array([0.4, -0.2, 0.1, 0.3, 0.0]), np.array([0.1, 0.5, -0.3, 0.2, 0.9])
+    with monkeypatch.context() as m:
+        m.setattr(batch, "_sweeps", None)
+        m.setattr(batch, "_xt", None)
+        one = batch.values([(0, 2.0, w), (4, 1.0, s)]), batch.curvatures([(0, 2.0, w, s)])
+    batch.whole = False
+    other = batch.values([(0, 2.0, w), (4, 1.0, s)]), batch.curvatures([(0, 2.0, w, s)])
+    for c in (0, 4):
+        assert one[0][c][0] == pytest.approx(other[0][c][0], rel=1e-10) and np.allclose(one[0][c][1], other[0][c][1], rtol=1e-9)
+    assert np.allclose(one[1][0], other[1][0], rtol=1e-9)
+
+
+def test_a_block_holds_whole_queries(monkeypatch):
+    monkeypatch.setattr(ranksvm, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(ranksvm.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 2})()))
+    q = [None, 1, 1, 2, 2, 2, 3, 3, 3, 3, 3, 3, 4, 5]
+    rows = pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int64()), "level": pa.array(range(len(q)), pa.int32()), "x": pa.array([[float(i)] for i in range(len(q))])})
+    found = [b.to_pylist()[0] for b in ranksvm._whole_blocks(iter([rows.slice(0, 7), rows.slice(7)]))]
+    assert [b["q"] for b in found] == [[None, 1, 1, 2, 2, 2], [3] * 6, [4, 5]]
+    assert [b["block"] for b in found] == [2 << 32, 2 << 32 | 1, 2 << 32 | 2]
+    assert [np.frombuffer(b["x"]).tolist() for b in found] == [[float(i) for i in b["level"]] for b in found]
