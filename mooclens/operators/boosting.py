@@ -22,6 +22,7 @@ query are one query.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import array_to_vector
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.metrics import auc
+from mooclens.operators.models import WIDE_ROWS
 from mooclens.operators.rank import label_levels, margin_violations
 from mooclens.session import materialize
 
@@ -93,13 +95,16 @@ def boost(train: DataFrame, features: list[str], loss: str = "logistic", valid:
     if loss == "pairwise":
         state = label_levels(state, "q", "y")
     state = materialize(model.margin(state.withColumn("z", F.lit(model.base))), "margins")
+    wide = math.ceil(state.count() / WIDE_ROWS)
     held = None
     if valid is not None:
         held = _rows(valid.where(F.col(label).isNotNull()), features, y).withColumn("z", F.lit(model.base))
         held = materialize(model.margin(held), "margins")
     losses, checks, best, scored = [], [], (-1.0, len(model.trees)), len(model.trees)
     for _ in range(rounds):
-        state = materialize(_slopes(state, loss), "slopes")
+        state = _slopes(state, loss)
+        # a query's sweep leaves its rows in one task: a tree is fitted by all
+        state = materialize(state.repartition(wide) if loss == "pairwise" and wide > 1 else state, "slopes")
         losses.append(state.agg(F.sum("part")).first()[0] or 0.0)
         rows = state.where("h > 0").select(array_to_vector("x").alias("features"), (-F.col("g") / F.col("h")).alias("label"), F.col("h").alias("weight"))
         if rows.isEmpty():

@@ -81,3 +81,13 @@ def test_without_pairs_or_rows(spark, rows):
     model, losses, checks = boosting.boost(train.where("label = 1"), ["a"], "pairwise", rounds=3)
     assert model.trees == [] and losses == [0.0] and checks == []
     assert boosting.boost(train.where("false"), ["a"], rounds=3)[0].trees == []
+
+
+def test_a_tree_is_fitted_by_all_tasks(spark, monkeypatch):
+    """The sweep of a single query leaves its rows in one task."""
+    x = spark.range(120, numPartitions=1).select(F.col("id").alias("enrollment_id"), (F.col("id") % 9).cast("double").alias("a"), (F.col("id") * 5 % 11 > 4).cast("int").alias("label"))
+    tasks, fitted = [], boosting.materialize
+    monkeypatch.setattr(boosting, "materialize", lambda df, name: (tasks.append(df.rdd.getNumPartitions()) if name == "slopes" else None, fitted(df, name))[1])
+    monkeypatch.setattr(boosting, "WIDE_ROWS", 20)
+    model, losses, _ = boosting.boost(x, ["a"], "pairwise", rounds=2, max_depth=2)
+    assert tasks == [6, 6] and len(model.trees) == 2 and losses[1] < losses[0]
