@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from mooclens.operators import pairs
 from mooclens.operators.logs import build_log
 from mooclens.operators.pairs import hard_negative_pairs
 from mooclens.operators.ranksvm import cross_validate, query_folds
@@ -41,6 +42,55 @@ def test_draws_spread_over_the_class(spark, hot):
     assert hard_negative_pairs(df.where("label = 1")).count() == 0
 
 
+def drawn(pos, repeat, t, m, k, seed):
+    def one(x):
+        return x % 2147483647 * 48271 % 2147483647
+
+    low, high = t * m // k, (t + 1) * m // k
+    return low + one(one(one(pos * 16807 + seed) + repeat * 69621) + t * 630360016) % (high - low)
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    """Many blocks and slices, classes of unequal size, repeated ids, vectors
+    with nulls, NaN, of other lengths or none: the nearest of the draws. No
+    vector is sent to its draws one by one."""
+    monkeypatch.setattr(pairs, "BLOCK_BITS", 3)
+    monkeypatch.setattr(pairs, "PAIRS", 7)
+    rng = random.Random(4)
+    rows = [(i // 2 * 2 if i % 11 == 0 else i, [float(rng.randrange(6)) for _ in range(3)], int(rng.random() < 0.2)) for i in range(260)]
+    rows += [(300, [1.0, None, 2.0], 0), (301, None, 1), (302, [], 0), (303, [float("nan"), 1.0, 1.0], 1), (304, [1.0], 0), (305, [], 1)]
+    rows += [(7, [0.5, 0.5, 0.5], 1), (7, [0.5, 0.5, 0.5], 0)]  # one id in both classes
+    df = spark.createDataFrame(rows, "id long, x array<double>, label int")
+    of = {}
+    for i, x, _ in rows:
+        of.setdefault(i, []).append(x)
+    ids = {c: sorted(i for i, _, k in rows if k == c) for c in (0, 1)}
+
+    def apart(a, b):  # null before numbers before NaN, as Spark orders them
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return (0, 0.0)
+        total = 0.0
+        for u, v in zip(a, b):
+            total += (u - v) * (u - v)
+        return (2, 0.0) if total != total else (1, total ** 0.5)
+
+    want = {}
+    for c in (0, 1):
+        other, k = ids[1 - c], min(6, len(ids[1 - c]))
+        for pos, i in enumerate(ids[c]):
+            for r in range(2):
+                met = [other[drawn(pos, r, t, len(other), k, 9)] for t in range(k)]
+                best = min((*apart(a, b), o) for o in met for a in of[i] for b in of[o])
+                want[i, r, c] = min(want.get((i, r, c), best), best)
+    out = hard_negative_pairs(df, n_candidates=6, repeats=2, seed=9)
+    got = {}
+    for row in out.collect():
+        got.setdefault((row["id"], row["repeat"], row["y"]), []).append((row["other_id"], row["x1"], row["x2"]))
+    assert {k: {o for o, _, _ in v} for k, v in got.items()} == {k: {v[2]} for k, v in want.items()}
+    assert all(len(v) == len(of[k[0]]) * len(of[v[0][0]]) for k, v in got.items())
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def folds(df, k):
     found, n = query_folds(df, k)
     return found.collect(), n
