@@ -79,6 +79,10 @@ def dense_levels(group: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Up to so many label levels a query has one cell for each.
+FEW_LEVELS = 8
+
+
 def dominance(group: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.ndarray, margin: float,
               direction: str) -> tuple[np.ndarray, np.ndarray]:
     """For each row: count and sum of ``value`` over rows of its group with a
@@ -89,6 +93,16 @@ def dominance(group: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.n
     n, above = len(group), direction == "plus"
     own = key if above else -key
     count, total = np.zeros(n, np.int64), np.zeros(n)
+    if n and level.max() <= FEW_LEVELS and (group == group[0]).all():
+        # one group: the rows beyond each level, sorted by themselves
+        for at in np.unique(level):
+            asks = np.flatnonzero(level == at)
+            held = np.flatnonzero(level > at if above else level < at)
+            held = held[np.argsort(own[held], kind="stable")]
+            sums = np.concatenate([[0], np.cumsum(value[held], dtype=np.longdouble)])
+            count[asks] = seen = np.searchsorted(own[held], own[asks] + margin)
+            total[asks] = sums[seen]
+        return count, total
     for b in range(int(level.max(initial=0)).bit_length()):
         cell = level >> b
         odd = cell & 1 == 1
@@ -160,10 +174,6 @@ def swept(df: DataFrame, keys: list[str], key: str, value: str, margin: float, l
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{fields}, {extra}")
 
 
-#: Up to so many label levels a query has one cell for each.
-FEW_LEVELS = 8
-
-
 def _cells(level: Column, levels: Column, direction: str) -> tuple[Column, Column]:
     """Cells that a row of ``level`` enters, and cells that it probes, of a
     query with ``levels`` levels: arrays of (size, number). Each probed set

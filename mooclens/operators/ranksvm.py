@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mooclens.operators.prefix import _join_same, row_numbers
-from mooclens.operators.rank import _dominance, _runs, _whole_queries, dominance, label_levels, swept
+from mooclens.operators.rank import SWEEP_ROWS, _dominance, _runs, _whole_queries, dominance, label_levels
 from mooclens.session import HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir
 
 
@@ -106,7 +106,9 @@ class RankSVMBatch:
     row's slope back to its block, where X^T u is summed up. No candidate
     copies a row's features. Where all queries are of ordinary size, a block
     holds whole queries and a pass needs no shuffle: sweeps and sums are done
-    where the block lies."""
+    where the block lies. Greater queries that still fit a task go to their
+    sweeps in packs, one for each candidate, block and query; only a query
+    beyond that is swept row by row."""
 
     def __init__(self, df: DataFrame, features: list[str], qid: str = "qid", rid: str = "row_id",
                  label: str = "label"):
@@ -116,12 +118,13 @@ class RankSVMBatch:
         x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")
         # A sweep group (candidate, query) holds as many rows as the query:
         # one size check decides for all sweeps.
-        biggest = df.groupBy(qid).count().agg(F.max("count")).first()[0] or 0
+        biggest, n = df.groupBy(qid).count().agg(F.max("count"), F.sum("count")).first()
+        biggest = biggest or 0
+        self.groups = max(1, (n or 0) // SWEEP_ROWS)
         self.small = 2 * biggest <= conf_int(spark, HOT_ROWS_KEY)
         self.whole = self.small and biggest <= WHOLE_ROWS
         rows = lv.select(F.col(qid).alias("q"), "level", x)
-        if self.whole:
-            rows = rows.repartition("q").sortWithinPartitions("q")
+        rows = (rows.repartition("q") if self.whole else rows).sortWithinPartitions("q")
         # Cut the lineage once: every iteration re-reads this table.
         self.base = self._stored(rows.mapInArrow(_whole_blocks if self.whole else _blocks, _blocks_schema(df.schema[qid])))
 
@@ -163,9 +166,6 @@ class RankSVMBatch:
     def _sweeps(self, frame: DataFrame) -> DataFrame:
         """below, below_v: rows of higher levels under the margin; above,
         above_v: rows of lower levels over it."""
-        if self.small:
-            names = {"cnt_plus": "below", "sum_plus": "below_v", "cnt_minus": "above", "sum_minus": "above_v"}
-            return swept(frame, ["cid", "q"], "z", "v", 1.0, level="level").withColumnsRenamed(names)
         keyed = frame.withColumn("_qk", F.struct("cid", "q")).withColumn("_r", F.struct("block", "i"))
         for d, name in (("plus", "below"), ("minus", "above")):
             found = _dominance(keyed, "_qk", "_r", "z", "v", 1.0, d, False)
@@ -221,6 +221,59 @@ class RankSVMBatch:
 
         return self._summed(self.base.select("q", "level", "x").mapInArrow(run, "cid int, k int, s double"))
 
+    def _in_packs(self, cands: list[tuple[int, list]], slopes) -> dict:
+        """As ``_in_blocks`` where a query spans blocks. The scores of a
+        block's rows of one query travel as one pack for each candidate; a
+        group sweeps some whole queries of a candidate and sends the packs'
+        slopes back to their blocks."""
+        p, kind = len(self.features), self.base.schema["q"].dataType.elementType.simpleString()
+        cids = np.array([c for c, _ in cands], np.int32)
+        weights = [np.stack(w).T for w in zip(*(vecs for _, vecs in cands))]
+
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block, q, level, x in zip(*(batch.column(c) for c in ("block", "q", "level", "x")), strict=True):
+                    q, level = q.values, level.values.to_numpy().astype(np.int32)
+                    run = _runs([q.dictionary_encode(null_encoding="encode").indices.to_numpy()])
+                    start = np.flatnonzero(np.diff(run, prepend=-1))
+                    end = np.append(start[1:], len(run))
+                    m = np.frombuffer(x.as_py()).reshape(-1, p)
+                    z, v = ((m @ w).T.copy() for w in (weights[0], weights[-1]))
+                    for a, b in zip(start, end):
+                        k = len(cids)
+                        cut = [[y[a:b].tobytes() for y in of] for of in ((z, v) if len(weights) > 1 else (z,))]
+                        columns = [pa.array(cids), pa.concat_arrays([q.slice(a, 1)] * k), pa.array(np.full(k, block.as_py())), pa.array(np.full(k, a, np.int32)),
+                                   pa.array([level[a:b].tobytes()] * k), pa.array(cut[0], pa.binary()), pa.array(cut[1], pa.binary()) if cut[1:] else pa.nulls(k, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["cid", "q", "block", "start", "level", "z", "v"])
+
+        def sweep(packs: pa.Table) -> pa.Table:
+            level, z = (np.frombuffer(b"".join(packs.column(c).to_pylist()), t) for c, t in (("level", np.int32), ("z", float)))
+            v = z if packs.column("v").null_count else np.frombuffer(b"".join(packs.column("v").to_pylist()))
+            ends = np.cumsum([len(x) // 8 for x in packs.column("z").to_pylist()])
+            query = packs.column("q").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            query, level = np.repeat(query, np.diff(ends, prepend=0)), level.astype(np.int64)
+            u, loss = slopes(z, v, *(s for d in ("plus", "minus") for s in dominance(query, level, z, v, 1.0, d)))
+            loss, starts = np.broadcast_to(loss, len(z)), np.append(0, ends[:-1])
+            back = [pa.array([u[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array(np.add.reduceat(loss, starts))]
+            return pa.table([*(packs.column(c) for c in ("cid", "block", "start")), *back], ["cid", "block", "start", "u", "loss"])
+
+        def summed(blocks: pa.Table, packs: pa.Table) -> pa.Table:
+            m = np.frombuffer(blocks.column("x")[0].as_py()).reshape(-1, p)
+            cids, col = np.unique(packs.column("cid").to_numpy(), return_inverse=True)
+            put = np.zeros((len(cids), len(m)))
+            for c, a, u in zip(col, packs.column("start").to_pylist(), packs.column("u").to_pylist()):
+                u = np.frombuffer(u)
+                put[c, a:a + len(u)] = u
+            s = np.column_stack([put @ m, np.bincount(col, packs.column("loss").to_numpy(), len(cids))])
+            columns = [np.repeat(cids, p + 1), np.tile(np.arange(p + 1, dtype=np.int32), len(cids)), s.ravel()]
+            return pa.table([pa.array(c) for c in columns], ["cid", "k", "s"])
+
+        packs = self.base.mapInArrow(scores, f"cid int, q {kind}, block long, start int, level binary, z binary, v binary")
+        packs = packs.withColumn("_g", F.pmod(F.xxhash64("q"), F.lit(self.groups)))
+        swept = packs.groupBy("cid", "_g").applyInArrow(sweep, "cid int, block long, start int, u binary, loss double")
+        blocks = self.base.select("block", "x").groupBy("block")
+        return self._summed(blocks.cogroup(swept.groupBy("block")).applyInArrow(summed, "cid int, k int, s double"))
+
     def values(self, asked: list[tuple[int, float, np.ndarray]]) -> dict:
         """(candidate, C, w) -> {candidate: (value, gradient)}.
 
@@ -247,6 +300,8 @@ class RankSVMBatch:
     def _pass(self, cands: list[tuple[int, list]], slopes) -> dict:
         if self.whole:
             return self._in_blocks(cands, slopes)
+        if self.small:
+            return self._in_packs(cands, slopes)
         rows = self._sweeps(self._narrow(cands, len(cands[0][1]) > 1))
         u, loss = slopes(*(F.col(c) for c in ("z", "v", "below", "below_v", "above", "above_v")))
         return self._xt(rows, u, loss if isinstance(loss, Column) else F.lit(loss))

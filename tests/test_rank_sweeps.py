@@ -177,6 +177,27 @@ def test_blocks_of_whole_queries_give_the_same_without_a_shuffle(spark, monkeypa
     assert np.allclose(one[1][0], other[1][0], rtol=1e-9)
 
 
+def test_great_queries_are_swept_in_packs(spark, monkeypatch):
+    """Queries over several blocks, some of them in one group: the same as
+    in whole blocks, and no row is shuffled by itself."""
+    train, _, names = matrix(spark, rows=300, queries=4)
+    train = train.selectExpr("nullif(qid, 3) AS qid", "row_id", "label", *names).repartition(3)
+    w, s = np.array([0.4, -0.2, 0.1, 0.3, 0.0]), np.array([0.1, 0.5, -0.3, 0.2, 0.9])
+    asked = lambda b: (b.values([(0, 2.0, w), (4, 1.0, s)]), b.curvatures([(0, 2.0, w, s)]))
+    one = asked(RankSVMBatch(train, names))
+    monkeypatch.setattr(ranksvm, "WHOLE_ROWS", 5)
+    batch = RankSVMBatch(train, names)
+    assert batch.small and not batch.whole and batch.base.count() == 3  # each with rows of each query
+    for name in ("_narrow", "_sweeps", "_xt"):
+        monkeypatch.setattr(batch, name, None)
+    for groups in (1, 3):
+        batch.groups = groups
+        packs = asked(batch)
+        for c in (0, 4):
+            assert packs[0][c][0] == pytest.approx(one[0][c][0], rel=1e-10) and np.allclose(packs[0][c][1], one[0][c][1], rtol=1e-9)
+        assert np.allclose(packs[1][0], one[1][0], rtol=1e-9)
+
+
 def test_a_block_holds_whole_queries(monkeypatch):
     monkeypatch.setattr(ranksvm, "BLOCK_ROWS", 4)
     monkeypatch.setattr(ranksvm.TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 2})()))
