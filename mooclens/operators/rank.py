@@ -40,12 +40,14 @@ def queries_are_small(df: DataFrame, qid: str = "qid") -> bool:
 
 
 def label_levels(df: DataFrame, qid: str = "qid", label: str = "label", out: str = "level",
-                 small: bool = False) -> DataFrame:
+                 small: bool = False, broadcast: bool = False) -> DataFrame:
     """Dense label levels 1..k inside each query (ascending label; rows
-    without a label are the lowest level, rows without a query are one)."""
+    without a label are the lowest level, rows without a query are one).
+    ``broadcast`` leaves rows where they lie if the labels are few."""
     distinct = df.select(qid, label).distinct()
     levels = row_numbers(distinct, [qid], [label], out, small=small)
-    return _join_same(df, levels.select(qid, label, F.col(out).cast("int").alias(out)), [qid, label], "inner")
+    levels = levels.select(qid, label, F.col(out).cast("int").alias(out))
+    return _join_same(df, maybe_broadcast(levels) if broadcast else levels, [qid, label], "inner")
 
 
 def query_sizes(df: DataFrame, qid: str = "qid") -> DataFrame:
@@ -81,6 +83,8 @@ def dense_levels(group: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 #: Up to so many label levels a query has one cell for each.
 FEW_LEVELS = 8
+#: Queries of up to so many rows are swept row against row.
+PAIR_ROWS = 16
 
 
 def dominance(group: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.ndarray, margin: float,
@@ -93,6 +97,24 @@ def dominance(group: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.n
     n, above = len(group), direction == "plus"
     own = key if above else -key
     count, total = np.zeros(n, np.int64), np.zeros(n)
+    if n and (group[1:] >= group[:-1]).all() and not np.isnan(own).any():
+        start = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        size = np.diff(start, append=n)
+        few = size <= PAIR_ROWS
+        if few.any():
+            for s in np.unique(size[few]):  # queries of one size side by side
+                at = start[size == s][:, None] + np.arange(s)
+                l, z, v, reach = level[at], own[at], value[at], own[at] + margin
+                seen, held = np.zeros(at.shape, np.int64), np.zeros(at.shape)
+                for j in range(s):
+                    hit = (l[:, j:j + 1] > l if above else l[:, j:j + 1] < l) & (z[:, j:j + 1] < reach)
+                    seen += hit
+                    held += np.where(hit, v[:, j:j + 1], 0.0)
+                count[at], total[at] = seen, held
+            rest = np.repeat(~few, size)
+            if rest.any():
+                count[rest], total[rest] = dominance(group[rest], level[rest], key[rest], value[rest], margin, direction)
+            return count, total
     if n and level.max() <= FEW_LEVELS and (group == group[0]).all():
         # one group: the rows beyond each level, sorted by themselves
         for at in np.unique(level):
@@ -276,19 +298,45 @@ def _pair_totals(levels: DataFrame, qid: str) -> DataFrame:
     return tot.select(qid, (twice.cast("decimal(38,0)") / 2).cast("long").alias("n_pairs"))
 
 
+def _gathered(df: DataFrame, qid: str, *order: str, whole: bool) -> DataFrame:
+    """``df`` in order of ``qid``, then ``order``, each query in one partition;
+    ``whole`` states that it lies in one already."""
+    return (df if whole else df.repartition(qid)).sortWithinPartitions(qid, *order)
+
+
+def _heads(group: np.ndarray) -> np.ndarray:
+    """Where the runs of ``_runs`` begin."""
+    return np.flatnonzero(np.diff(group, prepend=-1))
+
+
+def _per_query(qid: pa.ChunkedArray, group: np.ndarray, **found: np.ndarray) -> list[pa.RecordBatch]:
+    """A row (q, found) for each run of ``group``."""
+    columns = {"q": qid.take(pa.array(_heads(group)))} | {name: pa.array(x) for name, x in found.items()}
+    return pa.table(columns).combine_chunks().to_batches()
+
+
 def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
-                label: str = "label") -> DataFrame:
+                label: str = "label", whole: bool = False) -> DataFrame:
     """Per query, pairs with different labels and discordant pairs
     (the higher label has a strictly lower score; score ties are
-    concordant). Returns (qid, n_pairs, n_discordant)."""
-    small = queries_are_small(df, qid)
+    concordant). Returns (qid, n_pairs, n_discordant). ``whole`` states that
+    no query is huge and each lies in one partition: no row is shuffled."""
+    small = whole or queries_are_small(df, qid)
     if small:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, group in _whole_queries(batches, [qid]):
+                y, at = _floats(table, "_y"), _heads(group)
+                count, _ = dominance(group, dense_levels(group, y), _floats(table, "_z"), np.zeros(len(y)), 0.0, "plus")
+                code = table.column("_y").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                own, same = np.unique(group * (int(code.max()) + 1) + code, return_counts=True)
+                same = np.bincount(own // (int(code.max()) + 1), same.astype(float) ** 2).astype(np.int64)
+                n_pairs = (np.diff(at, append=len(y)) ** 2 - same) // 2
+                yield from _per_query(table.column(qid), group, n_pairs=n_pairs, n_discordant=np.add.reduceat(count, at))
+
         # at most (4 * 10^6)^2 pairs a query here: exact in doubles
-        rows = df.select(qid, F.col(label).cast("double").alias("_y"), F.col(score).cast("double").alias("_z"), F.lit(0.0).alias("_v"))
-        found = swept(rows, [qid], "_z", "_v", 0.0, label="_y", directions=("plus",)).withColumnRenamed("cnt_plus", "_d").drop("sum_plus")
-        per_label = found.groupBy(qid, "_y").agg(F.count(F.lit(1)).alias("_c"), F.sum("_d").alias("_d"))
-        pairs = (F.pow(F.sum(F.col("_c").cast("double")), F.lit(2.0)) - F.sum(F.col("_c").cast("double") * F.col("_c"))) / 2
-        return per_label.groupBy(qid).agg(pairs.cast("long").alias("n_pairs"), F.sum("_d").alias("n_discordant"))
+        rows = df.select(qid, (F.col(label).cast("double") + 0.0).alias("_y"), F.col(score).cast("double").alias("_z"))
+        kind = df.schema[qid].dataType.simpleString()
+        return _gathered(rows, qid, whole=whole).mapInArrow(run, f"q {kind}, n_pairs long, n_discordant long").withColumnRenamed("q", qid)
     labels = df.groupBy(qid, label).agg(F.count(F.lit(1)).alias("_c"))
     levels = materialize(row_numbers(labels, [qid], [label], "level"), "label_levels")
     most = levels.agg(F.max("level")).first()[0] or 0
@@ -303,10 +351,10 @@ def pair_counts(df: DataFrame, score: str = "score", qid: str = "qid", rid: str
 
 
 def pairwise_accuracy(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
-                      label: str = "label") -> DataFrame:
+                      label: str = "label", whole: bool = False) -> DataFrame:
     """L3: overall = 1 - total discordant / total pairs over all queries;
     also the mean of per-query accuracies over queries with pairs."""
-    pc = pair_counts(df, score, qid, rid, label)
+    pc = pair_counts(df, score, qid, rid, label, whole)
     with_pairs = pc.where(F.col("n_pairs") > 0)
     return with_pairs.agg(
         (F.lit(1.0) - F.sum("n_discordant") / F.sum("n_pairs")).alias("pairwise_accuracy"),
@@ -341,13 +389,46 @@ def _ideal_positions(df: DataFrame, qid: str, rid: str, label: str, small: bool)
     return placed.withColumn("_pos", F.col("_before") + F.col("_inside"))
 
 
+def _ndcg(group: np.ndarray, label: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """NDCG of each run of ``group``, its rows in order of falling score. A
+    row without a label (not ``known``) gains nothing and stands first in the
+    ideal order."""
+    start = _heads(group)
+    size = np.diff(start, append=len(group))
+    gain = np.where(known, np.exp2(label) - 1, 0.0)
+    best = gain[np.lexsort((-label, known, group))]
+    out = np.empty(len(start))
+    for s in np.unique(size):  # queries of one size side by side
+        at = start[size == s][:, None] + np.arange(s)
+        pos = np.arange(1.0, s + 1)
+        discount = np.where(pos <= 2, 1.0, math.log(2.0) / np.log(np.maximum(pos, 2.0)))
+        actual, ideal = (np.cumsum(x[at] * discount, axis=1) for x in (gain, best))
+        counts, top = ideal != 0, ideal[:, 0]
+        share = np.divide(actual, ideal, out=np.zeros_like(ideal), where=counts)
+        mean = share.sum(axis=1) / np.maximum(counts.sum(axis=1), 1)
+        out[size == s] = np.where((top > 0) | np.isnan(top), mean, 0.0)
+    return out
+
+
 def ndcg_per_query(df: DataFrame, score: str = "score", qid: str = "qid", rid: str = "row_id",
-                   label: str = "label") -> DataFrame:
+                   label: str = "label", whole: bool = False) -> DataFrame:
     """L4 per query: mean over all cut-offs k of DCG@k / IDCG@k, gain
     2^label - 1; 0 when the best label has gain 0. Score ties are broken
-    by row id (ascending)."""
-    small = queries_are_small(df, qid)
+    by row id (ascending). Where no query is huge, rows are shuffled once, by
+    query; ``whole`` states that, and that each lies in one partition: no row
+    is shuffled."""
+    small = whole or queries_are_small(df, qid)
     by_score = df.select(qid, rid, label, (-F.col(score).cast("double")).alias("_o"))
+    if small:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, group in _whole_queries(batches, [qid]):
+                known = table.column("_y").is_valid().to_numpy()
+                found = _ndcg(group, np.where(known, _floats(table, "_y"), 0.0), known)
+                yield from _per_query(table.column(qid), group, ndcg=found)
+
+        kind = df.schema[qid].dataType.simpleString()
+        rows = _gathered(by_score, qid, "_o", rid, whole=whole).select(qid, F.col(label).cast("double").alias("_y"))
+        return rows.mapInArrow(run, f"q {kind}, ndcg double").withColumnRenamed("q", qid)
     actual = _summed(row_numbers(by_score, [qid], ["_o", rid], "_pos", small=small), qid, label, "_dcg", small)
     ideal = _summed(_ideal_positions(df, qid, rid, label, small), qid, label, "_idcg", small)
     j = _join_same(actual, ideal, [qid, "_pos"], "inner")

@@ -15,6 +15,7 @@ backtracking line search, stopping when ||grad|| <= eps * ||grad at w = 0||.
 
 from __future__ import annotations
 
+import itertools
 import math
 import os
 import uuid
@@ -24,12 +25,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mooclens.operators.prefix import _join_same, row_numbers
 from mooclens.operators.rank import SWEEP_ROWS, _dominance, _runs, _whole_queries, dominance, label_levels
-from mooclens.session import HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir
+from mooclens.session import HOT_ROWS_KEY, conf_int, ensure_checkpoint_dir, materialize
 
 
 def _dot(cols: list[str], w) -> Column:
@@ -108,25 +109,47 @@ class RankSVMBatch:
     holds whole queries and a pass needs no shuffle: sweeps and sums are done
     where the block lies. Greater queries that still fit a task go to their
     sweeps in packs, one for each candidate, block and query; only a query
-    beyond that is swept row by row."""
+    beyond that is swept row by row.
+
+    With ``fold``, a column that is the same in a whole query, where all
+    queries are of ordinary size, a block holds queries of one fold, and a
+    candidate passes over the blocks of the fold that ``left_out`` names for
+    it: the fits of all folds read one matrix, which ``scored`` scores."""
 
     def __init__(self, df: DataFrame, features: list[str], qid: str = "qid", rid: str = "row_id",
-                 label: str = "label"):
-        self.features, self.qid, self.rid, self.passes = list(features), qid, rid, 0
+                 label: str = "label", fold: str | None = None, biggest: int | None = None):
+        self.features, self.qid, self.rid, self.label, self.passes = list(features), qid, rid, label, 0
+        self.fold, self.left_out, self.kinds = fold, {}, {c: df.schema[c].dataType.simpleString() for c in (qid, rid, label)}
         spark = df.sparkSession
-        lv = label_levels(df.select(qid, rid, label, *features), qid, label)
         x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x")
         # A sweep group (candidate, query) holds as many rows as the query:
         # one size check decides for all sweeps.
-        biggest, n = df.groupBy(qid).count().agg(F.max("count"), F.sum("count")).first()
+        n = None
+        if biggest is None:
+            biggest, n = df.groupBy(qid).count().agg(F.max("count"), F.sum("count")).first()
         biggest = biggest or 0
         self.groups = max(1, (n or 0) // SWEEP_ROWS)
         self.small = 2 * biggest <= conf_int(spark, HOT_ROWS_KEY)
         self.whole = self.small and biggest <= WHOLE_ROWS
-        rows = lv.select(F.col(qid).alias("q"), "level", x)
-        rows = (rows.repartition("q") if self.whole else rows).sortWithinPartitions("q")
+        schema = _blocks_schema(df.schema[qid])
         # Cut the lineage once: every iteration re-reads this table.
-        self.base = self._stored(rows.mapInArrow(_whole_blocks if self.whole else _blocks, _blocks_schema(df.schema[qid])))
+        if not self.whole:
+            if fold:
+                raise ValueError("folds of a matrix need queries that fit a block")
+            lv = label_levels(df.select(qid, rid, label, *features), qid, label, broadcast=True)
+            rows = lv.select(F.col(qid).alias("q"), "level", x).sortWithinPartitions("q")
+            self.base = self._stored(rows.mapInArrow(_blocks, schema))
+            return
+        # the window leaves rows sorted by fold and query, where they lie if they lie by query already
+        keys = [*([F.col(fold).cast("int").alias("fold")] if fold else []), F.col(qid).alias("q")]
+        level = F.dense_rank().over(Window.partitionBy(*keys).orderBy(label)).alias("level")
+        more = []
+        if fold:
+            nulls = F.array(*[F.col(c).isNull() for c in features]).alias("nulls")
+            more = [F.col(rid).alias("row"), F.col(label).alias("label"), nulls]
+            schema += f", fold int, row array<{self.kinds[rid]}>, label array<{self.kinds[label]}>, nulls binary"
+        rows = df.select(*keys, level, x, *more)
+        self.base = materialize(rows.mapInArrow(_whole_blocks, schema), "matrix")
 
     @staticmethod
     def _stored(df: DataFrame) -> DataFrame:
@@ -202,16 +225,18 @@ class RankSVMBatch:
     def _in_blocks(self, cands: list[tuple[int, list]], slopes) -> dict:
         """As ``_xt``, block by block: ``slopes`` gives u and the loss of rows
         from z, v and the sweeps' below, below_v, above, above_v."""
-        p = len(self.features)
+        p, left_out = len(self.features), self.left_out
+        read = ["q", "level", "x", *["fold"] * bool(self.fold)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = {cid: np.zeros(p + 1) for cid, _ in cands}
             for batch in batches:
-                for q, level, x in zip(*(batch.column(c) for c in ("q", "level", "x")), strict=True):
+                for q, level, x, *fold in zip(*(batch.column(c) for c in read), strict=True):
+                    here = [c for c in cands if not fold or left_out.get(c[0]) != fold[0].as_py()]
                     group = _runs([q.values.dictionary_encode(null_encoding="encode").indices.to_numpy()])
                     level = level.values.to_numpy().astype(np.int64)
                     m = np.frombuffer(x.as_py()).reshape(-1, p)
-                    for cid, vecs in cands:
+                    for cid, vecs in here:
                         z, v = m @ vecs[0], m @ vecs[-1]
                         u, loss = slopes(z, v, *(s for d in ("plus", "minus") for s in dominance(group, level, z, v, 1.0, d)))
                         total[cid] += np.append(u @ m, np.sum(loss))
@@ -219,7 +244,32 @@ class RankSVMBatch:
             columns = [np.repeat(cids, p + 1), np.tile(np.arange(p + 1, dtype=np.int32), len(cids)), np.concatenate(list(total.values()))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "k", "s"])
 
-        return self._summed(self.base.select("q", "level", "x").mapInArrow(run, "cid int, k int, s double"))
+        return self._summed(self.base.select(*read).mapInArrow(run, "cid int, k int, s double"))
+
+    def scored(self, weights: dict[int, dict]) -> DataFrame:
+        """(qid, rid, label, fold, score): the rows of a matrix with folds, each
+        scored as by ``rank_svm_score`` with its own fold's {feature: w}. A
+        query's rows stay in one partition."""
+        features, p = self.features, len(self.features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for q, row, label, fold, x, nulls in zip(*(batch.column(c) for c in ("q", "row", "label", "fold", "x", "nulls")), strict=True):
+                    m = np.frombuffer(x.as_py()).reshape(-1, p)
+                    lacks = np.frombuffer(nulls.as_py(), bool).reshape(-1, p) if nulls.is_valid else None
+                    z, unknown = np.zeros(len(m)), np.zeros(len(m), bool)
+                    for k, f in enumerate(features):  # feature by feature: equal rows get equal scores
+                        w = weights[fold.as_py()].get(f, 0.0)
+                        if w != 0.0:
+                            z = z + m[:, k] * w
+                            if lacks is not None:
+                                unknown |= lacks[:, k]
+                    columns = [q.values, row.values, label.values, pa.array(np.full(len(m), fold.as_py(), np.int32)), pa.array(z, mask=unknown)]
+                    yield pa.RecordBatch.from_arrays(columns, ["q", "row", "label", "fold", "score"])
+
+        read = self.base.select("q", "row", "label", "fold", "x", "nulls")
+        found = read.mapInArrow(run, f"q {self.kinds[self.qid]}, row {self.kinds[self.rid]}, label {self.kinds[self.label]}, fold int, score double")
+        return found.withColumnsRenamed({"q": self.qid, "row": self.rid, "label": self.label})
 
     def _in_packs(self, cands: list[tuple[int, list]], slopes) -> dict:
         """As ``_in_blocks`` where a query spans blocks. The scores of a
@@ -339,31 +389,44 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a partition sorted by q in blocks of whole queries, of about
-    BLOCK_ROWS rows or one greater query."""
-    part, number = TaskContext.get().partitionId(), 0
-    for table, group in _whole_queries(batches, ["q"]):
+    """Rows of a partition sorted by q, or by fold and q, in blocks of whole
+    queries (of one fold), of about BLOCK_ROWS rows or one greater query."""
+    part, number, first = TaskContext.get().partitionId(), 0, next(batches, None)
+    if first is None:
+        return
+    folds = "fold" in first.schema.names
+    for table, group in _whole_queries(itertools.chain([first], batches), [*["fold"] * folds, "q"]):
         table, at = table.combine_chunks(), 0
+        fold = table.column("fold").to_numpy() if folds else np.zeros(len(group), np.int32)
         while at < len(group):
             # the queries that begin in the next BLOCK_ROWS rows
             end = int(np.searchsorted(group, group[min(at + BLOCK_ROWS, len(group)) - 1], "right"))
+            end = min(end, int(np.searchsorted(fold, fold[at], "right")))
             yield _block(table.slice(at, end - at).to_batches()[0], part << 32 | number)
             at, number = end, number + 1
 
 
 def _block(rows: pa.RecordBatch, number: int) -> pa.RecordBatch:
     x = rows.column("x").flatten().to_numpy().tobytes()
-    q, level = (pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c)) for c in ("q", "level"))
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), q, level, pa.array([x], pa.binary())], ["block", "q", "level", "x"])
+    listed = [c for c in ("q", "level", "row", "label") if c in rows.schema.names]
+    columns = {"block": pa.array([number], pa.int64())}
+    columns |= {c: pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c)) for c in listed}
+    columns["x"] = pa.array([x], pa.binary())
+    if "fold" in rows.schema.names:
+        nulls = rows.column("nulls").flatten().to_numpy(zero_copy_only=False)
+        columns |= {"fold": rows.column("fold").slice(0, 1), "nulls": pa.array([nulls.tobytes() if nulls.any() else None], pa.binary())}
+    names = [*(c for c in ("block", "q", "level", "x", "fold", "row", "label", "nulls") if c in columns)]
+    return pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
 
 def fit_candidates(df: DataFrame, features: list[str], candidates: list[tuple[float, str | None]],
                    qid: str = "qid", rid: str = "row_id", label: str = "label", eps: float = 1e-3,
-                   max_iter: int = 1000) -> list[dict]:
+                   max_iter: int = 1000, batch: RankSVMBatch | None = None) -> list[dict]:
     """Fit one ranking SVM per candidate (C, dropped feature or None); all
     candidates share every Spark pass. Returns one {feature: w} per
-    candidate (a dropped feature is left out)."""
-    batch = RankSVMBatch(df, features, qid, rid, label)
+    candidate (a dropped feature is left out). ``batch`` is the matrix of
+    ``df`` where it is there already."""
+    batch = batch or RankSVMBatch(df, features, qid, rid, label)
     searches = {}
     for cid, (_, drop) in enumerate(candidates):
         free = np.array([float(f != drop) for f in features])
@@ -615,7 +678,17 @@ def backward_elimination(train: DataFrame, valid: DataFrame, features: list[str]
     return names, history, {f: float(v) for f, v, k in zip(features, w, kept) if k}
 
 
-def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", seed: int = 0) -> tuple[DataFrame, int]:
+def _query_sizes(df: DataFrame, qid: str) -> tuple[DataFrame, int, int, int]:
+    """(qid, _n): rows of each query; how many queries, rows, and the rows of
+    the greatest query."""
+    # read several times below, and what makes the rows may be costly
+    sizes = materialize(df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n")), "query_sizes")
+    n_queries, n_rows, biggest = sizes.agg(F.count(F.lit(1)), F.sum("_n"), F.max("_n")).first()
+    return sizes, n_queries, n_rows or 0, biggest or 0
+
+
+def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", seed: int = 0,
+                sizes: tuple[DataFrame, int, int, int] | None = None) -> tuple[DataFrame, int]:
     """L9 fold assignment: ``df`` with ``fold``, and the number of folds.
 
     Whole queries go to folds, at most as many folds as queries: queries in
@@ -623,45 +696,65 @@ def query_folds(df: DataFrame, k: int, qid: str = "qid", rid: str = "row_id", se
     dealt out to and fro (0..k-1, k-1..0, ...), so no fold is empty and
     folds hold about as many rows. A single query's rows are shuffled by MD5
     of seed and row id and dealt out in turn, to at most rows / 2 folds."""
-    from mooclens.session import materialize
-
-    # read several times below, and what makes the rows may be costly
-    sizes = materialize(df.groupBy(qid).agg(F.count(F.lit(1)).alias("_n")), "query_sizes")
-    n_queries, n_rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    sizes, n_queries, n_rows, _ = sizes or _query_sizes(df, qid)
     single = n_queries == 1
-    k = max(1, min(k, (n_rows or 0) // 2 if single else n_queries))
+    k = max(1, min(k, n_rows // 2 if single else n_queries))
     name = rid if single else qid
     dealt = (df.select(F.col(rid), F.lit(0).alias("_o")) if single else sizes.select(qid, (-F.col("_n")).alias("_o")))
-    shuffled = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(name).cast("string")).cast("binary"))
+    # as bytes: half of the hex digits, in the same order
+    shuffled = F.unhex(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(name).cast("string")).cast("binary")))
     dealt = dealt.select(name, "_o", shuffled.alias("_h"), F.lit(0).alias("_all"))
     place = row_numbers(dealt, ["_all"], ["_o", "_h", name], "_at").withColumn("_at", F.col("_at") - 1)
     turn, at = F.floor(F.col("_at") / k), F.col("_at") % k
     fold = at if single else F.when(turn % 2 == 0, at).otherwise(k - 1 - at)
-    return _join_same(df, place.select(name, fold.cast("int").alias("fold")), [name], "inner"), k
+    place = place.select(name, fold.cast("int").alias("fold"))
+    if single:
+        return _join_same(df, place, [name], "inner"), k
+    # a join on the plain key leaves rows that lie by query where they are; the query without a name is looked up
+    place = materialize(place, "query_places")
+    unnamed = place.where(F.col(qid).isNull()).first()
+    known = place.select(F.col(qid).alias("_q"), F.col("fold").alias("_fold"))
+    found = df.join(known, df[qid] == F.col("_q"), "left" if unnamed else "inner")
+    fold = F.coalesce("_fold", F.lit(unnamed["fold"])) if unnamed else F.col("_fold")
+    return found.select(*[df[c] for c in df.columns], fold.alias("fold")), k
 
 
 def cross_validate(df: DataFrame, features: list[str], C: float, k: int = 5, qid: str = "qid",
                    rid: str = "row_id", label: str = "label", seed: int = 0) -> DataFrame:
     """Query-level k-fold CV; pairwise accuracy (L3) and mean NDCG (L4)
     of the out-of-fold decision values. Returns one row. Each fold of a single
-    query counts as its own query."""
+    query counts as its own query.
+
+    Where no query is greater than a block, ``df`` is read twice: once for the
+    sizes of its queries, once for the one matrix that all folds' fits, the
+    scores and both measures read. It must hold the same rows each time."""
     from mooclens.operators.rank import mean_ndcg, pairwise_accuracy
-    from mooclens.session import materialize
-
-    folded, k = query_folds(materialize(df, "query_rows"), k, qid, rid, seed)
-    if k < 2:
-        raise ValueError("cross-validation needs two queries, or four rows of one")
-    folded = materialize(folded, "query_folds")
-    oof = None
-    for f in range(k):
-        w = rank_svm_fit(folded.where(F.col("fold") != f), features, C, qid, rid, label)
-        part = rank_svm_score(folded.where(F.col("fold") == f), w)
-        oof = part if oof is None else oof.unionByName(part)
-    oof = materialize(oof, "query_scores")
-    if folded.select(qid).distinct().limit(2).count() == 1:
-        oof = oof.withColumn(qid, F.col("fold").cast(oof.schema[qid].dataType))
-    acc = pairwise_accuracy(oof, "score", qid, rid, label).select("pairwise_accuracy")
-    nd = mean_ndcg(oof, score="score", qid=qid, rid=rid, label=label).select("mean_ndcg")
+
+    sizes = _query_sizes(df, qid)
+    _, n_queries, _, biggest = sizes
+    if n_queries > 1 and biggest <= WHOLE_ROWS and 2 * biggest <= conf_int(df.sparkSession, HOT_ROWS_KEY):
+        folded, k = query_folds(df.select(*dict.fromkeys([qid, rid, label, *features])), k, qid, rid, seed, sizes)
+        if k < 2:
+            raise ValueError("cross-validation needs two queries, or four rows of one")
+        batch = RankSVMBatch(folded, features, qid, rid, label, "fold", biggest)
+        batch.left_out = {f: f for f in range(k)}  # a fit for each fold, on the others
+        fits = fit_candidates(folded, features, [(C, None)] * k, qid, rid, label, batch=batch)
+        oof, whole = batch.scored(dict(enumerate(fits))), True
+    else:
+        folded, k = query_folds(materialize(df, "query_rows"), k, qid, rid, seed)
+        if k < 2:
+            raise ValueError("cross-validation needs two queries, or four rows of one")
+        folded = materialize(folded, "query_folds")
+        oof, whole = None, False
+        for f in range(k):
+            w = rank_svm_fit(folded.where(F.col("fold") != f), features, C, qid, rid, label)
+            part = rank_svm_score(folded.where(F.col("fold") == f), w)
+            oof = part if oof is None else oof.unionByName(part)
+        oof = materialize(oof, "query_scores")
+        if n_queries == 1:
+            oof = oof.withColumn(qid, F.col("fold").cast(oof.schema[qid].dataType))
+    acc = pairwise_accuracy(oof, "score", qid, rid, label, whole).select("pairwise_accuracy")
+    nd = mean_ndcg(oof, score="score", qid=qid, rid=rid, label=label, whole=whole).select("mean_ndcg")
     return _side_by_side(acc, nd)
 
 
