@@ -152,7 +152,7 @@ def dominance(group: np.ndarray, level: np.ndarray, key: np.ndarray, value: np.n
 
 def _whole_queries(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole queries of a sorted partition, and each row's query."""
-    held, rows = [], 0
+    held, rows, enough = [], 0, SWEEP_ROWS
 
     def numbered(table: pa.Table) -> np.ndarray:
         codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in keys]
@@ -161,13 +161,14 @@ def _whole_queries(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterat
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows >= SWEEP_ROWS:
+        if rows >= enough:
             table = pa.Table.from_batches(held)
             group = numbered(table)
             cut = int(np.searchsorted(group, group[-1]))  # the last query may go on
             if cut:
                 yield table.slice(0, cut), group[:cut]
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+            enough = max(SWEEP_ROWS, 2 * rows)  # a great query is not gone through anew for each batch
     if rows:
         table = pa.Table.from_batches(held)
         yield table, numbered(table)
@@ -252,13 +253,14 @@ def _dominance(df: DataFrame, qid: str, rid: str, key: str, value: str | None, m
 
 
 def margin_violations(df: DataFrame, z: str, qid: str = "qid", rid: str = "row_id", margin: float = 1.0,
-                      value: str | None = None) -> DataFrame:
+                      value: str | None = None, small: bool | None = None) -> DataFrame:
     """Per row, l_plus / gamma_plus over rows of the same query with a
     higher label level and z_j < z_i + margin, and l_minus / gamma_minus
     over lower levels with z_j > z_i - margin (both strict). gamma sums
-    ``value`` (default z itself). Input needs qid, rid, level and z."""
+    ``value`` (default z itself). Input needs qid, rid, level and z;
+    ``small`` states that no query is huge (True), or that one may be (False)."""
     value = value or z
-    small = queries_are_small(df, qid)
+    small = queries_are_small(df, qid) if small is None else small
     if small:
         names = {f"{a}_{d}": f"{b}_{d}" for d in ("plus", "minus") for a, b in (("cnt", "l"), ("sum", "gamma"))}
         return swept(df, [qid], z, value, margin, level="level").withColumnsRenamed(names)

@@ -152,14 +152,14 @@ class RankSVMBatch:
         self.base = materialize(rows.mapInArrow(_whole_blocks, schema), "matrix")
 
     @staticmethod
-    def _stored(df: DataFrame) -> DataFrame:
+    def _stored(df: DataFrame, by: str = "block", n: int | None = None) -> DataFrame:
         """A table bucketed by block in the checkpoint folder. It is read
         through its files, so the catalogue keeps no name of it."""
         spark = df.sparkSession
         name = f"mooclens_matrix_{uuid.uuid4().hex}"
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
         path = os.path.join(ensure_checkpoint_dir(spark), "mooclens-tables", name)
-        df.write.bucketBy(n, "block").option("path", path).saveAsTable(name, format="parquet")
+        df.write.bucketBy(n, by).option("path", path).saveAsTable(name, format="parquet")
         table = spark.table(name)
         table.schema  # resolved before the name goes
         spark.sql(f"DROP TABLE {name}")

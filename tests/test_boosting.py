@@ -91,3 +91,21 @@ def test_a_tree_is_fitted_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(boosting, "WIDE_ROWS", 20)
     model, losses, _ = boosting.boost(x, ["a"], "pairwise", rounds=2, max_depth=2)
     assert tasks == [6, 6] and len(model.trees) == 2 and losses[1] < losses[0]
+
+
+def test_features_stay_out_of_the_sweeps(spark, monkeypatch):
+    """Also where a query is huge and ids repeat; nothing stays in memory."""
+    from mooclens.session import HOT_ROWS_KEY
+
+    x = spark.range(120).select((F.col("id") % 50).alias("enrollment_id"), (F.col("id") % 9).cast("double").alias("a"), (F.col("id") * 5 % 11 > 4).cast("int").alias("label"))
+    seen, swept, before = [], boosting.margin_violations, len(spark.sparkContext._jsc.getPersistentRDDs())
+    monkeypatch.setattr(boosting, "margin_violations", lambda state, *a, **k: (seen.append((set(state.columns), k["small"])), swept(state, *a, **k))[1])
+    _, losses, _ = boosting.boost(x, ["a"], "pairwise", rounds=3, max_depth=2)
+    spark.conf.set(HOT_ROWS_KEY, "119")
+    try:
+        _, hot, _ = boosting.boost(x, ["a"], "pairwise", rounds=3, max_depth=2)
+    finally:
+        spark.conf.unset(HOT_ROWS_KEY)
+    assert seen == [({"r", "q", "level", "z"}, True)] * 3 + [({"r", "q", "level", "z"}, False)] * 3
+    assert hot == pytest.approx(losses, rel=1e-9) and losses[2] < losses[1] < losses[0]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before

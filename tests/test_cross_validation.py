@@ -1,6 +1,7 @@
 """Cross-validation by query: one matrix for all folds, measures query by query."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -79,3 +80,12 @@ def test_small_queries_are_swept_as_great_ones(monkeypatch, direction):
     monkeypatch.setattr(rank, "PAIR_ROWS", 0)
     none = rank.dominance(group, level, key, value, 1.0, direction)
     assert (some[0] == none[0]).all() and np.allclose(some[1], none[1], atol=1e-12)
+
+
+def test_a_great_query_is_not_gone_through_for_each_batch(monkeypatch):
+    monkeypatch.setattr(rank, "SWEEP_ROWS", 4)
+    calls, runs = [], rank._runs
+    monkeypatch.setattr(rank, "_runs", lambda x: (calls.append(len(x[0])), runs(x))[1])
+    batches = [pa.RecordBatch.from_pydict({"q": [7 + (i > 190), 7 + (i > 190)]}) for i in range(200)]
+    found = [g.tolist() for _, g in rank._whole_queries(iter(batches), ["q"])]
+    assert sum(map(len, found)) == 400 and sum(calls) < 2000 and len(calls) < 12
